@@ -100,7 +100,8 @@ def holiday_calendar(spark: SparkSession, years=DEFAULT_YEARS, rules=VIC_RULES,
         if sub is not None:
             entries.append(F.struct(F.when(ok, sub).alias("date"),
                                     F.lit(f"{name} (Observed)").alias("name")))
-    cal = (spark.range(years[0], years[1] + 1)
+    # One partition: a few thousand rows, so de-duplicating needs no shuffle.
+    cal = (spark.range(years[0], years[1] + 1, 1, numPartitions=1)
                 .select(F.explode(F.array(*entries)).alias("h"))
                 .select("h.date", "h.name")
                 .filter(F.col("date").isNotNull()))
