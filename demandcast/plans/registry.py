@@ -22,7 +22,11 @@ from demandcast.operators.split import TEST, TRAIN, split_by_time, split_nested
 from demandcast.operators.stats import (series_keys, split_counts, split_matrix,
                                         split_valid, tag_counts)
 from demandcast.plans.features import KEYS, feature_frame, feature_names, prepare_features
+from demandcast.plans.model import feature_importances, fit_forecaster, predict
+from demandcast.plans.search import random_search, retrain_best
+from demandcast.session import shared_path
 from demandcast.sources.fixtures import N_ITEMS_CHECK, derived_weather, lineitem_panel
+from demandcast.sources.sinks import RunLog, load_model, save_model, save_table
 
 PANEL = ["date", "store", "item", "sales"]
 TAGGED = PANEL + ["Dataset"]
@@ -198,6 +202,109 @@ def q_metric_means(spark, sf_dir):
     return rounded(metric_means(score_metrics(test, "sales", "prediction", by="store")))
 
 
+# ------------------------------------------------- model (rows-only checks) --
+
+# Budgets of the registered model queries (the library defaults are larger).
+MODEL_ROUNDS = 20
+MODEL_PATIENCE = 10
+SEARCH_TRIALS = 3
+SEARCH_ROUNDS = 10
+
+_CACHE: dict = {}
+
+
+def _frames(spark, sf_dir):
+    """Train / Validation / Test of the feature frame, checkpointed once.
+
+    ``checkpoint()`` writes to the shared ``spark.checkpoint.dir`` and cuts
+    the window lineage, so every boosting round rescans stored rows and a
+    lost executor recomputes nothing upstream.
+    """
+    key = ("frames", spark.sparkContext.applicationId, sf_dir)
+    if key not in _CACHE:
+        ff = feature_frame(panel(spark, sf_dir)).checkpoint()
+        _CACHE[key] = tuple(ff.filter(F.col("Dataset") == t)
+                            for t in (TRAIN, "Validation", TEST))
+    return _CACHE[key]
+
+
+def _fitted(spark, sf_dir):
+    key = ("fit", spark.sparkContext.applicationId, sf_dir)
+    if key not in _CACHE:
+        train, valid, _ = _frames(spark, sf_dir)
+        _CACHE[key] = fit_forecaster(train, valid, feature_names(), max_iter=MODEL_ROUNDS,
+                                     patience=MODEL_PATIENCE)
+    return _CACHE[key]
+
+
+def _searched(spark, sf_dir):
+    key = ("search", spark.sparkContext.applicationId, sf_dir)
+    if key not in _CACHE:
+        train, valid, _ = _frames(spark, sf_dir)
+        _CACHE[key] = random_search(train, valid, feature_names(), n_trials=SEARCH_TRIALS,
+                                    max_iter=SEARCH_ROUNDS, patience=MODEL_PATIENCE)
+    return _CACHE[key]
+
+
+def q_gbt_predictions(spark, sf_dir):
+    _, _, test = _frames(spark, sf_dir)
+    return rounded(predict(_fitted(spark, sf_dir), test)
+                   .select("date", "store", "item", "sales", "prediction"))
+
+
+def q_gbt_store_metrics(spark, sf_dir):
+    _, _, test = _frames(spark, sf_dir)
+    return rounded(score_metrics(predict(_fitted(spark, sf_dir), test), by="store"))
+
+
+def q_gbt_importances(spark, sf_dir):
+    return feature_importances(_fitted(spark, sf_dir), 10)
+
+
+def q_random_search_trials(spark, sf_dir):
+    return _searched(spark, sf_dir)[0]
+
+
+def q_tuned_store_metrics(spark, sf_dir):
+    train, valid, test = _frames(spark, sf_dir)
+    best = _searched(spark, sf_dir)[1]
+    tuned = retrain_best(train, valid, feature_names(), best, max_iter=SEARCH_ROUNDS,
+                         patience=MODEL_PATIENCE)
+    return rounded(score_metrics(predict(tuned, test), by="store"))
+
+
+def q_model_roundtrip(spark, sf_dir):
+    """Predictions of the saved-and-loaded model next to the original's."""
+    train, _, test = _frames(spark, sf_dir)
+    fit = _fitted(spark, sf_dir)
+    path = shared_path(spark, f"models/{RunLog.new_run_id()}")
+    save_model(fit, path, input_example=train.select(*feature_names()))
+    loaded = load_model(spark, path)
+    keys = ["store", "item", "date"]
+    a = predict(fit, test).select(*keys, "prediction")
+    b = predict(loaded, test).select(*keys, F.col("prediction").alias("reloaded"))
+    return rounded(a.join(b, keys).withColumn("same", F.col("prediction") == F.col("reloaded")))
+
+
+def q_table_roundtrip(spark, sf_dir):
+    """Write the panel as a catalog table (external, shared path) and read it."""
+    name = f"demandcast_panel_{RunLog.new_run_id()[:8]}"
+    save_table(panel(spark, sf_dir), name, path=shared_path(spark, f"tables/{name}"),
+               partition_by="store")
+    return spark.table(name)
+
+
+def q_run_log(spark, sf_dir):
+    """The parameters and metrics of the fitted model, written and read back."""
+    fit = _fitted(spark, sf_dir)
+    log = RunLog(spark, shared_path(spark, "run_log"))
+    rid = RunLog.new_run_id()
+    log.log(rid, "param", {**fit.params, "max_iter": MODEL_ROUNDS})
+    log.log(rid, "metric", {"val_mape": fit.valid_mape, "val_rmse": fit.valid_rmse,
+                            "best_iteration": fit.best_iteration})
+    return log.read().filter(F.col("run_id") == rid)
+
+
 SQL_CHECKED = {
     "sales_panel": q_sales_panel,
     "split_tag": q_split_tag,
@@ -230,6 +337,14 @@ SQL_CHECKED = {
 
 ROWS_ONLY = {
     "lag_noise": q_lag_noise,
+    "gbt_predictions": q_gbt_predictions,
+    "gbt_store_metrics": q_gbt_store_metrics,
+    "gbt_importances": q_gbt_importances,
+    "random_search_trials": q_random_search_trials,
+    "tuned_store_metrics": q_tuned_store_metrics,
+    "model_roundtrip": q_model_roundtrip,
+    "table_roundtrip": q_table_roundtrip,
+    "run_log": q_run_log,
 }
 
 
