@@ -200,7 +200,9 @@ def ewm_mean_columns(alphas, target: str = "sales", suffix: str = "ewm") -> list
     y_t = sum_i q^i x_{t-i} / sum_i q^i over non-null x: pandas
     ``ewm(alpha).mean()`` with adjust=True, ignore_na=False. With o the
     offset of t in its block, the own block contributes q^o * S_own and the
-    block before q^(o + P) * S_prev. Null when the K + 1 rows hold no value.
+    block before q^(o + P) * S_prev. Only rows with a value get one here:
+    their own weight is 1, so the dropped terms are below 1e-18 of the sum.
+    A row without a value equals the mean before it (step 4).
     """
     rn = F.col(_RN)
     cols = []
@@ -219,7 +221,8 @@ def ewm_mean_columns(alphas, target: str = "sales", suffix: str = "ewm") -> list
             return scale * (own + carry * prev)
 
         num, den = combine("n"), combine("d")
-        cols.append(F.when(den > 0, num / den).alias(ewm_name(target, suffix, a)))
+        present = F.col(target).isNotNull()
+        cols.append(F.when(present, num / den).alias(ewm_name(target, suffix, a)))
     return cols
 
 
@@ -230,10 +233,11 @@ def drop_ewm_temps(df: DataFrame) -> list[str]:
 
 def ewm_carry_columns(names, keys, date: str = "date",
                       within: str | None = None) -> list[Column]:
-    """W6, second step: a null first-step value takes the last value before it.
+    """W6, step 4: a row without a value takes the mean of the last row with one.
 
-    With a null x the exact mean equals the previous one, so this also makes
-    runs of more than K nulls exact; leading nulls stay null.
+    With a null x the exact mean equals the previous one (all weights shrink
+    by the same factor), so runs of nulls of any length are exact; leading
+    nulls stay null.
     """
     carry = series_window(keys, date, within).rowsBetween(Window.unboundedPreceding,
                                                           Window.currentRow)

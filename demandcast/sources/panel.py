@@ -24,7 +24,7 @@ def to_date_column(c: Column | str, dtype: T.DataType,
     """a DATE from text (unparsable text becomes null), a timestamp or a date."""
     c = F.col(c) if isinstance(c, str) else c
     if isinstance(dtype, T.StringType):
-        return F.try_to_date(c, F.lit(fmt))
+        return F.try_to_date(c, fmt)
     if isinstance(dtype, T.DateType):
         return c
     return F.to_date(c)
