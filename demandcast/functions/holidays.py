@@ -8,7 +8,7 @@ not rules; pass them as ``extra`` rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Public holidays of Victoria, Australia.
@@ -37,77 +37,81 @@ VIC_RULES = (
 # len(VIC_RULES) * 2 * 201 rows whatever the data, and is safe to broadcast.
 DEFAULT_YEARS = (1900, 2100)
 
+# The calendar plan per session: it depends only on the rules and years.
+_CALENDARS: dict = {}
 
-def easter_sunday(y: Column) -> Column:
-    """Gregorian Easter Sunday of year ``y`` (anonymous Gregorian algorithm)."""
-    a = y % 19
-    b = F.floor(y / 100)
-    c = y % 100
-    d = F.floor(b / 4)
-    e = b % 4
-    f = F.floor((b + 8) / 25)
-    g = F.floor((b - f + 1) / 3)
-    h = (19 * a + b - d - g + 15) % 30
-    i = F.floor(c / 4)
-    k = c % 4
-    l_ = (32 + 2 * e + 2 * i - h - k) % 7
-    m = F.floor((a + 11 * h + 22 * l_) / 451)
-    month = F.floor((h + l_ - 7 * m + 114) / 31)
-    day = (h + l_ - 7 * m + 114) % 31 + 1
-    return F.make_date(y.cast("int"), month.cast("int"), day.cast("int"))
-
-
-def _rule_date(y: Column, kind: str, args: tuple) -> Column:
+
+def easter_sql(y: str = "y") -> str:
+    """SQL text of Gregorian Easter Sunday of year ``y`` (anonymous Gregorian
+    algorithm, integer arithmetic), as one expression."""
+    a, b, c = f"({y} % 19)", f"({y} div 100)", f"({y} % 100)"
+    d, e, f = f"({b} div 4)", f"({b} % 4)", f"(({b} + 8) div 25)"
+    g = f"(({b} - {f} + 1) div 3)"
+    h = f"((19 * {a} + {b} - {d} - {g} + 15) % 30)"
+    i, k = f"({c} div 4)", f"({c} % 4)"
+    l_ = f"((32 + 2 * {e} + 2 * {i} - {h} - {k}) % 7)"
+    m = f"(({a} + 11 * {h} + 22 * {l_}) div 451)"
+    t = f"({h} + {l_} - 7 * {m} + 114)"
+    return f"make_date({y}, CAST({t} div 31 AS INT), CAST({t} % 31 + 1 AS INT))"
+
+
+def _rule_date_sql(kind: str, args: tuple) -> str:
     if kind == "fixed":
-        return F.make_date(y, F.lit(args[0]), F.lit(args[1]))
+        return f"make_date(y, {int(args[0])}, {int(args[1])})"
     if kind == "nth_weekday":
-        month, weekday, n = args
-        first = F.make_date(y, F.lit(month), F.lit(1))
-        offset = (F.lit(weekday) - F.weekday(first) + 7) % 7 + 7 * (n - 1)
-        return F.date_add(first, offset.cast("int"))
+        month, weekday, n = (int(a) for a in args)
+        first = f"make_date(y, {month}, 1)"
+        return f"date_add({first}, CAST(({weekday} - weekday({first}) + 7) % 7 + {7 * (n - 1)} AS INT))"
     if kind == "easter":
-        return F.date_add(easter_sunday(y), args[0])
+        return f"date_add(easter, {int(args[0])})"
     raise ValueError(f"unknown rule kind {kind!r}")
 
 
-def _weekend_substitute(d: Column, rule: str | None) -> Column | None:
-    if rule is None:
-        return None
-    wd = F.weekday(d)
+def _weekend_substitute_sql(day: str, rule: str) -> str:
     if rule == "next_monday":
-        shifted = F.date_add(d, (7 - wd).cast("int"))
+        shifted = f"date_add({day}, CAST(7 - weekday({day}) AS INT))"
     elif rule == "plus_two":
-        shifted = F.date_add(d, 2)
+        shifted = f"date_add({day}, 2)"
     else:
         raise ValueError(f"unknown weekend rule {rule!r}")
-    return F.when(wd >= 5, shifted)
+    return f"CASE WHEN weekday({day}) >= 5 THEN {shifted} END"
+
+
+def _sql_string(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def holiday_calendar(spark: SparkSession, years=DEFAULT_YEARS, rules=VIC_RULES,
                      extra: DataFrame | None = None) -> DataFrame:
     """(date DATE, name STRING) for every rule and year in ``years`` (inclusive).
 
-    Built from ``spark.range`` with column expressions: no driver-side list.
+    Built from ``spark.range`` with SQL expressions: no driver-side list.
     ``extra`` (date, name) rows are appended as given.
     """
-    y = F.col("id").cast("int")
     entries = []
     for name, kind, args, weekend, since in rules:
-        day = _rule_date(y, kind, args)
-        ok = F.lit(True) if since is None else (y >= since)
-        entries.append(F.struct(F.when(ok, day).alias("date"), F.lit(name).alias("name")))
-        sub = _weekend_substitute(day, weekend)
-        if sub is not None:
-            entries.append(F.struct(F.when(ok, sub).alias("date"),
-                                    F.lit(f"{name} (Observed)").alias("name")))
+        day = _rule_date_sql(kind, args)
+        ok = "true" if since is None else f"y >= {int(since)}"
+        entries.append(f"named_struct('date', CASE WHEN {ok} THEN {day} END, "
+                       f"'name', {_sql_string(name)})")
+        if weekend is not None:
+            sub = _weekend_substitute_sql(day, weekend)
+            entries.append(f"named_struct('date', CASE WHEN {ok} THEN {sub} END, "
+                           f"'name', {_sql_string(name + ' (Observed)')})")
     # One partition: a few thousand rows, so de-duplicating needs no shuffle.
+    key = (id(spark), tuple(years), rules)
+    if extra is None and key in _CALENDARS:
+        return _CALENDARS[key]
     cal = (spark.range(years[0], years[1] + 1, 1, numPartitions=1)
-                .select(F.explode(F.array(*entries)).alias("h"))
-                .select("h.date", "h.name")
-                .filter(F.col("date").isNotNull()))
+           .selectExpr("CAST(id AS INT) AS y")
+           .selectExpr("y", f"{easter_sql('y')} AS easter")
+           .selectExpr(f"explode(array({', '.join(entries)})) AS h")
+           .selectExpr("h.date AS date", "h.name AS name")
+           .filter("date IS NOT NULL"))
     if extra is not None:
-        cal = cal.unionByName(extra.select(F.col("date").cast("date"),
-                                           F.col("name").cast("string")))
+        return cal.unionByName(extra.select(F.col("date").cast("date"),
+                                            F.col("name").cast("string")))
+    _CALENDARS[key] = cal
     return cal
 
 

@@ -154,10 +154,20 @@ def _tmp(kind: str, alpha: float) -> str:
     return f"__ewm_{kind}_{str(alpha).replace('.', '')}"
 
 
+def _over(keys, date: str, within: str | None, frame: str = "") -> str:
+    """SQL text of the shared window specification, with an optional frame."""
+    part = ", ".join(_q(c) for c in _partition(keys, within))
+    return f"OVER (PARTITION BY {part} ORDER BY {_q(date)} ASC NULLS LAST {frame})"
+
+
+def _dbl(v: float) -> str:
+    return f"{float(v)!r}D"
+
+
 def ewm_rank_column(keys, date: str = "date", within: str | None = None) -> Column:
     """W6, step 1: the 0-based row position in the series (shares the Window node
     of the lags and rolling frames)."""
-    return (F.row_number().over(series_window(keys, date, within)) - 1).alias(_RN)
+    return F.expr(f"row_number() {_over(keys, date, within)} - 1").alias(_RN)
 
 
 def ewm_sum_columns(alphas, keys, target: str = "sales", date: str = "date",
@@ -171,25 +181,24 @@ def ewm_sum_columns(alphas, keys, target: str = "sales", date: str = "date",
     overflows for any alpha. A frame of K + 1 rows touches at most two
     consecutive blocks, one even and one odd, so separate sums over even and
     odd blocks recover each block's share exactly (step 3). Values and
-    weights (1 for a non-null value) are summed the same way.
+    weights (1 for a non-null value) are summed the same way. The columns
+    are SQL text: one expression object each, whatever K is.
     """
-    w = series_window(keys, date, within)
-    x = F.col(target).cast("double")
-    rn = F.col(_RN)
+    x = f"CAST({_q(target)} AS DOUBLE)"
     cols = []
     for a in alphas:
         k = ewm_window_rows(a)
         q, p = 1.0 - float(a), k + 1
-        block = F.floor(rn / F.lit(p))
-        scale = F.pow(F.lit(q), -(rn - block * p).cast("double"))
-        even = block % 2 == 0
-        frame = w.rowsBetween(-k, Window.currentRow)
-        parts = {"n": F.coalesce(x, F.lit(0.0)) * scale,
-                 "d": F.when(x.isNotNull(), scale).otherwise(F.lit(0.0))}
+        offset = f"CAST({_RN} - floor({_RN} / {p}) * {p} AS DOUBLE)"
+        scale = f"pow({_dbl(q)}, -{offset})"
+        even = f"floor({_RN} / {p}) % 2 = 0"
+        over = _over(keys, date, within, f"ROWS BETWEEN {k} PRECEDING AND CURRENT ROW")
+        parts = {"n": f"coalesce({x}, 0D) * {scale}",
+                 "d": f"CASE WHEN {x} IS NULL THEN 0D ELSE {scale} END"}
         for kind, val in parts.items():
-            cols.append(F.sum(F.when(even, val).otherwise(F.lit(0.0))).over(frame)
+            cols.append(F.expr(f"sum(CASE WHEN {even} THEN {val} ELSE 0D END) {over}")
                         .alias(_tmp(kind + "e", a)))
-            cols.append(F.sum(F.when(even, F.lit(0.0)).otherwise(val)).over(frame)
+            cols.append(F.expr(f"sum(CASE WHEN {even} THEN 0D ELSE {val} END) {over}")
                         .alias(_tmp(kind + "o", a)))
     return cols
 
@@ -204,25 +213,21 @@ def ewm_mean_columns(alphas, target: str = "sales", suffix: str = "ewm") -> list
     their own weight is 1, so the dropped terms are below 1e-18 of the sum.
     A row without a value equals the mean before it (step 4).
     """
-    rn = F.col(_RN)
     cols = []
     for a in alphas:
         k = ewm_window_rows(a)
         q, p = 1.0 - float(a), k + 1
-        block = F.floor(rn / F.lit(p))
-        even = block % 2 == 0
-        scale = F.pow(F.lit(q), (rn - block * p).cast("double"))
-        carry = F.lit(q ** p)
+        offset = f"CAST({_RN} - floor({_RN} / {p}) * {p} AS DOUBLE)"
+        even = f"floor({_RN} / {p}) % 2 = 0"
 
         def combine(kind):
-            e, o = F.col(_tmp(kind + "e", a)), F.col(_tmp(kind + "o", a))
-            own = F.when(even, e).otherwise(o)
-            prev = F.when(even, o).otherwise(e)
-            return scale * (own + carry * prev)
-
-        num, den = combine("n"), combine("d")
-        present = F.col(target).isNotNull()
-        cols.append(F.when(present, num / den).alias(ewm_name(target, suffix, a)))
+            e, o = _tmp(kind + "e", a), _tmp(kind + "o", a)
+            return (f"(pow({_dbl(q)}, {offset}) * (CASE WHEN {even} THEN {e} ELSE {o} END"
+                    f" + {_dbl(q ** p)} * CASE WHEN {even} THEN {o} ELSE {e} END))")
+
+        cols.append(F.expr(f"CASE WHEN {_q(target)} IS NOT NULL "
+                           f"THEN {combine('n')} / {combine('d')} END")
+                    .alias(ewm_name(target, suffix, a)))
     return cols
 
 
@@ -239,10 +244,8 @@ def ewm_carry_columns(names, keys, date: str = "date",
     by the same factor), so runs of nulls of any length are exact; leading
     nulls stay null.
     """
-    carry = series_window(keys, date, within).rowsBetween(Window.unboundedPreceding,
-                                                          Window.currentRow)
-    return [F.coalesce(F.col(n), F.last(F.col(n), ignorenulls=True).over(carry)).alias(n)
-            for n in names]
+    over = _over(keys, date, within, "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
+    return [F.expr(f"coalesce({_q(n)}, last({_q(n)}, true) {over})").alias(n) for n in names]
 
 
 def add_ewm(df: DataFrame, alphas=(0.6, 0.85), keys=("store", "item"),
