@@ -63,11 +63,12 @@ def typed_panel(df: DataFrame, date: str = "date", store: str = "store",
 
 
 def read_sales(spark: SparkSession, source: str, fmt: str = SOURCE_DATE_FORMAT,
-               file_format: str | None = None) -> DataFrame:
+               file_format: str | None = None, dedupe: bool = False) -> DataFrame:
     """Scan the sales table by catalog name or by path.
 
     ``source`` is a table name unless it contains a path separator; paths are
-    read with ``file_format`` (default parquet).
+    read with ``file_format`` (default parquet). ``dedupe=True`` sums rows
+    that repeat a (store, item, date) key (:func:`ensure_grain`).
     """
     if "/" in source or file_format is not None:
         reader = spark.read.format(file_format or "parquet")
@@ -76,7 +77,8 @@ def read_sales(spark: SparkSession, source: str, fmt: str = SOURCE_DATE_FORMAT,
         raw = reader.load(source)
     else:
         raw = spark.table(source)
-    return typed_panel(raw, fmt=fmt)
+    panel = typed_panel(raw, fmt=fmt)
+    return ensure_grain(panel) if dedupe else panel
 
 
 def ensure_grain(df: DataFrame, keys=KEYS, date: str = "date",

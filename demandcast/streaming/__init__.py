@@ -1,0 +1,6 @@
+"""Intentionally empty.
+
+The forecasting work has no stream: the reference reads a static table, and
+its centred rolling windows look ahead in time, so the feature frame is batch
+by definition. Scoring new data is a batch ``predict`` on the saved model.
+"""
