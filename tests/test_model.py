@@ -90,3 +90,20 @@ def test_random_search_logs_trials(spark, made_frames):
     assert min(r["objective"] for r in rows) == pytest.approx(
         [r for r in rows if r["trial"] == min(rows, key=lambda r: (r["objective"], r["trial"]))["trial"]][0]["objective"])
     assert log.read().filter(F.col("kind") == "metric").count() == 2 * 4
+
+
+def test_forecast_report_end_to_end(spark):
+    from demandcast.plans.forecast import forecast_report
+    rng = random.Random(9)
+    rows = [(dt.date(2017, 1, 1) + dt.timedelta(days=i), s, 1,
+             int(30 + 5 * s + (10 if (dt.date(2017, 1, 1) + dt.timedelta(days=i)).weekday() >= 5
+                               else 0) + rng.gauss(0, 2)))
+            for s in (1, 2, 3) for i in range(200)]
+    panel = spark.createDataFrame(rows, "date date, store int, item int, sales int")
+    log = RunLog(spark, shared_path(spark, f"test-report/{RunLog.new_run_id()}"))
+    rep = forecast_report(panel, max_iter=8, patience=4, run_log=log)
+    stores = [r["store"] for r in rep.store_metrics.collect()]
+    assert stores == [1, 2, 3]
+    assert rep.test_metrics.first()["n"] == rep.test_predictions.count()
+    assert rep.store_means.first()["mean_mape"] is not None
+    assert log.read().count() > 0

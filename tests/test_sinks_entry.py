@@ -35,3 +35,18 @@ def test_entry_contract(spark):
     q, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(q)
     assert {"feature_frame", "split_counts", "ewm_features", "store_metrics"} <= set(sql)
+
+
+def test_read_sales_csv_text_dates_and_dedupe(spark, tmp_path):
+    import pytest
+    from demandcast.sources.panel import read_sales
+    from demandcast.sources.sinks import check_signature
+    p = tmp_path / "sales.csv"
+    p.write_text("date,store,item,sales\n01-02-2020,1,1,3\n01-02-2020,1,1,4\n"
+                 "12-31-2019,1,1,5\n")
+    df = read_sales(spark, str(p), file_format="csv", dedupe=True)
+    got = sorted((str(r["date"]), r["sales"]) for r in df.collect())
+    assert got == [("2019-12-31", 5), ("2020-01-02", 7)]
+    assert dict(df.dtypes) == {"date": "date", "store": "int", "item": "int", "sales": "int"}
+    with pytest.raises(ValueError):
+        check_signature(df.drop("item"), df.schema)
