@@ -16,6 +16,10 @@ DEFAULT_CONF = {
     # partitions instead of merging them below the core count.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Joins of two panel versions on (store, item, date) can reuse the
+    # (store, item) hash partitioning both sides already have from the series
+    # windows, instead of shuffling both again on all three keys.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",

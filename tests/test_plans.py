@@ -67,3 +67,17 @@ def test_ewm_window_path_is_one_sort(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert count(text, "Sort [") == 1
     assert "FlatMapGroupsInPandas" not in text
+
+
+def test_compare_join_reuses_series_partitioning(spark):
+    from demandcast.plans import registry
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = plan_text(registry.q_compare_columns(spark, SF_SMOKE))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # source aggregate and series windows (reused by the second side); the
+    # join adds none; one single-partition exchange for the final aggregate
+    assert count(text, "Exchange hashpartitioning") == 2
+    assert count(text, "ReusedExchange") == 1
+    assert count(text, "Exchange SinglePartition") == 1
