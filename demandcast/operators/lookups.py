@@ -48,8 +48,8 @@ def add_holiday_flag(df: DataFrame, holidays: DataFrame | None = None,
     else:
         side = checked_broadcast(holiday_dates(holidays), max_rows)
     joined = df.join(side, F.col(date) == F.col("_holiday"), "left")
-    return (joined.withColumn(out, F.col("_holiday").isNotNull().cast("int"))
-                  .drop("_holiday"))
+    return joined.select(*[F.col(c) for c in df.columns if c != out],
+                         F.col("_holiday").isNotNull().cast("int").alias(out))
 
 
 def daily_weather(weather: DataFrame, date: str = "date",
@@ -73,4 +73,4 @@ def add_weather(df: DataFrame, weather: DataFrame, date: str = "date",
     """Left-join the daily weather values (null where no station reported)."""
     side = checked_broadcast(daily_weather(weather, date, station, values), max_rows)
     return (df.join(side, F.col(date) == F.col("_wdate"), "left")
-              .drop("_wdate"))
+              .select(*df.columns, *values))

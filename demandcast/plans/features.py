@@ -13,6 +13,7 @@ sort is added). Lookups are broadcast joins and keep that partitioning.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from demandcast.functions.calendar import CALENDAR_COLUMNS, calendar_columns
 from demandcast.operators import windows as W
@@ -57,17 +58,18 @@ def feature_frame(panel: DataFrame, ratio: float = 0.8, inner_ratio: float | Non
         raise ValueError("feature_scope must be 'split' or 'series'")
     within = tag if feature_scope == "split" else None
     df = split_by_time(panel, keys, ratio, tag=tag)
-    df = df.select("*", *calendar_columns())
     df = add_holiday_flag(df, holidays)
     if weather is not None:
         df = add_weather(df, weather)
+    extra_cols = ["public_holiday"] + (["tmin", "tmax", "tavg"] if weather is not None else [])
     window_cols = (
-        W.lag_columns(lags, keys, target, "lag", within=within,
+        calendar_columns() + [F.col(c) for c in extra_cols]
+        + W.lag_columns(lags, keys, target, "lag", within=within,
                       noise_scale=noise_scale, seed=seed)
         + W.rolling_columns(windows, keys, target, "roll", ops, within=within,
                             frame=frame, trailing=trailing)
         + [W.ewm_rank_column(keys, within=within)])
-    df = df.select("*", *window_cols)
+    df = df.select(*[c for c in df.columns if c not in extra_cols], *window_cols)
     df = df.select("*", *W.ewm_sum_columns(alphas, keys, target, within=within))
     df = df.select(*W.drop_ewm_temps(df), *W.ewm_mean_columns(alphas, target, "ewm"))
     ewm_cols = [W.ewm_name(target, "ewm", a) for a in alphas]

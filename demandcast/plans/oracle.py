@@ -173,24 +173,28 @@ def _with(*ctes: str, recursive: bool = False) -> str:
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(ctes)
 
 
-def _feature_frame_sql(scope: str = "split") -> str:
+def _feature_frame_sql(scope: str = "split", weather: bool = False) -> str:
     part = PART if scope == "split" else "PARTITION BY store, item"
     lag = _lag_cols().replace(PART, part)
     roll = _roll_cols().replace(PART, part)
     ewm = _ewm_ctes("tagged").replace(PART, part)
     if scope != "split":
         ewm = ewm.replace("AND b.Dataset = e.Dataset", "")
+    wcols = "w.tmin, w.tmax, w.tavg," if weather else ""
+    wjoin = "LEFT JOIN weather w USING (date)" if weather else ""
     feats = f"""feats AS (
   SELECT t.date, t.store, t.item, t.sales, t.Dataset,
          {CALENDAR_COLS},
          {HOLIDAY_COL},
+         {wcols}
          {lag},
          {roll}
-  FROM tagged t)"""
+  FROM tagged t {wjoin})"""
     joined = """fe AS (
   SELECT f.*, round(e.sales_ewm_06, 6) AS sales_ewm_06, round(e.sales_ewm_085, 6) AS sales_ewm_085
   FROM feats f JOIN ewm e USING (store, item, date))"""
-    return _with(PANEL_CTE, TAGGED_CTE, _holidays_cte(), ewm, feats, joined,
+    extra = [WEATHER_CTE] if weather else []
+    return _with(PANEL_CTE, TAGGED_CTE, _holidays_cte(), *extra, ewm, feats, joined,
                  NESTED_CTE.format(src="fe"), recursive=True) + "\nSELECT * FROM nested"
 
 
@@ -314,6 +318,7 @@ def oracle_sql() -> dict[str, str]:
           "USING (store, item, date)",
         "feature_frame": _feature_frame_sql(),
         "feature_frame_series": _feature_frame_sql("series"),
+        "feature_frame_weather": _feature_frame_sql(weather=True),
         "feature_projection": metrics_base
         + f"\nSELECT {FEATURES_26}, sales FROM nested WHERE Dataset = 'Train'",
         "compare_columns": _compare_sql(),

@@ -167,6 +167,11 @@ def q_feature_frame_series(spark, sf_dir):
     return rounded(feature_frame(panel(spark, sf_dir), feature_scope="series"))
 
 
+def q_feature_frame_weather(spark, sf_dir):
+    return rounded(feature_frame(panel(spark, sf_dir),
+                                 weather=derived_weather(spark, sf_dir)))
+
+
 def q_feature_projection(spark, sf_dir):
     ff = feature_frame(panel(spark, sf_dir))
     train = ff.filter(F.col("Dataset") == TRAIN).drop("Dataset")
@@ -328,6 +333,7 @@ SQL_CHECKED = {
     "ewm_grouped_map": q_ewm_grouped_map,
     "feature_frame": q_feature_frame,
     "feature_frame_series": q_feature_frame_series,
+    "feature_frame_weather": q_feature_frame_weather,
     "feature_projection": q_feature_projection,
     "compare_columns": q_compare_columns,
     "store_metrics": q_store_metrics,
