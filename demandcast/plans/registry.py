@@ -247,7 +247,8 @@ def _searched(spark, sf_dir):
     if key not in _CACHE:
         train, valid, _ = _frames(spark, sf_dir)
         _CACHE[key] = random_search(train, valid, feature_names(), n_trials=SEARCH_TRIALS,
-                                    max_iter=SEARCH_ROUNDS, patience=MODEL_PATIENCE)
+                                    max_iter=SEARCH_ROUNDS, patience=MODEL_PATIENCE,
+                                    parallelism=SEARCH_TRIALS)
     return _CACHE[key]
 
 
