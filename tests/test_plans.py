@@ -81,3 +81,37 @@ def test_compare_join_reuses_series_partitioning(spark):
     assert count(text, "Exchange hashpartitioning") == 2
     assert count(text, "ReusedExchange") == 1
     assert count(text, "Exchange SinglePartition") == 1
+
+
+def test_aggregates_combine_before_their_shuffle(spark):
+    """Hot keys are pre-aggregated map-side: a partial aggregate sits below each exchange."""
+    from demandcast.operators.metrics import score_metrics
+    from demandcast.operators.split import split_by_time
+    from demandcast.operators.stats import split_counts
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        panel = lineitem_panel(spark, SF_SMOKE)
+        scored = panel.withColumn("prediction", F.col("sales") + 1)
+        for df in (panel, split_counts(split_by_time(panel)),
+                   score_metrics(scored, by="store")):
+            text = plan_text(df)
+            # every hash exchange feeding an aggregate has a map-side aggregate
+            # (partial functions, or a pruned map-side distinct) right below it
+            lines = text.splitlines()
+            for i, line in enumerate(lines):
+                if "Exchange hashpartitioning" in line and "HashAggregate" in lines[i - 1]:
+                    assert "HashAggregate" in lines[i + 1]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_weather_lookup_is_broadcast_not_shuffled(spark):
+    from demandcast.operators.lookups import add_weather
+    from demandcast.sources.fixtures import derived_weather
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = add_weather(lineitem_panel(spark, SF_SMOKE), derived_weather(spark, SF_SMOKE))
+        text = plan_text(df)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
