@@ -282,6 +282,9 @@ def oracle_sql() -> dict[str, str]:
     metrics_base = _feature_frame_sql().replace("\nSELECT * FROM nested", "")
     return {
         "sales_panel": _with(PANEL_CTE) + "\nSELECT * FROM panel",
+        "sales_text_dates": _with(PANEL_CTE)
+        + "\nSELECT strptime(strftime(date, '%m-%d-%Y'), '%m-%d-%Y')::DATE AS date, "
+          "store, item, sales FROM panel",
         "split_tag": tagged_base + "\nSELECT * FROM tagged",
         "split_nested": _with(PANEL_CTE, TAGGED_CTE, NESTED_CTE.format(src="tagged"))
         + "\nSELECT * FROM nested",

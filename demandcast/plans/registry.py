@@ -26,7 +26,9 @@ from demandcast.plans.model import feature_importances, fit_forecaster, predict
 from demandcast.plans.search import random_search, retrain_best
 from demandcast.session import shared_path
 from demandcast.sources.fixtures import N_ITEMS_CHECK, derived_weather, lineitem_panel
-from demandcast.sources.sinks import RunLog, load_model, save_model, save_table
+from demandcast.sources.panel import SOURCE_DATE_FORMAT, read_sales, typed_panel
+from demandcast.sources.sinks import (RunLog, check_signature, load_model, load_signature,
+                                      save_model, save_table)
 
 PANEL = ["date", "store", "item", "sales"]
 TAGGED = PANEL + ["Dataset"]
@@ -61,6 +63,12 @@ def q_sales_panel(spark, sf_dir):
     return panel(spark, sf_dir)
 
 
+def q_sales_text_dates(spark, sf_dir):
+    """S1 + F1: the panel with its date stored as ``MM-dd-yyyy`` text, typed again."""
+    text = panel(spark, sf_dir).withColumn("date", F.date_format("date", SOURCE_DATE_FORMAT))
+    return typed_panel(text)
+
+
 def q_split_tag(spark, sf_dir):
     return tagged(spark, sf_dir)
 
@@ -286,6 +294,7 @@ def q_model_roundtrip(spark, sf_dir):
     path = shared_path(spark, f"models/{RunLog.new_run_id()}")
     save_model(fit, path, input_example=train.select(*feature_names()))
     loaded = load_model(spark, path)
+    check_signature(test, load_signature(spark, path))
     keys = ["store", "item", "date"]
     a = predict(fit, test).select(*keys, "prediction")
     b = predict(loaded, test).select(*keys, F.col("prediction").alias("reloaded"))
@@ -297,7 +306,7 @@ def q_table_roundtrip(spark, sf_dir):
     name = f"demandcast_panel_{RunLog.new_run_id()[:8]}"
     save_table(panel(spark, sf_dir), name, path=shared_path(spark, f"tables/{name}"),
                partition_by="store")
-    return spark.table(name)
+    return read_sales(spark, name)
 
 
 def q_run_log(spark, sf_dir):
@@ -313,6 +322,7 @@ def q_run_log(spark, sf_dir):
 
 SQL_CHECKED = {
     "sales_panel": q_sales_panel,
+    "sales_text_dates": q_sales_text_dates,
     "split_tag": q_split_tag,
     "split_nested": q_split_nested,
     "tag_counts": q_tag_counts,
