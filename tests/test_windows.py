@@ -158,3 +158,32 @@ def test_noise_is_repeatable_and_scaled(spark):
     noise = a.select((F.col("sales_lag_1") - F.col("sales") + 1).alias("e")).dropna()
     stats = noise.agg(F.avg("e"), F.stddev("e")).first()
     assert abs(stats[0]) < 0.15 and 1.45 < stats[1] < 1.75
+
+
+def test_all_null_series(spark):
+    df = panel_df(spark, daily("2020-01-01", 6, values=[None] * 6))
+    out = W.add_rolling(W.add_ewm(W.add_lags(df)), windows=(3,))
+    for c in ("sales_lag_1", "sales_ewm_06", "sales_roll_sum_3", "sales_roll_mean_3",
+              "sales_roll_std_3"):
+        assert series(out, c) == [None] * 6
+
+
+def test_feature_frame_invariant_to_shuffle_partitions(spark):
+    from conftest import SF_SMOKE
+    from demandcast.plans.features import feature_frame
+    from demandcast.sources.fixtures import lineitem_panel
+
+    def rows():
+        ff = feature_frame(lineitem_panel(spark, SF_SMOKE))
+        return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r)
+                      for r in ff.collect())
+
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        a = rows()
+        spark.conf.set("spark.sql.shuffle.partitions", "11")
+        b = rows()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert a == b and len(a) == 5858
