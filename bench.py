@@ -46,6 +46,21 @@ def timed(fn, repeat: int = REPEAT) -> float:
     return round(best, 3)
 
 
+def grouped_map_split(df, ratio: float = 0.8):
+    """For comparison only: the same split rule evaluated per series in pandas
+    (one Arrow round trip per group), the way a grouped map would do it."""
+    import numpy as np
+    import pandas as pd
+
+    def tag(pdf: pd.DataFrame) -> pd.DataFrame:
+        dates = np.sort(pdf["date"].to_numpy())
+        cutoff = dates[int(len(dates) * ratio)]
+        return pdf.assign(Dataset=np.where(pdf["date"].to_numpy() > cutoff, "Test", "Train"))
+
+    return df.groupBy("store", "item").applyInPandas(
+        tag, "date date, store int, item int, sales int, Dataset string")
+
+
 def main() -> None:
     spark = get_session(f"local[{CPUS}]", app="demandcast-bench",
                         shuffle_partitions=2 * CPUS,
@@ -55,6 +70,7 @@ def main() -> None:
 
     q = {}
     q["b1_split"] = timed(lambda: force(split_by_time(panel())))
+    q["b1_split_grouped_map"] = timed(lambda: force(grouped_map_split(panel())))
     q["b1_split_check"] = timed(lambda: split_valid(split_counts(split_by_time(panel()))).collect())
     q["b2_feature_frame"] = timed(lambda: force(feature_frame(panel())))
     q["b3_ewm_window"] = timed(lambda: force(W.add_ewm(split_by_time(panel()),
