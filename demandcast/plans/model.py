@@ -195,7 +195,7 @@ def feature_importances(fit: FitResult | PipelineModel, k: int | None = 10) -> D
     trees = [s for s in model.stages if hasattr(s, "featureImportances")][0]
     names = input_names(model)
     imp = trees.featureImportances.toArray().tolist()
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
     rows = sorted(zip(names, imp), key=lambda r: (-r[1], r[0]))
     df = spark.createDataFrame(rows, "feature string, importance double")
     df = df.orderBy(F.col("importance").desc(), F.col("feature"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from demandcast.plans.model import FitResult, fit_forecaster
 from demandcast.sources.sinks import RunLog
@@ -70,7 +70,7 @@ def random_search(train: DataFrame, valid: DataFrame, features, label: str = "sa
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         rows = list(pool.map(run, enumerate(trials)))
-    spark = SparkSession.getActiveSession()
+    spark = train.sparkSession
     schema = ("trial int, learning_rate double, max_depth int, num_leaves int, "
               "bagging_fraction double, feature_fraction double, best_iteration int, "
               "val_mape double, val_rmse double, objective double")

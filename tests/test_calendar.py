@@ -74,3 +74,12 @@ def test_weather_lowest_station_per_day(spark):
     df = panel_df(spark, [("2020-01-01", 1, 1, 5), ("2020-01-02", 1, 1, 6)])
     out = {str(r["date"]): r["tavg"] for r in add_weather(df, w).collect()}
     assert out == {"2020-01-01": 3.5, "2020-01-02": None}
+
+
+def test_extra_holiday_rows_are_added(spark):
+    extra = spark.createDataFrame([(dt.date(2015, 10, 2), "Grand Final Friday")],
+                                  "date date, name string")
+    cal = holiday_calendar(spark, years=(2015, 2015), extra=extra)
+    names = {r["name"] for r in cal.filter(F.col("date") == dt.date(2015, 10, 2)).collect()}
+    assert names == {"Grand Final Friday"}
+    assert cal.count() == len(victoria_holidays(range(2015, 2016))) + 1

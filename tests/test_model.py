@@ -106,3 +106,12 @@ def test_forecast_report_end_to_end(spark):
     assert rep.test_metrics.first()["n"] == rep.test_predictions.count()
     assert rep.store_means.first()["mean_mape"] is not None
     assert log.read().count() > 0
+
+
+def test_forecast_report_with_search(spark, made_frames):
+    from demandcast.plans.forecast import forecast_report
+    train, _, _ = made_frames
+    panel = train.select("date", "store", "item", "sales")
+    rep = forecast_report(panel, max_iter=4, patience=2, search_trials=2, search_rounds=3)
+    assert rep.trials.count() == 2
+    assert rep.store_metrics.count() == 2  # the made series have stores 1 and 2
