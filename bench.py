@@ -24,7 +24,7 @@ from demandcast.operators.split import split_by_time  # noqa: E402
 from demandcast.operators.stats import split_counts, split_valid  # noqa: E402
 from demandcast.plans.features import feature_frame, feature_names  # noqa: E402
 from demandcast.plans.model import fit_forecaster, predict  # noqa: E402
-from demandcast.session import get_session  # noqa: E402
+from demandcast.session import checkpointed, get_session  # noqa: E402
 from demandcast.sources.fixtures import N_ITEMS_BENCH, lineitem_panel  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -94,7 +94,7 @@ def main() -> None:
     q["b5_store_metrics"] = timed(metrics)
 
     def fit_and_score():
-        ff = feature_frame(panel()).checkpoint()
+        ff = checkpointed(feature_frame(panel()))
         train, valid, test = (ff.filter(F.col("Dataset") == t)
                               for t in ("Train", "Validation", "Test"))
         fit = fit_forecaster(train, valid, feature_names(), max_iter=FIT_ROUNDS, patience=10)

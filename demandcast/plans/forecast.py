@@ -18,6 +18,7 @@ from demandcast.operators.split import TEST, TRAIN, VALIDATION
 from demandcast.plans.features import feature_frame, feature_names
 from demandcast.plans.model import FitResult, feature_importances, fit_forecaster, predict
 from demandcast.plans.search import random_search, retrain_best
+from demandcast.session import checkpointed
 from demandcast.sources.sinks import RunLog
 
 
@@ -37,7 +38,7 @@ def forecast_report(panel: DataFrame, max_iter: int = 200, patience: int = 50,
                     search_trials: int = 0, search_rounds: int = 100,
                     run_log: RunLog | None = None, **feature_options) -> ForecastReport:
     """Split, featurise, fit (tune if ``search_trials``), score the Test rows."""
-    ff = feature_frame(panel, **feature_options).checkpoint()
+    ff = checkpointed(feature_frame(panel, **feature_options))
     train, valid, test = (ff.filter(F.col("Dataset") == t) for t in (TRAIN, VALIDATION, TEST))
     names = feature_names(weather=feature_options.get("weather") is not None)
     trials = None

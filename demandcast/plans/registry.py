@@ -24,7 +24,7 @@ from demandcast.operators.stats import (series_keys, split_counts, split_matrix,
 from demandcast.plans.features import KEYS, feature_frame, feature_names, prepare_features
 from demandcast.plans.model import feature_importances, fit_forecaster, predict
 from demandcast.plans.search import random_search, retrain_best
-from demandcast.session import shared_path
+from demandcast.session import checkpointed, shared_path
 from demandcast.sources.fixtures import N_ITEMS_CHECK, derived_weather, lineitem_panel
 from demandcast.sources.panel import SOURCE_DATE_FORMAT, read_sales, typed_panel
 from demandcast.sources.sinks import (RunLog, check_signature, load_model, load_signature,
@@ -235,7 +235,7 @@ def _frames(spark, sf_dir):
     """
     key = ("frames", spark.sparkContext.applicationId, sf_dir)
     if key not in _CACHE:
-        ff = feature_frame(panel(spark, sf_dir)).checkpoint()
+        ff = checkpointed(feature_frame(panel(spark, sf_dir)))
         _CACHE[key] = tuple(ff.filter(F.col("Dataset") == t)
                             for t in (TRAIN, "Validation", TEST))
     return _CACHE[key]

@@ -84,3 +84,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A path below the shared checkpoint folder for written intermediates."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def checkpointed(df):
+    """``df.checkpoint()`` (reliable, eager) into the shared checkpoint folder.
+
+    Cuts the lineage so later jobs, and a recomputation after a lost executor,
+    start from the written rows. Never ``localCheckpoint``: those blocks die
+    with their executor.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -9,7 +9,7 @@ from demandcast.plans.features import feature_frame, feature_names
 from demandcast.plans.model import (best_iteration, feature_importances, fit_forecaster,
                                     gbt_settings, model_parameters, predict)
 from demandcast.plans.search import draw_trials, random_search
-from demandcast.session import shared_path
+from demandcast.session import checkpointed, shared_path
 from demandcast.sources.sinks import RunLog, load_model, save_model
 
 
@@ -25,7 +25,7 @@ def made_frames(spark):
                 level = 20 + 10 * store + 5 * item + 0.05 * i + (15 if day.weekday() >= 5 else 0)
                 rows.append((day, store, item, int(level + rng.gauss(0, 2))))
     panel = spark.createDataFrame(rows, "date date, store int, item int, sales int")
-    ff = feature_frame(panel, alphas=(0.6, 0.85), trailing=True).checkpoint()
+    ff = checkpointed(feature_frame(panel, alphas=(0.6, 0.85), trailing=True))
     return tuple(ff.filter(F.col("Dataset") == t) for t in ("Train", "Validation", "Test"))
 
 
