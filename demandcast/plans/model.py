@@ -144,6 +144,14 @@ def best_iteration(history: list[float], patience: int) -> int:
     return best_i + 1
 
 
+def _at_most_one_partition_per_core(df: DataFrame) -> DataFrame:
+    """Boosting rescans its (cached) input with several jobs per round; more
+    partitions than cores only adds per-task overhead, so merge down to the
+    cluster's default parallelism (no shuffle)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(cores) if df.rdd.getNumPartitions() > cores else df
+
+
 def fit_forecaster(train: DataFrame, valid: DataFrame | None, features,
                    label: str = "sales", params: dict | None = None,
                    max_iter: int = 50, patience: int = 50, seed: int = 42,
@@ -157,6 +165,7 @@ def fit_forecaster(train: DataFrame, valid: DataFrame | None, features,
     every round scans them.
     """
     ensure_checkpoint_dir(train.sparkSession)
+    train = _at_most_one_partition_per_core(train)
     features = list(features)
     params = model_parameters(params)
     flagged = missing_flag_columns(train, features)
