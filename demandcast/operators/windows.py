@@ -24,7 +24,7 @@ ROLL_OPS = {"sum": "sum", "mean": "avg", "std": "stddev_samp"}
 # EWM weights below this share of the newest weight are dropped: far below
 # double precision, so the truncated sum equals the infinite one.
 EWM_TOLERANCE = 1e-18
-# Longest EWM frame evaluated as window lags; beyond, a grouped map is used.
+# Longest EWM frame evaluated as sliding window sums; beyond, a grouped map is used.
 EWM_MAX_WINDOW_ROWS = 1024
 
 
@@ -251,8 +251,9 @@ def ewm_carry_columns(names, keys, date: str = "date",
 def add_ewm(df: DataFrame, alphas=(0.6, 0.85), keys=("store", "item"),
             target: str = "sales", suffix: str = "ewm", date: str = "date",
             within: str | None = None, method: str = "auto") -> DataFrame:
-    """W6. ``method``: "window" (lags), "pandas" (one grouped map per frame,
-    sorted by date inside), or "auto" (window unless K > 1024 rows)."""
+    """W6. ``method``: "window" (sliding window sums, steps 1-4 above), "pandas"
+    (one grouped map per series, sorted by date inside), or "auto" (window
+    unless K > 1024 rows)."""
     if method == "auto":
         method = ("window" if max(ewm_window_rows(a) for a in alphas) <= EWM_MAX_WINDOW_ROWS
                   else "pandas")
