@@ -12,18 +12,18 @@ CALENDAR_COLUMNS = ("month", "day", "year", "week_of_year", "day_of_week",
 
 def calendar_columns(date: str = "date") -> list[Column]:
     """month, day, year, ISO week, weekday (Monday = 0) and three 0/1 flags."""
-    d = F.col(date)
-    weekday = F.weekday(d)  # Monday = 0 ... Sunday = 6
-    return [
-        F.month(d).alias("month"),
-        F.dayofmonth(d).alias("day"),
-        F.year(d).alias("year"),
-        F.weekofyear(d).alias("week_of_year"),
-        weekday.alias("day_of_week"),
-        (weekday >= 5).cast("int").alias("is_weekend"),
-        (F.dayofmonth(d) == 1).cast("int").alias("is_month_start"),
-        (F.last_day(d) == d).cast("int").alias("is_month_end"),
-    ]
+    d = "`" + date.replace("`", "``") + "`"
+    exprs = {
+        "month": f"month({d})",
+        "day": f"dayofmonth({d})",
+        "year": f"year({d})",
+        "week_of_year": f"weekofyear({d})",
+        "day_of_week": f"weekday({d})",  # Monday = 0 ... Sunday = 6
+        "is_weekend": f"CAST(weekday({d}) >= 5 AS INT)",
+        "is_month_start": f"CAST(dayofmonth({d}) = 1 AS INT)",
+        "is_month_end": f"CAST(last_day({d}) = {d} AS INT)",
+    }
+    return [F.expr(e).alias(name) for name, e in exprs.items()]
 
 
 def add_calendar(df: DataFrame, date: str = "date") -> DataFrame:

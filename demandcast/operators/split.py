@@ -13,7 +13,7 @@ series at most one row per calendar day.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TRAIN, TEST, VALIDATION = "Train", "Test", "Validation"
@@ -35,14 +35,16 @@ def split_tag_column(keys, ratio: float, date: str = "date",
     sort of the features computed per set.
     """
     ratio = _check_ratio(ratio)
-    part = list(keys) if within is None else [*keys, within]
-    ordered = Window.partitionBy(*part).orderBy(F.col(date).asc_nulls_last())
-    whole = Window.partitionBy(*part)
-    rn = F.row_number().over(ordered)
-    n = F.count(F.lit(1)).over(whole)
-    k = F.floor(n.cast("double") * F.lit(ratio)) + 1
-    cutoff = F.max(F.when(rn == k, F.col(date))).over(whole)
-    return F.when(F.col(date) > cutoff, F.lit(names[1])).otherwise(F.lit(names[0]))
+    part = ", ".join("`" + c.replace("`", "``") + "`"
+                     for c in (list(keys) if within is None else [*keys, within]))
+    d = "`" + date.replace("`", "``") + "`"
+    whole = f"OVER (PARTITION BY {part})"
+    ordered = f"OVER (PARTITION BY {part} ORDER BY {d} ASC NULLS LAST)"
+    # the date at 0-based position floor(n * ratio) of the series
+    cutoff = (f"max(CASE WHEN row_number() {ordered} = "
+              f"floor(CAST(count(1) {whole} AS DOUBLE) * {ratio!r}D) + 1 "
+              f"THEN {d} END) {whole}")
+    return F.expr(f"CASE WHEN {d} > {cutoff} THEN '{names[1]}' ELSE '{names[0]}' END")
 
 
 def split_by_time(df: DataFrame, keys=("store", "item"), ratio: float = 0.8,
