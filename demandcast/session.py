@@ -65,9 +65,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     setting raises: a machine-local folder would not survive a lost executor.
     """
     sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
+    current = sc.getCheckpointDir()
+    if current:
+        return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or \
         sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
