@@ -226,10 +226,10 @@ def _round_metrics(src: str, by: str) -> str:
 def _split_counts_cte() -> str:
     return f"""counts AS (
   SELECT store, item,
-         count_if(Dataset = 'Train') AS train_rows,
-         count_if(Dataset = 'Test') AS test_rows,
-         100.0::DOUBLE * count_if(Dataset = 'Train') / count(*) AS train_pct,
-         100.0::DOUBLE * count_if(Dataset = 'Test') / count(*) AS test_pct
+         CAST(count_if(Dataset = 'Train') AS BIGINT) AS train_rows,
+         CAST(count_if(Dataset = 'Test') AS BIGINT) AS test_rows,
+         100.0::DOUBLE * CAST(count_if(Dataset = 'Train') AS BIGINT) / count(*) AS train_pct,
+         100.0::DOUBLE * CAST(count_if(Dataset = 'Test') AS BIGINT) / count(*) AS test_pct
   FROM tagged GROUP BY store, item)"""
 
 
@@ -251,7 +251,7 @@ def _split_valid_sql() -> str:
           f"AND test_pct > {te} - 0.3::DOUBLE AND test_pct < {te} + 0.3::DOUBLE)")
     return (_with(PANEL_CTE, TAGGED_CTE, _split_counts_cte())
             + f"\nSELECT COALESCE(bool_and({ok}), true) AS split_valid, "
-              f"count(*) AS series, count_if(NOT {ok}) AS bad_series FROM counts")
+              f"count(*) AS series, CAST(count_if(NOT {ok}) AS BIGINT) AS bad_series FROM counts")
 
 
 def _compare_sql() -> str:
@@ -268,11 +268,11 @@ def _compare_sql() -> str:
         mism = f"(({x}) IS DISTINCT FROM ({y}) AND ({x} IS NULL OR {y} IS NULL OR abs({x} - {y}) > 0.001))"
         parts.append(
             f"SELECT '{c}' AS column_name,\n"
-            f"  count_if(_in_x) AS rows_left, count_if(_in_y) AS rows_right,\n"
-            f"  count_if(_in_x AND _in_y) AS rows_joined,\n"
-            f"  count_if(_in_x AND _in_y IS NULL) AS left_only,\n"
-            f"  count_if(_in_y AND _in_x IS NULL) AS right_only,\n"
-            f"  count_if(_in_x AND _in_y AND {mism}) AS mismatches\n"
+            f"  CAST(count_if(_in_x) AS BIGINT) AS rows_left, CAST(count_if(_in_y) AS BIGINT) AS rows_right,\n"
+            f"  CAST(count_if(_in_x AND _in_y) AS BIGINT) AS rows_joined,\n"
+            f"  CAST(count_if(_in_x AND _in_y IS NULL) AS BIGINT) AS left_only,\n"
+            f"  CAST(count_if(_in_y AND _in_x IS NULL) AS BIGINT) AS right_only,\n"
+            f"  CAST(count_if(_in_x AND _in_y AND {mism}) AS BIGINT) AS mismatches\n"
             f"FROM lft l FULL OUTER JOIN rgt r USING (date, store, item)")
     return _with(PANEL_CTE, TAGGED_CTE, left, right) + "\n" + "\nUNION ALL\n".join(parts)
 
