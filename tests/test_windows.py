@@ -187,3 +187,32 @@ def test_feature_frame_invariant_to_shuffle_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert a == b and len(a) == 5858
+
+
+def _spark_xxhash64(values, seed=42):
+    """Spark's ``xxhash64`` over int-like columns, brute force: XXH64 of each
+    4-byte little-endian value, each column seeded with the previous hash."""
+    import struct
+
+    import xxhash
+    h = seed
+    for v in values:
+        h = xxhash.xxh64_intdigest(struct.pack("<i", v), seed=h & 0xFFFFFFFFFFFFFFFF)
+        h = h - (1 << 64) if h >= (1 << 63) else h
+    return h
+
+
+def test_noise_matches_brute_force(spark):
+    rows = daily("2020-01-01", 12, store=3, item=2)
+    out = W.add_lags(panel_df(spark, rows), lags=(1,), noise_scale=1.6, seed=42)
+    got = {r["date"]: r["sales_lag_1"] for r in out.collect()}
+    epoch = dt.date(1970, 1, 1)
+    for i, (day, store, item, _) in enumerate(rows):
+        if i == 0:
+            assert got[day] is None
+            continue
+        days = (day - epoch).days
+        u = [((_spark_xxhash64([store, item, days, 42, s]) % (1 << 53)) + 0.5) / float(1 << 53)
+             for s in (2, 3)]  # streams 2k, 2k+1 for lag k = 1
+        z = math.sqrt(-2.0 * math.log(u[0])) * math.cos(2.0 * math.pi * u[1])
+        assert got[day] == pytest.approx(rows[i - 1][3] + 1.6 * z, rel=1e-12)
