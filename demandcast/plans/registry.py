@@ -195,6 +195,15 @@ def q_compare_columns(spark, sf_dir):
     return compare_columns(by_range, by_rows, ["date", "store", "item"], cols)
 
 
+def q_compare_ewm_methods(spark, sf_dir):
+    """J1/A10 the reference's way: two implementations of one feature, compared."""
+    t = tagged(spark, sf_dir)
+    window = W.add_ewm(t, within="Dataset", method="window")
+    grouped = W.add_ewm(t, within="Dataset", method="pandas")
+    cols = [W.ewm_name("sales", "ewm", a) for a in (0.6, 0.85)]
+    return compare_columns(window, grouped, ["date", "store", "item"], cols, tol=1e-9)
+
+
 # ------------------------------------------------------------------ metrics --
 
 def _scored(spark, sf_dir):
@@ -347,6 +356,7 @@ SQL_CHECKED = {
     "feature_frame_weather": q_feature_frame_weather,
     "feature_projection": q_feature_projection,
     "compare_columns": q_compare_columns,
+    "compare_ewm_methods": q_compare_ewm_methods,
     "store_metrics": q_store_metrics,
     "overall_metrics": q_overall_metrics,
     "metric_means": q_metric_means,
