@@ -52,10 +52,10 @@ def split_matrix(counts: DataFrame, stores: list[int] | None = None,
     if len(stores) > MAX_PIVOT_VALUES:
         raise ValueError(f"{len(stores)} stores: use split_counts (long form)")
     wide = (counts.groupBy(row_key).pivot(col_key, stores)
-                  .agg(F.first("train_rows").alias("TR"),
-                       F.first("test_rows").alias("TST"),
-                       F.first("train_pct").alias("PTR"),
-                       F.first("test_pct").alias("PTST")))
+                  .agg(F.max("train_rows").alias("TR"),
+                       F.max("test_rows").alias("TST"),
+                       F.max("train_pct").alias("PTR"),
+                       F.max("test_pct").alias("PTST")))
     cols = [F.col(row_key).alias("Item")]
     for s in stores:
         cols += [F.coalesce(F.col(f"{s}_TR"), F.lit(0)).cast("bigint").alias(f"Store{s}_TR"),
