@@ -48,7 +48,9 @@ def split_matrix(counts: DataFrame, stores: list[int] | None = None,
     list: one value per store). Absent pairs get 0 rows and null shares.
     """
     if stores is None:
-        stores = [r[0] for r in series_keys(counts, col_key).collect()]
+        # at most MAX_PIVOT_VALUES + 1 ids ever reach the driver
+        stores = [r[0] for r in
+                  series_keys(counts, col_key).limit(MAX_PIVOT_VALUES + 1).collect()]
     if len(stores) > MAX_PIVOT_VALUES:
         raise ValueError(f"{len(stores)} stores: use split_counts (long form)")
     wide = (counts.groupBy(row_key).pivot(col_key, stores)
