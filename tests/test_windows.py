@@ -216,3 +216,20 @@ def test_noise_matches_brute_force(spark):
              for s in (2, 3)]  # streams 2k, 2k+1 for lag k = 1
         z = math.sqrt(-2.0 * math.log(u[0])) * math.cos(2.0 * math.pi * u[1])
         assert got[day] == pytest.approx(rows[i - 1][3] + 1.6 * z, rel=1e-12)
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.floats(0, 1e9, allow_nan=False)), min_size=1,
+                max_size=120),
+       st.sampled_from([0.02, 0.5, 0.999]))
+def test_ewm_large_values_and_extreme_alpha(spark, vals, alpha):
+    rows = daily("2020-01-01", len(vals), values=vals)
+    df = spark.createDataFrame(rows, "date date, store int, item int, sales double")
+    name = W.ewm_name("sales", "ewm", alpha)
+    got = series(W.add_ewm(df, alphas=(alpha,)), name)
+    exp = pd.Series(vals, dtype="float64").ewm(alpha=alpha).mean().tolist()
+    for g, e in zip(got, exp):
+        if math.isnan(e):
+            assert g is None
+        else:
+            assert g == pytest.approx(e, rel=1e-9, abs=1e-6)
