@@ -31,7 +31,6 @@ from demandcast.sources.sinks import (RunLog, check_signature, load_model, load_
                                       save_model, save_table)
 
 PANEL = ["date", "store", "item", "sales"]
-TAGGED = PANEL + ["Dataset"]
 RATIO = 0.8
 DIGITS = 6
 
