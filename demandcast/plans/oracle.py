@@ -322,6 +322,7 @@ def oracle_sql() -> dict[str, str]:
         "feature_frame": _feature_frame_sql(),
         "feature_frame_series": _feature_frame_sql("series"),
         "feature_frame_weather": _feature_frame_sql(weather=True),
+        "feature_frame_bucketed": _feature_frame_sql(),
         "feature_projection": metrics_base
         + f"\nSELECT {FEATURES_26}, sales FROM nested WHERE Dataset = 'Train'",
         "compare_columns": _compare_sql(),

@@ -179,6 +179,14 @@ def q_feature_frame_weather(spark, sf_dir):
                                  weather=derived_weather(spark, sf_dir)))
 
 
+def q_feature_frame_bucketed(spark, sf_dir):
+    """The feature frame over the panel stored bucketed by series: no shuffle."""
+    name = f"demandcast_bucketed_{RunLog.new_run_id()[:8]}"
+    save_table(panel(spark, sf_dir), name, path=shared_path(spark, f"tables/{name}"),
+               bucket_by=KEYS, buckets=spark.sparkContext.defaultParallelism)
+    return rounded(feature_frame(read_sales(spark, name)))
+
+
 def q_feature_projection(spark, sf_dir):
     ff = feature_frame(panel(spark, sf_dir))
     train = ff.filter(F.col("Dataset") == TRAIN).drop("Dataset")
@@ -353,6 +361,7 @@ SQL_CHECKED = {
     "feature_frame": q_feature_frame,
     "feature_frame_series": q_feature_frame_series,
     "feature_frame_weather": q_feature_frame_weather,
+    "feature_frame_bucketed": q_feature_frame_bucketed,
     "feature_projection": q_feature_projection,
     "compare_columns": q_compare_columns,
     "compare_ewm_methods": q_compare_ewm_methods,

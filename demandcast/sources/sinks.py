@@ -39,16 +39,25 @@ def as_spark(df, spark: SparkSession | None = None) -> DataFrame:
 
 
 def save_table(df, name: str, fmt: str = "parquet", mode: str = "overwrite",
-               partition_by=None, path: str | None = None) -> None:
+               partition_by=None, path: str | None = None, bucket_by=None,
+               buckets: int | None = None, sort_by=None) -> None:
     """``saveAsTable`` (the reference used Delta; the format is a parameter).
 
     ``path`` makes it an external table at that location; ``partition_by``
-    (e.g. ``"store"``) lets later reads prune partitions.
+    (e.g. ``"store"``) lets later reads prune partitions. ``bucket_by=("store",
+    "item")`` with ``buckets`` stores the panel hash-partitioned by series, so a
+    feature frame read from it needs no shuffle at all (the bucketed scan
+    already provides the series partitioning); ``sort_by`` adds ``date``
+    order inside each bucket.
     """
+    as_list = lambda v: [v] if isinstance(v, str) else list(v)
     writer = as_spark(df).write.format(fmt).mode(mode)
     if partition_by:
-        writer = writer.partitionBy(*([partition_by] if isinstance(partition_by, str)
-                                      else partition_by))
+        writer = writer.partitionBy(*as_list(partition_by))
+    if bucket_by:
+        writer = writer.bucketBy(int(buckets or 200), *as_list(bucket_by))
+        if sort_by:
+            writer = writer.sortBy(*as_list(sort_by))
     if path:
         writer = writer.option("path", path)
     writer.saveAsTable(name)

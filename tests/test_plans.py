@@ -115,3 +115,20 @@ def test_weather_lookup_is_broadcast_not_shuffled(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+
+
+def test_feature_frame_on_bucketed_panel_needs_no_shuffle(spark):
+    from demandcast.session import shared_path
+    from demandcast.sources.panel import read_sales
+    from demandcast.sources.sinks import RunLog, save_table
+    name = f"bucketed_{RunLog.new_run_id()[:8]}"
+    save_table(lineitem_panel(spark, SF_SMOKE), name, path=shared_path(spark, f"tables/{name}"),
+               bucket_by=("store", "item"), buckets=4)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        ff = feature_frame(read_sales(spark, name))
+        text = plan_text(ff)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert count(text, "Exchange hashpartitioning") == 0
+    assert ff.count() == 5858
