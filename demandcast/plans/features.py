@@ -19,6 +19,7 @@ from demandcast.functions.calendar import CALENDAR_COLUMNS, calendar_columns
 from demandcast.operators import windows as W
 from demandcast.operators.lookups import add_holiday_flag, add_weather
 from demandcast.operators.split import split_by_time, split_nested
+from demandcast.sources.panel import parse_dates
 
 KEYS = ("store", "item")
 LAGS = (1, 3, 5, 7)
@@ -41,6 +42,20 @@ def feature_names(target: str = "sales", keys=KEYS, lags=LAGS,
     return names
 
 
+def date_features(df: DataFrame, holidays: DataFrame | None = None,
+                  weather: DataFrame | None = None, date: str = "date") -> DataFrame:
+    """The reference's date-feature step in one call: parse ``date`` (F1), add
+    the calendar block (F3-F8), the holiday flag (J4) and, given a weather
+    table, its daily values (J5). Projections and broadcast joins only."""
+    df = parse_dates(df, date)
+    df = add_holiday_flag(df, holidays, date=date)
+    if weather is not None:
+        df = add_weather(df, weather, date=date)
+    extra = ["public_holiday"] + (["tmin", "tmax", "tavg"] if weather is not None else [])
+    return df.select(*[c for c in df.columns if c not in extra],
+                     *calendar_columns(date), *extra)
+
+
 def feature_frame(panel: DataFrame, ratio: float = 0.8, inner_ratio: float | None = 0.8,
                   holidays: DataFrame | None = None, weather: DataFrame | None = None,
                   target: str = "sales", keys=KEYS, lags=LAGS, windows=ROLL_WINDOWS,

@@ -83,3 +83,12 @@ def test_extra_holiday_rows_are_added(spark):
     names = {r["name"] for r in cal.filter(F.col("date") == dt.date(2015, 10, 2)).collect()}
     assert names == {"Grand Final Friday"}
     assert cal.count() == len(victoria_holidays(range(2015, 2016))) + 1
+
+
+def test_date_features_from_text_dates(spark):
+    from demandcast.plans.features import date_features
+    raw = spark.createDataFrame([("11-02-1999", 1, 1, 5), ("11-03-1999", 1, 1, 6)],
+                                "date string, store int, item int, sales int")
+    out = {str(r["date"]): r for r in date_features(raw).collect()}
+    assert out["1999-11-02"]["public_holiday"] == 1 and out["1999-11-02"]["day_of_week"] == 1
+    assert out["1999-11-03"]["public_holiday"] == 0 and out["1999-11-03"]["month"] == 11
