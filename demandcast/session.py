@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 # Settings every session created here gets. On a cluster, pass a configured
@@ -32,18 +33,23 @@ def get_session(master: str | None = None, app: str = "demandcast",
                 extra: dict | None = None) -> SparkSession:
     """Return the active session or build one with ``DEFAULT_CONF``.
 
-    ``master`` defaults to ``local[$BENCH_CPUS]`` (or ``local[*]``) only when
-    no session is active; an active session is returned untouched apart from
-    the checkpoint directory (see :func:`ensure_checkpoint_dir`).
+    Without ``master``, a master set by ``spark-submit`` (or any Spark conf)
+    is kept; only when none is configured is the session local
+    (``local[$BENCH_CPUS]`` or ``local[*]``). An active session is returned
+    untouched apart from the checkpoint directory (see
+    :func:`ensure_checkpoint_dir`).
     """
     active = SparkSession.getActiveSession()
     if active is not None:
         ensure_checkpoint_dir(active)
         return active
-    if master is None:
+    if master is None and not SparkConf().contains("spark.master"):
+        # no spark-submit / cluster master configured: a local session
         cpus = os.environ.get("BENCH_CPUS")
         master = f"local[{cpus}]" if cpus else "local[*]"
-    builder = SparkSession.builder.master(master).appName(app)
+    builder = SparkSession.builder.appName(app)
+    if master is not None:
+        builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
