@@ -99,7 +99,7 @@ def holiday_calendar(spark: SparkSession, years=DEFAULT_YEARS, rules=VIC_RULES,
             entries.append(f"named_struct('date', CASE WHEN {ok} THEN {sub} END, "
                            f"'name', {_sql_string(name + ' (Observed)')})")
     # One partition: a few thousand rows, so de-duplicating needs no shuffle.
-    key = (id(spark), tuple(years), rules)
+    key = (spark.sparkContext.applicationId, tuple(years), rules)
     if extra is None and key in _CALENDARS:
         return _CALENDARS[key]
     cal = (spark.range(years[0], years[1] + 1, 1, numPartitions=1)
