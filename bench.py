@@ -82,6 +82,8 @@ def main() -> None:
     q["b2_feature_frame_bucketed"] = timed(lambda: force(feature_frame(read_sales(spark, table))))
     q["b3_ewm_window"] = timed(lambda: force(W.add_ewm(split_by_time(panel()),
                                                        within="Dataset", method="window")))
+    q["b3_ewm_blocks"] = timed(lambda: force(W.add_ewm(split_by_time(panel()),
+                                                       within="Dataset", method="blocks")))
     q["b3_ewm_grouped_map"] = timed(lambda: force(W.add_ewm(split_by_time(panel()),
                                                             within="Dataset", method="pandas")))
 

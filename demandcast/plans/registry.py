@@ -160,6 +160,10 @@ def q_ewm_grouped_map(spark, sf_dir):
     return rounded(W.add_ewm(tagged(spark, sf_dir), within="Dataset", method="pandas"))
 
 
+def q_ewm_blocks(spark, sf_dir):
+    return rounded(W.add_ewm(tagged(spark, sf_dir), within="Dataset", method="blocks"))
+
+
 def q_lag_noise(spark, sf_dir):
     return W.add_lags(tagged(spark, sf_dir), within="Dataset", noise_scale=1.6)
 
@@ -358,6 +362,7 @@ SQL_CHECKED = {
     "rolling_trailing": q_rolling_trailing,
     "ewm_features": q_ewm_features,
     "ewm_grouped_map": q_ewm_grouped_map,
+    "ewm_blocks": q_ewm_blocks,
     "feature_frame": q_feature_frame,
     "feature_frame_series": q_feature_frame_series,
     "feature_frame_weather": q_feature_frame_weather,

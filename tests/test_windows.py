@@ -233,3 +233,20 @@ def test_ewm_large_values_and_extreme_alpha(spark, vals, alpha):
             assert g is None
         else:
             assert g == pytest.approx(e, rel=1e-9, abs=1e-6)
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.integers(0, 10**6)), min_size=1, max_size=150),
+       st.lists(st.sampled_from([0.05, 0.3, 0.6, 0.85, 0.999, 1.0]), min_size=1, max_size=3,
+                unique=True))
+def test_ewm_blocks_match_pandas(spark, vals, alphas):
+    df = panel_df(spark, daily("2020-01-01", len(vals), values=vals))
+    out = W.add_ewm(df, alphas=tuple(alphas), method="blocks")
+    for a in alphas:
+        got = series(out, W.ewm_name("sales", "ewm", a))
+        exp = pd.Series(vals, dtype="float64").ewm(alpha=a).mean().tolist()
+        for g, e in zip(got, exp):
+            if math.isnan(e):
+                assert g is None
+            else:
+                assert g == pytest.approx(e, rel=1e-9, abs=1e-9)
