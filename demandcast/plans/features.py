@@ -62,12 +62,14 @@ def feature_frame(panel: DataFrame, ratio: float = 0.8, inner_ratio: float | Non
                   ops=ROLL_OPS, alphas=ALPHAS, feature_scope: str = "split",
                   frame: str = "range", trailing: bool = False,
                   noise_scale: float = 0.0, seed: int = 42,
-                  tag: str = "Dataset") -> DataFrame:
+                  tag: str = "Dataset", ewm_method: str = "window") -> DataFrame:
     """The labelled feature frame: one row per (store, item, date).
 
     ``feature_scope="split"`` (the reference, D6) computes windows inside each
     split set, so test lags start null; ``"series"`` uses the whole series.
-    ``inner_ratio=None`` skips the validation split.
+    ``inner_ratio=None`` skips the validation split. ``ewm_method="blocks"``
+    computes the EWM with O(1) window work per row at the price of two more
+    local sorts (see ``operators.windows.ewm_blocks``).
     """
     if feature_scope not in ("split", "series"):
         raise ValueError("feature_scope must be 'split' or 'series'")
@@ -83,13 +85,18 @@ def feature_frame(panel: DataFrame, ratio: float = 0.8, inner_ratio: float | Non
                       noise_scale=noise_scale, seed=seed)
         + W.rolling_columns(windows, keys, target, "roll", ops, within=within,
                             frame=frame, trailing=trailing)
-        + [W.ewm_rank_column(keys, within=within)])
+        + ([W.ewm_rank_column(keys, within=within)] if ewm_method == "window" else []))
     df = df.select(*[c for c in df.columns if c not in extra_cols], *window_cols)
-    df = df.select("*", *W.ewm_sum_columns(alphas, keys, target, within=within))
-    df = df.select(*W.drop_ewm_temps(df), *W.ewm_mean_columns(alphas, target, "ewm"))
-    ewm_cols = [W.ewm_name(target, "ewm", a) for a in alphas]
-    df = df.select(*[c for c in df.columns if c not in ewm_cols],
-                   *W.ewm_carry_columns(ewm_cols, keys, within=within))
+    if ewm_method == "window":
+        df = df.select("*", *W.ewm_sum_columns(alphas, keys, target, within=within))
+        df = df.select(*W.drop_ewm_temps(df), *W.ewm_mean_columns(alphas, target, "ewm"))
+        ewm_cols = [W.ewm_name(target, "ewm", a) for a in alphas]
+        df = df.select(*[c for c in df.columns if c not in ewm_cols],
+                       *W.ewm_carry_columns(ewm_cols, keys, within=within))
+    elif ewm_method == "blocks":
+        df = W.ewm_blocks(df, alphas, keys, target, "ewm", within=within)
+    else:
+        raise ValueError("ewm_method must be 'window' or 'blocks'")
     if inner_ratio is not None:
         df = split_nested(df, keys, inner_ratio=inner_ratio, tag=tag)
     return df

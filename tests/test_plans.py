@@ -132,3 +132,18 @@ def test_feature_frame_on_bucketed_panel_needs_no_shuffle(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert count(text, "Exchange hashpartitioning") == 0
     assert ff.count() == 5858
+
+
+def test_feature_frame_ewm_methods_agree(spark):
+    panel = lineitem_panel(spark, SF_SMOKE)
+    a = feature_frame(panel)
+    b = feature_frame(panel, ewm_method="blocks")
+    assert a.columns == b.columns
+    key = ["store", "item", "date"]
+    j = a.select(*key, "sales_ewm_06", "sales_ewm_085", "Dataset").join(
+        b.select(*key, F.col("sales_ewm_06").alias("b06"), F.col("sales_ewm_085").alias("b085"),
+                 F.col("Dataset").alias("bset")), key)
+    assert j.count() == 5858
+    assert j.filter((F.abs(F.col("sales_ewm_06") - F.col("b06")) > 1e-9)
+                    | (F.abs(F.col("sales_ewm_085") - F.col("b085")) > 1e-9)
+                    | (F.col("Dataset") != F.col("bset"))).count() == 0
