@@ -1,7 +1,6 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
-
 from demandcast.session import shared_path
 from demandcast.sources.sinks import RunLog, as_spark, save_table
 
