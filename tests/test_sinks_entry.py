@@ -49,3 +49,42 @@ def test_read_sales_csv_text_dates_and_dedupe(spark, tmp_path):
     assert dict(df.dtypes) == {"date": "date", "store": "int", "item": "int", "sales": "int"}
     with pytest.raises(ValueError):
         check_signature(df.drop("item"), df.schema)
+
+
+def test_cluster_session_without_checkpoint_dir_is_refused():
+    import pytest
+
+    from demandcast.session import ensure_checkpoint_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "yarn"
+        set_to = None
+
+        def getCheckpointDir(self):  # noqa: N802 - PySpark's name
+            return None
+
+        def getConf(self):  # noqa: N802
+            return Conf()
+
+        def setCheckpointDir(self, d):  # noqa: N802
+            self.set_to = d
+
+    class Session:
+        sparkContext = Context()
+        conf = Conf()
+
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(Session())
+    assert Session.sparkContext.set_to is None  # no machine-local folder was chosen
+
+    class SharedConf(Conf):
+        def get(self, key, default=None):
+            return "hdfs:///shared/ckpt" if key == "spark.checkpoint.dir" else default
+
+    Session.conf = SharedConf()
+    assert ensure_checkpoint_dir(Session()) == "hdfs:///shared/ckpt"
+    assert Session.sparkContext.set_to == "hdfs:///shared/ckpt"
