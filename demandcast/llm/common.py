@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from demandcast.session import checkpointed, ensure_checkpoint_dir  # noqa: F401
 
@@ -37,3 +38,8 @@ def row_key(*names: str) -> Column:
 def partitions(spark: SparkSession) -> int:
     """The session's shuffle partition count."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def with_fields(fields: list[T.StructField], ddl: str) -> T.StructType:
+    """The given fields followed by those of a DDL text."""
+    return T.StructType([*fields, *T.StructType.fromDDL(ddl).fields])

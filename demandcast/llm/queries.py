@@ -9,12 +9,33 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from demandcast.llm.common import table
+from demandcast.llm.fingerprint import fingerprints, hex_text
+from demandcast.llm.language import fit_languages, held_out, label_languages, learnable
 from demandcast.llm.mixing import curriculum_mix
+from demandcast.llm.quality import fit_quality, score_quality
+from demandcast.llm.secret_scan import BASE, scan_secrets, span_text
 from demandcast.llm.sharding import assign_shards
 from demandcast.llm.simhash import near_copies
 from demandcast.llm.tokens import count_tokens
 
 
+def op1_secret_scans(spark, sf_dir):
+    found = scan_secrets(table(spark, sf_dir, "documents"), F.col("doc_id"))
+
+    def of(*kinds):
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    return found.select(
+        "doc_id", *[F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in BASE],
+        F.sha2(span_text(of(*BASE)), 256).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"))
+
+
+def op2_document_fingerprints(spark, sf_dir):
+    return fingerprints(table(spark, sf_dir, "documents")) \
+        .withColumns({c: hex_text(F.col(c)) for c in ("fingerprint", "edited_fingerprint")})
+
+
 def op3_simhash_near_dedup(spark, sf_dir):
     return near_copies(table(spark, sf_dir, "documents"), shingle=3, distance=3)
 
@@ -35,11 +56,29 @@ def op8_token_counts(spark, sf_dir):
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = fit_languages(learnable(docs, 4, 2))
+    return label_languages(docs, model, F.col("doc_id"), held_out(4, 2).alias("held_out")) \
+        .withColumn("n_spans", F.size("spans")).drop("spans")
+
+
+def op10_quality_classifier(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    positives = learnable(labels.filter("quality = 1"), 3, 1)
+    model = fit_quality(learnable(docs, 3, 1), positives)
+    return score_quality(docs, model, F.col("doc_id"), held_out(3, 1).alias("held_out"))
+
+
 QUERIES = {
+    "op1_secret_scans": op1_secret_scans,
+    "op2_document_fingerprints": op2_document_fingerprints,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op6_sharding": op6_sharding,
     "op7_mixing": op7_mixing,
     "op8_token_counts": op8_token_counts,
+    "op9_language_id": op9_language_id,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {}

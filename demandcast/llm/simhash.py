@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandcast.llm.common import checkpointed, row_key, text_or_empty
+from demandcast.llm.common import checkpointed, row_key, text_or_empty, with_fields
 
 BITS = 64
 SEED = 42
@@ -67,8 +67,7 @@ def fingerprints(docs: DataFrame, *keep: Column, shingle: int = 3) -> DataFrame:
                 [*(batch.column(n) for n in names), pa.array(values.view(np.int64))],
                 names=[*names, "fingerprint"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
-    return rows.mapInArrow(run, f"{schema}, fingerprint long")
+    return rows.mapInArrow(run, with_fields(rows.schema.fields[:-1], "fingerprint long"))
 
 
 def variants(nodes: DataFrame, distance: int = 3) -> DataFrame:
