@@ -43,3 +43,28 @@ def partitions(spark: SparkSession) -> int:
 def with_fields(fields: list[T.StructField], ddl: str) -> T.StructType:
     """The given fields followed by those of a DDL text."""
     return T.StructType([*fields, *T.StructType.fromDDL(ddl).fields])
+
+
+def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def span_text(spans: Column) -> Column:
+    """``kind:start:end`` of every span, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+        ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def redacted(text: Column, spans: Column) -> Column:
+    """The text with every span replaced by ``[kind]`` (overlaps count once)."""
+    step = F.aggregate(
+        spans, F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
+        lambda acc, s: F.when(
+            s["start"] >= acc["at"],
+            F.struct(F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1,
+                                                      (s["start"] - acc["at"]).cast("int")),
+                              F.lit("["), s["kind"], F.lit("]")).alias("out"),
+                     s["end"].alias("at")))
+        .otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))))
+    return F.concat(step["out"], F.substring(text, step["at"].cast("int") + 1, 2**31 - 1))

@@ -8,29 +8,38 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from demandcast.llm.common import table
+from demandcast.llm.common import span_text, table
+from demandcast.llm.decontaminate import find_contaminated
 from demandcast.llm.fingerprint import fingerprints, hex_text
 from demandcast.llm.language import fit_languages, held_out, label_languages, learnable
 from demandcast.llm.mixing import curriculum_mix
 from demandcast.llm.quality import fit_quality, score_quality
-from demandcast.llm.secret_scan import BASE, scan_secrets, span_text
+from demandcast.llm.privacy import BASE as PERSONAL
+from demandcast.llm.privacy import personal_spans
+from demandcast.llm.secret_scan import BASE as SECRETS
+from demandcast.llm.secret_scan import scan_secrets
 from demandcast.llm.sharding import assign_shards
 from demandcast.llm.simhash import near_copies
 from demandcast.llm.tokens import count_tokens
 
 
-def op1_secret_scans(spark, sf_dir):
-    found = scan_secrets(table(spark, sf_dir, "documents"), F.col("doc_id"))
-
+def _digest(found, base):
+    """Counts and digests of ``spans``, base kinds apart from the method's own."""
     def of(*kinds):
         return F.filter("spans", lambda s: s["kind"].isin(*kinds))
 
     return found.select(
-        "doc_id", *[F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in BASE],
-        F.sha2(span_text(of(*BASE)), 256).alias("base_sha256"),
+        "doc_id", *[F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in base],
+        F.sha2(span_text(of(*base)), 256).alias("base_sha256"),
         span_text(F.col("spans")).alias("spans"))
 
 
+def op1_secret_scans(spark, sf_dir):
+    found = scan_secrets(table(spark, sf_dir, "documents"), F.col("doc_id"))
+
+    return _digest(found, SECRETS)
+
+
 def op2_document_fingerprints(spark, sf_dir):
     return fingerprints(table(spark, sf_dir, "documents")) \
         .withColumns({c: hex_text(F.col(c)) for c in ("fingerprint", "edited_fingerprint")})
@@ -40,6 +49,14 @@ def op3_simhash_near_dedup(spark, sf_dir):
     return near_copies(table(spark, sf_dir, "documents"), shingle=3, distance=3)
 
 
+def op4_pii(spark, sf_dir):
+    return _digest(personal_spans(table(spark, sf_dir, "documents")), PERSONAL)
+
+
+def op5_decontamination(spark, sf_dir):
+    return find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_sharding(spark, sf_dir):
     return assign_shards(table(spark, sf_dir, "documents"), shards=8)
 
@@ -74,6 +91,8 @@ QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_document_fingerprints": op2_document_fingerprints,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_pii": op4_pii,
+    "op5_decontamination": op5_decontamination,
     "op6_sharding": op6_sharding,
     "op7_mixing": op7_mixing,
     "op8_token_counts": op8_token_counts,
