@@ -102,7 +102,8 @@ def near_pairs(nodes: DataFrame, distance: int = 3) -> DataFrame:
     for low, high in reversed(list(zip(edges, edges[1:]))):
         part = F.shiftrightunsigned(differ, low).bitwiseAND(F.lit((1 << (high - low)) - 1)) \
             if high - low < BITS else differ
-        at = F.lit(low) + F.when(part == 0, F.lit(0)).otherwise(F.bit_count(part - 1))
+        at = F.lit(low) + F.when(part == 0, F.lit(0)).when(part < 0, F.lit(BITS - 1)) \
+            .otherwise(F.bit_count(part - 1))
         first = F.when(F.bit_count(part) <= 1, at).otherwise(first)
     return (a.join(b, (F.col("a.variant") == F.col("b.variant"))
                    & (F.col("a.masked") == F.col("b.masked"))
