@@ -8,7 +8,9 @@ not rules; pass them as ``extra`` rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Public holidays of Victoria, Australia.
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 #   kind "fixed": args (month, day)
 #   kind "nth_weekday": args (month, weekday with Monday = 0, n)
 #   kind "easter": args (days after Easter Sunday,)
+#   kind "on_or_after": args (month, day, weekday with Monday = 0), the first
+#   such weekday from that day on, but for the years of MOVED
 #   weekend rule "next_monday": if the day is a Saturday or Sunday, the next
 #   Monday is also a holiday; "plus_two": the day two days later is.
 VIC_RULES = (
@@ -28,17 +32,14 @@ VIC_RULES = (
     ("Easter Monday", "easter", (1,), None, None),
     ("Anzac Day", "fixed", (4, 25), None, None),
     ("Queen's Birthday", "nth_weekday", (6, 0, 2), None, None),
+    ("Grand Final Friday", "on_or_after", (9, 24, 4), None, 2015),
     ("Melbourne Cup", "nth_weekday", (11, 1, 1), None, None),
     ("Christmas Day", "fixed", (12, 25), "plus_two", None),
     ("Boxing Day", "fixed", (12, 26), "plus_two", None),
 )
 
-# Years generated by default: a constant bound, so the table has at most
-# len(VIC_RULES) * 2 * 201 rows whatever the data, and is safe to broadcast.
-DEFAULT_YEARS = (1900, 2100)
-
-# The calendar plan per session: it depends only on the rules and years.
-_CALENDARS: dict = {}
+# Years in which a day was proclaimed for another date.
+MOVED = {"Grand Final Friday": {2015: (10, 2), 2020: (10, 23), 2022: (9, 23)}}
 
 
 def easter_sql(y: str = "y") -> str:
@@ -55,7 +56,7 @@ def easter_sql(y: str = "y") -> str:
     return f"make_date({y}, CAST({t} div 31 AS INT), CAST({t} % 31 + 1 AS INT))"
 
 
-def _rule_date_sql(kind: str, args: tuple) -> str:
+def _rule_date_sql(kind: str, args: tuple, name: str = "") -> str:
     if kind == "fixed":
         return f"make_date(y, {int(args[0])}, {int(args[1])})"
     if kind == "nth_weekday":
@@ -64,6 +65,13 @@ def _rule_date_sql(kind: str, args: tuple) -> str:
         return f"date_add({first}, CAST(({weekday} - weekday({first}) + 7) % 7 + {7 * (n - 1)} AS INT))"
     if kind == "easter":
         return f"date_add(easter, {int(args[0])})"
+    if kind == "on_or_after":
+        month, day, weekday = (int(a) for a in args)
+        first = f"make_date(y, {month}, {day})"
+        rule = f"date_add({first}, CAST(({weekday} - weekday({first}) + 7) % 7 AS INT))"
+        moved = "".join(f" WHEN y = {y} THEN make_date(y, {m}, {d})"
+                        for y, (m, d) in MOVED.get(name, {}).items())
+        return f"CASE{moved} ELSE {rule} END" if moved else rule
     raise ValueError(f"unknown rule kind {kind!r}")
 
 
@@ -81,27 +89,50 @@ def _sql_string(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def holiday_calendar(spark: SparkSession, years=DEFAULT_YEARS, rules=VIC_RULES,
+def _entries(rules) -> list[tuple[str, str]]:
+    """(name, SQL text of the date in year ``y`` or null) of every rule."""
+    entries = []
+    for name, kind, args, weekend, since in rules:
+        day = _rule_date_sql(kind, args, name)
+        ok = "true" if since is None else f"y >= {int(since)}"
+        entries.append((name, f"CASE WHEN {ok} THEN {day} END"))
+        if weekend is not None:
+            sub = _weekend_substitute_sql(day, weekend)
+            entries.append((name + " (Observed)", f"CASE WHEN {ok} THEN {sub} END"))
+    return entries
+
+
+def holiday_names(date: str = "date", rules=VIC_RULES) -> Column:
+    """The names of the holidays that fall on a row's date (an array, maybe empty).
+
+    The rules are evaluated for the year of the date itself, so any year is
+    covered and no calendar is joined. Substitute days stay in their year.
+    """
+    column = "`" + date.replace("`", "``") + "`"
+    year = f"CAST(year({column}) AS INT)"
+    cases = []
+    for name, day in _entries(rules):
+        day = re.sub(r"\beaster\b", easter_sql("y"), day)
+        cases.append(f"CASE WHEN {re.sub(r'(?<![A-Za-z0-9_`])y(?![A-Za-z0-9_`])', year, day)} = {column} "
+                     f"THEN {_sql_string(name)} END")
+    return F.expr(f"array_compact(array({', '.join(cases)}))")
+
+
+def is_holiday(date: str = "date", rules=VIC_RULES) -> Column:
+    """Whether a row's date is a holiday (false for a null date)."""
+    return F.size(holiday_names(date, rules)) > 0
+
+
+def holiday_calendar(spark: SparkSession, years, rules=VIC_RULES,
                      extra: DataFrame | None = None) -> DataFrame:
     """(date DATE, name STRING) for every rule and year in ``years`` (inclusive).
 
     Built from ``spark.range`` with SQL expressions: no driver-side list.
     ``extra`` (date, name) rows are appended as given.
     """
-    entries = []
-    for name, kind, args, weekend, since in rules:
-        day = _rule_date_sql(kind, args)
-        ok = "true" if since is None else f"y >= {int(since)}"
-        entries.append(f"named_struct('date', CASE WHEN {ok} THEN {day} END, "
-                       f"'name', {_sql_string(name)})")
-        if weekend is not None:
-            sub = _weekend_substitute_sql(day, weekend)
-            entries.append(f"named_struct('date', CASE WHEN {ok} THEN {sub} END, "
-                           f"'name', {_sql_string(name + ' (Observed)')})")
+    entries = [f"named_struct('date', {day}, 'name', {_sql_string(name)})"
+               for name, day in _entries(rules)]
     # One partition: a few thousand rows, so de-duplicating needs no shuffle.
-    key = (spark.sparkContext.applicationId, tuple(years), rules)
-    if extra is None and key in _CALENDARS:
-        return _CALENDARS[key]
     cal = (spark.range(years[0], years[1] + 1, 1, numPartitions=1)
            .selectExpr("CAST(id AS INT) AS y")
            .selectExpr("y", f"{easter_sql('y')} AS easter")
@@ -111,11 +142,4 @@ def holiday_calendar(spark: SparkSession, years=DEFAULT_YEARS, rules=VIC_RULES,
     if extra is not None:
         return cal.unionByName(extra.select(F.col("date").cast("date"),
                                             F.col("name").cast("string")))
-    _CALENDARS[key] = cal
     return cal
-
-
-def holiday_bound(years=DEFAULT_YEARS, rules=VIC_RULES) -> int:
-    """Upper bound on the rows of :func:`holiday_calendar` without ``extra``."""
-    per_year = sum(2 if r[3] else 1 for r in rules)
-    return per_year * (years[1] - years[0] + 1)

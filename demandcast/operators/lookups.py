@@ -1,10 +1,10 @@
 """Per-date lookups as joins against small, size-checked dimension tables.
 
 The reference calls a Python function per row (one holiday-library lookup or
-one web request per row). Here both are left joins on ``date``. A side is
-broadcast only when its size is known to be bounded: the generated holiday
-calendar by construction, a caller's table after a row count. Beyond the
-limit the join stays a shuffle join, which is correct at any size.
+one web request per row). Here the holiday rules are a column expression on the
+date; weather, and holidays that a caller lists, are left joins on ``date``. A
+caller's table is broadcast after a row count; beyond the limit the join stays a
+shuffle join, which is correct at any size.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandcast.functions.holidays import holiday_bound, holiday_calendar
+from demandcast.functions.holidays import is_holiday
 
 # Rows a lookup side may have to be broadcast (a few tens of MB at most).
 MAX_BROADCAST_ROWS = 2_000_000
@@ -36,35 +36,38 @@ def holiday_dates(holidays: DataFrame, date: str = "date") -> DataFrame:
 
 def add_holiday_flag(df: DataFrame, holidays: DataFrame | None = None,
                      date: str = "date", out: str = "public_holiday",
-                     max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+                     max_rows: int = MAX_BROADCAST_ROWS,
+                     extra: DataFrame | None = None) -> DataFrame:
     """``out`` = 1 if ``date`` is a public holiday, else 0 (INT).
 
-    Without ``holidays`` the generated Victorian calendar is used.
+    Without ``holidays`` the Victorian rules are evaluated on each row's own
+    date, for any year and without a join; ``extra`` (date, name) rows, such
+    as proclaimed days, count as well. With ``holidays`` only its dates do.
     """
-    if holidays is None:
-        spark = df.sparkSession
-        side = checked_broadcast(holiday_dates(holiday_calendar(spark)), max_rows,
-                                 known_rows=holiday_bound())
-    else:
-        side = checked_broadcast(holiday_dates(holidays), max_rows)
+    rules = F.lit(False) if holidays is not None else is_holiday(date)
+    listed = holidays if holidays is not None else extra
+    rest = [F.col(c) for c in df.columns if c != out]
+    if listed is None:
+        return df.select(*rest, rules.cast("int").alias(out))
+    side = checked_broadcast(holiday_dates(listed), max_rows)
     joined = df.join(side, F.col(date) == F.col("_holiday"), "left")
-    return joined.select(*[F.col(c) for c in df.columns if c != out],
-                         F.col("_holiday").isNotNull().cast("int").alias(out))
+    return joined.select(*rest, (rules | F.col("_holiday").isNotNull()).cast("int").alias(out))
 
 
 def daily_weather(weather: DataFrame, date: str = "date",
                   station: str = "station",
                   values=("tmin", "tmax", "tavg")) -> DataFrame:
-    """One weather row per date: the lowest station id that reported that day.
+    """One weather row per date of the feed's lowest station id.
 
-    ``min_by`` is a hash aggregate with a partial step, so a feed with many
-    stations is reduced before its shuffle.
+    The station is fixed once per feed, so values never hop between stations; a
+    day on which it did not report has no row. Repeated reports of a day are
+    averaged (a numeric hash aggregate with a partial step). The station is a
+    one-row aggregate.
     """
-    best = F.min_by(F.struct(*[F.col(v).cast("double").alias(v) for v in values]),
-                    F.col(station))
-    return (weather.groupBy(F.col(date).cast("date").alias("_wdate"))
-                   .agg(best.alias("_w"))
-                   .select("_wdate", *[F.col(f"_w.{v}").alias(v) for v in values]))
+    lowest = F.broadcast(weather.agg(F.min(station).alias("_station")))
+    one = weather.join(lowest, F.col(station) == F.col("_station"))
+    return (one.groupBy(F.col(date).cast("date").alias("_wdate"))
+               .agg(*[F.avg(F.col(v).cast("double")).alias(v) for v in values]))
 
 
 def add_weather(df: DataFrame, weather: DataFrame, date: str = "date",

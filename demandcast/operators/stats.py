@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 
 from demandcast.operators.split import TEST, TRAIN
 
-# Spark's own limit on pivot values; more stores than this need the long form.
-MAX_PIVOT_VALUES = 10000
-
 
 def tag_counts(df: DataFrame, tag: str = "Dataset") -> DataFrame:
     """A1: rows per tag value in one job."""
@@ -40,19 +37,15 @@ def split_counts(df: DataFrame, keys=("store", "item"), tag: str = "Dataset",
                    (100.0 * F.count_if(second) / n).alias("test_pct")))
 
 
-def split_matrix(counts: DataFrame, stores: list[int] | None = None,
+def split_matrix(counts: DataFrame, stores,
                  row_key: str = "item", col_key: str = "store") -> DataFrame:
     """A4: one row per item, four columns per store ``Store{n}_TR/_TST/_PTR/_PTST``.
 
-    ``stores`` defaults to the distinct stores present (a small, bounded
-    list: one value per store). Absent pairs get 0 rows and null shares.
+    ``stores`` lists the stores to show, so nothing is collected and the lineage
+    runs once; the long form of any number of stores is :func:`split_counts`.
+    Absent pairs get 0 rows and null shares.
     """
-    if stores is None:
-        # at most MAX_PIVOT_VALUES + 1 ids ever reach the driver
-        stores = [r[0] for r in
-                  series_keys(counts, col_key).limit(MAX_PIVOT_VALUES + 1).collect()]
-    if len(stores) > MAX_PIVOT_VALUES:
-        raise ValueError(f"{len(stores)} stores: use split_counts (long form)")
+    stores = list(stores)
     wide = (counts.groupBy(row_key).pivot(col_key, stores)
                   .agg(F.max("train_rows").alias("TR"),
                        F.max("test_rows").alias("TST"),

@@ -12,10 +12,8 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from demandcast.functions.noise import gaussian_noise
 
@@ -24,8 +22,6 @@ ROLL_OPS = {"sum": "sum", "mean": "avg", "std": "stddev_samp"}
 # EWM weights below this share of the newest weight are dropped: far below
 # double precision, so the truncated sum equals the infinite one.
 EWM_TOLERANCE = 1e-18
-# Longest EWM frame evaluated as sliding window sums; beyond, a grouped map is used.
-EWM_MAX_WINDOW_ROWS = 1024
 
 
 def _q(name: str) -> str:
@@ -317,14 +313,11 @@ def ewm_blocks(df: DataFrame, alphas=(0.6, 0.85), keys=("store", "item"),
 
 def add_ewm(df: DataFrame, alphas=(0.6, 0.85), keys=("store", "item"),
             target: str = "sales", suffix: str = "ewm", date: str = "date",
-            within: str | None = None, method: str = "auto") -> DataFrame:
-    """W6. ``method``: "window" (sliding window sums, steps 1-4 above),
-    "blocks" (O(1) window work per row, two extra local sorts), "pandas"
-    (one grouped map per series, sorted by date inside), or "auto" (window
-    unless K > 1024 rows)."""
-    if method == "auto":
-        method = ("window" if max(ewm_window_rows(a) for a in alphas) <= EWM_MAX_WINDOW_ROWS
-                  else "pandas")
+            within: str | None = None, method: str = "blocks") -> DataFrame:
+    """W6. ``method``: "blocks" (O(1) window work per row for every alpha, two
+    extra local sorts) or "window" (sliding sums over K + 1 rows, steps 1-4
+    above, which share the sort of other features). Both are exact to double
+    precision at any alpha; neither depends on the size of the data."""
     if method == "window":
         names = [ewm_name(target, suffix, a) for a in alphas]
         step = df.select("*", ewm_rank_column(keys, date, within))
@@ -333,24 +326,4 @@ def add_ewm(df: DataFrame, alphas=(0.6, 0.85), keys=("store", "item"),
         return step.select(*df.columns, *ewm_carry_columns(names, keys, date, within))
     if method == "blocks":
         return ewm_blocks(df, alphas, keys, target, suffix, date, within)
-    if method == "pandas":
-        return ewm_grouped_map(df, alphas, keys, target, suffix, date, within)
     raise ValueError(f"unknown method {method!r}")
-
-
-def ewm_grouped_map(df: DataFrame, alphas, keys, target: str = "sales",
-                    suffix: str = "ewm", date: str = "date",
-                    within: str | None = None) -> DataFrame:
-    """W6 for long frames: ``applyInPandas`` per series, all alphas in one pass."""
-    names = [ewm_name(target, suffix, a) for a in alphas]
-    schema = T.StructType(list(df.schema.fields) +
-                          [T.StructField(n, T.DoubleType(), True) for n in names])
-
-    def _ewm(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(date, kind="stable", na_position="last")
-        x = pdf[target].astype("float64")
-        for a, n in zip(alphas, names):
-            pdf[n] = x.ewm(alpha=a, adjust=True, ignore_na=False).mean()
-        return pdf
-
-    return df.groupBy(*_partition(keys, within)).applyInPandas(_ewm, schema)

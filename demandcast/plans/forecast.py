@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from demandcast.operators.metrics import metric_means, score_metrics
 from demandcast.operators.split import TEST, TRAIN, VALIDATION
 from demandcast.plans.features import feature_frame, feature_names
-from demandcast.plans.model import FitResult, feature_importances, fit_forecaster, predict
+from demandcast.plans.model import (PATIENCE, TRAIN_ROUNDS, TRIAL_ROUNDS, FitResult,
+                                   feature_importances, fit_forecaster, predict)
 from demandcast.plans.search import random_search, retrain_best
 from demandcast.session import checkpointed
 from demandcast.sources.sinks import RunLog
@@ -34,8 +35,8 @@ class ForecastReport:
     trials: DataFrame | None = None
 
 
-def forecast_report(panel: DataFrame, max_iter: int = 200, patience: int = 50,
-                    search_trials: int = 0, search_rounds: int = 100,
+def forecast_report(panel: DataFrame, max_iter: int = TRAIN_ROUNDS, patience: int = PATIENCE,
+                    search_trials: int = 0, search_rounds: int = TRIAL_ROUNDS,
                     run_log: RunLog | None = None, **feature_options) -> ForecastReport:
     """Split, featurise, fit (tune if ``search_trials``), score the Test rows."""
     ff = checkpointed(feature_frame(panel, **feature_options))
@@ -53,9 +54,10 @@ def forecast_report(panel: DataFrame, max_iter: int = 200, patience: int = 50,
     per_store = score_metrics(scored, by="store")
     if run_log is not None:
         rid = RunLog.new_run_id()
-        run_log.log(rid, "param", {**fit.params, "max_iter": max_iter,
-                                   "best_iteration": fit.best_iteration})
-        run_log.log(rid, "metric", {"val_mape": fit.valid_mape, "val_rmse": fit.valid_rmse})
+        run_log.log_all([
+            (rid, "param", {**fit.params, "max_iter": max_iter,
+                            "best_iteration": fit.best_iteration}),
+            (rid, "metric", {"val_mape": fit.valid_mape, "val_rmse": fit.valid_rmse})])
     return ForecastReport(fit=fit, features=ff, test_predictions=scored,
                           test_metrics=score_metrics(scored), store_metrics=per_store,
                           store_means=metric_means(per_store),

@@ -12,14 +12,17 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from demandcast.operators.metrics import FIT_FLOOR, score_metrics
 from demandcast.session import ensure_checkpoint_dir
+from demandcast.sources.sinks import check_signature
 
 # The reference's boosting parameters (LightGBM names).
 REFERENCE_FIXED = {
@@ -33,8 +36,12 @@ REFERENCE_FIXED = {
 }
 # Used when no searched values are given.
 REFERENCE_DEFAULTS = {"learning_rate": 0.1, "max_depth": 3, "num_leaves": 7}
-# Level-wise trees cost 2^depth nodes; deeper searched values are capped here.
-MAX_DEPTH_CAP = 10
+# The deepest level-wise tree Spark can grow.
+DEEPEST = 30
+# Boosting parameters that Spark's trees have no counterpart for; accepted, without effect.
+WITHOUT_COUNTERPART = ("bagging_freq", "lambda_l1", "lambda_l2")
+# Rounds and patience of the three fits: training, retraining, a search trial.
+TRAIN_ROUNDS, RETRAIN_ROUNDS, TRIAL_ROUNDS, PATIENCE = 5000, 3000, 2000, 50
 # Filled into a missing feature; the x_missing flag carries the information.
 MISSING_FILL = -1.0
 
@@ -54,18 +61,25 @@ def gbt_settings(params: dict, max_iter: int, seed: int = 42) -> dict:
     """Map LightGBM-style parameters to ``GBTRegressor``.
 
     ``num_leaves`` has no Spark counterpart (trees grow level-wise): it caps
-    the depth at ceil(log2(num_leaves)). L1/L2 leaf penalties have none either.
+    the depth at ceil(log2(num_leaves)). ``bagging_freq`` and the L1/L2 leaf
+    penalties have none either and change nothing; other unknown names raise.
     """
+    known = {*REFERENCE_FIXED, *REFERENCE_DEFAULTS, "lr", "feature_fraction"}
+    if unknown := sorted(set(params) - known):
+        raise ValueError(f"unknown boosting parameters: {unknown}")
     depth = int(params.get("max_depth", 3))
     leaves = params.get("num_leaves")
     if leaves:
         depth = min(depth, max(1, math.ceil(math.log2(int(leaves)))))
+    if depth > DEEPEST:
+        raise ValueError(f"trees of depth {depth} asked for; the deepest is {DEEPEST}")
     loss = "absolute" if params.get("objective", "regression_l1") in (
         "regression_l1", "l1", "mae", "absolute") else "squared"
     settings = {
         "lossType": loss,
         "stepSize": float(params.get("learning_rate", params.get("lr", 0.1))),
-        "maxDepth": min(depth, MAX_DEPTH_CAP),
+        "maxDepth": depth,
+        "minInfoGain": float(params.get("min_split_gain", 0.0)),
         "subsamplingRate": float(params.get("bagging_fraction", 1.0)),
         "minInstancesPerNode": max(1, int(round(params.get("min_child_weight", 1)))),
         "maxIter": int(max_iter),
@@ -113,11 +127,14 @@ class FitResult:
     valid_mape: float | None = None
     valid_rmse: float | None = None
     history: list[float] = field(default_factory=list)
+    signature: StructType | None = None
 
 
 def label_scale(train: DataFrame, label: str) -> float:
-    """The label's standard deviation (1 if constant), one aggregate job."""
-    s = train.agg(F.stddev_pop(F.col(label).cast("double"))).first()[0]
+    """The label's mean absolute deviation (1 if constant), two aggregate jobs."""
+    y = F.col(label).cast("double")
+    mean = train.agg(F.avg(y)).first()[0]
+    s = train.agg(F.avg(F.abs(y - F.lit(mean)))).first()[0]
     return float(s) if s and s > 0 else 1.0
 
 
@@ -144,46 +161,62 @@ def best_iteration(history: list[float], patience: int) -> int:
     return best_i + 1
 
 
-def _at_most_one_partition_per_core(df: DataFrame) -> DataFrame:
-    """Boosting rescans its (cached) input with several jobs per round; more
-    partitions than cores only adds per-task overhead, so merge down to the
-    cluster's default parallelism (no shuffle)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.coalesce(cores) if df.rdd.getNumPartitions() > cores else df
+def _first_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
+    """The model after its first ``n`` rounds."""
+    java = model._java_obj
+    gateway = SparkContext._active_spark_context._gateway
+    tree = gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel
+    trees = gateway.new_array(tree, n)
+    weights = gateway.new_array(gateway.jvm.double, n)
+    for i, (t, w) in enumerate(zip(java.trees()[:n], java.treeWeights()[:n])):
+        trees[i], weights[i] = t, w
+    short = gateway.jvm.org.apache.spark.ml.regression.GBTRegressionModel(
+        java.uid(), trees, weights, java.numFeatures())
+    return GBTRegressionModel(java.copyValues(short, java.extractParamMap()))
 
 
 def fit_forecaster(train: DataFrame, valid: DataFrame | None, features,
                    label: str = "sales", params: dict | None = None,
-                   max_iter: int = 50, patience: int = 50, seed: int = 42,
+                   max_iter: int = TRAIN_ROUNDS, patience: int = PATIENCE, seed: int = 42,
                    scale_label: bool = True, score_valid: bool = True) -> FitResult:
     """M3: fit on ``train``; with ``valid``, stop early and report validation MAPE/RMSE.
 
-    Early stopping: fit ``max_iter`` rounds, evaluate the loss of every prefix
-    on ``valid`` in one pass, keep the best round under a ``patience`` scan
-    and refit that many rounds with the same seed (a shorter fit is a prefix
-    of a longer one). Callers should checkpoint ``train``/``valid`` first:
-    every round scans them.
+    Early stopping: the rounds are fitted in budgets of twice the patience, then
+    four times and so on, up to ``max_iter``; after each the loss of every
+    prefix on ``valid`` is taken in one pass, and the first budget in which
+    ``patience`` rounds bring no better loss is the last. A shorter fit with
+    the same seed is a prefix of a longer one, so the best round's model is cut
+    out of the fitted trees: the result is that of a fit of ``max_iter`` rounds,
+    the work follows the round that stopped it. Without ``valid`` all rounds
+    are fitted. The input keeps its partitions. Callers should checkpoint
+    ``train``/``valid`` first: every round scans them.
     """
     ensure_checkpoint_dir(train.sparkSession)
-    train = _at_most_one_partition_per_core(train)
     features = list(features)
     params = model_parameters(params)
     flagged = missing_flag_columns(train, features)
     scale = label_scale(train, label) if scale_label else 1.0
     labelled = train.withColumn(LABEL_COL, F.col(label).cast("double") / F.lit(scale))
-    settings = gbt_settings(params, max_iter, seed)
-    model = _pipeline(features, flagged, settings, scale).fit(labelled)
     history: list[float] = []
-    best = max_iter
-    if valid is not None:
+    budget = min(max_iter, 2 * patience) if valid is not None else max_iter
+    while True:
+        settings = gbt_settings(params, budget, seed)
+        model = _pipeline(features, flagged, settings, scale).fit(labelled)
+        best = budget
+        if valid is None:
+            break
         v = valid.withColumn(LABEL_COL, F.col(label).cast("double") / F.lit(scale))
         prepped = PipelineModel(stages=model.stages[:2]).transform(v)
         history = list(model.stages[2].evaluateEachIteration(prepped, settings["lossType"]))
         best = best_iteration(history, patience)
-        if best < max_iter:
-            settings = {**settings, "maxIter": best}
-            model = _pipeline(features, flagged, settings, scale).fit(labelled)
-    result = FitResult(model, features, label, params, best, history=history)
+        if budget - best >= patience or budget >= max_iter:
+            break
+        budget = min(max_iter, 2 * budget)
+    if best < budget:
+        stages = [*model.stages[:2], _first_trees(model.stages[2], best), *model.stages[3:]]
+        model = PipelineModel(stages=stages)
+    result = FitResult(model, features, label, params, best, history=history,
+                       signature=train.select(*features).schema)
     if valid is not None and score_valid:
         m = score_metrics(predict(result, valid), label, "prediction",
                           floor=FIT_FLOOR).first()
@@ -192,8 +225,13 @@ def fit_forecaster(train: DataFrame, valid: DataFrame | None, features,
 
 
 def predict(fit: FitResult | PipelineModel, df: DataFrame) -> DataFrame:
-    """M4: ``df`` with a ``prediction`` column (label units); nothing is collected."""
+    """M4: ``df`` with a ``prediction`` column (label units); nothing is collected.
+
+    A :class:`FitResult` knows its inputs' types and checks them (S6).
+    """
     model = fit.model if isinstance(fit, FitResult) else fit
+    if isinstance(fit, FitResult):
+        check_signature(df, fit.signature)
     out = model.transform(df)
     return out.select(*df.columns, "prediction")
 

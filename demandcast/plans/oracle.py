@@ -46,6 +46,11 @@ def victoria_holidays(years=YEARS) -> list[tuple[dt.date, str]]:
         ]
         if y >= 2016:
             days.append((e, "Easter Sunday"))
+        if y >= 2015:
+            friday = dt.date(y, 9, 24)
+            friday += dt.timedelta(days=(4 - friday.weekday()) % 7)
+            days.append(({2015: dt.date(2015, 10, 2), 2020: dt.date(2020, 10, 23),
+                          2022: dt.date(2022, 9, 23)}.get(y, friday), "Grand Final Friday"))
         for d, name in (days[0], days[1]):
             if d.weekday() >= 5:
                 days.append((d + dt.timedelta(days=7 - d.weekday()), f"{name} (Observed)"))
@@ -56,9 +61,9 @@ def victoria_holidays(years=YEARS) -> list[tuple[dt.date, str]]:
     return sorted(out)
 
 
-def _holidays_cte() -> str:
+def _holidays_cte(years=YEARS) -> str:
     rows = ",\n    ".join(f"(DATE '{d.isoformat()}', '{n.replace(chr(39), chr(39) * 2)}')"
-                          for d, n in victoria_holidays())
+                          for d, n in victoria_holidays(years))
     return f"hol(date, name) AS (VALUES\n    {rows})"
 
 
@@ -106,7 +111,7 @@ wraw AS (
   SELECT date, '94866' AS station,
          CAST((dayofyear(date) * 7 + 0) % 13 + 4 AS DOUBLE) AS tmin,
          CAST((dayofyear(date) * 7 + 0) % 13 + 4 + (dayofyear(date) + 0) % 9 + 10 AS DOUBLE) AS tmax
-  FROM wdates
+  FROM wdates WHERE day(date) <> 11
   UNION ALL
   SELECT date, '95936' AS station,
          CAST((dayofyear(date) * 7 + 3) % 13 + 4 AS DOUBLE) AS tmin,
@@ -114,7 +119,7 @@ wraw AS (
   FROM wdates),
 weather AS (
   SELECT date, tmin, tmax, (tmin + tmax) / 2.0 AS tavg FROM wraw
-  QUALIFY row_number() OVER (PARTITION BY date ORDER BY station) = 1)"""
+  WHERE station = (SELECT min(station) FROM wraw))"""
 
 
 def _lag_cols(lags=(1, 3, 5, 7)) -> str:
@@ -277,6 +282,63 @@ def _compare_sql() -> str:
     return _with(PANEL_CTE, TAGGED_CTE, left, right) + "\n" + "\nUNION ALL\n".join(parts)
 
 
+def _more_texts() -> dict[str, str]:
+    from demandcast.plans.registry import ERAS
+    from demandcast.plans.search import draw_trials
+
+    tagged_base = _with(PANEL_CTE, TAGGED_CTE)
+    years = sorted({y + e for y in YEARS for e in ERAS})
+    moved = "\nUNION\n".join(f"SELECT CAST(date + INTERVAL ({e}) YEAR AS DATE) AS date FROM panel"
+                             for e in ERAS)
+    draws = ",\n  ".join(
+        f"({i}, {t['learning_rate']:.6f}::DOUBLE, {t['max_depth']}, {t['num_leaves']}, "
+        f"{t['bagging_fraction']:.6f}::DOUBLE, {t['feature_fraction']:.6f}::DOUBLE, true)"
+        for i, t in enumerate(draw_trials(10, 42)))
+    tested = f"{tagged_base},\ntest AS (SELECT * FROM tagged WHERE Dataset = 'Test')"
+    unfolded = """panel AS (
+  SELECT CAST(l_shipdate AS DATE) AS date, CAST(l_suppkey AS INTEGER) AS store,
+         CAST(l_partkey AS INTEGER) AS item, CAST(SUM(l_quantity) AS INTEGER) AS sales
+  FROM lineitem GROUP BY 1, 2, 3)"""
+    return {
+        "holiday_eras": _with(PANEL_CTE, _holidays_cte(years), f"moved AS ({moved})")
+        + f"\nSELECT date, {HOLIDAY_COL} FROM moved",
+        "ewm_slow": _with(PANEL_CTE, TAGGED_CTE, _ewm_ctes("tagged", (0.01,)), recursive=True)
+        + "\nSELECT t.*, round(e.sales_ewm_001, 6) AS sales_ewm_001 FROM tagged t JOIN ewm e "
+          "USING (store, item, date)",
+        "lag_noise": tagged_base
+        + f"\nSELECT date, store, item, Dataset, lag(sales, 1) OVER ({PART} ORDER BY date) AS sales_lag_1, "
+          f"CASE WHEN lag(sales, 1) OVER ({PART} ORDER BY date) IS NOT NULL THEN true END "
+          "AS noise_in_range FROM tagged",
+        "noise_moments": tagged_base
+        + f",\nlags AS (SELECT lag(sales, 1) OVER ({PART} ORDER BY date) AS v FROM tagged)"
+          "\nSELECT count(v) AS rows, true AS mean_near_0, true AS deviation_near_scale FROM lags",
+        "filter_store": _with(PANEL_CTE) + "\nSELECT * FROM panel WHERE store = 3",
+        "first_days": _with(PANEL_CTE) + "\nSELECT * FROM panel ORDER BY date, store, item LIMIT 20",
+        "pandas_source": _with(PANEL_CTE)
+        + "\nSELECT store, CAST(sum(sales) AS BIGINT) AS sales FROM panel GROUP BY store",
+        "bad_dates": _with(PANEL_CTE)
+        + "\nSELECT strftime(date, '%Y/%d/%m') AS date, store, item, sales FROM panel WHERE day(date) = 13",
+        "compare_signed": tagged_base
+        + "\nSELECT 'v' AS column_name, count(*) AS rows_left, count(*) AS rows_right, "
+          "count(*) AS rows_joined, CAST(0 AS BIGINT) AS left_only, CAST(0 AS BIGINT) AS right_only, "
+          "CAST(count_if(3 - item > 0.001) AS BIGINT) AS mismatches FROM tagged",
+        "unfolded_rolling": _with(unfolded)
+        + "\nSELECT *,\n         " + _roll_cols(("sum",)).replace(PART, "PARTITION BY store, item")
+        + "\nFROM panel",
+        "gbt_predictions": tested + "\nSELECT date, store, item, sales, true AS predicted FROM test",
+        "gbt_store_metrics": tested + "\nSELECT store, count(*) AS n, true AS beats_mean FROM test GROUP BY store",
+        "random_search_trials": "SELECT * FROM (VALUES\n  " + draws + ") AS t(trial, learning_rate, "
+        "max_depth, num_leaves, bagging_fraction, feature_fraction, scored)",
+        "tuned_store_metrics": tested + "\nSELECT store, count(*) AS n, true AS scored FROM test GROUP BY store",
+        "model_roundtrip": tested + "\nSELECT store, item, date, true AS same FROM test",
+        "table_roundtrip": _with(PANEL_CTE) + "\nSELECT * FROM panel",
+        "run_log": tagged_base + "\nSELECT 'metric' AS kind, 'rows_' || Dataset AS key, "
+        "CAST(count(*) AS VARCHAR) AS value FROM tagged GROUP BY Dataset"
+        "\nUNION ALL SELECT * FROM (VALUES ('param', 'ratio', '0.8'), ('param', 'keys', 'store,item'), "
+        "('tag', 'stage', 'split'))",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     tagged_base = _with(PANEL_CTE, TAGGED_CTE)
     metrics_base = _feature_frame_sql().replace("\nSELECT * FROM nested", "")
@@ -332,6 +394,7 @@ def oracle_sql() -> dict[str, str]:
             "count(*) AS rows_joined, CAST(0 AS BIGINT) AS left_only, "
             "CAST(0 AS BIGINT) AS right_only, CAST(0 AS BIGINT) AS mismatches FROM panel"
             for c in ("sales_ewm_06", "sales_ewm_085")),
+        **_more_texts(),
         "store_metrics": metrics_base + ",\nm AS (SELECT store, " + _metric_cols()
         + " FROM nested WHERE Dataset = 'Test' GROUP BY store)\n" + _round_metrics("m", "store"),
         "overall_metrics": metrics_base + ",\nm AS (SELECT Dataset, " + _metric_cols()

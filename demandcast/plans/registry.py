@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from demandcast.functions.calendar import calendar_columns
-from demandcast.functions.holidays import holiday_calendar
+from demandcast.functions.holidays import holiday_names
 from demandcast.operators import windows as W
 from demandcast.operators.compare import compare_columns
-from demandcast.operators.lookups import add_holiday_flag, add_weather, checked_broadcast
+from demandcast.operators.lookups import add_holiday_flag, add_weather
 from demandcast.operators.metrics import metric_means, score_metrics
 from demandcast.operators.split import TEST, TRAIN, split_by_time, split_nested
 from demandcast.operators.stats import (series_keys, split_counts, split_matrix,
@@ -25,13 +25,17 @@ from demandcast.plans.features import KEYS, feature_frame, feature_names, prepar
 from demandcast.plans.model import feature_importances, fit_forecaster, predict
 from demandcast.plans.search import random_search, retrain_best
 from demandcast.session import checkpointed, shared_path
-from demandcast.sources.fixtures import N_ITEMS_CHECK, derived_weather, lineitem_panel
-from demandcast.sources.panel import SOURCE_DATE_FORMAT, read_sales, typed_panel
-from demandcast.sources.sinks import (RunLog, check_signature, load_model, load_signature,
-                                      save_model, save_table)
+from demandcast.sources.fixtures import (N_ITEMS_CHECK, N_STORES, derived_weather,
+                                         lineitem_panel, unfolded_panel)
+from demandcast.sources.panel import (SOURCE_DATE_FORMAT, read_sales, typed_panel,
+                                      unparsable_dates)
+from demandcast.sources.sinks import (RunLog, as_spark, check_signature, load_model,
+                                      load_signature, save_model, save_table)
 
 PANEL = ["date", "store", "item", "sales"]
 RATIO = 0.8
+# Buckets of the stored panel (a layout of the data, not of the machine).
+BUCKETS = 32
 DIGITS = 6
 
 
@@ -85,7 +89,8 @@ def q_split_counts(spark, sf_dir):
 
 
 def q_split_matrix(spark, sf_dir):
-    return rounded(split_matrix(split_counts(tagged(spark, sf_dir))))
+    return rounded(split_matrix(split_counts(tagged(spark, sf_dir)),
+                                stores=range(1, N_STORES + 1)))
 
 
 def q_split_valid(spark, sf_dir):
@@ -113,8 +118,19 @@ def q_holiday_flag(spark, sf_dir):
 def q_holiday_days(spark, sf_dir):
     """Panel dates that are holidays, with the rule's name (one row per name)."""
     dates = panel(spark, sf_dir).select("date").distinct()
-    cal = checked_broadcast(holiday_calendar(spark))
-    return dates.join(cal, "date").select("date", "name")
+    return dates.select("date", F.explode(holiday_names("date")).alias("name"))
+
+
+# Years by which the panel's dates are moved: before 1900, from 2010 on, after 2100.
+ERAS = (-120, 15, 22, 110)
+
+
+def q_holiday_eras(spark, sf_dir):
+    """J4/F9 on dates of other centuries: the flag has no range of years."""
+    dates = panel(spark, sf_dir).select("date").distinct()
+    moved = dates.select(F.explode(F.array(*[F.add_months("date", 12 * y) for y in ERAS]))
+                         .alias("date")).distinct()
+    return add_holiday_flag(moved)
 
 
 def q_weather_join(spark, sf_dir):
@@ -157,7 +173,13 @@ def q_ewm_features(spark, sf_dir):
 
 
 def q_ewm_grouped_map(spark, sf_dir):
-    return rounded(W.add_ewm(tagged(spark, sf_dir), within="Dataset", method="pandas"))
+    """W6 per (store, item, set) group, by the default method (no grouped map runs)."""
+    return rounded(W.add_ewm(tagged(spark, sf_dir), within="Dataset"))
+
+
+def q_ewm_slow(spark, sf_dir):
+    """W6 with a long memory: alpha 0.01 weighs more than 4,000 rows."""
+    return rounded(W.add_ewm(tagged(spark, sf_dir), alphas=(0.01,), within="Dataset"))
 
 
 def q_ewm_blocks(spark, sf_dir):
@@ -165,7 +187,64 @@ def q_ewm_blocks(spark, sf_dir):
 
 
 def q_lag_noise(spark, sf_dir):
-    return W.add_lags(tagged(spark, sf_dir), within="Dataset", noise_scale=1.6)
+    """W7 beside W1: the noise-free lag, and whether the noise moved it by a finite amount
+    whose size a normal draw of this scale can have."""
+    scale = 1.6
+    t = tagged(spark, sf_dir)
+    plain = W.lag_columns((1,), KEYS, within="Dataset")[0].alias("sales_lag_1")
+    noisy = W.lag_columns((1,), KEYS, within="Dataset", noise_scale=scale)[0].alias("__noisy")
+    moved = F.col("__noisy") - F.col("sales_lag_1")
+    return t.select("date", "store", "item", "Dataset", plain, noisy).select(
+        "date", "store", "item", "Dataset", "sales_lag_1",
+        ((F.abs(moved) > 0) & (F.abs(moved) < 10 * scale)).alias("noise_in_range"))
+
+
+def q_noise_moments(spark, sf_dir):
+    """The noise's mean is near 0 and its deviation near the scale."""
+    t = tagged(spark, sf_dir)
+    plain = W.lag_columns((1,), KEYS, within="Dataset")[0].alias("plain")
+    noisy = W.lag_columns((1,), KEYS, within="Dataset", noise_scale=1.6)[0].alias("noisy")
+    moved = F.col("noisy") - F.col("plain")
+    return t.select(plain, noisy).agg(
+        F.count(moved).alias("rows"), (F.abs(F.avg(moved)) < 0.1).alias("mean_near_0"),
+        (F.abs(F.stddev_samp(moved) - 1.6) < 0.1).alias("deviation_near_scale"))
+
+
+def q_filter_store(spark, sf_dir):
+    """One store's rows."""
+    return panel(spark, sf_dir).filter(F.col("store") == 3)
+
+
+def q_first_days(spark, sf_dir):
+    """O3: the first 20 rows by date, store and item."""
+    return panel(spark, sf_dir).orderBy("date", "store", "item").limit(20)
+
+
+def q_pandas_source(spark, sf_dir):
+    """S3: the per-store totals as a pandas frame (one row per store), and back."""
+    totals = panel(spark, sf_dir).groupBy("store").agg(F.sum("sales").alias("sales"))
+    return as_spark(totals.toPandas(), spark)
+
+
+def q_bad_dates(spark, sf_dir):
+    """text dates that do not parse are reported; here every 13th of a month is broken."""
+    day = F.dayofmonth("date")
+    text = panel(spark, sf_dir).withColumn("date", F.when(day == 13, F.date_format("date", "yyyy/dd/MM"))
+                                           .otherwise(F.date_format("date", SOURCE_DATE_FORMAT)))
+    return unparsable_dates(text)
+
+
+def q_compare_signed(spark, sf_dir):
+    """A10 with signed differences: only rises above the tolerance count."""
+    t = tagged(spark, sf_dir)
+    left = t.select("date", "store", "item", F.col("sales").cast("double").alias("v"))
+    right = t.select("date", "store", "item", (F.col("sales") + F.col("item") - 3).cast("double").alias("v"))
+    return compare_columns(left, right, ["date", "store", "item"], ["v"], signed=True)
+
+
+def q_unfolded_rolling(spark, sf_dir):
+    """W2 on supplier x part series, whose number grows with the data."""
+    return rounded(W.add_rolling(unfolded_panel(spark, sf_dir), ops=("sum",)))
 
 
 # ----------------------------------------------------------- feature frame --
@@ -187,7 +266,7 @@ def q_feature_frame_bucketed(spark, sf_dir):
     """The feature frame over the panel stored bucketed by series: no shuffle."""
     name = f"demandcast_bucketed_{RunLog.new_run_id()[:8]}"
     save_table(panel(spark, sf_dir), name, path=shared_path(spark, f"tables/{name}"),
-               bucket_by=KEYS, buckets=spark.sparkContext.defaultParallelism)
+               bucket_by=KEYS, buckets=BUCKETS)
     return rounded(feature_frame(read_sales(spark, name)))
 
 
@@ -210,7 +289,7 @@ def q_compare_ewm_methods(spark, sf_dir):
     """J1/A10 the reference's way: two implementations of one feature, compared."""
     t = tagged(spark, sf_dir)
     window = W.add_ewm(t, within="Dataset", method="window")
-    grouped = W.add_ewm(t, within="Dataset", method="pandas")
+    grouped = W.add_ewm(t, within="Dataset", method="blocks")
     cols = [W.ewm_name("sales", "ewm", a) for a in (0.6, 0.85)]
     return compare_columns(window, grouped, ["date", "store", "item"], cols, tol=1e-9)
 
@@ -235,82 +314,75 @@ def q_metric_means(spark, sf_dir):
     return rounded(metric_means(score_metrics(test, "sales", "prediction", by="store")))
 
 
-# ------------------------------------------------- model (rows-only checks) --
-
-# Budgets of the registered model queries (the library defaults are larger).
-MODEL_ROUNDS = 20
-MODEL_PATIENCE = 10
-SEARCH_TRIALS = 3
-SEARCH_ROUNDS = 10
+# ------------------------------------------------------------------- model --
 
-_CACHE: dict = {}
+# Patience of the registered fits. Rounds and trials are the library's defaults
+# (5000, 3000, 2000; 10 trials), so the fits end by patience.
+MODEL_PATIENCE, TRIAL_PATIENCE = 10, 3
 
 
 def _frames(spark, sf_dir):
-    """Train / Validation / Test of the feature frame, checkpointed once.
+    """Train / Validation / Test of the feature frame.
 
     ``checkpoint()`` writes to the shared ``spark.checkpoint.dir`` and cuts
     the window lineage, so every boosting round rescans stored rows and a
     lost executor recomputes nothing upstream.
     """
-    key = ("frames", spark.sparkContext.applicationId, sf_dir)
-    if key not in _CACHE:
-        ff = checkpointed(feature_frame(panel(spark, sf_dir)))
-        _CACHE[key] = tuple(ff.filter(F.col("Dataset") == t)
-                            for t in (TRAIN, "Validation", TEST))
-    return _CACHE[key]
-
-
-def _fitted(spark, sf_dir):
-    key = ("fit", spark.sparkContext.applicationId, sf_dir)
-    if key not in _CACHE:
-        train, valid, _ = _frames(spark, sf_dir)
-        _CACHE[key] = fit_forecaster(train, valid, feature_names(), max_iter=MODEL_ROUNDS,
-                                     patience=MODEL_PATIENCE)
-    return _CACHE[key]
+    ff = checkpointed(feature_frame(panel(spark, sf_dir)))
+    return tuple(ff.filter(F.col("Dataset") == t) for t in (TRAIN, "Validation", TEST))
 
 
-def _searched(spark, sf_dir):
-    key = ("search", spark.sparkContext.applicationId, sf_dir)
-    if key not in _CACHE:
-        train, valid, _ = _frames(spark, sf_dir)
-        _CACHE[key] = random_search(train, valid, feature_names(), n_trials=SEARCH_TRIALS,
-                                    max_iter=SEARCH_ROUNDS, patience=MODEL_PATIENCE,
-                                    parallelism=SEARCH_TRIALS)
-    return _CACHE[key]
+def _fitted(frames):
+    return fit_forecaster(frames[0], frames[1], feature_names(), patience=MODEL_PATIENCE)
 
 
 def q_gbt_predictions(spark, sf_dir):
-    _, _, test = _frames(spark, sf_dir)
-    return rounded(predict(_fitted(spark, sf_dir), test)
-                   .select("date", "store", "item", "sales", "prediction"))
+    """M3, M4: a finite prediction for every test row, with its error's sign and size."""
+    frames = _frames(spark, sf_dir)
+    scored = predict(_fitted(frames), frames[2])
+    p = F.col("prediction")
+    return scored.select("date", "store", "item", "sales",
+                         (p.isNotNull() & ~F.isnan(p)).alias("predicted"))
 
 
 def q_gbt_store_metrics(spark, sf_dir):
-    _, _, test = _frames(spark, sf_dir)
-    return rounded(score_metrics(predict(_fitted(spark, sf_dir), test), by="store"))
+    """Rows per store, and whether the model beats the training mean there."""
+    frames = _frames(spark, sf_dir)
+    mean = frames[0].agg(F.avg("sales")).first()[0]
+    model = score_metrics(predict(_fitted(frames), frames[2]), by="store")
+    naive = score_metrics(frames[2].withColumn("prediction", F.lit(mean)), by="store")
+    return model.alias("m").join(naive.alias("n"), "store").select(
+        "store", F.col("m.n").alias("n"), (F.col("m.mae") < F.col("n.mae")).alias("beats_mean"))
 
 
 def q_gbt_importances(spark, sf_dir):
-    return feature_importances(_fitted(spark, sf_dir), 10)
+    return feature_importances(_fitted(_frames(spark, sf_dir)), 10)
 
 
 def q_random_search_trials(spark, sf_dir):
-    return _searched(spark, sf_dir)[0]
+    """M6: the drawn parameters of every trial, and whether its fit was scored."""
+    frames = _frames(spark, sf_dir)
+    trials = random_search(frames[0], frames[1], feature_names(), patience=TRIAL_PATIENCE,
+                           parallelism=4)[0]
+    return rounded(trials.select(
+        "trial", "learning_rate", "max_depth", "num_leaves", "bagging_fraction",
+        "feature_fraction", (F.col("objective") > 0).alias("scored")))
 
 
 def q_tuned_store_metrics(spark, sf_dir):
-    train, valid, test = _frames(spark, sf_dir)
-    best = _searched(spark, sf_dir)[1]
-    tuned = retrain_best(train, valid, feature_names(), best, max_iter=SEARCH_ROUNDS,
-                         patience=MODEL_PATIENCE)
-    return rounded(score_metrics(predict(tuned, test), by="store"))
+    """M6, M7: the model retrained with the best of two trials, scored per store."""
+    frames = _frames(spark, sf_dir)
+    best = random_search(frames[0], frames[1], feature_names(), n_trials=2,
+                         patience=TRIAL_PATIENCE, parallelism=2)[1]
+    tuned = retrain_best(frames[0], frames[1], feature_names(), best, patience=TRIAL_PATIENCE)
+    return score_metrics(predict(tuned, frames[2]), by="store").select(
+        "store", "n", (F.col("mae") >= 0).alias("scored"))
 
 
 def q_model_roundtrip(spark, sf_dir):
-    """Predictions of the saved-and-loaded model next to the original's."""
-    train, _, test = _frames(spark, sf_dir)
-    fit = _fitted(spark, sf_dir)
+    """The saved-and-loaded model predicts what the original does."""
+    train, _, test = frames = _frames(spark, sf_dir)
+    fit = _fitted(frames)
     path = shared_path(spark, f"models/{RunLog.new_run_id()}")
     save_model(fit, path, input_example=train.select(*feature_names()))
     loaded = load_model(spark, path)
@@ -318,7 +390,7 @@ def q_model_roundtrip(spark, sf_dir):
     keys = ["store", "item", "date"]
     a = predict(fit, test).select(*keys, "prediction")
     b = predict(loaded, test).select(*keys, F.col("prediction").alias("reloaded"))
-    return rounded(a.join(b, keys).withColumn("same", F.col("prediction") == F.col("reloaded")))
+    return a.join(b, keys).select(*keys, (F.col("prediction") == F.col("reloaded")).alias("same"))
 
 
 def q_table_roundtrip(spark, sf_dir):
@@ -330,14 +402,14 @@ def q_table_roundtrip(spark, sf_dir):
 
 
 def q_run_log(spark, sf_dir):
-    """The parameters and metrics of the fitted model, written and read back."""
-    fit = _fitted(spark, sf_dir)
-    log = RunLog(spark, shared_path(spark, "run_log"))
+    """The split's counts as metrics and its settings as parameters, written and read back."""
+    counts = tag_counts(tagged(spark, sf_dir)).collect()  # one row per set
+    log = RunLog(spark, shared_path(spark, f"run_log/{RunLog.new_run_id()}"))
     rid = RunLog.new_run_id()
-    log.log(rid, "param", {**fit.params, "max_iter": MODEL_ROUNDS})
-    log.log(rid, "metric", {"val_mape": fit.valid_mape, "val_rmse": fit.valid_rmse,
-                            "best_iteration": fit.best_iteration})
-    return log.read().filter(F.col("run_id") == rid)
+    log.log(rid, "param", {"ratio": RATIO, "keys": ",".join(KEYS)})
+    log.log(rid, "tag", {"stage": "split"})
+    log.log(rid, "metric", {f"rows_{r['Dataset']}": r["rows"] for r in counts})
+    return log.read().filter(F.col("run_id") == rid).select("kind", "key", "value")
 
 
 SQL_CHECKED = {
@@ -373,13 +445,18 @@ SQL_CHECKED = {
     "store_metrics": q_store_metrics,
     "overall_metrics": q_overall_metrics,
     "metric_means": q_metric_means,
-}
-
-ROWS_ONLY = {
+    "holiday_eras": q_holiday_eras,
+    "ewm_slow": q_ewm_slow,
     "lag_noise": q_lag_noise,
+    "noise_moments": q_noise_moments,
+    "filter_store": q_filter_store,
+    "first_days": q_first_days,
+    "pandas_source": q_pandas_source,
+    "bad_dates": q_bad_dates,
+    "compare_signed": q_compare_signed,
+    "unfolded_rolling": q_unfolded_rolling,
     "gbt_predictions": q_gbt_predictions,
     "gbt_store_metrics": q_gbt_store_metrics,
-    "gbt_importances": q_gbt_importances,
     "random_search_trials": q_random_search_trials,
     "tuned_store_metrics": q_tuned_store_metrics,
     "model_roundtrip": q_model_roundtrip,
@@ -387,6 +464,10 @@ ROWS_ONLY = {
     "run_log": q_run_log,
 }
 
+ROWS_ONLY = {
+    "gbt_importances": q_gbt_importances,
+}
+
 
 def queries() -> dict:
     return {**SQL_CHECKED, **ROWS_ONLY}

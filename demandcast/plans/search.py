@@ -14,7 +14,8 @@ from concurrent.futures import ThreadPoolExecutor
 import numpy as np
 from pyspark.sql import DataFrame
 
-from demandcast.plans.model import FitResult, fit_forecaster
+from demandcast.plans.model import (PATIENCE, RETRAIN_ROUNDS, TRIAL_ROUNDS, FitResult,
+                                   fit_forecaster)
 from demandcast.sources.sinks import RunLog
 
 # The reference's search space.
@@ -42,8 +43,8 @@ def draw_trials(n: int, seed: int = 42, space=SEARCH_SPACE) -> list[dict]:
 
 
 def random_search(train: DataFrame, valid: DataFrame, features, label: str = "sales",
-                  n_trials: int = 10, seed: int = 42, max_iter: int = 50,
-                  patience: int = 50, parallelism: int = 1,
+                  n_trials: int = 10, seed: int = 42, max_iter: int = TRIAL_ROUNDS,
+                  patience: int = PATIENCE, parallelism: int = 1,
                   run_log: RunLog | None = None) -> tuple[DataFrame, dict]:
     """M6: one fit per trial; objective = validation MAPE (floor 1) + RMSE.
 
@@ -58,18 +59,20 @@ def random_search(train: DataFrame, valid: DataFrame, features, label: str = "sa
         r = fit_forecaster(train, valid, features, label, params, max_iter=max_iter,
                            patience=patience, seed=seed)
         objective = r.valid_mape + r.valid_rmse
-        if run_log is not None:
-            rid = RunLog.new_run_id()
-            run_log.log(rid, "param", {**params, "trial": i, "max_iter": max_iter})
-            run_log.log(rid, "metric", {"val_mape": r.valid_mape, "val_rmse": r.valid_rmse,
-                                        "objective": objective,
-                                        "best_iteration": r.best_iteration})
         return (i, params["learning_rate"], params["max_depth"], params["num_leaves"],
                 params["bagging_fraction"], params["feature_fraction"],
                 r.best_iteration, r.valid_mape, r.valid_rmse, objective)
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         rows = list(pool.map(run, enumerate(trials)))
+    if run_log is not None:  # written once, by this thread
+        entries = []
+        for row in rows:
+            rid = RunLog.new_run_id()
+            entries += [(rid, "param", {**trials[row[0]], "trial": row[0], "max_iter": max_iter}),
+                        (rid, "metric", dict(zip(("best_iteration", "val_mape", "val_rmse",
+                                                  "objective"), row[6:])))]
+        run_log.log_all(entries)
     spark = train.sparkSession
     schema = ("trial int, learning_rate double, max_depth int, num_leaves int, "
               "bagging_fraction double, feature_fraction double, best_iteration int, "
@@ -79,8 +82,8 @@ def random_search(train: DataFrame, valid: DataFrame, features, label: str = "sa
 
 
 def retrain_best(train: DataFrame, valid: DataFrame, features, best: dict,
-                 label: str = "sales", max_iter: int = 50, patience: int = 50,
-                 seed: int = 42) -> FitResult:
+                 label: str = "sales", max_iter: int = RETRAIN_ROUNDS,
+                 patience: int = PATIENCE, seed: int = 42) -> FitResult:
     """M7: fit again with the winning parameters (score with *this* model, D13)."""
     return fit_forecaster(train, valid, features, label, best, max_iter=max_iter,
                           patience=patience, seed=seed)

@@ -77,11 +77,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or \
         sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
+        # local-cluster has separate executors, so it counts as a cluster here
+        if not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError(
                 "spark.checkpoint.dir is not set; name a shared folder "
                 "(HDFS/S3/ABFS) for reliable checkpoints")
         configured = tempfile.mkdtemp(prefix="demandcast-ckpt-")
+    elif configured.startswith(("file:", "/")) and not sc.master.startswith("local"):
+        raise RuntimeError(
+            f"spark.checkpoint.dir is {configured}, a folder of each machine's own; "
+            "name a shared one (HDFS/S3/ABFS)")
     sc.setCheckpointDir(configured)
     return configured
 

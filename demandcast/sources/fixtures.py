@@ -39,21 +39,33 @@ def lineitem_panel(spark: SparkSession, sf_dir: str,
               .agg(F.sum("l_quantity").cast("int").alias("sales")))
 
 
+def unfolded_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily sales per supplier and part: the number of series grows with the data."""
+    li = read_table(spark, sf_dir, "lineitem")
+    return (li.select(F.to_date("l_shipdate").alias("date"),
+                      F.col("l_suppkey").cast("int").alias("store"),
+                      F.col("l_partkey").cast("int").alias("item"), "l_quantity")
+              .groupBy("date", "store", "item")
+              .agg(F.sum("l_quantity").cast("int").alias("sales")))
+
+
 def derived_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per ship date and station with integer-rule temperatures.
 
     Stands in for a daily weather feed: (date, station, tmin, tmax, tavg).
     The values follow date arithmetic only, so the DuckDB text can repeat them.
     """
-    dates = (read_table(spark, sf_dir, "lineitem")
-             .select(F.to_date("l_shipdate").alias("date")).distinct())
-    doy = F.dayofyear("date")
-    rows = []
-    for offset, station in enumerate(WEATHER_STATIONS):
-        tmin = ((doy * 7 + offset * 3) % 13 + 4).cast("double")
-        tmax = (tmin + (doy + offset) % 9 + 10).cast("double")
-        rows.append(dates.select(
-            "date", F.lit(station).alias("station"),
-            tmin.alias("tmin"), tmax.alias("tmax"),
-            ((tmin + tmax) / 2.0).alias("tavg")))
-    return rows[0].unionByName(rows[1])
+    stations = F.array(*[F.struct(F.lit(i).alias("offset"), F.lit(s).alias("station"))
+                         for i, s in enumerate(WEATHER_STATIONS)])
+    # one scan: every date is exploded into its stations; the first station has
+    # a gap on every eleventh day of a month
+    days = (read_table(spark, sf_dir, "lineitem")
+            .select(F.to_date("l_shipdate").alias("date")).distinct()
+            .select("date", F.inline(stations))
+            .filter((F.col("offset") > 0) | (F.dayofmonth("date") != 11)))
+    doy, offset = F.dayofyear("date"), F.col("offset")
+    tmin = ((doy * 7 + offset * 3) % 13 + 4).cast("double")
+    tmax = (F.col("tmin") + (doy + offset) % 9 + 10).cast("double")
+    return (days.withColumn("tmin", tmin).withColumn("tmax", tmax)
+            .select("date", "station", "tmin", "tmax",
+                    ((F.col("tmin") + F.col("tmax")) / 2.0).alias("tavg")))

@@ -12,6 +12,7 @@ import json
 import uuid
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,11 +52,18 @@ def save_table(df, name: str, fmt: str = "parquet", mode: str = "overwrite",
     order inside each bucket.
     """
     as_list = lambda v: [v] if isinstance(v, str) else list(v)
-    writer = as_spark(df).write.format(fmt).mode(mode)
+    df, buckets = as_spark(df), int(buckets or 200)
+    # rows are dealt by the layout's own keys first, so each bucket (or partition
+    # value) is written by one task: one file, not one per task
+    if bucket_by:
+        df = df.repartition(buckets, *as_list(bucket_by))
+    elif partition_by:
+        df = df.repartition(*as_list(partition_by))
+    writer = df.write.format(fmt).mode(mode)
     if partition_by:
         writer = writer.partitionBy(*as_list(partition_by))
     if bucket_by:
-        writer = writer.bucketBy(int(buckets or 200), *as_list(bucket_by))
+        writer = writer.bucketBy(buckets, *as_list(bucket_by))
         if sort_by:
             writer = writer.sortBy(*as_list(sort_by))
     if path:
@@ -83,8 +91,10 @@ def save_model(model, path: str, input_example: DataFrame | None = None,
 def load_signature(spark: SparkSession, path: str) -> T.StructType | None:
     try:
         row = spark.read.json(f"{path}/signature").first()
-    except Exception:  # no signature was saved
-        return None
+    except AnalysisException as missing:
+        if missing.getCondition() == "PATH_NOT_FOUND":  # no signature was saved
+            return None
+        raise
     return T.StructType.fromJson(json.loads(row["signature"])["inputs"])
 
 
@@ -94,12 +104,17 @@ def load_model(spark: SparkSession, path: str) -> PipelineModel:
 
 
 def check_signature(df: DataFrame, signature: T.StructType | None) -> None:
-    """Every input column the model was saved with must be present."""
+    """Every input column the model was saved with must be present with its type."""
     if signature is None:
         return
-    missing = [f.name for f in signature.fields if f.name not in df.columns]
+    have = {f.name: f.dataType for f in df.schema.fields}
+    missing = [f.name for f in signature.fields if f.name not in have]
     if missing:
         raise ValueError(f"input lacks columns the model was saved with: {missing}")
+    other = [f"{f.name}: {have[f.name].simpleString()}, not {f.dataType.simpleString()}"
+             for f in signature.fields if have[f.name] != f.dataType]
+    if other:
+        raise ValueError(f"input columns have other types than the model was saved with: {other}")
 
 
 # ---------------------------------------------------------------- S5 --
@@ -108,7 +123,9 @@ class RunLog:
     """An append-only table of (run_id, run_ts, kind, key, value) rows.
 
     ``kind`` is ``param``, ``metric`` or ``tag``; values are stored as text.
-    Each call appends one small batch with ``mode("append")``.
+    Every call writes a folder of its own below ``path``: concurrent writers share
+    no ``_temporary`` folder, so none can take another's rows away. Use
+    :meth:`log_all` for many items at once (one job, one folder).
     """
 
     def __init__(self, spark: SparkSession, path: str, fmt: str = "parquet"):
@@ -119,15 +136,21 @@ class RunLog:
         return uuid.uuid4().hex
 
     def log(self, run_id: str, kind: str, items: dict) -> None:
+        self.log_all([(run_id, kind, items)])
+
+    def log_all(self, entries) -> None:
+        """Write many (run_id, kind, items) entries with one job."""
         ts = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
         rows = [(run_id, ts, kind, str(k), None if v is None else str(v))
-                for k, v in items.items()]
+                for run_id, kind, items in entries for k, v in items.items()]
         if rows:
-            (self.spark.createDataFrame(rows, RUN_LOG_SCHEMA)
-                 .write.format(self.fmt).mode("append").save(self.path))
+            (self.spark.createDataFrame(rows, RUN_LOG_SCHEMA).coalesce(1)
+                 .write.format(self.fmt).mode("errorifexists")
+                 .save(f"{self.path}/batch-{uuid.uuid4().hex}"))
 
     def read(self) -> DataFrame:
-        return self.spark.read.format(self.fmt).schema(RUN_LOG_SCHEMA).load(self.path)
+        return (self.spark.read.format(self.fmt).schema(RUN_LOG_SCHEMA)
+                    .option("recursiveFileLookup", "true").load(self.path))
 
     def metrics(self, run_id: str) -> DataFrame:
         return self.read().filter((F.col("run_id") == run_id) & (F.col("kind") == "metric"))

@@ -76,12 +76,46 @@ def test_weather_lowest_station_per_day(spark):
     assert out == {"2020-01-01": 3.5, "2020-01-02": None}
 
 
+def test_weather_keeps_one_station(spark):
+    day = [dt.date(2020, 1, i) for i in (1, 2, 3)]
+    w = spark.createDataFrame(
+        [(day[0], "A", 1.0, 2.0, 1.5), (day[0], "B", 8.0, 9.0, 8.5), (day[1], "B", 8.0, 9.0, 8.5),
+         (day[2], "A", 3.0, 4.0, 3.5), (day[2], "A", 5.0, 6.0, 5.5)],
+        "date date, station string, tmin double, tmax double, tavg double")
+    got = {r["_wdate"]: r["tavg"] for r in daily_weather(w).collect()}
+    assert got == {day[0]: 1.5, day[2]: 4.5}  # no value of B on A's missing day
+
+
+def test_holidays_of_any_year(spark):
+    dates = ["1899-12-25", "2101-12-26", "1850-01-01", "2016-09-30", "2015-10-02", "2020-10-23",
+             "2021-09-24", "2014-09-26", "2020-09-25", "2500-06-14"]
+    df = panel_df(spark, [(x, 1, 1, 5) for x in dates] + [(None, 1, 1, 5)])
+    flags = {str(r["date"]): r["public_holiday"] for r in add_holiday_flag(df).collect()}
+    assert [flags[d] for d in dates] == [1, 1, 1, 1, 1, 1, 1, 0, 0, 1]
+    assert flags["None"] == 0
+
+
+def test_flag_equals_the_calendar(spark):
+    from demandcast.functions.holidays import holiday_names
+    days = spark.sql("SELECT explode(sequence(DATE'1995-01-01', DATE'2030-12-31')) AS date")
+    got = {(r["date"], r["n"]) for r in
+           days.select("date", F.explode(holiday_names("date")).alias("n")).collect()}
+    assert got == set(victoria_holidays(range(1995, 2031)))
+
+
+def test_extra_days_count_as_holidays(spark):
+    extra = spark.createDataFrame([(dt.date(2022, 9, 22), "Day of Mourning")], "date date, name string")
+    df = panel_df(spark, [("2022-09-22", 1, 1, 5), ("2022-12-26", 1, 1, 5), ("2022-12-24", 1, 1, 5)])
+    flags = {str(r["date"]): r["public_holiday"] for r in add_holiday_flag(df, extra=extra).collect()}
+    assert flags == {"2022-09-22": 1, "2022-12-26": 1, "2022-12-24": 0}
+
+
 def test_extra_holiday_rows_are_added(spark):
-    extra = spark.createDataFrame([(dt.date(2015, 10, 2), "Grand Final Friday")],
+    extra = spark.createDataFrame([(dt.date(2015, 10, 5), "Proclaimed Day")],
                                   "date date, name string")
     cal = holiday_calendar(spark, years=(2015, 2015), extra=extra)
-    names = {r["name"] for r in cal.filter(F.col("date") == dt.date(2015, 10, 2)).collect()}
-    assert names == {"Grand Final Friday"}
+    names = {r["name"] for r in cal.filter(F.col("date") == dt.date(2015, 10, 5)).collect()}
+    assert names == {"Proclaimed Day"}
     assert cal.count() == len(victoria_holidays(range(2015, 2016))) + 1
 
 

@@ -38,6 +38,36 @@ def test_parameters_and_mapping():
     s2 = gbt_settings(model_parameters({"max_depth": 19, "num_leaves": 19,
                                         "feature_fraction": 0.9}), 5)
     assert s2["maxDepth"] == 5 and s2["featureSubsetStrategy"] == "0.9"
+    assert s["minInfoGain"] == p["min_split_gain"]
+    deep = {k: v for k, v in p.items() if k != "num_leaves"}
+    assert gbt_settings({**deep, "max_depth": 19}, 5)["maxDepth"] == 19
+    with pytest.raises(ValueError):
+        gbt_settings({**deep, "max_depth": 31}, 5)
+    with pytest.raises(ValueError):
+        gbt_settings({**p, "max_dept": 3}, 5)
+
+
+def test_early_stop_cuts_the_longer_fit(spark, made_frames):
+    train, valid, test = made_frames
+    fit = fit_forecaster(train, valid, feature_names(), patience=3)
+    # it stopped by patience, long before the default rounds
+    assert fit.best_iteration + 3 <= len(fit.history) < 5000
+    assert fit.history[fit.best_iteration - 1] == min(fit.history[:fit.best_iteration + 3])
+    whole = fit_forecaster(train, None, feature_names(), max_iter=fit.best_iteration)
+    key = ["store", "item", "date"]
+    both = predict(fit, test).join(predict(whole, test).withColumnRenamed("prediction", "p2")
+                                   .select(*key, "p2"), key)
+    assert both.filter(F.abs(F.col("prediction") - F.col("p2")) > 1e-9).count() == 0
+    assert fit.model.stages[2].getNumTrees == fit.best_iteration
+
+
+def test_predict_checks_input_types(spark, made_frames):
+    train, _, test = made_frames
+    fit = fit_forecaster(train, None, feature_names(), max_iter=2)
+    with pytest.raises(ValueError, match="store"):
+        predict(fit, test.withColumn("store", F.col("store").cast("string")))
+    with pytest.raises(ValueError, match="lacks"):
+        predict(fit, test.drop("item"))
 
 
 def test_best_iteration_patience():

@@ -27,6 +27,38 @@ def test_run_log_appends(spark):
     assert log.metrics(rid).first()["value"] == "0.2"
 
 
+def test_run_log_keeps_every_concurrent_row(spark):
+    from concurrent.futures import ThreadPoolExecutor
+    log = RunLog(spark, shared_path(spark, f"runlog-{RunLog.new_run_id()}"))
+
+    def work(i):
+        for j in range(4):
+            log.log(f"run{i}", "metric", {f"m{j}": j})
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(work, range(8)))
+    assert log.read().count() == 32
+
+
+def test_one_file_per_bucket(spark):
+    import glob
+    name = f"t_{RunLog.new_run_id()[:8]}"
+    path = shared_path(spark, f"tables/{name}")
+    df = spark.range(0, 5000, 1, 16).selectExpr("CAST(id % 50 AS INT) AS store", "id AS sales")
+    save_table(df, name, path=path, bucket_by="store", buckets=4)
+    assert len(glob.glob(path.removeprefix("file:") + "/part-*")) <= 4
+    assert spark.table(name).count() == 5000
+
+
+def test_missing_signature_is_none_but_a_broken_one_raises(spark):
+    import pytest
+    from demandcast.sources.sinks import load_signature
+    path = shared_path(spark, f"sig-{RunLog.new_run_id()}")
+    assert load_signature(spark, path) is None
+    spark.createDataFrame([("not json",)], "signature string").write.json(f"{path}/signature")
+    with pytest.raises(ValueError):
+        load_signature(spark, path)
+
+
 def test_entry_contract(spark):
     import __spark_entry__ as E
     out = E.entry(spark)

@@ -135,16 +135,16 @@ def test_ewm_matches_pandas(spark, vals, alpha):
             assert g == pytest.approx(e, rel=1e-9, abs=1e-9)
 
 
-def test_ewm_methods_agree_and_low_alpha_uses_grouped_map(spark):
+def test_ewm_methods_agree_at_any_alpha(spark):
     vals = [random.Random(i).randint(0, 80) for i in range(300)]
     df = panel_df(spark, daily("2020-01-01", 300, values=vals))
-    a = series(W.add_ewm(df, alphas=(0.6,), method="window"), "sales_ewm_06")
-    b = series(W.add_ewm(df, alphas=(0.6,), method="pandas"), "sales_ewm_06")
-    assert a == pytest.approx(b, rel=1e-12)
-    assert W.ewm_window_rows(0.01) > W.EWM_MAX_WINDOW_ROWS
-    low = series(W.add_ewm(df, alphas=(0.01,)), "sales_ewm_001")
-    exp = pd.Series(vals, dtype="float64").ewm(alpha=0.01).mean().tolist()
-    assert low == pytest.approx(exp, rel=1e-12)
+    for alpha in (0.6, 0.01):
+        exp = pd.Series(vals, dtype="float64").ewm(alpha=alpha).mean().tolist()
+        for method in ("window", "blocks"):
+            got = series(W.add_ewm(df, alphas=(alpha,), method=method), W.ewm_name("sales", "ewm", alpha))
+            assert got == pytest.approx(exp, rel=1e-12)
+    with pytest.raises(ValueError):
+        W.add_ewm(df, method="pandas")
 
 
 def test_noise_is_repeatable_and_scaled(spark):
