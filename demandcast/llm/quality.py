@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandcast.llm.common import text_or_empty, with_fields
+from demandcast.llm.common import bounded_broadcast, text_or_empty, with_fields
 
 #: Positives, and unlabelled rows, that a fit may use.
 ROWS = 20_000
@@ -149,13 +149,17 @@ def with_features(docs: DataFrame, *keep: Column) -> DataFrame:
     return rows.mapInArrow(run, with_fields(rows.schema.fields[:-1], "features array<float>"))
 
 
-def _sample(rows: DataFrame, most: int, salt: str) -> np.ndarray:
-    """Feature vectors of about ``most`` rows at most, drawn by hash of doc_id."""
+def _sampled(rows: DataFrame, most: int, salt: str) -> DataFrame:
+    """About ``most`` rows at most, drawn by hash of doc_id."""
     total = rows.count()
-    if total > most:
-        share = F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1_000_000))
-        rows = rows.filter(share < int(1_000_000 * most / total))
-    found = with_features(rows.select("doc_id", "text"), F.col("doc_id")).select("features").toPandas()
+    if total <= most:
+        return rows
+    share = F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1_000_000))
+    return rows.filter(share < int(1_000_000 * most / total))
+
+
+def _matrix(docs: DataFrame) -> np.ndarray:
+    found = with_features(docs, F.col("doc_id")).select("features").toPandas()
     return np.array(found["features"].tolist(), dtype=np.float64).reshape(-1, N_FEATURES)
 
 
@@ -163,13 +167,15 @@ def fit_quality(docs: DataFrame, positives: DataFrame, rows: int = ROWS) -> Qual
     """Fit on texts of trusted positives (``doc_id`` rows) and of unlabelled rows.
 
     Both samples come from ``docs``; unlabelled rows are any of them, whatever
-    their label. Returns None without positives.
+    their label. The ids of the positives are drawn before they meet the texts,
+    so at most about ``rows`` ids are broadcast. Returns None without positives.
     """
-    good = docs.join(positives.select("doc_id").distinct(), "doc_id", "left_semi")
-    xp = _sample(good, rows, "positive")
+    texts = docs.select("doc_id", "text")
+    ids = _sampled(positives.select("doc_id").distinct(), rows, "positive")
+    xp = _matrix(texts.join(bounded_broadcast(ids, 2 * rows), "doc_id", "left_semi"))
     if not len(xp):
         return None
-    return fit_pu(xp, _sample(docs, rows, "unlabelled"))
+    return fit_pu(xp, _matrix(_sampled(texts, rows, "unlabelled")))
 
 
 def score_quality(docs: DataFrame, model: QualityModel | None, *keep: Column) -> DataFrame:
