@@ -14,6 +14,7 @@ from demandcast.llm.fingerprint import fingerprints, hex_text
 from demandcast.llm.language import fit_languages, held_out, label_languages, learnable
 from demandcast.llm.mixing import curriculum_mix
 from demandcast.llm.quality import fit_quality, score_quality
+from demandcast.llm.oracles import ORACLE_SQL  # noqa: F401
 from demandcast.llm.privacy import BASE as PERSONAL
 from demandcast.llm.privacy import personal_spans
 from demandcast.llm.secret_scan import BASE as SECRETS
@@ -99,5 +100,3 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_quality_classifier": op10_quality_classifier,
 }
-
-ORACLE_SQL: dict[str, str] = {}
