@@ -7,7 +7,7 @@ reductions.
 
 from __future__ import annotations
 
-from demandcast.llm import decontaminate, privacy
+from demandcast.llm import decontaminate, mixing, privacy
 
 _MARKS = {"name": "chr(1)", "unit": "chr(2)", "number": "chr(3)", "end": "chr(4)"}
 
@@ -157,7 +157,45 @@ SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in privacy.BASE
 FROM docs d LEFT JOIN per_text p ON d.text = p.text"""
 
 
+def mixing_sql() -> str:
+    def by_rank(values) -> str:
+        return f"[{', '.join(f'{v}::DOUBLE' for v in values)}][(r - 1) % {len(values)} + 1]"
+
+    share = "o / target"
+    at = (f"CASE WHEN abs(slope) < 1e-9 THEN {share} ELSE (sqrt((1 - slope) * (1 - slope) "
+          f"+ 4 * slope * ({share})) - (1 - slope)) / (2 * slope) END")
+    return f"""WITH d AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS g,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || coalesce(text, '')), 1, 15)
+              AS BIGINT) AS k
+  FROM documents),
+line AS (
+  SELECT *, sum(size) OVER (PARTITION BY g ORDER BY k % {mixing.CELLS}, k, doc_id, size
+                            ROWS UNBOUNDED PRECEDING) - size AS place FROM d),
+src AS (SELECT g, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY g) AS r
+        FROM d GROUP BY g),
+weighed AS (
+  SELECT g, source_size, {by_rank(mixing.WEIGHTS)} AS w, {by_rank(mixing.SLOPES)} AS slope,
+         2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM src),
+levels AS (
+  SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, g ROWS BETWEEN UNBOUNDED PRECEDING
+                                             AND 1 PRECEDING), 0))
+            / sum(w) OVER (ORDER BY cap / w, g ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed),
+targets AS (SELECT g, source_size, slope, least(cap, max(level) OVER () * w) AS target FROM levels),
+copies AS (
+  SELECT *, [p * source_size + place FOR p IN [0, 1]
+             IF size > 0 AND p * source_size + place + size / 2.0::DOUBLE <= target] AS offsets
+  FROM line JOIN targets USING (g))
+SELECT doc_id, size, source_size, round(target, 6) AS target,
+       CAST(len(offsets) * size AS BIGINT) AS taken,
+       round(list_min([{at} FOR o IN offsets]), 6) + 0.0::DOUBLE AS first_position
+FROM copies"""
+
+
 ORACLE_SQL = {
+    "op7_mixing": mixing_sql(),
     "op4_pii": personal_data_sql(),
     "op5_decontamination": decontamination_sql(),
 }

@@ -65,9 +65,9 @@ def op6_sharding(spark, sf_dir):
 def op7_mixing(spark, sf_dir):
     mixed = curriculum_mix(table(spark, sf_dir, "documents"))
     return mixed.select(
-        "doc_id", "size", "source_size", "target",
+        "doc_id", "size", "source_size", F.round("target", 6).alias("target"),
         (F.size("positions") * F.col("size")).cast("long").alias("taken"),
-        F.array_min("positions").alias("first_position"))
+        (F.round(F.array_min("positions"), 6) + F.lit(0.0)).alias("first_position"))  # no -0.0
 
 
 def op8_token_counts(spark, sf_dir):
