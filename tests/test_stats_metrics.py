@@ -14,7 +14,7 @@ from demandcast.sources.fixtures import lineitem_panel
 def test_absent_pair_counts_zero_share_null(spark):
     rows = daily("2020-01-01", 10, store=1, item=1) + daily("2020-01-01", 10, store=2, item=2)
     counts = split_counts(split_by_time(panel_df(spark, rows)))
-    m = {r["Item"]: r for r in split_matrix(counts).collect()}
+    m = {r["Item"]: r for r in split_matrix(counts, stores=[1, 2]).collect()}
     assert m[1]["Store2_TR"] == 0 and m[1]["Store2_TST"] == 0 and m[1]["Store2_PTR"] is None
     assert m[1]["Store1_TR"] == 9 and m[1]["Store1_PTR"] == pytest.approx(90.0)
 
