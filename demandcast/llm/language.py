@@ -21,7 +21,6 @@ empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -60,16 +59,39 @@ _STARTS = np.array([s for s, _ in SCRIPT_STARTS])
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def script_of(word: str) -> str:
-    """The script of a word's first letter."""
-    return SCRIPT_STARTS[int(np.searchsorted(_STARTS, ord(word[0]), side="right")) - 1][1]
+SCRIPTS = sorted({name for _, name in SCRIPT_STARTS})
+_SCRIPT_AT = np.array([SCRIPTS.index(name) for _, name in SCRIPT_STARTS])
+#: Fixed odd factors that mix the code points of an n-gram.
+_MIX = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
 
-def gram_buckets(word: str) -> list[int]:
-    """The hash buckets of a lower-cased word's n-grams, word ends marked."""
-    marked = f"<{word.lower()}>"
-    return [zlib.crc32(marked[i:i + n].encode()) % BUCKETS
-            for n in GRAMS for i in range(len(marked) - n + 1)]
+def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash buckets of all words' n-grams, where each word's begin, and its script.
+
+    Words are lower-cased and their ends marked; the script is that of the first
+    letter. At least one word is expected.
+    """
+    # the marks < and > are no letters, so they only stand at the ends
+    text = ("<" + "><".join(words) + ">").lower()
+    codes = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
+    starts = np.flatnonzero(codes == ord("<"))
+    word = np.cumsum(codes == ord("<")) - 1
+    ends = np.append(starts[1:], len(codes))
+    left = ends[word] - np.arange(len(codes))        # code points up to the word's end
+    found, owner = [], []
+    for n in GRAMS:
+        here = np.flatnonzero(left >= n)
+        mixed = np.full(len(here), n, dtype=np.uint64)
+        for i in range(n):
+            mixed = (mixed + codes[here + i]) * _MIX[i]
+            mixed ^= mixed >> np.uint64(29)
+        found.append((mixed >> np.uint64(24)) % np.uint64(BUCKETS))
+        owner.append(word[here])
+    owner = np.concatenate(owner)
+    order = np.argsort(owner, kind="stable")
+    begins = np.searchsorted(owner[order], np.arange(len(words)))
+    script = _SCRIPT_AT[np.searchsorted(_STARTS, codes[starts + 1], side="right") - 1]
+    return np.concatenate(found)[order].astype(np.int64), begins, script
 
 
 @dataclass
@@ -82,27 +104,34 @@ class LanguageModel:
     index: dict = field(default_factory=dict, repr=False, compare=False)
     matrix: np.ndarray | None = field(default=None, repr=False, compare=False)
 
-    def word_scores(self, word: str) -> np.ndarray:
-        """The word's score per language, 0 for the best, :data:`FLOOR` at least."""
-        own = self.scripts.get(script_of(word))
-        scores = np.zeros(len(self.languages), dtype=np.float32)
-        if not own:
-            return scores
-        total = self.logp[:, gram_buckets(word)].sum(axis=1)
-        scores[:] = FLOOR
-        scores[own] = np.maximum(total[own] - total[own].max(), FLOOR)
-        return scores
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """Scores per word and language: 0 for the best, :data:`FLOOR` at least.
+
+        Only the languages of the word's script compete; the others get the
+        floor. A word in a script without languages is 0 for all.
+        """
+        buckets, begins, script = grams_of(words)
+        total = np.add.reduceat(self.logp[:, buckets], begins, axis=1).T
+        competes = np.zeros((len(SCRIPTS), len(self.languages)), dtype=bool)
+        for name, own in self.scripts.items():
+            competes[SCRIPTS.index(name), own] = True
+        own = competes[script]
+        total = np.where(own, total, -np.inf)
+        best = total.max(axis=1, keepdims=True)
+        known = np.isfinite(best)
+        return np.where(known, np.maximum(total - np.where(known, best, 0), FLOOR), 0)
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Scores of many words (words x languages), remembered per process."""
         if self.matrix is None or len(self.index) + len(words) > len(self.matrix):
             self.index = {}
             self.matrix = np.zeros((max(CACHE_WORDS, len(words)), len(self.languages)), np.float32)
-        index, matrix = self.index, self.matrix
-        for word in set(words).difference(index):
-            matrix[len(index)] = self.word_scores(word)
-            index[word] = len(index)
-        return matrix[np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words))]
+        index, at = self.index, len(self.index)
+        if new := list(set(words).difference(index)):
+            self.matrix[at:at + len(new)] = self.word_scores(new)
+            index.update(zip(new, range(at, at + len(new))))
+        return self.matrix[np.fromiter(map(index.__getitem__, words), dtype=np.int64,
+                                       count=len(words))]
 
 
 def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -112,25 +141,28 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     language, no path with a switch can be better (each stretch costs one at
     least), and that language labels all; else the full recursion runs.
     """
-    n = len(scores)
+    n, k = scores.shape
     scores = scores.astype(np.float64)
     best = int(scores.sum(axis=0).argmax())
-    gain = np.vstack([np.zeros(scores.shape[1]), np.cumsum(scores - scores[:, [best]], axis=0)])
+    gain = np.vstack([np.zeros(k), np.cumsum(scores - scores[:, [best]], axis=0)])
     if float((gain - np.minimum.accumulate(gain, axis=0)).max()) < switch:
         return np.full(n, best)
-    came = np.empty(scores.shape, dtype=np.int32)
-    stay = np.arange(scores.shape[1])
-    value = scores[0].copy()
-    for i in range(1, n):
-        top = int(value.argmax())
-        moved = value[top] - switch > value
-        came[i] = np.where(moved, top, stay)
-        value = np.where(moved, value[top] - switch, value) + scores[i]
-    path = np.empty(n, dtype=np.int64)
-    path[-1] = int(value.argmax())
-    for i in range(n - 1, 0, -1):
-        path[i - 1] = came[i, path[i]]
-    return path
+    rows = scores.tolist()
+    value, came, stay = rows[0], [], list(range(k))
+    for row in rows[1:]:
+        top = max(value)
+        least = top - switch
+        if min(value) < least:
+            at = value.index(top)
+            came.append([at if v < least else i for i, v in enumerate(value)])
+            value = [(least if v < least else v) + s for v, s in zip(value, row)]
+        else:
+            came.append(stay)
+            value = [v + s for v, s in zip(value, row)]
+    path = [value.index(max(value))]
+    for back in reversed(came):
+        path.append(back[path[-1]])
+    return np.array(path[::-1])
 
 
 def label(text: str, model: LanguageModel) -> tuple[str, float, list[dict]]:
@@ -139,20 +171,25 @@ def label(text: str, model: LanguageModel) -> tuple[str, float, list[dict]]:
     The score is the language's share of the letters times its probability
     against the runner-up on the words that are labelled with it.
     """
-    found = [(m.start(), m.end()) for m in WORD.finditer(text)]
-    if not found or not model.languages:
+    words = WORD.findall(text)
+    if not words or not model.languages:
         return UNKNOWN, 0.0, []
-    scores = model.scores([text[s:e] for s, e in found])
+    scores = model.scores(words)
     path = viterbi(scores)
-    letters = np.array([e - s for s, e in found])
+    letters = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     share = np.bincount(path, weights=letters, minlength=len(model.languages)) / letters.sum()
     pick = int(share.argmax())
     total = scores[path == pick].sum(axis=0, dtype=np.float64)
     margin = total[pick] - np.delete(total, pick).max() if len(total) > 1 else np.inf
     sure = 1.0 / (1.0 + np.exp(-np.clip(margin, -30, 30)))
     cuts = np.flatnonzero(np.diff(path)) + 1
-    spans = [{"lang": model.languages[path[a]], "start": found[a][0], "end": found[b - 1][1]}
-             for a, b in zip([0, *cuts], [*cuts, len(path)])]
+    if len(cuts):
+        at = [m.span() for m in WORD.finditer(text)]
+        spans = [{"lang": model.languages[path[a]], "start": at[a][0], "end": at[b - 1][1]}
+                 for a, b in zip([0, *cuts], [*cuts, len(path)])]
+    else:
+        spans = [{"lang": model.languages[pick], "start": WORD.search(text).start(),
+                  "end": text.rindex(words[-1]) + len(words[-1])}]
     return model.languages[pick], float(share[pick] * sure), spans
 
 
@@ -173,13 +210,15 @@ def fit_languages(labelled: DataFrame, rows: int = ROWS, text: str = "text",
         seen: dict[str, np.ndarray] = {}
         letters: Counter = Counter()
         for language, own in vocabulary.items():
-            grams: Counter = Counter()
-            for word, n in own.items():
-                for bucket in gram_buckets(word):
-                    grams[bucket] += n
-                letters[language, script_of(word)] += n * len(word)
-            seen[language] = np.zeros(BUCKETS, dtype=np.int64)
-            seen[language][list(grams.keys())] = list(grams.values())
+            if not own:
+                continue
+            words, counts = list(own), np.fromiter(own.values(), dtype=np.int64, count=len(own))
+            buckets, begins, script = grams_of(words)
+            repeats = np.diff(np.append(begins, len(buckets)))
+            seen[language] = np.bincount(buckets, weights=np.repeat(counts, repeats),
+                                         minlength=BUCKETS).astype(np.int64)
+            for place, word, n in zip(script.tolist(), words, counts.tolist()):
+                letters[language, SCRIPTS[place]] += n * len(word)
         out = [(language, "", int(b), int(counts[b]))
                for language, counts in seen.items() for b in np.flatnonzero(counts)]
         out += [(language, script, -1, n) for (language, script), n in letters.items()]
