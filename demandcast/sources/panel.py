@@ -20,11 +20,18 @@ KEYS = ("store", "item")
 
 
 def to_date_column(c: Column | str, dtype: T.DataType,
-                   fmt: str = SOURCE_DATE_FORMAT) -> Column:
-    """a DATE from text (unparsable text becomes null), a timestamp or a date."""
+                   fmt: str = SOURCE_DATE_FORMAT, strict: bool = False) -> Column:
+    """a DATE from text, a timestamp or a date.
+
+    Unparsable text becomes null, or with ``strict`` ends the job with its value.
+    """
     c = F.col(c) if isinstance(c, str) else c
     if isinstance(dtype, T.StringType):
-        return F.try_to_date(c, fmt)
+        day = F.try_to_date(c, fmt)
+        if not strict:
+            return day
+        message = F.concat(F.lit(f"date not in the format {fmt}: "), c)
+        return F.when(c.isNotNull() & day.isNull(), F.raise_error(message).cast("date")).otherwise(day)
     if isinstance(dtype, T.DateType):
         return c
     return F.to_date(c)
@@ -47,7 +54,7 @@ def unparsable_dates(df: DataFrame, col: str = "date",
 
 def typed_panel(df: DataFrame, date: str = "date", store: str = "store",
                 item: str = "item", target: str = "sales",
-                fmt: str = SOURCE_DATE_FORMAT) -> DataFrame:
+                fmt: str = SOURCE_DATE_FORMAT, strict: bool = False) -> DataFrame:
     """Project any frame to the four panel columns with the panel types.
 
     The projection is explicit so a parquet or catalog scan reads only these
@@ -55,7 +62,7 @@ def typed_panel(df: DataFrame, date: str = "date", store: str = "store",
     """
     dtype = df.schema[date].dataType
     return df.select(
-        to_date_column(date, dtype, fmt).alias("date"),
+        to_date_column(date, dtype, fmt, strict).alias("date"),
         F.col(store).cast("int").alias("store"),
         F.col(item).cast("int").alias("item"),
         F.col(target).cast("int").alias("sales"),
@@ -63,12 +70,17 @@ def typed_panel(df: DataFrame, date: str = "date", store: str = "store",
 
 
 def read_sales(spark: SparkSession, source: str, fmt: str = SOURCE_DATE_FORMAT,
-               file_format: str | None = None, dedupe: bool = False) -> DataFrame:
+               file_format: str | None = None, dedupe: bool = True,
+               strict: bool = True) -> DataFrame:
     """Scan the sales table by catalog name or by path.
 
     ``source`` is a table name unless it contains a path separator; paths are
-    read with ``file_format`` (default parquet). ``dedupe=True`` sums rows
-    that repeat a (store, item, date) key (:func:`ensure_grain`).
+    read with ``file_format`` (default parquet). Rows that repeat a (store,
+    item, date) key are summed (:func:`ensure_grain`, a loud error on INT
+    overflow), so a series has at most one row a day; ``dedupe=False`` skips
+    that for a source known to have this grain. Date text that does not parse
+    ends the job unless ``strict=False``, which makes it null (see
+    :func:`unparsable_dates` to list such rows).
     """
     if "/" in source or file_format is not None:
         reader = spark.read.format(file_format or "parquet")
@@ -77,7 +89,7 @@ def read_sales(spark: SparkSession, source: str, fmt: str = SOURCE_DATE_FORMAT,
         raw = reader.load(source)
     else:
         raw = spark.table(source)
-    panel = typed_panel(raw, fmt=fmt)
+    panel = typed_panel(raw, fmt=fmt, strict=strict)
     return ensure_grain(panel) if dedupe else panel
 
 

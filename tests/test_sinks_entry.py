@@ -83,6 +83,17 @@ def test_read_sales_csv_text_dates_and_dedupe(spark, tmp_path):
         check_signature(df.drop("item"), df.schema)
 
 
+def test_read_sales_stops_at_bad_dates(spark, tmp_path):
+    import pytest
+    from demandcast.sources.panel import read_sales
+    p = tmp_path / "bad.csv"
+    p.write_text("date,store,item,sales\n01-02-2020,1,1,3\n2020/13/45,1,1,4\n")
+    with pytest.raises(Exception, match="2020/13/45"):
+        read_sales(spark, str(p), file_format="csv").collect()
+    lax = read_sales(spark, str(p), file_format="csv", strict=False)
+    assert sorted(str(r["date"]) for r in lax.collect()) == ["2020-01-02", "None"]
+
+
 def test_cluster_session_without_checkpoint_dir_is_refused():
     import pytest
 
@@ -117,6 +128,14 @@ def test_cluster_session_without_checkpoint_dir_is_refused():
         def get(self, key, default=None):
             return "hdfs:///shared/ckpt" if key == "spark.checkpoint.dir" else default
 
+    class OwnFolder(Conf):
+        def get(self, key, default=None):
+            return "file:/tmp/ckpt" if key == "spark.checkpoint.dir" else default
+
+    Session.conf = OwnFolder()
+    with pytest.raises(RuntimeError):  # each machine has its own /tmp
+        ensure_checkpoint_dir(Session())
+
     Session.conf = SharedConf()
     assert ensure_checkpoint_dir(Session()) == "hdfs:///shared/ckpt"
     assert Session.sparkContext.set_to == "hdfs:///shared/ckpt"
