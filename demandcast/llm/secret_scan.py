@@ -22,7 +22,6 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from demandcast.llm.common import text_or_empty, with_fields
 
