@@ -143,50 +143,57 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, ranges: int | None = N
         raise ValueError(f"samples must be a multiple of {BLOCK}")
     rows = with_next(docs, ranges)
     edited = edited_text(F.col("text"), F.col("next_text"))
-    versions = rows.select("__range", "__n", "__own", "doc_id", "text", edited.alias("edited")) \
-        .select("__range", "__n", F.col("__own").cast("int").alias("__own"), "doc_id",
-                F.length("text").cast("long").alias("n_chars"),
-                *[F.conv(F.substring(F.sha2("edited", 256), 1 + 13 * i, 13), 16, 10)
-                  .cast("long").alias(f"__sha{i}") for i in range(5)],
-                F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("body")),
-                                 F.struct(F.lit(1).alias("side"), F.col("edited").alias("body")))))
-    # the document's own values ride on the first word of its text; other rows
-    # leave them null, so that all groups hold fixed-width values only
-    facts = ["__own", "doc_id", "n_chars", *[f"__sha{i}" for i in range(5)]]
-    first = (F.col("__at").isNull() | (F.col("__at") == 0)) & (F.col("side") == 0)
-    tokens = versions.select("__range", "__n", "side", *facts,
-                             F.posexplode_outer(words(F.col("body"))).alias("__at", "word")) \
+    facts = {"own": F.col("__own").cast("long"), "doc_id": F.col("doc_id"),
+             "n_chars": F.length("text").cast("long"),
+             **{f"sha{i}": F.conv(F.substring("__sha", 1 + 13 * i, 13), 16, 10).cast("long")
+                for i in range(5)}}
+    versions = rows.withColumn("edited", edited).withColumn("__sha", F.sha2("edited", 256)).select(
+        "__range", "__n", *[c.alias(f"__{name}") for name, c in facts.items()],
+        F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("body")),
+                         F.struct(F.lit(1).alias("side"), F.col("edited").alias("body")))))
+    # the document's own values travel as rows beside its words (empty words in
+    # front of its text), so that groups hold a single value column besides
+    front = F.when(F.col("side") == 0, F.array_repeat(F.lit(""), len(facts))) \
+        .otherwise(F.array().cast("array<string>"))
+    value = F.coalesce(*[F.when(F.col("__at") == i, F.col(f"__{name}"))
+                         for i, name in enumerate(facts)])
+    is_fact = F.col("word") == ""
+    tokens = versions.select("__range", "__n", "side", *[f"__{name}" for name in facts],
+                             F.posexplode(F.concat(front, words(F.col("body")))).alias("__at", "word")) \
         .select("__range", "__n", "side",
-                F.when(F.col("word").isNotNull(), F.xxhash64("word")).alias("term"),
-                *[F.when(first, F.col(f)).alias(f) for f in facts])
-    counted = tokens.groupBy("__range", "__n", "term").agg(
-        F.sum(1 - F.col("side")).alias("w0"), F.sum("side").alias("w1"),
-        *[F.max(f).alias(f) for f in facts])
+                F.when(is_fact, -1 - F.col("__at")).otherwise(F.lit(0)).alias("fact"),
+                F.when(~is_fact, F.xxhash64("word")).alias("term"),
+                F.when(is_fact, value).alias("value"))
+    counted = tokens.groupBy("__range", "__n", "fact", "term").agg(
+        F.sum(1 - F.col("side")).alias("w0"), F.sum("side").alias("w1"), F.max("value").alias("value"))
     weights = [F.when(F.col(w) > 0, F.log(F.col(w).cast("double"))).alias(f"l{w}")
                for w in ("w0", "w1")]
-    blocks = counted.select("__range", "__n", "term", *facts, *weights, F.explode(
-        F.sequence(F.lit(0), F.lit(samples // BLOCK - 1))).alias("block"))
+    # a term goes to every block of samples, a fact to a block of its own
+    blocks = counted.select("__range", "__n", "term", "value", *weights, F.explode(
+        F.when(F.col("fact") < 0, F.array("fact")).otherwise(
+            F.sequence(F.lit(0), F.lit(samples // BLOCK - 1)))).alias("block"))
     least = []
     for i in range(BLOCK):
         own, other = sample(F.col("term"), F.col("block") * BLOCK + i,
                             [F.col("lw0"), F.col("lw1")])
         least += [F.min(own).alias(f"own{i}"), F.min(other).alias(f"other{i}")]
-    by_block = blocks.groupBy("__range", "__n", "block").agg(
-        *least, *[F.max(f).alias(f) for f in facts])
+    by_block = blocks.groupBy("__range", "__n", "block").agg(*least, F.max("value").alias("value"))
 
     def gathered(side: str) -> Column:
-        parts = F.array_sort(F.collect_list(F.struct(
-            "block", *[F.col(f"{side}{i}").alias(f"v{i}") for i in range(BLOCK)])))
+        parts = F.array_sort(F.collect_list(F.when(F.col("block") >= 0, F.struct(
+            "block", *[F.col(f"{side}{i}").alias(f"v{i}") for i in range(BLOCK)]))))
         flat = F.flatten(F.transform(parts, lambda p: F.array(*[p[f"v{i}"] for i in range(BLOCK)])))
         low = F.lit(0xFFFFFFFF)
         return F.transform(F.filter(flat, lambda v: v.isNotNull()), lambda v: v.bitwiseAND(low))
 
     per_doc = by_block.groupBy("__range", "__n").agg(
         gathered("own").alias("fingerprint"), gathered("other").alias("edited_fingerprint"),
-        *[F.max(f).alias(f) for f in facts])
+        *[F.max(F.when(F.col("block") == -1 - i, F.col("value"))).alias(f"__{name}")
+          for i, name in enumerate(facts)])
     following = F.lead("fingerprint").over(Window.partitionBy("__range").orderBy("__n"))
     sha = F.concat(*[F.lower(F.lpad(F.hex(f"__sha{i}"), 13 if i < 4 else 12, "0")) for i in range(5)])
     return per_doc.withColumn("__following", following).filter(F.col("__own") == 1).select(
-        "doc_id", "n_chars", sha.alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        F.col("__doc_id").alias("doc_id"), F.col("__n_chars").alias("n_chars"),
+        sha.alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("__following")).alias("near_next"))
