@@ -52,8 +52,8 @@ def easter_sql(y: str = "y") -> str:
     i, k = f"({c} div 4)", f"({c} % 4)"
     l_ = f"((32 + 2 * {e} + 2 * {i} - {h} - {k}) % 7)"
     m = f"(({a} + 11 * {h} + 22 * {l_}) div 451)"
-    t = f"({h} + {l_} - 7 * {m} + 114)"
-    return f"make_date({y}, CAST({t} div 31 AS INT), CAST({t} % 31 + 1 AS INT))"
+    # days after 1 March
+    return f"date_add(make_date({y}, 3, 1), CAST({h} + {l_} - 7 * {m} + 21 AS INT))"
 
 
 def _rule_date_sql(kind: str, args: tuple, name: str = "") -> str:
@@ -102,25 +102,49 @@ def _entries(rules) -> list[tuple[str, str]]:
     return entries
 
 
+def _conditions(date: str, rules) -> list[tuple[str, str]]:
+    """(name, SQL condition) of every rule for a row's own date.
+
+    Each is guarded by the months it can fall in, so most rows compare a few
+    integers only; Easter is one expression, and its days are offsets to it.
+    """
+    column = "`" + date.replace("`", "``") + "`"
+    year = f"CAST(year({column}) AS INT)"
+
+    def own_year(text: str) -> str:
+        return re.sub(r"(?<![A-Za-z0-9_`])y(?![A-Za-z0-9_`])", year, text)
+
+    out = []
+    days = dict(_entries(rules))
+    for name, kind, args, weekend, since in rules:
+        if kind == "easter":
+            ok = "" if since is None else f" AND {year} >= {int(since)}"
+            out.append((name, f"month({column}) IN (3, 4){ok} AND "
+                              f"datediff({column}, {own_year(easter_sql('y'))}) = {int(args[0])}"))
+            continue
+        months = {int(args[0])} | {m for m, _ in MOVED.get(name, {}).values()}
+        guard = f"month({column}) IN ({', '.join(map(str, sorted(months)))})"
+        out.append((name, f"{guard} AND {own_year(days[name])} = {column}"))
+        if weekend is not None:
+            observed = f"{name} (Observed)"
+            out.append((observed, f"{guard} AND {own_year(days[observed])} = {column}"))
+    return out
+
+
 def holiday_names(date: str = "date", rules=VIC_RULES) -> Column:
     """The names of the holidays that fall on a row's date (an array, maybe empty).
 
     The rules are evaluated for the year of the date itself, so any year is
-    covered and no calendar is joined. Substitute days stay in their year.
+    covered and no calendar is joined. Substitute days stay in their month.
     """
-    column = "`" + date.replace("`", "``") + "`"
-    year = f"CAST(year({column}) AS INT)"
-    cases = []
-    for name, day in _entries(rules):
-        day = re.sub(r"\beaster\b", easter_sql("y"), day)
-        cases.append(f"CASE WHEN {re.sub(r'(?<![A-Za-z0-9_`])y(?![A-Za-z0-9_`])', year, day)} = {column} "
-                     f"THEN {_sql_string(name)} END")
+    cases = [f"CASE WHEN {cond} THEN {_sql_string(name)} END" for name, cond in _conditions(date, rules)]
     return F.expr(f"array_compact(array({', '.join(cases)}))")
 
 
 def is_holiday(date: str = "date", rules=VIC_RULES) -> Column:
     """Whether a row's date is a holiday (false for a null date)."""
-    return F.size(holiday_names(date, rules)) > 0
+    either = " OR ".join(f"({cond})" for _, cond in _conditions(date, rules))
+    return F.expr(f"coalesce({either}, false)")
 
 
 def holiday_calendar(spark: SparkSession, years, rules=VIC_RULES,
