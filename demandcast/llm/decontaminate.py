@@ -14,6 +14,14 @@ unit word right after a number, or a currency or per cent sign; words are
 compared in lower case, punctuation is left out. A text with fewer than five
 tokens is one window.
 
+Beside this stated form (the one of the SQL text) items and documents have a
+plain form, in which names are lower-case words and white space is any run with
+at most one line break. In it an item of 2 to 8 tokens is one window of its own
+length, looked for at every place of a document; an item of one token holds no
+passage and only matches a text that consists of it. An item that the stated form
+does not find is held if another form covers it; the coverage is that of the
+first form that does.
+
 Documents are identified by their text, so copies are judged once: the window
 rows of a text are reduced to distinct (text, item, window) before they move.
 The benchmark's windows are broadcast only after their number has been checked;
@@ -34,6 +42,11 @@ from pyspark.sql import functions as F
 from demandcast.llm.common import bounded_broadcast, checkpointed, text_or_empty
 
 WINDOW, SHARE = 5, 0.8
+#: Template forms: as the SQL states them, and with names as lower-case words.
+STATED, PLAIN = 0, 1
+FORMS = (STATED, PLAIN)
+#: Tokens of the longest and shortest item that is one window of its own length.
+WHOLE, LEAST = 8, 2
 #: Literal tokens from which a window counts whatever its values are.
 LITERALS = 2
 #: Windows (two longs and an id each) or texts (a long) up to which a side is broadcast.
@@ -51,11 +64,20 @@ UNITS = ("km", "cm", "mm", "m", "mi", "miles", "mile", "ft", "feet", "foot", "in
 _NAME, _UNIT, _NUMBER, _END = "\u0001", "\u0002", "\u0003", "\u0004"
 _NAMES = r"(?<=[\p{Ll}\p{Nd},;:] )\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*+"
 _UNIT_WORDS = rf"(?<=\p{{Nd}})( ?)((?i:{'|'.join(UNITS)}))(?![\p{{L}}\p{{M}}\p{{Nd}}])"
+# white space with at most one line break
+_WRAP = r"(?:[^\S\n]++\n?[^\S\n]*+|\n[^\S\n]*+)"
+_UNIT_WORDS_WRAPPED = _UNIT_WORDS.replace("( ?)", f"({_WRAP}?)")
 _UNIT_SIGNS = r"[%$€£¥]"
 _NUMBERS = r"\p{Nd}++(?:[.,]\p{Nd}++)*+"
 
 
-def template_tokens(text: Column, valued: bool = False) -> Column:
+def _tokens(marked: Column, valued: bool) -> Column:
+    token = rf"[\p{{L}}\p{{M}}]+|[{_NAME}{_UNIT}{_NUMBER}]" \
+        + (rf"[^{_END}]*{_END}" if valued else "")
+    return F.regexp_extract_all(F.lower(marked), F.lit(token), F.lit(0))
+
+
+def template_tokens(text: Column, valued: bool = False, form: int = STATED) -> Column:
     """The template tokens of a text; with ``valued`` placeholders keep their value."""
     end = _END if valued else ""
 
@@ -63,85 +85,139 @@ def template_tokens(text: Column, valued: bool = False) -> Column:
         return F.lit(f" {kind}{value if valued else ''}{end} ")
 
     marked = F.translate(text, _NAME + _UNIT + _NUMBER + _END, "    ")
-    marked = F.regexp_replace(marked, F.lit(_NAMES), slot(_NAME, "$0"))
-    marked = F.regexp_replace(marked, F.lit(_UNIT_WORDS), slot(_UNIT, "$2"))
+    if form == STATED:
+        marked = F.regexp_replace(marked, F.lit(_NAMES), slot(_NAME, "$0"))
+    units = _UNIT_WORDS if form == STATED else _UNIT_WORDS_WRAPPED
+    marked = F.regexp_replace(marked, F.lit(units), slot(_UNIT, "$2"))
     marked = F.regexp_replace(marked, F.lit(_UNIT_SIGNS), slot(_UNIT, "$0"))
     marked = F.regexp_replace(marked, F.lit(_NUMBERS), slot(_NUMBER, "$0"))
-    token = rf"[\p{{L}}\p{{M}}]+|[{_NAME}{_UNIT}{_NUMBER}]" \
-        + (rf"[^{_END}]*{_END}" if valued else "")
-    return F.regexp_extract_all(F.lower(marked), F.lit(token), F.lit(0))
+    return _tokens(marked, valued)
+
 
+def _windows(tokens: Column, form: int, lengths: list[int]) -> Column:
+    """Every window of a token array, as token arrays.
 
-def _windows(tokens: Column) -> Column:
-    """Every window of a token array (the whole array if it is shorter; none if empty)."""
-    last = F.greatest(F.size(tokens) - WINDOW, F.lit(0))
-    return F.when(F.size(tokens) == 0, F.array().cast("array<array<string>>")).otherwise(
-        F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(tokens, i + 1, WINDOW)))
+    Of the stated form the whole array if it is shorter than a window (none if
+    empty); of the others every window of the given lengths.
+    """
+    def of(n: int) -> Column:
+        last = F.greatest(F.size(tokens) - n, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(
+            i.alias("at"), F.slice(tokens, i + 1, n).alias("valued")))
+
+    none = F.array().cast("array<struct<at: int, valued: array<string>>>")
+    if form == STATED:
+        return F.when(F.size(tokens) == 0, none).otherwise(of(WINDOW))
+    return F.concat(none, *[F.when(F.size(tokens) >= n, of(n)).otherwise(none) for n in lengths])
+
+
+def _hashes(tokens: Column, form: int, lengths: list[int]) -> Column:
+    """The hash of every window, as :func:`_window_hash` gives it, from hashes of the tokens."""
+    def of(n: int) -> Column:
+        last = F.greatest(F.size(tokens) - n, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(
+            *[F.get(tokens, i + k) for k in range(n)]))
+
+    none = F.array().cast("array<bigint>")
+    if form == STATED:
+        return F.when(F.size(tokens) == 0, none).otherwise(of(WINDOW))
+    return F.concat(none, *[F.when(F.size(tokens) >= n, of(n)).otherwise(none) for n in lengths])
 
 
-def _valued_windows(rows: DataFrame, *keys: str) -> DataFrame:
-    """``*keys, at, window, slots, literals`` of every window of column ``text``.
+def _window_hash(template: Column) -> Column:
+    """The hash of a template window of at most :data:`WHOLE` tokens."""
+    # a hash passes over nulls, so the length needs no argument of its own
+    return F.xxhash64(*[F.when(F.size(template) > k, F.xxhash64(F.get(template, F.lit(k))))
+                        for k in range(WHOLE)])
 
-    ``slots`` holds the placeholder values with their place in the text.
+
+def _valued_windows(rows: DataFrame, lengths: list[int] | None, *keys: str) -> DataFrame:
+    """``*keys, form, at, window, slots, literals`` of every window of column ``text``.
+
+    ``slots`` holds the placeholder values with their place in the text. Without
+    ``lengths`` the rows are items, which have one window length each.
     """
-    tokens = rows.select(*keys, template_tokens(F.col("text"), valued=True).alias("tokens"))
-    wide = tokens.select(*keys, F.posexplode(_windows(F.col("tokens"))).alias("at", "valued"))
     kinds = _NAME + _UNIT + _NUMBER
 
     def is_slot(t: Column) -> Column:
         return F.instr(F.lit(kinds), F.substring(t, 1, 1)) > 0
 
-    template = F.transform("valued", lambda t: F.when(is_slot(t), F.substring(t, 1, 1)).otherwise(t))
-    placed = F.transform("valued", lambda t, i: F.struct(
-        (F.col("at") + i).alias("place"), t.alias("value")))
-    return wide.select(*keys, "at", F.xxhash64(template).alias("window"),
-                       F.filter(placed, lambda p: is_slot(p["value"])).alias("slots"),
-                       F.size(F.filter("valued", lambda t: ~is_slot(t))).alias("literals"))
-
-
-def _candidates(texts: DataFrame, items: DataFrame, share: float) -> DataFrame:
-    """``text_key, item``: texts whose templates cover enough of an item's windows."""
-    index = items.select("item", "window").distinct()
-    sizes = index.groupBy("item").agg(F.count("*").alias("n"))
-    # the tokens are a column of their own: inside a lambda they would be found anew
+    out = None
+    for form in FORMS:
+        tokens = rows.select(*keys, template_tokens(F.col("text"), True, form).alias("tokens"))
+        if lengths is not None or form == STATED:
+            found = _windows(F.col("tokens"), form, lengths or [])
+        else:
+            n = F.size("tokens")
+            found = F.when(n > WHOLE, _windows(F.col("tokens"), form, [WINDOW])).when(
+                n >= LEAST, F.array(F.struct(F.lit(0).alias("at"), F.col("tokens").alias("valued"))))
+        wide = tokens.select(*keys, F.inline(found))
+        template = F.transform("valued", lambda t: F.when(is_slot(t), F.substring(t, 1, 1)).otherwise(t))
+        placed = F.transform("valued", lambda t, i: F.struct(
+            (F.col("at") + i).alias("place"), F.regexp_replace(t, r"\s+", " ").alias("value")))
+        wide = wide.select(*keys, F.lit(form).alias("form"), "at", F.size("valued").alias("length"),
+                           _window_hash(template).alias("window"),
+                           F.filter(placed, lambda p: is_slot(p["value"])).alias("slots"),
+                           F.size(F.filter("valued", lambda t: ~is_slot(t))).alias("literals"))
+        out = wide if out is None else out.unionByName(wide)
+    return out
+
+
+def _candidates(texts: DataFrame, items: DataFrame, lengths: list[int], share: float) -> DataFrame:
+    """``text_key, item, form``: texts whose templates cover enough of an item's windows.
+
+    A text's windows of all forms are taken together here, so a form can have
+    candidates that :func:`_verified` finds to cover less.
+    """
+    index = items.select("item", "form", "window").distinct()
+    sizes = index.groupBy("item", "form").agg(F.count("*").alias("n"))
+    # the tokens are columns of their own: inside a lambda they would be found anew
     # for every window
-    tokens = texts.select("text_key", template_tokens(F.col("text")).alias("tokens"))
-    found = tokens.select("text_key", F.explode(F.transform(
-        _windows(F.col("tokens")), lambda w: F.xxhash64(w))).alias("window"))
+    tokens = texts.select("text_key", *[template_tokens(F.col("text"), False, f).alias(f"t{f}")
+                                        for f in FORMS])
+    hashed = tokens.select("text_key", *[F.transform(f"t{f}", lambda t: F.xxhash64(t)).alias(f"t{f}")
+                                         for f in FORMS])
+    found = hashed.select("text_key", F.explode(F.array_distinct(F.concat(
+        *[_hashes(F.col(f"t{f}"), f, lengths) for f in FORMS]))).alias("window"))
     hits = found.join(bounded_broadcast(index, BROADCAST_ROWS), "window").distinct() \
-        .groupBy("text_key", "item").agg(F.count("*").alias("hits"))
-    return hits.join(bounded_broadcast(sizes, BROADCAST_ROWS), "item") \
-        .filter(F.col("hits") >= share * F.col("n")).select("text_key", "item")
+        .groupBy("text_key", "item", "form").agg(F.count("*").alias("hits"))
+    return hits.join(bounded_broadcast(sizes, BROADCAST_ROWS), ["item", "form"]) \
+        .filter(F.col("hits") >= share * F.col("n")).select("text_key", "item", "form")
 
 
-def _verified(texts: DataFrame, items: DataFrame, candidates: DataFrame, share: float) -> DataFrame:
+def _verified(texts: DataFrame, items: DataFrame, lengths: list[int], candidates: DataFrame,
+              share: float) -> DataFrame:
     """``text_key, item, coverage`` of the candidates whose slots are consistent."""
     keys = bounded_broadcast(candidates.select("text_key").distinct(), BROADCAST_ROWS)
     # one row per distinct text: copies are the same text
     chosen = texts.join(keys, "text_key", "left_semi").groupBy("text_key") \
         .agg(F.min("text").alias("text"))
-    inside = _valued_windows(chosen, "text_key").join(candidates, "text_key")
-    index = items.select("item", "window", F.col("at").alias("item_at"),
+    inside = _valued_windows(chosen, lengths, "text_key").drop("length") \
+        .join(candidates, ["text_key", "form"])
+    index = items.select("item", "form", "window", F.col("at").alias("item_at"),
                          F.col("slots").alias("item_slots"), "literals")
-    pairs = inside.drop("literals").join(index, ["item", "window"])
+    pairs = inside.drop("literals").join(index, ["item", "form", "window"])
     same = F.transform("slots", lambda s: s["value"]) == F.transform("item_slots", lambda s: s["value"])
     pairs = pairs.filter((F.col("literals") >= LITERALS) | same) \
         .withColumn("shift", F.col("at") - F.col("item_at"))
-    slots = pairs.select("text_key", "item", "shift", F.explode(
+    by = ["text_key", "item", "form"]
+    slots = pairs.select(*by, "shift", F.explode(
         F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))).alias("z")) \
-        .select("text_key", "item", "shift", F.col("z.i.value").alias("i"), F.col("z.d.value").alias("d")) \
+        .select(*by, "shift", F.col("z.i.value").alias("i"), F.col("z.d.value").alias("d")) \
         .distinct()
-    clashes = slots.groupBy("text_key", "item", "shift").agg(
+    clashes = slots.groupBy(*by, "shift").agg(
         F.count("*").alias("both"), F.countDistinct("i").alias("n_i"), F.countDistinct("d").alias("n_d")) \
         .filter((F.col("both") > F.col("n_i")) | (F.col("both") > F.col("n_d")))
-    sound = pairs.join(clashes, [pairs[c].eqNullSafe(clashes[c])
-                                 for c in ("text_key", "item", "shift")], "left_anti")
+    sound = pairs.join(clashes, [pairs[c].eqNullSafe(clashes[c]) for c in (*by, "shift")], "left_anti")
     # windows that an item repeats count by their template, as in the first pass
-    covered = sound.select("text_key", "item", "window").distinct() \
-        .groupBy("text_key", "item").agg(F.count("*").alias("hits"))
-    sizes = items.select("item", "window").distinct().groupBy("item").agg(F.count("*").alias("n"))
-    return covered.join(sizes, "item").withColumn("coverage", F.col("hits") / F.col("n")) \
-        .filter(F.col("hits") >= share * F.col("n")).select("text_key", "item", "coverage")
+    covered = sound.select(*by, "window").distinct() \
+        .groupBy(*by).agg(F.count("*").alias("hits"))
+    sizes = items.select("item", "form", "window").distinct() \
+        .groupBy("item", "form").agg(F.count("*").alias("n"))
+    held = covered.join(sizes, ["item", "form"]).withColumn("coverage", F.col("hits") / F.col("n")) \
+        .filter(F.col("hits") >= share * F.col("n"))
+    # the first form that holds the item states the coverage
+    return held.groupBy("text_key", "item").agg(F.min_by("coverage", "form").alias("coverage"))
 
 
 def contaminated_texts(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
@@ -151,9 +227,12 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, share: float = SHA
     # items are numbered by content, so a null id joins like any other
     items = benchmark.select(F.xxhash64(F.col("item_id").isNull(), "item_id").alias("item"),
                              text_or_empty().alias("text"))
-    indexed = checkpointed(_valued_windows(items, "item"))
-    candidates = checkpointed(_candidates(texts, indexed, share))
-    return checkpointed(_verified(texts, indexed, candidates, share))
+    indexed = checkpointed(_valued_windows(items, None, "item"))
+    # at most WHOLE lengths
+    lengths = sorted(r[0] for r in indexed.filter(F.col("form") != STATED)
+                     .select("length").distinct().collect())
+    candidates = checkpointed(_candidates(texts, indexed, lengths, share))
+    return checkpointed(_verified(texts, indexed, lengths, candidates, share))
 
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:

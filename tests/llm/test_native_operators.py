@@ -252,6 +252,24 @@ def test_reparameterised_questions(spark):
     assert {r.doc_id for r in kept.collect()} == set(texts) - {d for d, _ in got}
 
 
+def held_in(spark, items, texts):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {(r.doc_id, r.item_id) for r in decontaminate.find_contaminated(docs, bench).collect()}
+
+
+def test_short_items_inside_documents(spark):
+    items = ["Name the largest planet", "What is the capital of France?", "planet",
+             "How far is it in 12 km of the way we go"]
+    got = held_in(spark, items, [
+        "Some words first. Name the largest planet of them all, and go on with the lesson.",
+        "We consider this: What is the capital of France? Nobody knew.",
+        "they asked us what is the capital of France and nobody knew",
+        "He may name the\nlargest planet there", "the largest of them, name the planet", "planet",
+        "so how far is it in 12\nkm of the way we go", "What was the capital of France?"])
+    assert got == {(0, 0), (1, 1), (2, 1), (3, 0), (5, 2), (6, 3)}
+
+
 def test_decontamination_edges(spark, edge, empty):
     bench = spark.createDataFrame([(1, "one two three four five"), (1, "one two three four five")],
                                   "item_id long, text string")
