@@ -20,7 +20,11 @@ at most one line break. In it an item of 2 to 8 tokens is one window of its own
 length, looked for at every place of a document; an item of one token holds no
 passage and only matches a text that consists of it. An item that the stated form
 does not find is held if another form covers it; the coverage is that of the
-first form that does.
+first form that does. A third, named form takes every capitalised word (or run)
+as a name, also at the start of a sentence, a line or a quotation, so that names
+can be swapped there too. An item that is one window has few literals to tell it
+by: in its named form a capitalised word that is no name in the stated sense
+(such as the question word that it begins with) must be the same in the document.
 
 Documents are identified by their text, so copies are judged once: the window
 rows of a text are reduced to distinct (text, item, window) before they move.
@@ -42,9 +46,10 @@ from pyspark.sql import functions as F
 from demandcast.llm.common import bounded_broadcast, checkpointed, text_or_empty
 
 WINDOW, SHARE = 5, 0.8
-#: Template forms: as the SQL states them, and with names as lower-case words.
-STATED, PLAIN = 0, 1
-FORMS = (STATED, PLAIN)
+#: Template forms: as the SQL states them, with names as lower-case words, and with
+#: every capitalised word as a name.
+STATED, PLAIN, NAMED = 0, 1, 2
+FORMS = (STATED, PLAIN, NAMED)
 #: Tokens of the longest and shortest item that is one window of its own length.
 WHOLE, LEAST = 8, 2
 #: Literal tokens from which a window counts whatever its values are.
@@ -67,6 +72,8 @@ _UNIT_WORDS = rf"(?<=\p{{Nd}})( ?)((?i:{'|'.join(UNITS)}))(?![\p{{L}}\p{{M}}\p{{
 # white space with at most one line break
 _WRAP = r"(?:[^\S\n]++\n?[^\S\n]*+|\n[^\S\n]*+)"
 _UNIT_WORDS_WRAPPED = _UNIT_WORDS.replace("( ?)", f"({_WRAP}?)")
+# every capitalised word or run of them, wherever it stands; not a unit's kept value
+_ALL_NAMES = rf"(?<![\p{{L}}\p{{M}}{_UNIT}])\p{{Lu}}\p{{Ll}}++(?:{_WRAP}\p{{Lu}}\p{{Ll}}++)*+"
 _UNIT_SIGNS = r"[%$€£¥]"
 _NUMBERS = r"\p{Nd}++(?:[.,]\p{Nd}++)*+"
 
@@ -91,6 +98,8 @@ def template_tokens(text: Column, valued: bool = False, form: int = STATED) -> C
     marked = F.regexp_replace(marked, F.lit(units), slot(_UNIT, "$2"))
     marked = F.regexp_replace(marked, F.lit(_UNIT_SIGNS), slot(_UNIT, "$0"))
     marked = F.regexp_replace(marked, F.lit(_NUMBERS), slot(_NUMBER, "$0"))
+    if form == NAMED:
+        marked = F.regexp_replace(marked, F.lit(_ALL_NAMES), slot(_NAME, "$0"))
     return _tokens(marked, valued)
 
 
@@ -132,10 +141,12 @@ def _window_hash(template: Column) -> Column:
 
 
 def _valued_windows(rows: DataFrame, lengths: list[int] | None, *keys: str) -> DataFrame:
-    """``*keys, form, at, window, slots, literals`` of every window of column ``text``.
+    """``*keys, form, at, length, window, slots, fixed, literals`` of every window of column ``text``.
 
-    ``slots`` holds the placeholder values with their place in the text. Without
-    ``lengths`` the rows are items, which have one window length each.
+    ``slots`` holds the placeholder values with their place in the text, ``fixed``
+    those that a document may not change (null unless the text is one window in
+    its named form). Without ``lengths`` the rows are items, which have one window
+    length each.
     """
     kinds = _NAME + _UNIT + _NUMBER
 
@@ -144,20 +155,27 @@ def _valued_windows(rows: DataFrame, lengths: list[int] | None, *keys: str) -> D
 
     out = None
     for form in FORMS:
-        tokens = rows.select(*keys, template_tokens(F.col("text"), True, form).alias("tokens"))
+        tokens = rows.select(*keys, template_tokens(F.col("text"), True, form).alias("tokens"),
+                             F.transform(F.regexp_extract_all(
+                                 F.regexp_replace("text", r"\s+", " "), F.lit(_NAMES), F.lit(0)),
+                                 lambda t: F.concat(F.lit(_NAME), F.lower(t), F.lit(_END))).alias("names"))
         if lengths is not None or form == STATED:
             found = _windows(F.col("tokens"), form, lengths or [])
         else:
             n = F.size("tokens")
             found = F.when(n > WHOLE, _windows(F.col("tokens"), form, [WINDOW])).when(
                 n >= LEAST, F.array(F.struct(F.lit(0).alias("at"), F.col("tokens").alias("valued"))))
-        wide = tokens.select(*keys, F.inline(found))
+        fixed = F.lit(form == NAMED) & (F.size("tokens") <= WHOLE)
+        wide = tokens.select(*keys, "names", fixed.alias("fixed"), F.inline(found))
         template = F.transform("valued", lambda t: F.when(is_slot(t), F.substring(t, 1, 1)).otherwise(t))
         placed = F.transform("valued", lambda t, i: F.struct(
             (F.col("at") + i).alias("place"), F.regexp_replace(t, r"\s+", " ").alias("value")))
         wide = wide.select(*keys, F.lit(form).alias("form"), "at", F.size("valued").alias("length"),
                            _window_hash(template).alias("window"),
                            F.filter(placed, lambda p: is_slot(p["value"])).alias("slots"),
+                           F.when(F.col("fixed"), F.filter(placed, lambda p: p["value"].startswith(_NAME)
+                                                           & ~F.array_contains("names", p["value"])))
+                           .alias("fixed"),
                            F.size(F.filter("valued", lambda t: ~is_slot(t))).alias("literals"))
         out = wide if out is None else out.unionByName(wide)
     return out
@@ -185,6 +203,13 @@ def _candidates(texts: DataFrame, items: DataFrame, lengths: list[int], share: f
         .filter(F.col("hits") >= share * F.col("n")).select("text_key", "item", "form")
 
 
+def _last_words(name: Column, n: Column) -> Column:
+    """A kept name without what stands before its last ``n`` words (a heading, say)."""
+    words = F.split(F.substring(name, 2, 2**31 - 1), " ")
+    return F.when(~name.startswith(_NAME) | (F.size(words) <= n), name).otherwise(
+        F.concat(F.lit(_NAME), F.array_join(F.slice(words, -n, n), " ")))
+
+
 def _verified(texts: DataFrame, items: DataFrame, lengths: list[int], candidates: DataFrame,
               share: float) -> DataFrame:
     """``text_key, item, coverage`` of the candidates whose slots are consistent."""
@@ -192,18 +217,26 @@ def _verified(texts: DataFrame, items: DataFrame, lengths: list[int], candidates
     # one row per distinct text: copies are the same text
     chosen = texts.join(keys, "text_key", "left_semi").groupBy("text_key") \
         .agg(F.min("text").alias("text"))
-    inside = _valued_windows(chosen, lengths, "text_key").drop("length") \
+    inside = _valued_windows(chosen, lengths, "text_key").drop("length", "fixed") \
         .join(candidates, ["text_key", "form"])
     index = items.select("item", "form", "window", F.col("at").alias("item_at"),
-                         F.col("slots").alias("item_slots"), "literals")
+                         F.col("slots").alias("item_slots"), "fixed", "literals")
     pairs = inside.drop("literals").join(index, ["item", "form", "window"])
     same = F.transform("slots", lambda s: s["value"]) == F.transform("item_slots", lambda s: s["value"])
     pairs = pairs.filter((F.col("literals") >= LITERALS) | same) \
         .withColumn("shift", F.col("at") - F.col("item_at"))
+    # such a word may end a run of names in the document
+    kept = F.forall("fixed", lambda i: F.exists("slots", lambda d: (
+        d["place"] == i["place"] + F.col("shift")) & ((d["value"] == i["value"]) | d["value"].endswith(
+            F.concat(F.lit(" "), F.substring(i["value"], 2, 2**31 - 1))))))
+    pairs = pairs.filter(F.coalesce(kept, F.lit(True)))
     by = ["text_key", "item", "form"]
     slots = pairs.select(*by, "shift", F.explode(
         F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))).alias("z")) \
-        .select(*by, "shift", F.col("z.i.value").alias("i"), F.col("z.d.value").alias("d")) \
+        .select(*by, "shift", F.col("z.i.value").alias("i"),
+                F.when((F.col("form") == NAMED) & (F.col("z.i.place") == 0), _last_words(
+                    F.col("z.d.value"), F.size(F.split("z.i.value", " "))))
+                .otherwise(F.col("z.d.value")).alias("d")) \
         .distinct()
     clashes = slots.groupBy(*by, "shift").agg(
         F.count("*").alias("both"), F.countDistinct("i").alias("n_i"), F.countDistinct("d").alias("n_d")) \

@@ -270,6 +270,19 @@ def test_short_items_inside_documents(spark):
     assert got == {(0, 0), (1, 1), (2, 1), (3, 0), (5, 2), (6, 3)}
 
 
+def test_names_at_any_place(spark):
+    item = ("Tom bought twelve. Anna bought half of what her brother had. Tom gave his sister two more. "
+            "\"Anna should share them,\" said Paul Miller. How many did each of them have?")
+    swapped = item.replace("Tom", "Raj").replace("Anna", "Mia").replace("Paul Miller", "Eve")
+    texts = ["Before it. " + swapped + " After it.", item.replace(" Tom", "\n\nTom").replace(" Paul", "\n  Paul"),
+             item.lower(), "Quiz\n" + swapped.replace(" Mia", "\tMia"), item.replace("Paul Miller", "Paul\nMiller"),
+             swapped.replace("Mia", "Raj"),       # two names of the item become one
+             "Which is the capital of Spain?", "We say: What is the capital of Spain?",
+             "Paris is the capital of France"]
+    got = held_in(spark, [item, "What is the capital of France?"], texts)
+    assert got == {(0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (7, 1)}
+
+
 def test_decontamination_edges(spark, edge, empty):
     bench = spark.createDataFrame([(1, "one two three four five"), (1, "one two three four five")],
                                   "item_id long, text string")
