@@ -101,6 +101,9 @@ class LanguageModel:
     languages: list[str]
     logp: np.ndarray
     scripts: dict[str, list[int]]
+    #: Per language, mean log probability of an n-gram below which words fit it no
+    #: better than random letters (set by :func:`with_least_fit`).
+    least: np.ndarray | None = None
     index: dict = field(default_factory=dict, repr=False, compare=False)
     matrix: np.ndarray | None = field(default=None, repr=False, compare=False)
 
@@ -121,6 +124,14 @@ class LanguageModel:
         known = np.isfinite(best)
         return np.where(known, np.maximum(total - np.where(known, best, 0), FLOOR), 0)
 
+    def fits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log probability of each word per language, its n-grams, and whether its
+        script is a learned one."""
+        buckets, begins, script = grams_of(words)
+        total = np.add.reduceat(self.logp[:, buckets], begins, axis=1).T
+        known = np.isin(script, [SCRIPTS.index(s) for s in self.scripts])
+        return total, np.diff(np.append(begins, len(buckets))), known
+
     def scores(self, words: list[str]) -> np.ndarray:
         """Scores of many words (words x languages), remembered per process."""
         if self.matrix is None or len(self.index) + len(words) > len(self.matrix):
@@ -193,14 +204,20 @@ def label(text: str, model: LanguageModel) -> tuple[str, float, list[dict]]:
     return model.languages[pick], float(share[pick] * sure), spans
 
 
-def fit_languages(labelled: DataFrame, rows: int = ROWS, text: str = "text",
-                  lang: str = "lang", sample_by: str = "doc_id") -> LanguageModel:
-    """Fit on at most about ``rows`` labelled documents (a hash sample of them)."""
+def _fit_sample(labelled: DataFrame, rows: int, text: str, lang: str, sample_by: str) -> DataFrame:
+    """``text, lang`` of at most about ``rows`` labelled documents."""
     known = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     total = known.count()
     if total > rows:
         share = F.pmod(F.xxhash64(sample_by, F.lit("language")), F.lit(1_000_000))
         known = known.filter(share < int(1_000_000 * rows / total))
+    return known.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
+
+
+def fit_languages(labelled: DataFrame, rows: int = ROWS, text: str = "text",
+                  lang: str = "lang", sample_by: str = "doc_id") -> LanguageModel:
+    """Fit on at most about ``rows`` labelled documents (a hash sample of them)."""
+    known = _fit_sample(labelled, rows, text, lang, sample_by)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary: dict[str, Counter] = {}
@@ -226,9 +243,7 @@ def fit_languages(labelled: DataFrame, rows: int = ROWS, text: str = "text",
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c) for c in zip(*out)], names=["lang", "script", "bucket", "n"])
 
-    table = known.select(F.col(text).cast("string").alias("text"),
-                         F.col(lang).cast("string").alias("lang")) \
-        .mapInArrow(count, "lang string, script string, bucket long, n long") \
+    table = known.mapInArrow(count, "lang string, script string, bucket long, n long") \
         .groupBy("lang", "script", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(table["lang"].unique())
     place = {name: i for i, name in enumerate(languages)}
@@ -245,6 +260,84 @@ def fit_languages(labelled: DataFrame, rows: int = ROWS, text: str = "text",
     return LanguageModel(languages, logp, {k: sorted(v) for k, v in scripts.items()})
 
 
+def fit_of(text: str, model: LanguageModel) -> tuple[float, float]:
+    """How far a text is evidence of a learned language.
+
+    The share of its letters in learned scripts; and for the words in those, the
+    mean log probability per n-gram under the language they are labelled with,
+    less the least of that language. A text without letters is (0, 0).
+    """
+    words = WORD.findall(text)
+    if not words or not model.languages:
+        return 0.0, 0.0
+    path = viterbi(model.scores(words))
+    unique = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    at = np.fromiter(map(unique.__getitem__, words), dtype=np.int64, count=len(words))
+    total, grams, known = model.fits(list(unique))
+    letters = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    learned = known[at]
+    if not learned.any():
+        return 0.0, 0.0
+    over = total[at, path] - grams[at] * (0 if model.least is None else model.least[path])
+    return float(letters[learned].sum() / letters.sum()), \
+        float(over[learned].sum() / grams[at][learned].sum())
+
+
+def with_least_fit(model: LanguageModel, labelled: DataFrame, rows: int = ROWS, text: str = "text",
+                   lang: str = "lang", sample_by: str = "doc_id") -> LanguageModel:
+    """The model with its least fit per language, from the texts that it was fitted on.
+
+    Half-way between the mean log probability of an n-gram of the language's
+    training words and that of words of the same lengths whose letters are drawn
+    evenly from the letters of those words.
+    """
+    known = _fit_sample(labelled, rows, text, lang, sample_by)
+    place = {name: i for i, name in enumerate(model.languages)}
+    shared = labelled.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted, rng = shared.value, np.random.default_rng(0)
+        sums = np.zeros((len(place), 4))
+        for batch in batches:
+            for body, language in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
+                words = WORD.findall(body)
+                if not words:
+                    continue
+                letters = sorted(set("".join(words).lower()))
+                drawn = ["".join(rng.choice(letters, len(w))) for w in words]
+                for i, some in enumerate((words, drawn)):
+                    total, grams, _ = fitted.fits(some)
+                    sums[place[language], 2 * i:2 * i + 2] += total[:, place[language]].sum(), grams.sum()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(place), pa.string()), *(pa.array(c) for c in sums.T)],
+            names=["lang", "own", "n_own", "drawn", "n_drawn"])
+
+    sums = {r["lang"]: r for r in known.mapInArrow(
+        run, "lang string, own double, n_own double, drawn double, n_drawn double")
+        .groupBy("lang").agg(*[F.sum(c).alias(c) for c in ("own", "n_own", "drawn", "n_drawn")]).collect()}
+    model.least = np.array([(r["own"] / r["n_own"] + r["drawn"] / r["n_drawn"]) / 2
+                            for r in map(sums.__getitem__, model.languages)])
+    return model
+
+
+def fitting_languages(docs: DataFrame, model: LanguageModel, *keep: Column) -> DataFrame:
+    """``*keep, known, fit`` of every whole text, as :func:`fit_of` gives them."""
+    rows = docs.select(*keep, text_or_empty().alias("__text"))
+    names = rows.columns[:-1]
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = shared.value
+        for batch in batches:
+            out = [fit_of(t, fitted) for t in batch.column("__text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(n) for n in names), *(pa.array([o[i] for o in out], pa.float64())
+                                                      for i in (0, 1))],
+                names=[*names, "known", "fit"])
+
+    return rows.mapInArrow(run, with_fields(rows.schema.fields[:-1], "known double, fit double"))
+
+
 def label_languages(docs: DataFrame, model: LanguageModel, *keep: Column) -> DataFrame:
     """``*keep, lang_pred, score, spans`` of every whole text."""
     rows = docs.select(*keep, text_or_empty().alias("__text"))

@@ -425,6 +425,23 @@ def test_mixing_edges(edge, empty):
 
 # ------------------------------------------------------------------- pipeline --
 
+def test_language_stage_rejects_foreign_and_gibberish(spark, docs, rows):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("bcdfghjklmnpqrstvwxzaeiou", k=rng.randint(4, 9)))
+    planted = {-1: "это очень большой дом и собака там " * 5, -2: "これはとても大きな家です。" * 5,
+               -3: " ".join(word() for _ in range(60)), -4: " ".join(word() for _ in range(25)), -5: "12 %"}
+    latin = next(r.text for r in rows if r.lang == "fr" and len(r.text) > 800)
+    planted[-6] = latin[:700] + " это дом"
+    row = docs.limit(1).drop("doc_id", "text", "lang")
+    extra = spark.createDataFrame([(i, t) for i, t in planted.items()], "doc_id long, text string") \
+        .crossJoin(row).withColumn("lang", F.lit(None).cast("string"))
+    kept = {r.doc_id for r in corpus_pipeline.language(
+        spark, docs.unionByName(extra.select(*[F.col(c).cast(docs.schema[c].dataType) for c in docs.columns])),
+        CHECK).select("doc_id").collect()}
+    assert {i for i in kept if i < 0} == {-6}
+    assert len(kept) - 1 > 0.99 * len(rows)
+
+
 def test_pipeline(spark, docs, rows):
     from test_text_operators import plain_components, plain_simhash
     names = [n for n, _ in corpus_pipeline.STAGES]
