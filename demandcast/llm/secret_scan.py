@@ -2,8 +2,10 @@
 
 Base spans come from three patterns (``assign``, ``access``, ``hex``). The
 method adds ``novel`` spans: a candidate is a run of token characters with
-letters and digits that follows a sensitive word on the same line and lies
-outside the base spans. Its novelty is its marginal compressed size: the bytes
+letters and digits that stands in the block of a sensitive word, before or after
+it, and lies outside the base spans. A block is what blank lines enclose, and the
+whole of a ``-----BEGIN ...`` to its ``-----END`` marker (or to the blank line
+after it, if there is none). Its novelty is its marginal compressed size: the bytes
 that zstandard needs for it when primed with a raw dictionary of identifiers and
 of the text around it, less those of an empty frame, per byte of the candidate.
 Natural identifiers and strings that the surrounding text repeats compress away;
@@ -17,8 +19,10 @@ give a row; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -41,14 +45,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_LEAST = 12
 
-#: Words that make the rest of their line a sensitive context.
+#: Words that make their block a sensitive context.
 SENSITIVE = ("password", "passwd", "passphrase", "secret", "token", "api_?key", "apikey",
              "auth", "bearer", "credential", "private", "access", "signature")
 _SENSITIVE = re.compile("|".join(map(_either_case, SENSITIVE)))
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _LETTER_AND_DIGIT = re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])")
-#: Code points after a sensitive word, and around a candidate, that are looked at.
-REACH, AROUND = 64, 512
+_BLANK = re.compile(r"\n[^\S\n]*(?=\n)|\r[^\S\r\n]*(?=\r)")
+_BEGIN = "-----BEGIN "
+#: Code points around a candidate that are looked at.
+AROUND = 512
 #: Marginal compressed bytes per byte from which a candidate is reported.
 NOVELTY = 0.8
 #: Names common in configuration and program text, priming the compressor.
@@ -92,25 +98,58 @@ def novelty(candidate: str, around: str, identifiers: tuple[str, ...] = tuple(ID
     return (len(compress(raw)) - len(compress(b""))) / len(raw)
 
 
+def sensitive_blocks(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the blocks with a sensitive word, in order and apart."""
+    words = _SENSITIVE.finditer(text)
+    word = next(words, None)
+    if word is None:
+        return []
+    edges = sorted({0, len(text), *(m.start() for m in _BLANK.finditer(text))})
+    found = []
+    for start, end in zip(edges, edges[1:]):
+        while word is not None and word.start() < start:
+            word = next(words, None)
+        if word is None:
+            break
+        if word.start() < end:
+            found.append((start, end))
+    at = text.find(_BEGIN)
+    while at >= 0:  # a marker's block may hold blank lines
+        line = text.find("\n", at)
+        end = text.find("-----END", at)
+        if end >= 0 and _SENSITIVE.search(text, at, line if 0 <= line < end else end):
+            found.append((at, end))
+            at = text.find(_BEGIN, end)
+        else:
+            at = -1 if end < 0 else text.find(_BEGIN, at + 1)
+    merged = []
+    for start, end in sorted(found):
+        if merged and start <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(end, merged[-1][1]))
+        else:
+            merged.append((start, end))
+    return merged
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]],
                 least: float = NOVELTY) -> list[tuple[int, int, int]]:
     """(start, rank of kind, end) of incompressible strings in sensitive context."""
-    taken, found = None, {}
-    for word in _SENSITIVE.finditer(text):
-        line_end = text.find("\n", word.end(), word.end() + REACH)
-        reach = line_end if line_end >= 0 else min(len(text), word.end() + REACH)
-        for m in _TOKEN.finditer(text, word.end()):
+    found, cuts = [], sorted((s, e) for s, _, e in base)
+    ends = list(accumulate((e for _, e in cuts), max))
+    for first, last in sensitive_blocks(text):
+        for m in _TOKEN.finditer(text, first):
             start, end = m.span()
-            if start >= reach:
+            if start >= last:
                 break
-            if start in found or not _LETTER_AND_DIGIT.match(m[0]):
+            if not _LETTER_AND_DIGIT.match(m[0]):
                 continue
-            taken = base if taken is None else taken
-            if any(s < end and start < e for s, _, e in taken):
+            before = bisect_left(cuts, (end,))   # base spans that begin before its end
+            if before and ends[before - 1] > start:
                 continue
             around = text[max(0, start - AROUND):start] + text[end:end + AROUND]
-            found[start] = (novelty(m[0], around) >= least, end)
-    return [(s, 3, e) for s, (new, e) in found.items() if new]
+            if novelty(m[0], around) >= least:
+                found.append((start, 3, end))
+    return found
 
 
 def scan_secrets(docs: DataFrame, *keep: Column, least: float = NOVELTY) -> DataFrame:

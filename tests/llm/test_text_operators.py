@@ -122,6 +122,19 @@ def test_novelty_reports_random_strings_only():
     assert scan("token = 24be64439e3e49cf46b2d7c90f3602a3") == []  # a base span already
 
 
+def test_novelty_measures_the_whole_block():
+    scan = lambda t: [t[s:e] for s, _, e in secret_scan.novel_spans(t, secret_scan.base_spans(t))]
+    key, other = "Zx9Qw3Lk8Vb2Nm5Tr7Yp1Uo4", "hT6rW0qZ4mK8vB1xC5nJ9pL3"
+    for text in (f"-----BEGIN RSA PRIVATE KEY-----\n{key}\n\n{other}\n-----END RSA PRIVATE KEY-----\n",
+                 f"credentials:\n  user: me\n  value: {key}\n  more: {other}\n",
+                 '{"credentials":{"user":"me","url":"https://host.example.com/a/long/path/to/some/place/of/the/'
+                 f'service","k":"{key}","l":"{other}"}}}}',
+                 f"{key} {other} are the credentials"):
+        assert scan(text) == [key, other], text
+    assert scan(f"the credentials\n\n{key}") == []
+    assert scan("word " * 20_000 + "\n" * 50_000) == []
+
+
 def test_secret_query_and_edges(spark, edge, empty):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{CHECK}/documents.parquet").collect()}
     for r in queries.op1_secret_scans(spark, CHECK).collect():
