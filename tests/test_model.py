@@ -145,3 +145,28 @@ def test_forecast_report_with_search(spark, made_frames):
     rep = forecast_report(panel, max_iter=4, patience=2, search_trials=2, search_rounds=3)
     assert rep.trials.count() == 2
     assert rep.store_metrics.count() == 2  # the made series have stores 1 and 2
+
+
+def test_tuned_store_metrics_searches_ten_trials_and_can_fail(spark, monkeypatch):
+    import inspect
+
+    from demandcast.plans import registry
+    frame = spark.createDataFrame([(1, 10.0), (1, 12.0), (2, 30.0)], "store int, sales double")
+    searched = inspect.signature(registry.random_search)
+    trials = []
+
+    def search(*args, **kwargs):
+        bound = searched.bind(*args, **kwargs)
+        bound.apply_defaults()
+        trials.append(bound.arguments["n_trials"])
+        return None, {}
+
+    monkeypatch.setattr(registry, "_frames", lambda *_: (frame, frame, frame))
+    monkeypatch.setattr(registry, "random_search", search)
+    monkeypatch.setattr(registry, "retrain_best", lambda *a, **k: None)
+    for off, beats in ((0.5, True), (1e6, False)):
+        monkeypatch.setattr(registry, "predict", lambda fit, df, off=off: df.withColumn(
+            "prediction", F.col("sales") + off))
+        got = registry.q_tuned_store_metrics(spark, "").collect()
+        assert {(r.store, r.n, r.scored) for r in got} == {(1, 2, beats), (2, 1, beats)}
+    assert trials == [10, 10]
