@@ -67,14 +67,16 @@ UNITS = ("km", "cm", "mm", "m", "mi", "miles", "mile", "ft", "feet", "foot", "in
          "v", "a", "j", "n", "usd", "eur", "gb", "mb", "kb")
 # placeholders: name, unit, number; the last character ends a kept value
 _NAME, _UNIT, _NUMBER, _END = "\u0001", "\u0002", "\u0003", "\u0004"
-_NAMES = r"(?<=[\p{Ll}\p{Nd},;:] )\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*+"
-_UNIT_WORDS = rf"(?<=\p{{Nd}})( ?)((?i:{'|'.join(UNITS)}))(?![\p{{L}}\p{{M}}\p{{Nd}}])"
+# the first letter is looked at before what stands in front of it, which is faster
+_NAMES = r"\p{Lu}(?<=[\p{Ll}\p{Nd},;:] \p{Lu})\p{Ll}+(?: \p{Lu}\p{Ll}+)*+"
+_UNIT_WORDS = rf"(\p{{Nd}})( ?)((?i:{'|'.join(UNITS)}))(?![\p{{L}}\p{{M}}\p{{Nd}}])"
 # white space with at most one line break
 _WRAP = r"(?:[^\S\n]++\n?[^\S\n]*+|\n[^\S\n]*+)"
 _UNIT_WORDS_WRAPPED = _UNIT_WORDS.replace("( ?)", f"({_WRAP}?)")
 # every capitalised word or run of them, wherever it stands; not a unit's kept value
-_ALL_NAMES = rf"(?<![\p{{L}}\p{{M}}{_UNIT}])\p{{Lu}}\p{{Ll}}++(?:{_WRAP}\p{{Lu}}\p{{Ll}}++)*+"
+_ALL_NAMES = rf"\p{{Lu}}(?<![\p{{L}}\p{{M}}{_UNIT}]\p{{Lu}})\p{{Ll}}++(?:{_WRAP}\p{{Lu}}\p{{Ll}}++)*+"
 _UNIT_SIGNS = r"[%$€£¥]"
+_SLOT_MAYBE = r"[\p{Nd}%$€£¥]"
 _NUMBERS = r"\p{Nd}++(?:[.,]\p{Nd}++)*+"
 
 
@@ -88,16 +90,18 @@ def template_tokens(text: Column, valued: bool = False, form: int = STATED) -> C
     """The template tokens of a text; with ``valued`` placeholders keep their value."""
     end = _END if valued else ""
 
-    def slot(kind: str, value: str) -> Column:
-        return F.lit(f" {kind}{value if valued else ''}{end} ")
+    def slot(kind: str, value: str, front: str = "") -> Column:
+        return F.lit(f"{front} {kind}{value if valued else ''}{end} ")
 
-    marked = F.translate(text, _NAME + _UNIT + _NUMBER + _END, "    ")
+    marks = _NAME + _UNIT + _NUMBER + _END
+    marked = F.when(text.rlike(f"[{marks}]"), F.translate(text, marks, "    ")).otherwise(text)
     if form == STATED:
         marked = F.regexp_replace(marked, F.lit(_NAMES), slot(_NAME, "$0"))
     units = _UNIT_WORDS if form == STATED else _UNIT_WORDS_WRAPPED
-    marked = F.regexp_replace(marked, F.lit(units), slot(_UNIT, "$2"))
-    marked = F.regexp_replace(marked, F.lit(_UNIT_SIGNS), slot(_UNIT, "$0"))
-    marked = F.regexp_replace(marked, F.lit(_NUMBERS), slot(_NUMBER, "$0"))
+    slots = F.regexp_replace(marked, F.lit(units), slot(_UNIT, "$3", "$1"))
+    slots = F.regexp_replace(slots, F.lit(_UNIT_SIGNS), slot(_UNIT, "$0"))
+    slots = F.regexp_replace(slots, F.lit(_NUMBERS), slot(_NUMBER, "$0"))
+    marked = F.when(text.rlike(_SLOT_MAYBE), slots).otherwise(marked)
     if form == NAMED:
         marked = F.regexp_replace(marked, F.lit(_ALL_NAMES), slot(_NAME, "$0"))
     return _tokens(marked, valued)
@@ -140,13 +144,15 @@ def _window_hash(template: Column) -> Column:
                         for k in range(WHOLE)])
 
 
-def _valued_windows(rows: DataFrame, lengths: list[int] | None, *keys: str) -> DataFrame:
+def _valued_windows(rows: DataFrame, lengths: list[int] | None, *keys: str,
+                    only: DataFrame | None = None) -> DataFrame:
     """``*keys, form, at, length, window, slots, fixed, literals`` of every window of column ``text``.
 
     ``slots`` holds the placeholder values with their place in the text, ``fixed``
     those that a document may not change (null unless the text is one window in
     its named form). Without ``lengths`` the rows are items, which have one window
-    length each.
+    length each. With ``only`` (``form, window``) the other windows are left out
+    before they move.
     """
     kinds = _NAME + _UNIT + _NUMBER
 
@@ -168,10 +174,13 @@ def _valued_windows(rows: DataFrame, lengths: list[int] | None, *keys: str) -> D
         fixed = F.lit(form == NAMED) & (F.size("tokens") <= WHOLE)
         wide = tokens.select(*keys, "names", fixed.alias("fixed"), F.inline(found))
         template = F.transform("valued", lambda t: F.when(is_slot(t), F.substring(t, 1, 1)).otherwise(t))
+        wide = wide.withColumn("form", F.lit(form)).withColumn("window", _window_hash(template)) \
+            .withColumn("length", F.size("valued"))
+        if only is not None:
+            wide = wide.join(only, ["form", "window"], "left_semi")
         placed = F.transform("valued", lambda t, i: F.struct(
             (F.col("at") + i).alias("place"), F.regexp_replace(t, r"\s+", " ").alias("value")))
-        wide = wide.select(*keys, F.lit(form).alias("form"), "at", F.size("valued").alias("length"),
-                           _window_hash(template).alias("window"),
+        wide = wide.select(*keys, "form", "at", "length", "window",
                            F.filter(placed, lambda p: is_slot(p["value"])).alias("slots"),
                            F.when(F.col("fixed"), F.filter(placed, lambda p: p["value"].startswith(_NAME)
                                                            & ~F.array_contains("names", p["value"])))
@@ -217,7 +226,8 @@ def _verified(texts: DataFrame, items: DataFrame, lengths: list[int], candidates
     # one row per distinct text: copies are the same text
     chosen = texts.join(keys, "text_key", "left_semi").groupBy("text_key") \
         .agg(F.min("text").alias("text"))
-    inside = _valued_windows(chosen, lengths, "text_key").drop("length", "fixed") \
+    held = bounded_broadcast(items.select("form", "window").distinct(), BROADCAST_ROWS)
+    inside = _valued_windows(chosen, lengths, "text_key", only=held).drop("length", "fixed") \
         .join(candidates, ["text_key", "form"])
     index = items.select("item", "form", "window", F.col("at").alias("item_at"),
                          F.col("slots").alias("item_slots"), "fixed", "literals")
@@ -247,10 +257,10 @@ def _verified(texts: DataFrame, items: DataFrame, lengths: list[int], candidates
         .groupBy(*by).agg(F.count("*").alias("hits"))
     sizes = items.select("item", "form", "window").distinct() \
         .groupBy("item", "form").agg(F.count("*").alias("n"))
-    held = covered.join(sizes, ["item", "form"]).withColumn("coverage", F.col("hits") / F.col("n")) \
+    found = covered.join(sizes, ["item", "form"]).withColumn("coverage", F.col("hits") / F.col("n")) \
         .filter(F.col("hits") >= share * F.col("n"))
     # the first form that holds the item states the coverage
-    return held.groupBy("text_key", "item").agg(F.min_by("coverage", "form").alias("coverage"))
+    return found.groupBy("text_key", "item").agg(F.min_by("coverage", "form").alias("coverage"))
 
 
 def contaminated_texts(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
