@@ -194,7 +194,53 @@ SELECT doc_id, size, source_size, round(target, 6) AS target,
 FROM copies"""
 
 
+def filter_audit_sql() -> str:
+    """Ranks texts by doc_id within the whole text; walks every order with bit masks."""
+    return """
+WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+worded AS (
+  SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         min(doc_id) OVER (PARTITION BY t) AS least FROM texts),
+masked AS (
+  SELECT doc_id, part,
+         CASE WHEN len(w) < 50 THEN 1 ELSE 0 END
+         + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+         + CASE WHEN doc_id > least THEN 16 ELSE 0 END AS mask FROM worded),
+marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+                 max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+cells AS (
+  SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+  FROM masked LEFT JOIN marks USING (doc_id) GROUP BY part, mask),
+letters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS l(letter, bit)),
+orders AS (
+  SELECT [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits,
+         a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+steps AS (
+  SELECT filter_order, CAST(i AS INTEGER) AS step, bits[i] AS bit,
+         coalesce(CAST(list_sum(bits[1:i - 1]) AS INTEGER), 0) AS before
+  FROM orders, range(1, 6) AS r(i)),
+sums AS (
+  SELECT part, filter_order, step, any_value(bit) AS bit,
+         coalesce(sum(n) FILTER (WHERE mask & (bit | before) = 0), 0) AS kept,
+         coalesce(sum(n) FILTER (WHERE mask & bit > 0 AND mask & before = 0), 0) AS removed,
+         coalesce(sum(n) FILTER (WHERE mask & bit > 0 AND mask & before > 0), 0) AS redundant,
+         coalesce(sum(n) FILTER (WHERE mask = bit), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (WHERE mask & bit > 0 AND mask & before = 0), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER (WHERE mask & bit > 0 AND mask & before = 0), 0) AS toxic_lost
+  FROM cells, steps GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM sums"""
+
+
 ORACLE_SQL = {
+    "op11_filter_audit": filter_audit_sql(),
     "op7_mixing": mixing_sql(),
     "op4_pii": personal_data_sql(),
     "op5_decontamination": decontamination_sql(),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from demandcast.llm.common import span_text, table
 from demandcast.llm.decontaminate import find_contaminated
+from demandcast.llm.filter_audit import audit_filters
 from demandcast.llm.fingerprint import fingerprints, hex_text
 from demandcast.llm.language import fit_languages, held_out, label_languages, learnable
 from demandcast.llm.mixing import curriculum_mix
@@ -88,6 +89,10 @@ def op10_quality_classifier(spark, sf_dir):
     return score_quality(docs, model, F.col("doc_id"), held_out(3, 1).alias("held_out"))
 
 
+def op11_filter_audit(spark, sf_dir):
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_document_fingerprints": op2_document_fingerprints,
@@ -99,4 +104,5 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_language_id": op9_language_id,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_filter_audit": op11_filter_audit,
 }

@@ -15,7 +15,7 @@ def plain(value):
 def test_query_equals_its_sql(spark, name, size):
     folder = f"/root/testdata/{size}"
     con = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{folder}/{table}.parquet')")
     found = con.execute(ORACLE_SQL[name])
     columns = [d[0] for d in found.description]
