@@ -6,6 +6,8 @@ derives the contract's columns from the operator's output.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from demandcast.llm.common import span_text, table
@@ -22,7 +24,9 @@ from demandcast.llm.secret_scan import BASE as SECRETS
 from demandcast.llm.secret_scan import scan_secrets
 from demandcast.llm.sharding import assign_shards
 from demandcast.llm.simhash import near_copies
+from demandcast.llm.token_files import read_documents, write_token_files
 from demandcast.llm.tokens import count_tokens
+from demandcast.session import shared_path
 
 
 def _digest(found, base):
@@ -93,6 +97,13 @@ def op11_filter_audit(spark, sf_dir):
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_token_files(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    folder = shared_path(spark, f"token_files/{uuid.uuid4().hex}")
+    manifest = write_token_files(docs, folder)
+    return read_documents(spark, folder, manifest, docs.schema["doc_id"].dataType.simpleString())
+
+
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_document_fingerprints": op2_document_fingerprints,
@@ -105,4 +116,5 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_filter_audit": op11_filter_audit,
+    "op13_token_files": op13_token_files,
 }
