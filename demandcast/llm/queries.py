@@ -26,6 +26,7 @@ from demandcast.llm.sharding import assign_shards
 from demandcast.llm.simhash import near_copies
 from demandcast.llm.token_files import read_documents, write_token_files
 from demandcast.llm.tokens import count_tokens
+from demandcast.llm.whitening import whiten
 from demandcast.session import shared_path
 
 
@@ -97,6 +98,10 @@ def op11_filter_audit(spark, sf_dir):
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_embedding_whitening(spark, sf_dir):
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_token_files(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     folder = shared_path(spark, f"token_files/{uuid.uuid4().hex}")
@@ -116,5 +121,6 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_filter_audit": op11_filter_audit,
+    "op12_embedding_whitening": op12_embedding_whitening,
     "op13_token_files": op13_token_files,
 }
