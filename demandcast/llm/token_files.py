@@ -17,8 +17,9 @@ decides which attempt counts, so a retried or speculative task leaves an unliste
 never a wrong one. :func:`read_documents` reads the listed files back, a batch at a time.
 
 Encoding: the vocabulary drops white space and never looks across it, so the ids of a
-text are those of its white-space separated pieces. Pieces are encoded once per Python
-worker (many at a time, with a special token between them) and kept as bytes.
+text are those of its white-space separated pieces. Arrow splits the texts of a batch
+and finds their distinct pieces; those are encoded by the library, thousands at a time,
+once per Python worker while they are met again.
 
 Defined cases: a null or empty text is its end id alone; the vocabulary's special
 strings inside a text are one id each, as the library does by default; texts of any
@@ -38,6 +39,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -49,8 +51,11 @@ from demandcast.llm.common import partitions, text_or_empty
 LENGTH, BATCH = 1024, 64
 #: Id after every document (the query's contract), and the id of padding.
 END_ID, PAD_ID = 2, 0
-#: Pieces kept per Python worker, the longest one kept, and how many are encoded at once.
-CACHE_ENTRIES, CACHE_BYTES, AT_ONCE = 800_000, 48, 4096
+#: Pieces kept per Python worker (twice as many at most, beside those of one batch), the
+#: longest one kept, and how many are encoded at once.
+CACHE_ENTRIES, CACHE_CHARS, AT_ONCE = 600_000, 48, 4096
+#: Stands between pieces that are encoded at once: one id, and no part of another token.
+BETWEEN = "\x01"
 _MANIFEST = "part int, sequences string, documents string, n_docs long, n_ids long"
 
 
@@ -69,45 +74,68 @@ def id_dtype(path: str | None = None) -> np.dtype:
     return np.dtype("<u2" if max(_library(path).get_vocab().values()) < 1 << 16 else "<u4")
 
 
+def split_tails(pieces: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Pieces as the vocabulary reads them: lower case, closing marks apart.
+
+    Both only where that cannot change the ids: ASCII pieces (other letters may compose
+    differently in another case), and marks that follow an ASCII letter or digit.
+    """
+    low = pc.if_else(pc.string_is_ascii(pieces), pc.ascii_lower(pieces), pieces)
+    parts = pc.extract_regex(low, r"\A(?P<core>(?s:.*)[A-Za-z0-9])(?P<tail>[.,;:!?]+)\z")
+    core, tail = (pc.struct_field(parts, i) for i in (0, 1))
+    return pc.coalesce(core, low), pc.coalesce(tail, pa.scalar(""))
+
+
 @lru_cache(maxsize=2)
-def piece_encoder(path: str | None = None) -> Callable[[list[bytes]], list[bytes]]:
-    """``encode(texts)``: UTF-8 texts to the bytes of their ids, as :func:`id_dtype`."""
+def text_encoder(path: str | None = None) -> Callable[[pa.Array], tuple[memoryview, list[int]]]:
+    """``encode(texts)``: the ids of all texts as bytes (as :func:`id_dtype`), and where
+    each text's ids start, with the end of the last."""
     library, dtype = _library(path), id_dtype(path)
     width = dtype.itemsize
-    special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
-    between, between_id = next(iter(special.items()))
-    odd = re.compile("|".join(re.escape(s) for s in special).encode()).search
-    known: dict[bytes, bytes] = {}
 
-    def encode_all(pieces: list[bytes]) -> Iterator[bytes]:
-        """Ids of pieces without special strings, many in one call."""
+    def ids_of(text: str) -> np.ndarray:
+        return np.array(library.encode(text, add_special_tokens=False).ids, dtype)
+
+    special = [t.content for t in library.get_added_tokens_decoder().values()]
+    odd = re.compile("|".join(map(re.escape, [*special, BETWEEN]))).search
+    (between,) = ids_of(BETWEEN).tolist()
+    # the pieces met lately, and those met before; what is met again moves over
+    known: dict[str, bytes] = {}
+    older: dict[str, bytes] = {}
+
+    def encode_all(pieces: list[str]) -> Iterator[bytes]:
+        """Ids of many pieces, a few thousand in one call."""
         for at in range(0, len(pieces), AT_ONCE):
-            some = pieces[at:at + AT_ONCE]
-            text = between.join(p.decode("utf-8", "replace") for p in some)
-            ids = np.array(library.encode(text, add_special_tokens=False).ids, dtype)
+            ids = ids_of(f" {BETWEEN} ".join(pieces[at:at + AT_ONCE]))
             raw, start = ids.tobytes(), 0
-            for end in (*np.flatnonzero(ids == between_id).tolist(), len(ids)):
+            for end in (*np.flatnonzero(ids == between).tolist(), len(ids)):
                 yield raw[width * start:width * end]
                 start = end + 1
 
-    def encode(texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]  # bytes: ASCII white space only
-        new = {p for pieces in split for p in pieces if p not in known}
-        if len(known) + len(new) > CACHE_ENTRIES:
-            known.clear()
-            new = {p for pieces in split for p in pieces}
+    def encode(texts: pa.Array) -> tuple[memoryview, list[int]]:
+        nonlocal known, older
+        if len(known) > CACHE_ENTRIES:
+            known, older = {}, known
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        parts = [part.dictionary_encode() for part in split_tails(coded.dictionary)]
+        # to_numpy() makes the strings in one go, to_pylist() an Arrow scalar for each
+        met = [part.dictionary.to_numpy(zero_copy_only=False).tolist() for part in parts]
+        new = [p for p in dict.fromkeys([*met[0], *met[1]]) if p not in known]
+        known.update([(p, older[p]) for p in new if p in older])
+        new = [p for p in new if p not in older]
         plain = [p for p in new if not odd(p)]
-        found = dict(zip(plain, encode_all(plain)))
+        known.update(zip(plain, encode_all(plain)))
+        known.update([(p, ids_of(p).tobytes()) for p in new if odd(p)])
+        found = [pa.array([known[p] for p in words], pa.large_binary()).take(part.indices)
+                 for words, part in zip(met, parts)]
+        ids = pc.binary_join_element_wise(*found, pa.scalar(b"", pa.large_binary())).take(coded.indices)
         for p in new:
-            if p not in found:
-                ids = library.encode(p.decode("utf-8", "replace"), add_special_tokens=False).ids
-                found[p] = np.array(ids, dtype).tobytes()
-        known.update(found)
-        out = [b"".join(map(known.__getitem__, pieces)) for pieces in split]
-        for p in found:
-            if len(p) > CACHE_BYTES:
+            if len(p) > CACHE_CHARS:
                 del known[p]
-        return out
+        _, ends, raw = ids.buffers()
+        ends = np.frombuffer(ends, np.int64)[:len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+        return memoryview(raw or b""), ends[split.offsets.to_numpy()].tolist()
 
     return encode
 
@@ -168,7 +196,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        part, encode, dtype = task.partitionId(), piece_encoder(path), id_dtype(path)
+        part, encode, dtype = task.partitionId(), text_encoder(path), id_dtype(path)
         end = np.array([end_id], dtype).tobytes()
         store, base = pafs.FileSystem.from_uri(folder)
         names = [f"{kind}-{part:06d}-{task.taskAttemptId()}.arrow" for kind in ("sequences", "documents")]
@@ -183,9 +211,10 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
                                    ("n_tokens", pa.int64())])
                 documents = pa.ipc.new_file(sinks[1], table)
             starts, sizes = [], []
-            for ids in encode(got.column("text").to_pylist()):
+            raw, places = encode(got.column("text"))
+            for first, last in zip(places, places[1:]):
                 starts.append(sequences.n)
-                sequences.add(ids + end)
+                sequences.add(raw[first:last].tobytes() + end)
                 sizes.append(sequences.n - starts[-1])
             documents.write_batch(pa.RecordBatch.from_arrays(
                 [got.column("doc_id"), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], schema=table))
@@ -203,7 +232,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
     text = text_or_empty()
     # rows that share a doc_id, copies included, still spread over several ranges
     order = [F.col("doc_id").asc_nulls_last(), "__text", "__row"]
-    rows = docs.select("doc_id", text.cast("binary").alias("text"), F.xxhash64(text).alias("__text"),
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("__text"),
                        F.monotonically_increasing_id().alias("__row"))
     dealt = rows.repartitionByRange(parts or partitions(spark), *order).sortWithinPartitions(*order)
     manifest = f"{folder}/manifest"

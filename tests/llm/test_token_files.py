@@ -34,6 +34,11 @@ def plain(rows, library):
     return out
 
 
+def encoded(texts):
+    raw, places = token_files.text_encoder()(pa.array(texts, pa.string()))
+    return [np.frombuffer(raw[a:b], token_files.id_dtype()).tolist() for a, b in zip(places, places[1:])]
+
+
 def written(spark, docs, **options):
     folder = shared_path(spark, f"test-tokens/{uuid.uuid4().hex}")
     manifest = token_files.write_token_files(docs, folder, **options)
@@ -56,15 +61,19 @@ def test_pieces_equal_the_library_on_any_text(texts):
     import public_tokenizers
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    got = token_files.piece_encoder()([x.encode() for x in texts])
-    assert [np.frombuffer(g, token_files.id_dtype()).tolist() for g in got] == \
-        [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert encoded(texts) == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
 def test_special_strings_and_long_pieces(library):
     texts = ["a <|endoftext|> b<|startoftext|>c", "x" * 5000, "", "<|endoftext|>", " \n", "it's 2024, naïve é é"]
-    got = token_files.piece_encoder()([x.encode() for x in texts])
-    assert [np.frombuffer(g, token_files.id_dtype()).tolist() for g in got] == [library(x) for x in texts]
+    assert encoded(texts) == [library(x) for x in texts]
+
+
+def test_pieces_are_forgotten_by_generations(library, monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE_ENTRIES", 5)
+    for i in range(6):
+        texts = [f"always word{i} <|endoftext|> {'long' * 30}", f"word{i - 1} word{i - 2} \x01 a\x01b"]
+        assert encoded(texts) == [library(x) for x in texts]
 
 
 def test_edges(spark, library):
