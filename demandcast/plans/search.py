@@ -14,6 +14,7 @@ from concurrent.futures import ThreadPoolExecutor
 import numpy as np
 from pyspark.sql import DataFrame
 
+from demandcast.plans.boosting import BoostedModel
 from demandcast.plans.model import (PATIENCE, RETRAIN_ROUNDS, TRIAL_ROUNDS, FitResult,
                                    fit_forecaster)
 from demandcast.sources.sinks import RunLog
@@ -45,9 +46,11 @@ def draw_trials(n: int, seed: int = 42, space=SEARCH_SPACE) -> list[dict]:
 def random_search(train: DataFrame, valid: DataFrame, features, label: str = "sales",
                   n_trials: int = 10, seed: int = 42, max_iter: int = TRIAL_ROUNDS,
                   patience: int = PATIENCE, parallelism: int = 1,
-                  run_log: RunLog | None = None) -> tuple[DataFrame, dict]:
+                  run_log: RunLog | None = None, fit=fit_forecaster) -> tuple[DataFrame, dict]:
     """M6: one fit per trial; objective = validation MAPE (floor 1) + RMSE.
 
+    ``fit`` is the trainer: :func:`~demandcast.plans.model.fit_forecaster` (Spark ML's
+    trees) or :func:`~demandcast.plans.boosting.fit_boosted` (leaf-wise trees).
     Returns the trials as a DataFrame (one row per trial) and the best
     parameters. With ``run_log`` each trial's parameters and metrics are
     appended under its own run id.
@@ -56,8 +59,7 @@ def random_search(train: DataFrame, valid: DataFrame, features, label: str = "sa
 
     def run(i_params):
         i, params = i_params
-        r = fit_forecaster(train, valid, features, label, params, max_iter=max_iter,
-                           patience=patience, seed=seed)
+        r = fit(train, valid, features, label, params, max_iter=max_iter, patience=patience, seed=seed)
         objective = r.valid_mape + r.valid_rmse
         return (i, params["learning_rate"], params["max_depth"], params["num_leaves"],
                 params["bagging_fraction"], params["feature_fraction"],
@@ -83,7 +85,6 @@ def random_search(train: DataFrame, valid: DataFrame, features, label: str = "sa
 
 def retrain_best(train: DataFrame, valid: DataFrame, features, best: dict,
                  label: str = "sales", max_iter: int = RETRAIN_ROUNDS,
-                 patience: int = PATIENCE, seed: int = 42) -> FitResult:
+                 patience: int = PATIENCE, seed: int = 42, fit=fit_forecaster) -> FitResult | BoostedModel:
     """M7: fit again with the winning parameters (score with *this* model, D13)."""
-    return fit_forecaster(train, valid, features, label, best, max_iter=max_iter,
-                          patience=patience, seed=seed)
+    return fit(train, valid, features, label, best, max_iter=max_iter, patience=patience, seed=seed)
