@@ -39,9 +39,18 @@ def as_spark(df, spark: SparkSession | None = None) -> DataFrame:
     raise TypeError(f"cannot write a {type(df).__name__}")
 
 
+def laid_out(df: DataFrame, partition_by=None) -> DataFrame:
+    """Rows dealt for a partitioned write: each value's rows together, but a value that
+    holds many rows spread over as many tasks as its size asks for (AQE splits and merges
+    rebalanced partitions by bytes)."""
+    if not partition_by:
+        return df
+    return df.hint("rebalance", *([partition_by] if isinstance(partition_by, str) else partition_by))
+
+
 def save_table(df, name: str, fmt: str = "parquet", mode: str = "overwrite",
                partition_by=None, path: str | None = None, bucket_by=None,
-               buckets: int | None = None, sort_by=None) -> None:
+               buckets: int | None = None, sort_by=None, rows_per_file: int | None = None) -> None:
     """``saveAsTable`` (the reference used Delta; the format is a parameter).
 
     ``path`` makes it an external table at that location; ``partition_by``
@@ -49,17 +58,23 @@ def save_table(df, name: str, fmt: str = "parquet", mode: str = "overwrite",
     "item")`` with ``buckets`` stores the panel hash-partitioned by series, so a
     feature frame read from it needs no shuffle at all (the bucketed scan
     already provides the series partitioning); ``sort_by`` adds ``date``
-    order inside each bucket.
+    order inside each bucket. ``buckets`` defaults to the session's shuffle
+    partitions; ``rows_per_file`` bounds the files of a large partition value.
+    An overwrite that must be atomic, or that reads the table it replaces, is
+    :class:`demandcast.sources.snapshots.SnapshotTable`'s.
     """
     as_list = lambda v: [v] if isinstance(v, str) else list(v)
-    df, buckets = as_spark(df), int(buckets or 200)
-    # rows are dealt by the layout's own keys first, so each bucket (or partition
-    # value) is written by one task: one file, not one per task
+    df = as_spark(df)
+    buckets = int(buckets or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # rows are dealt by the layout's own keys first, so a bucket is written by one task
+    # and a partition value by as few as its size allows, not by every task
     if bucket_by:
         df = df.repartition(buckets, *as_list(bucket_by))
-    elif partition_by:
-        df = df.repartition(*as_list(partition_by))
+    else:
+        df = laid_out(df, partition_by)
     writer = df.write.format(fmt).mode(mode)
+    if rows_per_file:
+        writer = writer.option("maxRecordsPerFile", rows_per_file)
     if partition_by:
         writer = writer.partitionBy(*as_list(partition_by))
     if bucket_by:
