@@ -13,9 +13,11 @@ series at most one row per calendar day.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from demandcast.operators.lookups import MAX_BROADCAST_ROWS
+
 TRAIN, TEST, VALIDATION = "Train", "Test", "Validation"
 
 
@@ -54,6 +56,59 @@ def split_by_time(df: DataFrame, keys=("store", "item"), ratio: float = 0.8,
     return df.withColumn(tag, split_tag_column(keys, ratio, date, names))
 
 
+def series_cutoffs(df: DataFrame, keys=("store", "item"), ratio: float = 0.8,
+                   date: str = "date") -> DataFrame:
+    """Keys and ``cutoff`` of every series: its date at 0-based position floor(n * ratio).
+
+    From a histogram: rows are counted per series and date within each task first, the
+    running sum over a series' dates passes the position once. What is sorted is a row
+    per date, however many rows a date or a series holds.
+    """
+    ratio, keys = _check_ratio(ratio), list(keys)
+    days = df.groupBy(*keys, F.col(date).alias("__date")).agg(F.count("*").alias("__rows"))
+    line = Window.partitionBy(*keys).orderBy(F.col("__date").asc_nulls_last())
+    upto = F.sum("__rows").over(line)
+    place = F.floor(F.sum("__rows").over(Window.partitionBy(*keys)).cast("double") * F.lit(ratio))
+    return (days.select(*keys, "__date", "__rows", upto.alias("__upto"), place.alias("__place"))
+            .filter((F.col("__upto") - F.col("__rows") <= F.col("__place"))
+                    & (F.col("__place") < F.col("__upto")))
+            .select(*keys, F.col("__date").alias("cutoff")))
+
+
+def split_by_histogram(df: DataFrame, keys=("store", "item"), ratio: float = 0.8,
+                       date: str = "date", tag: str = "Dataset", names=(TRAIN, TEST),
+                       broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """T1 without a window over rows: the rows meet their series' cutoff (same result as
+    :func:`split_by_time`).
+
+    The rows are not shuffled by series: up to ``broadcast_rows`` series the cutoffs are
+    broadcast, beyond that they are joined, where AQE splits a series that holds many
+    rows. One more scan of the keys and dates is the price.
+    """
+    keys = list(keys)
+    cutoffs = series_cutoffs(df, keys, ratio, date).select(
+        *[F.col(k).alias(f"__{k}") for k in keys], F.col("cutoff").alias("__cutoff"))
+    if cutoffs.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        cutoffs = F.broadcast(cutoffs)
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    later = F.col(date) > F.col("__cutoff")
+    return df.join(cutoffs, match, "left").select(
+        *[c for c in df.columns if c != tag],
+        F.when(later, F.lit(names[1])).otherwise(F.lit(names[0])).alias(tag))
+
+
+def split_nested_by_histogram(df: DataFrame, keys=("store", "item"), ratio: float = 0.8,
+                              inner_ratio: float = 0.8, date: str = "date",
+                              tag: str = "Dataset") -> DataFrame:
+    """T2 by two histograms: the rows dated up to the first cutoff have a second one."""
+    df = df if tag in df.columns else split_by_histogram(df, keys, ratio, date, tag)
+    train = df.filter(F.col(tag) == TRAIN)
+    inner = split_by_histogram(train, keys, inner_ratio, date, tag, (TRAIN, VALIDATION))
+    return inner.unionByName(df.filter(F.col(tag) != TRAIN))
+
+
 def split_nested(df: DataFrame, keys=("store", "item"), ratio: float = 0.8,
                  inner_ratio: float = 0.8, date: str = "date",
                  tag: str = "Dataset") -> DataFrame:

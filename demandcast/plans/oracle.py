@@ -14,6 +14,8 @@ import datetime as dt
 
 from dateutil.easter import easter
 
+from demandcast.plans.model import REFERENCE_FIXED
+
 RATIO = "0.8::DOUBLE"
 PART = "PARTITION BY store, item, Dataset"
 YEARS = range(1995, 2002)  # years of the derived panel (1995-01-02 .. 2001-11-04)
@@ -332,6 +334,39 @@ def _more_texts() -> dict[str, str]:
         "tuned_store_metrics": tested + "\nSELECT store, count(*) AS n, true AS scored FROM test GROUP BY store",
         "model_roundtrip": tested + "\nSELECT store, item, date, true AS same FROM test",
         "table_roundtrip": _with(PANEL_CTE) + "\nSELECT * FROM panel",
+        "boosted_stump_l1": _with(PANEL_CTE) + "," + _stump_ctes("regression_l1")
+        + "\nSELECT date, store, item, sales, round(prediction, 4) AS prediction FROM scored",
+        "boosted_stump_l2": _with(PANEL_CTE) + "," + _stump_ctes("regression")
+        + "\nSELECT date, store, item, sales, round(prediction, 4) AS prediction FROM scored",
+        "boosted_scores": _with(PANEL_CTE) + "," + _stump_ctes("regression_l1")
+        + "\nSELECT CAST(1 AS INTEGER) AS round, "
+          "round(avg(abs(prediction - sales) / greatest(abs(sales), 1)), 4) AS mape, "
+          "round(sqrt(avg((prediction - sales) ** 2)), 4) AS rmse FROM scored",
+        "stump_importances": _with(PANEL_CTE) + "," + _stump_ctes("regression")
+        + "\nSELECT feature, CAST(1 AS BIGINT) AS splits, round(gain / 1e3, 3) AS gain_thousands FROM chosen",
+        "feature_days": _feature_frame_sql()
+        + " WHERE date BETWEEN DATE '2000-05-01' AND DATE '2000-05-21'",
+        "split_tag_histogram": tagged_base + "\nSELECT * FROM tagged",
+        "split_nested_histogram": _with(PANEL_CTE, TAGGED_CTE, NESTED_CTE.format(src="tagged"))
+        + "\nSELECT * FROM nested",
+        "split_histogram": _with(unfolded, TAGGED_CTE) + "\nSELECT * FROM tagged",
+        "timestamp_feature": _with(PANEL_CTE)
+        + "\nSELECT *, CAST(date AS TIMESTAMP) AS timestamp, "
+          "CAST(epoch(CAST(date AS TIMESTAMP)) AS BIGINT) AS seconds FROM panel",
+        "table_overwrite": _with(PANEL_CTE)
+        + "\nSELECT date, store, item, CAST(sales * 2 AS INTEGER) AS sales FROM panel WHERE store <> 3",
+        "table_snapshots": _with(PANEL_CTE)
+        + "\nSELECT CAST(s AS INTEGER) AS snapshot, count(*) AS rows, CAST(sum(sales) AS BIGINT) AS sales "
+          "FROM panel JOIN range(1, 4) AS r(s) ON store <= s GROUP BY s",
+        "model_versions": _with(PANEL_CTE)
+        + ",\ncuts AS (SELECT * FROM (VALUES (1, 1996), (2, 1998), (3, 2000)) AS c(version, until)),"
+          "\ncounted AS (SELECT version, until, count(*) AS n FROM panel JOIN cuts ON year(date) <= until GROUP BY 1, 2)"
+          "\nSELECT CAST(version AS INTEGER) AS version, 'tag' AS kind, 'until' AS key, CAST(until AS VARCHAR) AS value "
+          "FROM counted"
+          "\nUNION ALL SELECT CAST(version AS INTEGER), 'tag', 'rows', CAST(n AS VARCHAR) FROM counted"
+          "\nUNION ALL SELECT CAST(version AS INTEGER), 'description', 'description', 'means until ' || until FROM counted"
+          "\nUNION ALL SELECT 3, 'mean', CAST(store AS VARCHAR), printf('%.4f', avg(sales)) FROM panel "
+          "WHERE year(date) <= 2000 GROUP BY store",
         "run_log": tagged_base + "\nSELECT 'metric' AS kind, 'rows_' || Dataset AS key, "
         "CAST(count(*) AS VARCHAR) AS value FROM tagged GROUP BY Dataset"
         "\nUNION ALL SELECT * FROM (VALUES ('param', 'ratio', '0.8'), ('param', 'keys', 'store,item'), "
@@ -339,6 +374,42 @@ def _more_texts() -> dict[str, str]:
     }
 
 
+def _stump_ctes(objective: str) -> str:
+    """The best of all splits of the panel by store or item, with the reference's penalties:
+    ``chosen`` (feature, cut, gain), ``sided`` (rows with their side and residual)."""
+    l1, l2 = REFERENCE_FIXED["lambda_l1"], REFERENCE_FIXED["lambda_l2"]
+    absolute = objective == "regression_l1"
+    start = "median(sales)" if absolute else "avg(sales)"
+    grad = "sign(init - sales)" if absolute else "init - sales"
+
+    def gain(g, n):
+        return f"greatest(abs({g}) - {l1!r}, 0) ** 2 / ({n} + {l2!r})"
+
+    return f"""
+base AS (SELECT *, CAST({start} OVER () AS DOUBLE) AS init FROM panel),
+graded AS (SELECT *, CAST({grad} AS DOUBLE) AS g FROM base),
+cells AS (
+  SELECT 0 AS j, 'store' AS feature, store AS v, sum(g) AS g, count(*) AS n FROM graded GROUP BY store
+  UNION ALL
+  SELECT 1, 'item', item, sum(g), count(*) FROM graded GROUP BY item),
+cuts AS (
+  SELECT j, feature, v AS cut, sum(g) OVER l AS gl, sum(n) OVER l AS nl,
+         sum(g) OVER w AS gw, sum(n) OVER w AS nw
+  FROM cells WINDOW l AS (PARTITION BY j ORDER BY v), w AS (PARTITION BY j)),
+chosen AS (
+  SELECT feature, cut, {gain('gl', 'nl')} + {gain('gw - gl', '(nw - nl)')} - {gain('gw', 'nw')} AS gain
+  FROM cuts WHERE nl >= 20 AND nw - nl >= 20 ORDER BY gain DESC, j, cut LIMIT 1),
+sided AS (
+  SELECT g.*, CASE WHEN c.feature = 'store' THEN store <= cut ELSE item <= cut END AS on_left
+  FROM graded g, chosen c),
+leaves AS (
+  SELECT on_left, {'median(sales - init)' if absolute else
+                   f'-sign(sum(g)) * greatest(abs(sum(g)) - {l1!r}, 0) / (count(*) + {l2!r})'} AS value
+  FROM sided GROUP BY on_left),
+scored AS (
+  SELECT date, store, item, sales, init + 0.5 * value AS prediction FROM sided JOIN leaves USING (on_left))"""
+
+
 def oracle_sql() -> dict[str, str]:
     tagged_base = _with(PANEL_CTE, TAGGED_CTE)
     metrics_base = _feature_frame_sql().replace("\nSELECT * FROM nested", "")

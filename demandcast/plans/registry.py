@@ -12,16 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from demandcast.functions.calendar import calendar_columns
+from demandcast.functions.calendar import add_timestamp, calendar_columns
 from demandcast.functions.holidays import holiday_names
 from demandcast.operators import windows as W
 from demandcast.operators.compare import compare_columns
 from demandcast.operators.lookups import add_holiday_flag, add_weather
 from demandcast.operators.metrics import metric_means, score_metrics
-from demandcast.operators.split import TEST, TRAIN, split_by_time, split_nested
+from demandcast.operators.split import (TEST, TRAIN, split_by_histogram, split_by_time, split_nested,
+                                        split_nested_by_histogram)
 from demandcast.operators.stats import (series_keys, split_counts, split_matrix,
                                         split_valid, tag_counts)
-from demandcast.plans.features import KEYS, feature_frame, feature_names, prepare_features
+from demandcast.plans.boosting import (fit_boosted, load_boosted, node_table, predict_boosted,
+                                       save_boosted, split_importances)
+from demandcast.plans.features import (KEYS, feature_days, feature_frame, feature_names,
+                                       prepare_features)
 from demandcast.plans.model import feature_importances, fit_forecaster, predict
 from demandcast.plans.search import random_search, retrain_best
 from demandcast.session import checkpointed, shared_path
@@ -29,6 +33,7 @@ from demandcast.sources.fixtures import (N_ITEMS_CHECK, N_STORES, derived_weathe
                                          lineitem_panel, unfolded_panel)
 from demandcast.sources.panel import (SOURCE_DATE_FORMAT, read_sales, typed_panel,
                                       unparsable_dates)
+from demandcast.sources.snapshots import ModelVersions, SnapshotTable
 from demandcast.sources.sinks import (RunLog, as_spark, check_signature, load_model,
                                       load_signature, save_model, save_table)
 
@@ -37,6 +42,8 @@ RATIO = 0.8
 # Buckets of the stored panel (a layout of the data, not of the machine).
 BUCKETS = 32
 DIGITS = 6
+# Days that are scored alone; some series are in Test by then, others in Validation.
+SCORED_DAYS = ("2000-05-01", "2000-05-21")
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
@@ -80,6 +87,21 @@ def q_split_nested(spark, sf_dir):
     return split_nested(panel(spark, sf_dir), KEYS, RATIO, RATIO)
 
 
+def q_split_histogram(spark, sf_dir):
+    """T1 by date histograms over one series per supplier and part, whose number grows."""
+    return split_by_histogram(unfolded_panel(spark, sf_dir), KEYS, RATIO)
+
+
+def q_split_tag_histogram(spark, sf_dir):
+    """T1 by date histograms: the tags of ``split_tag``."""
+    return split_by_histogram(panel(spark, sf_dir), KEYS, RATIO)
+
+
+def q_split_nested_histogram(spark, sf_dir):
+    """T2 by date histograms: the tags of ``split_nested``."""
+    return split_nested_by_histogram(panel(spark, sf_dir), KEYS, RATIO, RATIO)
+
+
 def q_tag_counts(spark, sf_dir):
     return tag_counts(split_nested(panel(spark, sf_dir), KEYS, RATIO, RATIO))
 
@@ -111,6 +133,13 @@ def q_calendar_features(spark, sf_dir):
     return panel(spark, sf_dir).select(*PANEL, *calendar_columns())
 
 
+def q_timestamp_feature(spark, sf_dir):
+    """midnight of every date as a timestamp of the session's zone, as wall time and as
+    seconds since 1970 (the registered sessions run in UTC)."""
+    stamped = add_timestamp(panel(spark, sf_dir)).withColumn("seconds", F.unix_timestamp("timestamp"))
+    return stamped.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
+
 def q_holiday_flag(spark, sf_dir):
     return add_holiday_flag(panel(spark, sf_dir))
 
@@ -253,6 +282,11 @@ def q_feature_frame(spark, sf_dir):
     return rounded(feature_frame(panel(spark, sf_dir)))
 
 
+def q_feature_days(spark, sf_dir):
+    """Three weeks of the feature frame, computed from the span that they need."""
+    return rounded(feature_days(panel(spark, sf_dir), *SCORED_DAYS))
+
+
 def q_feature_frame_series(spark, sf_dir):
     return rounded(feature_frame(panel(spark, sf_dir), feature_scope="series"))
 
@@ -383,6 +417,77 @@ def q_tuned_store_metrics(spark, sf_dir):
         "store", F.col("m.n").alias("n"), (F.col("m.mae") < F.col("n.mae")).alias("scored"))
 
 
+# The reference's parameters of a one-split tree that is fitted in one round.
+STUMP = {"num_leaves": 2, "max_depth": 1, "learning_rate": 0.5, "bagging_fraction": 1.0, "bagging_freq": 0}
+STUMP_FEATURES = ["store", "item"]
+
+
+def _stump(spark, sf_dir, objective, valid=None):
+    data = panel(spark, sf_dir)
+    return data, fit_boosted(data, valid, STUMP_FEATURES, params={**STUMP, "objective": objective},
+                             max_iter=1, row_key=["store", "item", "date"])
+
+
+def q_boosted_stump_l1(spark, sf_dir):
+    """One boosted split of the whole panel by the L1 loss, leaf medians, and
+    the prediction of every row."""
+    data, model = _stump(spark, sf_dir, "regression_l1")
+    return rounded(predict_boosted(model, data), 4)
+
+
+def q_boosted_stump_l2(spark, sf_dir):
+    """M2, M3, M4: one boosted split by squared loss with both leaf penalties, predicted by
+    the saved and loaded model (S4)."""
+    data, model = _stump(spark, sf_dir, "regression")
+    path = shared_path(spark, f"models/{RunLog.new_run_id()}")
+    save_boosted(model, spark, path)
+    return rounded(predict_boosted(load_boosted(spark, path), data), 4)
+
+
+def q_boosted_scores(spark, sf_dir):
+    """MAPE (floor 1) and RMSE that the boosting loop keeps while it fits; here
+    those of one round, scored on the panel itself."""
+    data = panel(spark, sf_dir)
+    _, model = _stump(spark, sf_dir, "regression_l1", valid=data)
+    return rounded(spark.createDataFrame(
+        [(i + 1, float(mape), float(rmse)) for i, (mape, rmse) in enumerate(model.history)],
+        "round int, mape double, rmse double"), 4)
+
+
+def q_stump_importances(spark, sf_dir):
+    """Splits and gain per feature, counted in the saved ensemble's node table."""
+    _, model = _stump(spark, sf_dir, "regression")
+    path = shared_path(spark, f"models/{RunLog.new_run_id()}")
+    save_boosted(model, spark, path)
+    top = split_importances(spark.read.parquet(f"{path}/nodes"), 10)
+    return top.select("feature", "splits", F.round(F.col("gain") / 1e3, 3).alias("gain_thousands"))
+
+
+# Rounds of the registered fit with the reference's parameters; its patience is the
+# reference's 50. On this panel the scores still fall after hundreds of rounds.
+BOOSTED_ROUNDS = 60
+
+
+def _boosted(spark, sf_dir):
+    frames = _frames(spark, sf_dir)
+    return frames, fit_boosted(frames[0], frames[1], feature_names(), max_iter=BOOSTED_ROUNDS,
+                               row_key=["store", "item", "date"])
+
+
+def q_boosted_store_metrics(spark, sf_dir):
+    """The leaf-wise model's metrics per store, beside those of the training mean."""
+    frames, model = _boosted(spark, sf_dir)
+    mean = frames[0].agg(F.avg("sales")).first()[0]
+    scored = score_metrics(predict_boosted(model, frames[2]), by="store")
+    naive = score_metrics(frames[2].withColumn("prediction", F.lit(mean)), by="store")
+    return rounded(scored.join(naive.select("store", F.col("mae").alias("mean_mae")), "store"))
+
+
+def q_boosted_importances(spark, sf_dir):
+    """The ten features that split most in the leaf-wise model."""
+    return rounded(split_importances(node_table(spark, _boosted(spark, sf_dir)[1]), 10))
+
+
 def q_model_roundtrip(spark, sf_dir):
     """The saved-and-loaded model predicts what the original does."""
     train, _, test = frames = _frames(spark, sf_dir)
@@ -405,6 +510,47 @@ def q_table_roundtrip(spark, sf_dir):
     return read_sales(spark, name)
 
 
+def q_table_overwrite(spark, sf_dir):
+    """A stored panel overwritten from itself (store 3 goes, sales double), then read."""
+    table = SnapshotTable(spark, shared_path(spark, f"snapshots/{RunLog.new_run_id()}"))
+    table.overwrite(panel(spark, sf_dir), partition_by="store")
+    stored = table.read()
+    table.overwrite(stored.filter("store <> 3").withColumn("sales", (F.col("sales") * 2).cast("int")),
+                    partition_by="store")
+    return table.read()
+
+
+def q_table_snapshots(spark, sf_dir):
+    """Rows and sales of every snapshot; a frame read before a write keeps its own."""
+    table = SnapshotTable(spark, shared_path(spark, f"snapshots/{RunLog.new_run_id()}"))
+    frames = []
+    for store in range(1, 4):
+        table.overwrite(panel(spark, sf_dir).filter(F.col("store") <= store))
+        frames.append(table.read().select(F.lit(store).alias("snapshot"), "sales"))
+    rows = frames[0]
+    for f in frames[1:]:
+        rows = rows.union(f)
+    return rows.groupBy("snapshot").agg(F.count("*").alias("rows"), F.sum("sales").alias("sales"))
+
+
+def q_model_versions(spark, sf_dir):
+    """Three versions of a model (a mean per store, of growing shares of the panel) with
+    tags and descriptions: the notes of all versions, and what the latest predicts."""
+    models = ModelVersions(spark, shared_path(spark, f"models/{RunLog.new_run_id()}"))
+    tags = tagged(spark, sf_dir)
+    for year in (1996, 1998, 2000):
+        part = tags.filter(F.year("date") <= year)
+        means = part.groupBy("store").agg(F.avg("sales").alias("mean"))
+        version = models.register("store_mean", means.write.parquet, tags={"until": year, "draft": "yes"})
+        rows = part.count()
+        models.annotate("store_mean", version, {"rows": rows, "draft": None}, f"means until {year}")
+    latest = spark.read.parquet(models.get("store_mean")["path"])
+    known = models.notes("store_mean").join(models.versions("store_mean").select("version"), "version")
+    return known.unionByName(latest.select(
+        F.lit(models.get("store_mean")["number"]).alias("version"), F.lit("mean").alias("kind"),
+        F.col("store").cast("string").alias("key"), F.format_string("%.4f", "mean").alias("value")))
+
+
 def q_run_log(spark, sf_dir):
     """The split's counts as metrics and its settings as parameters, written and read back."""
     counts = tag_counts(tagged(spark, sf_dir)).collect()  # one row per set
@@ -466,10 +612,24 @@ SQL_CHECKED = {
     "model_roundtrip": q_model_roundtrip,
     "table_roundtrip": q_table_roundtrip,
     "run_log": q_run_log,
+    "split_tag_histogram": q_split_tag_histogram,
+    "split_nested_histogram": q_split_nested_histogram,
+    "split_histogram": q_split_histogram,
+    "boosted_stump_l1": q_boosted_stump_l1,
+    "boosted_stump_l2": q_boosted_stump_l2,
+    "boosted_scores": q_boosted_scores,
+    "stump_importances": q_stump_importances,
+    "feature_days": q_feature_days,
+    "timestamp_feature": q_timestamp_feature,
+    "table_overwrite": q_table_overwrite,
+    "table_snapshots": q_table_snapshots,
+    "model_versions": q_model_versions,
 }
 
 ROWS_ONLY = {
     "gbt_importances": q_gbt_importances,
+    "boosted_store_metrics": q_boosted_store_metrics,
+    "boosted_importances": q_boosted_importances,
 }
 
 

@@ -1,3 +1,4 @@
+import datetime as dt
 import re
 
 from pyspark.sql import functions as F
@@ -5,7 +6,10 @@ from pyspark.sql import functions as F
 from conftest import SF_SMOKE
 from demandcast.operators import windows as W
 from demandcast.plans.features import feature_frame, feature_names
+from demandcast.plans.registry import rounded
+from demandcast.session import shared_path
 from demandcast.sources.fixtures import lineitem_panel
+from demandcast.sources.sinks import RunLog
 
 
 def plan_text(df):
@@ -149,3 +153,43 @@ def test_feature_frame_ewm_methods_agree(spark):
     assert j.filter((F.abs(F.col("sales_ewm_06") - F.col("b06")) > 1e-9)
                     | (F.abs(F.col("sales_ewm_085") - F.col("b085")) > 1e-9)
                     | (F.col("Dataset") != F.col("bset"))).count() == 0
+
+
+def test_feature_days_equals_the_full_frame(spark):
+    import random
+
+    from demandcast.plans.features import feature_days
+    rng = random.Random(6)
+    rows = []
+    for store in range(1, 5):
+        day = 0
+        for i in range(30 * store):
+            day += rng.choice([1, 1, 1, 2, 5])
+            sales = None if rng.random() < 0.15 or (store == 2 and i > 40) else rng.randint(1, 50)
+            rows.append((dt.date(2020, 1, 1) + dt.timedelta(days=day), store, 1, sales))
+    p = spark.createDataFrame(rows, "date date, store int, item int, sales int")
+    full = [tuple(r) for r in rounded(feature_frame(p)).collect()]
+    columns = feature_frame(p).columns
+    for start, end in (("2020-01-01", "2020-01-09"), ("2020-02-20", "2020-02-20"), ("2020-05-01", "2020-06-10"),
+                       ("2020-03-05", "2020-12-31"), ("2030-01-01", "2030-01-02"), ("2010-01-01", "2010-01-02")):
+        got = rounded(feature_days(p, start, end))
+        assert got.columns == columns
+        want = [r for r in full if start <= str(r[0]) <= end]
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+        again = rounded(feature_days(p, start, end, broadcast_rows=0))
+        assert sorted(map(tuple, again.collect()), key=str) == sorted(want, key=str)
+
+
+def test_feature_days_reads_a_bounded_span(spark):
+    from demandcast.plans.features import feature_days
+    path = shared_path(spark, f"test-panel-{RunLog.new_run_id()}")
+    days = spark.range(3000).select(F.date_add(F.lit("2010-01-01").cast("date"), F.col("id").cast("int")).alias("date"),
+                                    F.lit(1).alias("store"), F.lit(1).alias("item"),
+                                    (F.col("id") % 17).cast("int").alias("sales"))
+    days.repartitionByRange(10, "date").write.parquet(path)
+    out = feature_days(spark.read.parquet(path), "2016-06-01", "2016-06-01")
+    plan = out._jdf.queryExecution().toString()
+    since = dt.date(2016, 6, 1) - dt.timedelta(days=47)  # the EWM's reach
+    pushed = [f for f in plan.splitlines() if "PushedFilters" in f and f"GreaterThanOrEqual(date,{since}" in f]
+    assert pushed and "LessThanOrEqual(date,2016-06-08)" in pushed[0]
+    assert out.count() == 1

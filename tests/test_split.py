@@ -95,3 +95,37 @@ def test_result_independent_of_partitions(spark):
     again = sorted(tuple(r) for r in
                    split_by_time(panel_df(spark, rows).repartition(7)).collect())
     assert base == again
+
+
+def test_histogram_split_equals_the_window_split(spark):
+    import random
+
+    from demandcast.operators.split import split_by_histogram, split_nested_by_histogram
+    rng = random.Random(4)
+    rows = [("2020-01-01", 1, 1, 1), ("2020-01-01", 1, 2, 1), ("2020-01-02", 1, 2, 1)]
+    for store in range(2, 8):
+        rows += [(f"2020-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", store, None if store == 7 else 1, i)
+                 for i in range(store * 7)]  # ties, and a null key
+    df = panel_df(spark, rows + [(None, 3, 1, 99), (None, 3, 1, 98)])
+    for ratio in (0.1, 0.5, 0.8, 0.99):
+        for window, histogram in ((split_by_time, split_by_histogram), (split_nested, split_nested_by_histogram)):
+            a = sorted(map(str, window(df, ratio=ratio).collect()))
+            assert a == sorted(map(str, histogram(df, ratio=ratio).collect()))
+            if histogram is split_by_histogram:
+                assert a == sorted(map(str, histogram(df, ratio=ratio, broadcast_rows=0).collect()))
+    with pytest.raises(ValueError):
+        split_by_histogram(df, ratio=1)
+
+
+def test_histogram_split_leaves_the_rows_where_they_are(spark):
+    """No shuffle of the rows, so a series with a third of all rows is no task's alone."""
+    from demandcast.operators.split import split_by_histogram
+    df = spark.range(0, 30_000, 1, 8).select(
+        F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 300).cast("int")).alias("date"),
+        F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 50).cast("int").alias("store"),
+        F.lit(1).alias("item"), F.lit(1).alias("sales"))
+    out = split_by_histogram(df)
+    hot = out.filter("store = 1").groupBy(F.spark_partition_id()).count().collect()
+    assert len(hot) == 8
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
