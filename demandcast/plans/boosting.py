@@ -66,6 +66,8 @@ SKETCH_ROWS = 1_000_000
 #: Bits of the steps that a gradient of the label's scale is rounded to, and bits that
 #: the sum over all rows may have (more rows, coarser steps).
 STEP_BITS, SUM_BITS = 34, 60
+#: Reducers that add up a pass's histograms and sketches.
+PASS_REDUCERS = 4
 TRAIN_ROLE, VALID_ROLE = 0, 1
 ABSOLUTE = ("regression_l1", "l1", "mae", "absolute")
 SQUARED = ("regression", "regression_l2", "l2", "mse", "squared")
@@ -178,25 +180,16 @@ SKETCH_SCHEMA = "group int, key long, n long, lo double, hi double"
 
 
 def merged(sketches: DataFrame) -> DataFrame:
-    """The tasks' sketches added up, with ``upto`` (rows up to the cell) and ``total``."""
-    cells = sketches.groupBy("group", "key").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"),
-                                                 F.max("hi").alias("hi"))
-    line = Window.partitionBy("group").orderBy("key")
-    return cells.select("*", F.sum("n").over(line).alias("upto"), F.lead("lo").over(line).alias("next"),
-                        F.count("*").over(Window.partitionBy("group")).alias("cells"),
-                        F.sum("n").over(Window.partitionBy("group")).alias("total"))
+    """The tasks' sketches added up: a row per group and key."""
+    return sketches.groupBy("group", "key").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"),
+                                                F.max("hi").alias("hi"))
 
 
 def medians(sketches: DataFrame) -> dict[int, float]:
-    """The median per group: the middle of the cells that hold the middle rows."""
-    low = F.floor((F.col("total") + 1) / 2)
-    high = F.floor(F.col("total") / 2) + 1
-    holds = lambda rank: (F.col("upto") - F.col("n") < rank) & (rank <= F.col("upto"))
+    """The median per group, of cells that stand for their rows by their middle."""
     middle = (F.col("lo") + F.col("hi")) / 2
-    found = (merged(sketches).filter(holds(low) | holds(high)).groupBy("group")
-             .agg(F.max(F.when(holds(low), middle)).alias("a"), F.max(F.when(holds(high), middle)).alias("b"))
-             .collect())  # a row per leaf
-    return {r["group"]: (r["a"] + r["b"]) / 2 for r in found}
+    found = merged(sketches).groupBy("group").agg(F.percentile(middle, 0.5, F.col("n")).alias("median")).collect()
+    return {r["group"]: r["median"] for r in found}  # a row per leaf
 
 
 def bin_edges(rows: DataFrame, n_features: int, max_bin: int = MAX_BINS) -> list[list[float]]:
@@ -213,7 +206,11 @@ def bin_edges(rows: DataFrame, n_features: int, max_bin: int = MAX_BINS) -> list
             sketch.add(column, x[at, column])
         yield from sketch.batches()
 
-    cells = merged(rows.select("x").mapInArrow(run, SKETCH_SCHEMA))
+    line = Window.partitionBy("group").orderBy("key")
+    cells = merged(rows.select("x").mapInArrow(run, SKETCH_SCHEMA)).select(
+        "*", F.sum("n").over(line).alias("upto"), F.lead("lo").over(line).alias("next"),
+        F.count("*").over(Window.partitionBy("group")).alias("cells"),
+        F.sum("n").over(Window.partitionBy("group")).alias("total"))
     step = lambda c: F.floor(c * max_bin / F.col("total"))
     cut = (F.col("cells") <= max_bin) | (step(F.col("upto")) > step(F.col("upto") - F.col("n")))
     found = (cells.filter(cut & F.col("next").isNotNull())
@@ -584,7 +581,8 @@ def fit_boosted(train: DataFrame, valid: DataFrame | None, features, label: str
     stop, best = _Stop(patience), None
     for i, h in enumerate(history):
         best = stop.add(i + 1, h)
-    state = spark.read.schema(_BLOCKS).parquet(f"{folder}/state-{slot}")
+    passes = _pass_session(spark)
+    state = passes.read.schema(_BLOCKS).parquet(f"{folder}/state-{slot}")
     written = len(trees)
     steps = progress["steps"]
     unit = 1.0 if absolute else scale / steps
@@ -623,7 +621,7 @@ def fit_boosted(train: DataFrame, valid: DataFrame | None, features, label: str
             slot = 1 - slot
             moved = _rewritten(state, what.init, trees[written:])
             moved.write.mode("overwrite").parquet(f"{folder}/state-{slot}")
-            state = spark.read.schema(_BLOCKS).parquet(f"{folder}/state-{slot}")
+            state = passes.read.schema(_BLOCKS).parquet(f"{folder}/state-{slot}")
             written = len(trees)
             progress |= {"round": written, "trees": [asdict(t) for t in trees], "history": history}
             _save_progress(spark, folder, slot, progress)
@@ -636,6 +634,16 @@ def fit_boosted(train: DataFrame, valid: DataFrame | None, features, label: str
     return model
 
 
+def _pass_session(spark: SparkSession) -> SparkSession:
+    """A session for the passes. What they shuffle is bounded by the tree, not by the rows,
+    so a few reducers do and nothing is re-planned while it runs; a round is many short
+    jobs, and planning is a good part of each."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.adaptive.enabled", "false")
+    session.conf.set("spark.sql.shuffle.partitions", str(PASS_REDUCERS))
+    return session
+
+
 def _drawn_columns(n: int, fraction: float, seed: int, round_: int) -> list[int]:
     """The features a tree may use."""
     if fraction >= 1:

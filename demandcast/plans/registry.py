@@ -22,8 +22,8 @@ from demandcast.operators.split import (TEST, TRAIN, split_by_histogram, split_b
                                         split_nested_by_histogram)
 from demandcast.operators.stats import (series_keys, split_counts, split_matrix,
                                         split_valid, tag_counts)
-from demandcast.plans.boosting import (fit_boosted, load_boosted, node_table, predict_boosted,
-                                       save_boosted, split_importances)
+from demandcast.plans.boosting import (fit_boosted, load_boosted, predict_boosted, save_boosted,
+                                       split_importances)
 from demandcast.plans.features import (KEYS, feature_days, feature_frame, feature_names,
                                        prepare_features)
 from demandcast.plans.model import feature_importances, fit_forecaster, predict
@@ -468,26 +468,17 @@ def q_stump_importances(spark, sf_dir):
 BOOSTED_ROUNDS = 60
 
 
-def _boosted(spark, sf_dir):
-    frames = _frames(spark, sf_dir)
-    return frames, fit_boosted(frames[0], frames[1], feature_names(), max_iter=BOOSTED_ROUNDS,
-                               row_key=["store", "item", "date"])
-
-
 def q_boosted_store_metrics(spark, sf_dir):
     """The leaf-wise model's metrics per store, beside those of the training mean."""
-    frames, model = _boosted(spark, sf_dir)
+    frames = _frames(spark, sf_dir)
+    model = fit_boosted(frames[0], frames[1], feature_names(), max_iter=BOOSTED_ROUNDS,
+                        row_key=["store", "item", "date"])
     mean = frames[0].agg(F.avg("sales")).first()[0]
     scored = score_metrics(predict_boosted(model, frames[2]), by="store")
     naive = score_metrics(frames[2].withColumn("prediction", F.lit(mean)), by="store")
     return rounded(scored.join(naive.select("store", F.col("mae").alias("mean_mae")), "store"))
 
 
-def q_boosted_importances(spark, sf_dir):
-    """The ten features that split most in the leaf-wise model."""
-    return rounded(split_importances(node_table(spark, _boosted(spark, sf_dir)[1]), 10))
-
-
 def q_model_roundtrip(spark, sf_dir):
     """The saved-and-loaded model predicts what the original does."""
     train, _, test = frames = _frames(spark, sf_dir)
@@ -629,7 +620,6 @@ SQL_CHECKED = {
 ROWS_ONLY = {
     "gbt_importances": q_gbt_importances,
     "boosted_store_metrics": q_boosted_store_metrics,
-    "boosted_importances": q_boosted_importances,
 }
 
 
