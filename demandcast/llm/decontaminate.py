@@ -43,7 +43,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandcast.llm.common import bounded_broadcast, checkpointed, text_or_empty
+from demandcast.llm.common import bounded_broadcast, checkpointed, partitions, text_or_empty
 
 WINDOW, SHARE = 5, 0.8
 #: Template forms: as the SQL states them, with names as lower-case words, and with
@@ -73,6 +73,8 @@ _UNIT_WORDS = rf"(\p{{Nd}})( ?)((?i:{'|'.join(UNITS)}))(?![\p{{L}}\p{{M}}\p{{Nd}
 # white space with at most one line break
 _WRAP = r"(?:[^\S\n]++\n?[^\S\n]*+|\n[^\S\n]*+)"
 _UNIT_WORDS_WRAPPED = _UNIT_WORDS.replace("( ?)", f"({_WRAP}?)")
+# a number and a word with other white space between them than one blank
+_WRAPPED = r"\p{Nd}(?! \p{L})\s++\p{L}"
 # every capitalised word or run of them, wherever it stands; not a unit's kept value
 _ALL_NAMES = rf"\p{{Lu}}(?<![\p{{L}}\p{{M}}{_UNIT}]\p{{Lu}})\p{{Ll}}++(?:{_WRAP}\p{{Lu}}\p{{Ll}}++)*+"
 _UNIT_SIGNS = r"[%$€£¥]"
@@ -137,6 +139,47 @@ def _hashes(tokens: Column, form: int, lengths: list[int]) -> Column:
     return F.concat(none, *[F.when(F.size(tokens) >= n, of(n)).otherwise(none) for n in lengths])
 
 
+def _near_names(tokens: Column, lengths: list[int]) -> Column:
+    """The hashes of the windows that hold a name's placeholder or stand beside one."""
+    size, name = F.size(tokens), F.xxhash64(F.lit(_NAME))
+    places = F.filter(F.transform(tokens, lambda t, i: F.when(t == name, i)), lambda i: i.isNotNull())
+
+    def of(n: int) -> Column:
+        starts = F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(
+            F.greatest(p - n, F.lit(0)), F.least(p + 1, size - n)))))
+        return F.transform(starts, lambda i: F.xxhash64(*[F.get(tokens, i + k) for k in range(n)]))
+
+    none = F.array().cast("array<bigint>")
+    return F.concat(none, *[F.when(size >= n, of(n)).otherwise(none) for n in lengths])
+
+
+def window_hashes(texts: DataFrame, lengths: list[int]) -> DataFrame:
+    """``text_key, window``: the distinct window hashes of a text, all forms together.
+
+    The plain form has all its windows made. Of the named form only those at a name are:
+    the others hold the same tokens as a plain window. A text without a stated name and
+    without a unit that is wrapped away from its number has the plain form's tokens as
+    its stated ones, so the stated form is made for the other texts only.
+    """
+    text = F.col("text")
+    apart = text.rlike(_NAMES) | text.rlike(_WRAPPED)
+    # the tokens are columns of their own: inside a lambda they would be found anew
+    # for every window
+    tokens = texts.select("text_key", F.when(apart, template_tokens(text, False, STATED)).alias(f"t{STATED}"),
+                          *[template_tokens(text, False, f).alias(f"t{f}") for f in (PLAIN, NAMED)])
+    hashed = tokens.select("text_key", *[F.transform(f"t{f}", lambda t: F.xxhash64(t)).alias(f"t{f}")
+                                         for f in FORMS])
+    stated, plain, named = (F.col(f"t{f}") for f in FORMS)
+    as_plain = F.lit(WINDOW in lengths) & (F.size(plain) >= WINDOW)
+    none = F.array().cast("array<bigint>")
+    own = F.when(stated.isNotNull(), _hashes(stated, STATED, lengths)) \
+        .when(as_plain, none).otherwise(_hashes(plain, STATED, lengths))
+    # one expression: a filter that Spark adds below the explode of a column would be
+    # pushed down to the text, and find the tokens anew for every window
+    return hashed.select("text_key", F.explode(F.array_distinct(F.concat(
+        own, _hashes(plain, PLAIN, lengths), _near_names(named, lengths)))).alias("window"))
+
+
 def _window_hash(template: Column) -> Column:
     """The hash of a template window of at most :data:`WHOLE` tokens."""
     # a hash passes over nulls, so the length needs no argument of its own
@@ -198,14 +241,7 @@ def _candidates(texts: DataFrame, items: DataFrame, lengths: list[int], share: f
     """
     index = items.select("item", "form", "window").distinct()
     sizes = index.groupBy("item", "form").agg(F.count("*").alias("n"))
-    # the tokens are columns of their own: inside a lambda they would be found anew
-    # for every window
-    tokens = texts.select("text_key", *[template_tokens(F.col("text"), False, f).alias(f"t{f}")
-                                        for f in FORMS])
-    hashed = tokens.select("text_key", *[F.transform(f"t{f}", lambda t: F.xxhash64(t)).alias(f"t{f}")
-                                         for f in FORMS])
-    found = hashed.select("text_key", F.explode(F.array_distinct(F.concat(
-        *[_hashes(F.col(f"t{f}"), f, lengths) for f in FORMS]))).alias("window"))
+    found = window_hashes(texts, lengths)
     hits = found.join(bounded_broadcast(index, BROADCAST_ROWS), "window").distinct() \
         .groupBy("text_key", "item", "form").agg(F.count("*").alias("hits"))
     return hits.join(bounded_broadcast(sizes, BROADCAST_ROWS), ["item", "form"]) \
@@ -223,8 +259,10 @@ def _verified(texts: DataFrame, items: DataFrame, lengths: list[int], candidates
               share: float) -> DataFrame:
     """``text_key, item, coverage`` of the candidates whose slots are consistent."""
     keys = bounded_broadcast(candidates.select("text_key").distinct(), BROADCAST_ROWS)
-    # one row per distinct text: copies are the same text
-    chosen = texts.join(keys, "text_key", "left_semi").groupBy("text_key") \
+    # one row per distinct text: copies are the same text. The texts are few bytes but
+    # much work, so they keep this number of tasks, which a merge by size would reduce
+    chosen = texts.join(keys, "text_key", "left_semi") \
+        .repartition(partitions(texts.sparkSession), "text_key").groupBy("text_key") \
         .agg(F.min("text").alias("text"))
     held = bounded_broadcast(items.select("form", "window").distinct(), BROADCAST_ROWS)
     inside = _valued_windows(chosen, lengths, "text_key", only=held).drop("length", "fixed") \

@@ -473,3 +473,26 @@ def test_pipeline(spark, docs, rows):
     words = sum(len(split(texts[i])) for i in ids["decontaminate"])
     assert sum(len(split(r.text)) for r in got) == pytest.approx(1.5 * words, rel=0.05)
     assert {r.doc_id for r in got} <= set(ids["decontaminate"])
+
+
+def test_shared_windows_equal_those_of_every_form(spark):
+    """The windows that are made once are all windows that the three forms have."""
+    from demandcast.llm import decontaminate as D
+    rng = random.Random(12)
+    words = ["the", "in", "Anna", "McDonald", "John Smith", "km", "5", "12.5", "3km", "4  miles", "7\nhours", "8\n\nkg",
+             "USA", "Éva", "Zoë.", "and,", ";", "\"Tom", "$9", "é̀", "o'Neil", "A", "x", "-", "9 Miles"]
+    texts = ["", "Anna", "one two", "In Paris", "5 km", "\u0001 odd \u0004 marks here now and then"]
+    texts += [rng.choice(["", "\n", " "]).join(w + rng.choice([" ", " ", "\n", "  "]) for w in rng.choices(words, k=n))
+              for n in list(range(1, 14)) * 12]
+    docs = spark.createDataFrame(list(enumerate(texts)), "text_key long, text string")
+    for lengths in ([5], [2, 3, 8], [4, 5, 6], []):
+        want = {}
+        for form in D.FORMS:
+            tokens = docs.select("text_key", D.template_tokens(F.col("text"), False, form).alias("t"))
+            hashed = tokens.select("text_key", F.transform("t", lambda t: F.xxhash64(t)).alias("t"))
+            for r in hashed.select("text_key", D._hashes(F.col("t"), form, lengths).alias("w")).collect():
+                want.setdefault(r.text_key, set()).update(r.w)
+        got = {}
+        for r in D.window_hashes(docs, lengths).collect():
+            got.setdefault(r.text_key, set()).add(r.window)
+        assert got == {k: v for k, v in want.items() if v}
