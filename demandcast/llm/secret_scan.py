@@ -52,7 +52,7 @@ _SENSITIVE = re.compile("|".join(map(_either_case, SENSITIVE)))
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _LETTER_AND_DIGIT = re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])")
 _BLANK = re.compile(r"\n[^\S\n]*(?=\n)|\r[^\S\r\n]*(?=\r)")
-_BEGIN = "-----BEGIN "
+_BEGIN, _END = "-----BEGIN ", "-----END"
 #: Code points around a candidate that are looked at.
 AROUND = 512
 #: Marginal compressed bytes per byte from which a candidate is reported.
@@ -99,29 +99,37 @@ def novelty(candidate: str, around: str, identifiers: tuple[str, ...] = tuple(ID
 
 
 def sensitive_blocks(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the blocks with a sensitive word, in order and apart."""
-    words = _SENSITIVE.finditer(text)
-    word = next(words, None)
-    if word is None:
+    """(start, end) of the blocks with a sensitive word, in order and apart.
+
+    Words, markers and line ends are located once each and looked up by place, so a
+    text full of markers costs no more than its length.
+    """
+    words = [m.span() for m in _SENSITIVE.finditer(text)]
+    if not words:
         return []
+    starts = [s for s, _ in words]
     edges = sorted({0, len(text), *(m.start() for m in _BLANK.finditer(text))})
     found = []
     for start, end in zip(edges, edges[1:]):
-        while word is not None and word.start() < start:
-            word = next(words, None)
-        if word is None:
-            break
-        if word.start() < end:
+        word = bisect_left(starts, start)
+        if word < len(starts) and starts[word] < end:
             found.append((start, end))
-    at = text.find(_BEGIN)
-    while at >= 0:  # a marker's block may hold blank lines
-        line = text.find("\n", at)
-        end = text.find("-----END", at)
-        if end >= 0 and _SENSITIVE.search(text, at, line if 0 <= line < end else end):
-            found.append((at, end))
-            at = text.find(_BEGIN, end)
-        else:
-            at = -1 if end < 0 else text.find(_BEGIN, at + 1)
+    # a marker's block may hold blank lines; markers inside a block found are part of it
+    ends, lines = ([m.start() for m in re.finditer(p, text)] for p in (_END, "\n"))
+    done = 0
+    for marker in re.finditer(_BEGIN, text) if ends else ():
+        at = marker.start()
+        place = bisect_left(ends, at)
+        if place == len(ends):
+            break
+        if at < done:
+            continue
+        line = bisect_left(lines, at)
+        stop = min(ends[place], lines[line]) if line < len(lines) else ends[place]
+        word = bisect_left(starts, at)
+        if word < len(words) and words[word][1] <= stop:
+            done = ends[place]
+            found.append((at, done))
     merged = []
     for start, end in sorted(found):
         if merged and start <= merged[-1][1]:

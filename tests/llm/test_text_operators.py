@@ -325,3 +325,43 @@ def test_quality_edges(spark, edge, empty):
     assert quality.fit_quality(edge, good.limit(0)) is None
     assert quality.score_quality(edge, None, F.col("doc_id")).filter("score > 0").count() == 0
     assert quality.score_quality(empty, model, F.col("doc_id")).count() == 0
+
+
+def slow_blocks(text):
+    """Blocks searched for anew from every marker."""
+    sensitive = secret_scan._SENSITIVE
+    edges = sorted({0, len(text), *(m.start() for m in secret_scan._BLANK.finditer(text))})
+    found = [(a, b) for a, b in zip(edges, edges[1:])
+             if any(a <= m.start() < b for m in sensitive.finditer(text))]
+    at = text.find("-----BEGIN ")
+    while at >= 0:
+        line, end = text.find("\n", at), text.find("-----END", at)
+        if end < 0:
+            break
+        held = sensitive.search(text, at, line if 0 <= line < end else end)
+        found += [(at, end)] if held else []
+        at = text.find("-----BEGIN ", end if held else at + 1)
+    merged = []
+    for a, b in sorted(found):
+        if merged and a <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+        else:
+            merged.append((a, b))
+    return merged
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["-----BEGIN ", "-----END", "PRIVATE", " KEY-----", "\n", "\n\n", "\r", " ", "x9", "token",
+                                 "api_key", "pass", "word", "é"]), max_size=40))
+def test_sensitive_blocks_on_any_text(parts):
+    text = "".join(parts)
+    assert secret_scan.sensitive_blocks(text) == slow_blocks(text)
+
+
+def test_many_markers_take_linear_time():
+    import time
+    for text in ("-----BEGIN KEY-----" * 50_000 + " token -----END", "-----BEGIN PRIVATE\n" * 50_000 + "-----END",
+                 "-----BEGIN " * 90_000, "-----BEGIN X\n" * 50_000 + "secret", "-----END-----BEGIN secret" * 30_000):
+        start = time.process_time()
+        secret_scan.novel_spans(text, [])
+        assert time.process_time() - start < 20
