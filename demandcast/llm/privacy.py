@@ -54,6 +54,8 @@ TERM = r"\p{L}[\p{L}\p{M}\p{Nd}_]{2,}"
 SUPPORT = 2
 #: Shares of an entity's information from which a term is generalised, or removed.
 GENERALISE, REMOVE = 0.75, 0.95
+#: Matches whose places are added up together.
+CHUNK = 256
 #: Terms (a hash each) up to which they are broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -88,22 +90,47 @@ def located(text: Column, pattern: str) -> Column:
     """All matches as ``array<struct<start, end, value>>``, leftmost and non-overlapping.
 
     The text between the matches (``split``) and the matches themselves
-    alternate, so their lengths add up to the offsets.
+    alternate, so their lengths add up to the offsets. Running sums append to an array,
+    which copies it, so they are taken within chunks of matches and over the chunks.
     """
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     steps = F.filter(F.zip_with(between, matches, lambda b, m: F.struct(
         F.length(b).alias("gap"), m.alias("value"))), lambda s: s["value"].isNotNull())
     empty = F.array().cast("array<struct<start: int, end: int, value: string>>")
-    return F.aggregate(
-        steps, F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, s: F.struct(
-            (acc["at"] + s["gap"] + F.length(s["value"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(
-                (acc["at"] + s["gap"]).alias("start"),
-                (acc["at"] + s["gap"] + F.length(s["value"])).alias("end"),
-                s["value"].alias("value")))).alias("out")),
-        lambda acc: acc["out"])
+
+    def placed(chunk: Column, first: Column) -> Column:
+        return F.aggregate(
+            chunk, F.struct(first.alias("at"), empty.alias("out")),
+            lambda acc, s: F.struct(
+                (acc["at"] + s["gap"] + F.length(s["value"])).alias("at"),
+                F.concat(acc["out"], F.array(F.struct(
+                    (acc["at"] + s["gap"]).alias("start"),
+                    (acc["at"] + s["gap"] + F.length(s["value"])).alias("end"),
+                    s["value"].alias("value")))).alias("out")),
+            lambda acc: acc["out"])
+
+    def of(found: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / CHUNK).cast("int")),
+                             lambda c: F.slice(found, c * CHUNK + 1, CHUNK))
+        return _once(chunks, joined)
+
+    def joined(chunks: Column) -> Column:
+        firsts = F.aggregate(
+            chunks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda acc, c: F.struct(
+                F.aggregate(c, acc["at"], lambda n, s: n + s["gap"] + F.length(s["value"])).alias("at"),
+                F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+            lambda acc: acc["out"])
+        return F.flatten(F.zip_with(chunks, firsts, placed))
+
+    return _once(steps, lambda found: F.when(F.size(found) == 0, empty).when(
+        F.size(found) <= CHUNK, placed(found, F.lit(0))).otherwise(of(found)))
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _base(docs: DataFrame, *keep: Column) -> DataFrame:

@@ -496,3 +496,23 @@ def test_shared_windows_equal_those_of_every_form(spark):
         for r in D.window_hashes(docs, lengths).collect():
             got.setdefault(r.text_key, set()).add(r.window)
         assert got == {k: v for k, v in want.items() if v}
+
+
+def test_located_many_matches_in_linear_time(spark, monkeypatch):
+    import time
+    rng = random.Random(5)
+    texts = ["", "none", "a@b.cc", "é😀 a@b.cc"] + ["".join(rng.choice(["a@b.cc ", "é ", "😀", "long@mail.example ", "x"])
+                                                      for _ in range(n)) for n in (3, 40, 255, 256, 257, 600, 1500)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    pattern = privacy.PATTERNS["email"]
+    want = {t: [(m.start(), m.end(), m[0]) for m in re.finditer(
+        r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", t)] for t in texts}
+    for chunk in (privacy.CHUNK, 3):
+        monkeypatch.setattr(privacy, "CHUNK", chunk)
+        got = docs.select("text", privacy.located(F.col("text"), pattern).alias("m")).collect()
+        assert {r.text: [tuple(x) for x in r.m] for r in got} == want
+    monkeypatch.undo()
+    many = spark.createDataFrame([("a@b.cc " * 60_000,)], "text string")
+    start = time.time()
+    assert many.select(F.size(privacy.located(F.col("text"), pattern)).alias("n")).first().n == 60_000
+    assert time.time() - start < 60
