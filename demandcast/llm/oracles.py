@@ -102,7 +102,7 @@ def personal_data_sql() -> str:
         f"  SELECT text, {rank} AS rank, '{kind}' AS kind, unnest({_located('text', PLAIN[kind])}) AS m "
         "FROM texts" for rank, kind in enumerate(privacy.BASE))
     check = " ".join(f"WHEN '{k}' THEN {c}" for k, c in valid.items())
-    term, reach = privacy.TERM, privacy.REACH
+    term = privacy.TERM
     counts = ", ".join(f"CAST(count_if(kind = '{k}') AS BIGINT) AS n_{k}" for k in privacy.BASE)
     span = "kind || ':' || s || ':' || e"
     return f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -113,39 +113,34 @@ flat AS (SELECT text, rank, kind, m.s AS s, m.e AS e, m.v AS v FROM raw),
 base AS MATERIALIZED (
   SELECT *, kind || ':' || lower(v) AS entity FROM flat
   WHERE CASE kind {check} END),
-around AS (
-  SELECT text, entity, s, e, greatest(s - {reach}, 0) AS o,
-         substr(text, greatest(s - {reach}, 0) + 1, least(s, {reach})) AS bef,
-         substr(text, e + 1, {reach}) AS aft FROM base),
-near_raw AS (
-  SELECT text, entity, true AS is_before, s, e, o, aft, unnest({_located('bef', term)}) AS m FROM around
-  UNION ALL
-  SELECT text, entity, false, s, e, o, aft, unnest({_located('aft', term)}) AS m FROM around),
-near AS MATERIALIZED (
-  SELECT DISTINCT text, entity, lower(m.v) AS term,
-         CASE WHEN is_before THEN o ELSE e END + m.s AS s, CASE WHEN is_before THEN o ELSE e END + m.e AS e
-  FROM near_raw
-  WHERE CASE WHEN is_before THEN m.s > 0 OR s <= {reach}
-             ELSE m.e < length(aft) OR length(aft) < {reach} END),
+holds AS MATERIALIZED (SELECT DISTINCT text, entity FROM base),
+entities AS MATERIALIZED (
+  SELECT entity, sum(copies) AS n_e FROM holds JOIN texts USING (text)
+  GROUP BY 1 HAVING count(*) >= {privacy.SUPPORT}),
+shared AS MATERIALIZED (SELECT DISTINCT text FROM holds JOIN entities USING (entity)),
+words AS MATERIALIZED (
+  SELECT text, unnest(list_distinct(regexp_extract_all(lower(text), '{term}'))) AS term FROM shared),
 together AS (
-  SELECT term, entity, count(*) AS texts, sum(copies) AS n_te
-  FROM (SELECT DISTINCT text, term, entity FROM near) JOIN texts USING (text)
+  SELECT term, entity, sum(copies) AS n_te
+  FROM holds JOIN entities USING (entity) JOIN words USING (text) JOIN texts USING (text)
   GROUP BY 1, 2 HAVING count(*) >= {privacy.SUPPORT}),
-entities AS (
-  SELECT entity, sum(copies) AS n_e
-  FROM (SELECT DISTINCT text, entity FROM near) JOIN texts USING (text) GROUP BY 1),
 terms AS (
   SELECT term, count(*) AS n_t
   FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '{term}'))) AS term FROM docs)
   GROUP BY 1),
 total AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM docs),
-telling AS (
+telling AS MATERIALIZED (
   SELECT term, entity FROM together JOIN entities USING (entity) JOIN terms USING (term), total
   WHERE n_e < n AND log2(n_te * n / (n_t * n_e)) / log2(n / n_e) >= {privacy.GENERALISE}::DOUBLE),
+given AS MATERIALIZED (
+  SELECT DISTINCT text, term FROM telling JOIN holds USING (entity) JOIN words USING (text, term)),
+places AS (
+  SELECT text, lower(m.v) AS term, m.s AS s, m.e AS e
+  FROM (SELECT text, unnest({_located('text', term)}) AS m FROM (SELECT DISTINCT text FROM given))),
 marks AS (
-  SELECT DISTINCT text, {len(privacy.BASE)} AS rank, 'term' AS kind, s, e
-  FROM near JOIN telling USING (term, entity)
-  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.text = near.text AND b.s < near.e AND near.s < b.e)),
+  SELECT text, {len(privacy.BASE)} AS rank, 'term' AS kind, s, e
+  FROM places JOIN given USING (text, term)
+  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.text = places.text AND b.s < places.e AND places.s < b.e)),
 spans AS (SELECT text, rank, kind, s, e FROM base UNION ALL SELECT * FROM marks),
 per_text AS (
   SELECT text, {counts},

@@ -1,28 +1,34 @@
 """Personal data: base patterns plus information-theoretic sanitisation of terms.
 
 Base spans (``email``, ``ip``, ``card``, ``phone``) are the protected entities.
-Terms near an entity can give it away; how strongly is estimated from corpus
-co-occurrence. With ``N`` documents, of which ``n_e`` hold the entity, ``n_t`` the
-term and ``n_te`` the term close to the entity::
+Terms of the same documents can give an entity away; how strongly is estimated from
+co-occurrence in whole documents. With ``N`` documents, of which ``n_e`` hold the
+entity, ``n_t`` the term and ``n_te`` both::
 
     PMI(t, e) = log2(n_te N / (n_t n_e))      IC(e) = log2(N / n_e)
 
 ``PMI / IC`` is the share of the entity's information that the term discloses (1:
-the term occurs with this entity only). Terms seen with the entity in at least
-``SUPPORT`` different texts whose share reaches ``GENERALISE`` become ``term``
-spans: from ``REMOVE`` on they are taken out, below that generalised to a
-placeholder.
+the term occurs with this entity only). Terms whose share reaches ``GENERALISE``
+become ``term`` spans wherever they stand in a document that holds the entity: from
+``REMOVE`` on they are taken out, below that generalised to a placeholder.
 
-All counts cover all documents; only built-in functions are used. Spans and
-contexts are found once per row and checkpointed without the text; terms are
-counted after a semi join with the terms seen near entities, so what moves is a
-count per term and partition.
+Single-text rule: a term and an entity must be seen together in ``SUPPORT`` different
+texts. One text shows no co-occurrence: each of its rare words would disclose each of
+its entities. ``support=1`` asks for just that.
+
+All counts cover all documents; only built-in functions are used. Spans are found
+once per row and checkpointed without the text. Entities that stand in the same texts
+have the same counts with every term, so do terms that stand in the same texts: a
+class of each is paired once (classes are told by 128 bits hashed from their
+texts). As ``n_te <= n_e``, a share ``s`` needs ``n_t <= n_e (N / n_e)^(1 - s)``, so
+frequent terms leave before they are paired. Neither drops a pair that would be reported.
 
 Offsets are code points, end exclusive. Defined cases: a null text is empty (no
 spans); whole texts of any length are searched (the patterns are written
-without backtracking over long runs); rows with equal texts get equal spans;
-an empty table gives an empty result; extra columns are ignored (or carried by
-:func:`sanitised`).
+without backtracking over long runs); rows with equal texts get equal spans; words
+inside base spans count as terms and are not marked there; an entity in every document
+carries no information and discloses nothing; an empty table gives an empty result;
+extra columns are ignored (or carried by :func:`sanitised`).
 """
 
 from __future__ import annotations
@@ -47,10 +53,8 @@ PATTERNS = {
 _IP_VALID = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.|$)){4}$"
 _CARD_MAYBE = r"[0-9](?:[\x20-]?[0-9]){13}"
 
-#: Code points on either side of an entity in which terms count as close to it.
-REACH = 80
 TERM = r"\p{L}[\p{L}\p{M}\p{Nd}_]{2,}"
-#: Different texts that must show a term near an entity.
+#: Different texts that must show a term together with an entity.
 SUPPORT = 2
 #: Shares of an entity's information from which a term is generalised, or removed.
 GENERALISE, REMOVE = 0.75, 0.95
@@ -134,7 +138,7 @@ def _once(value: Column, use) -> Column:
 
 
 def _base(docs: DataFrame, *keep: Column) -> DataFrame:
-    """``*keep, text_key, base``: base spans with the text on both sides."""
+    """``*keep, text_key, base``: base spans with their values."""
     text = F.col("__text")
     empty = F.array().cast("array<struct<start: int, end: int, value: string>>")
     rows = docs.select(*keep, text_or_empty().alias("__text"))
@@ -147,73 +151,88 @@ def _base(docs: DataFrame, *keep: Column) -> DataFrame:
         valid = F.filter(f"__{kind}", lambda s: _valid(kind, s["value"]))
         return F.transform(valid, lambda s: F.struct(
             s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"),
-            F.lit(kind).alias("kind"), F.lower(s["value"]).alias("value"),
-            F.substring(text, F.greatest(s["start"] - REACH, F.lit(0)) + 1,
-                        F.least(s["start"], F.lit(REACH))).alias("before"),
-            F.substring(text, s["end"] + 1, F.lit(REACH)).alias("after")))
+            F.lit(kind).alias("kind"), F.lower(s["value"]).alias("value")))
 
     base = F.array_sort(F.concat(*[spans(i, k) for i, k in enumerate(BASE)]))
     return rows.select(*names, F.xxhash64("__text").alias("text_key"), base.alias("base"))
 
 
-def _near_terms(found: DataFrame) -> DataFrame:
-    """``text_key, entity, term, start, end``: the terms close to each entity, per text."""
-    entity = F.xxhash64("s.kind", "s.value")
-    spans = found.filter(F.size("base") > 0).select("text_key", F.explode("base").alias("s")) \
-        .dropDuplicates(["text_key", "s"]) \
-        .select("text_key", entity.alias("entity"), "s.start", "s.end", "s.before", "s.after")
-    # a word that the end of the context cuts is left out
-    before = F.filter(located(F.col("before"), TERM),
-                      lambda t: (t["start"] > 0) | (F.col("start") <= REACH))
-    after = F.filter(located(F.col("after"), TERM),
-                     lambda t: (t["end"] < F.length("after")) | (F.length("after") < REACH))
-    origin = F.col("start") - F.length("before")
-    terms = F.concat(
-        F.transform(before, lambda t: F.struct((origin + t["start"]).alias("start"),
-                                               (origin + t["end"]).alias("end"), t["value"])),
-        F.transform(after, lambda t: F.struct((F.col("end") + t["start"]).alias("start"),
-                                              (F.col("end") + t["end"]).alias("end"), t["value"])))
-    return spans.select("text_key", "entity", F.explode(terms).alias("t")) \
-        .select("text_key", "entity", F.xxhash64(F.lower("t.value")).alias("term"),
-                F.col("t.start").alias("start"), F.col("t.end").alias("end"))
+def _class(prefix: str) -> list[Column]:
+    """Two hashes of a group's set of ``text_key``."""
+    return [F.bit_xor(F.xxhash64(F.lit(i), F.col("text_key"))).alias(f"{prefix}{i}") for i in (1, 2)]
+
+
+def _keyed(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``text_key, __text`` of the rows whose text is one of ``keys``."""
+    return docs.select(F.xxhash64(text_or_empty()).alias("text_key"), text_or_empty().alias("__text")) \
+        .join(bounded_broadcast(keys, BROADCAST_ROWS), "text_key", "left_semi")
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, near: DataFrame,
-                     share: float = GENERALISE) -> DataFrame:
-    """``term, entity, disclosure`` of the terms that give an entity away.
+def _terms(text: Column) -> Column:
+    """The hashes of a text's different terms."""
+    return F.transform(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))),
+                       lambda t: F.xxhash64(t))
 
-    ``found`` has a row per document (``text_key, base``), ``near`` the terms
-    per distinct text.
+
+def disclosing_terms(docs: DataFrame, found: DataFrame, share: float = GENERALISE,
+                     support: int = SUPPORT) -> DataFrame:
+    """``text_key, term, disclosure``: the terms that give an entity of their text away,
+    each with the greatest share of an entity's information.
+
+    ``found`` has a row per document (``text_key, base``).
     """
-    total = found.count()
-    copies = found.filter(F.size("base") > 0).groupBy("text_key").agg(F.count("*").alias("copies"))
-    per_text = near.select("text_key", "term", "entity").distinct().join(copies, "text_key")
-    seen = per_text.groupBy("term", "entity").agg(
-        F.count("*").alias("texts"), F.sum("copies").alias("n_te")).filter(F.col("texts") >= SUPPORT)
-    seen = checkpointed(seen)
-    entities = near.select("text_key", "entity").distinct().join(copies, "text_key") \
-        .groupBy("entity").agg(F.sum("copies").alias("n_e"))
-    wanted = bounded_broadcast(seen.select("term").distinct(), BROADCAST_ROWS)
-    in_doc = docs.select(F.array_distinct(F.regexp_extract_all(
-        F.lower(text_or_empty()), F.lit(TERM), F.lit(0))).alias("terms"))
-    counts = in_doc.select(F.explode("terms").alias("t")).select(F.xxhash64("t").alias("term")) \
-        .join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    known = F.log2(F.lit(float(total)) / F.col("n_e"))
-    pmi = F.log2(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
-    return seen.join(entities, "entity").join(counts, "term") \
-        .withColumn("disclosure", F.when(known > 0, pmi / known).otherwise(F.lit(0.0))) \
-        .filter(F.col("disclosure") >= share).select("term", "entity", "disclosure")
-
-
-def personal_spans(docs: DataFrame, *keep: Column) -> DataFrame:
+    total = float(found.count())
+    most = F.col("n_e") * F.pow(F.lit(total) / F.col("n_e"), F.lit(1.0 - share)) * (1 + 1e-9)
+    holds = found.filter(F.size("base") > 0).select("text_key", F.explode(F.array_distinct(F.transform(
+        "base", lambda s: F.xxhash64(s["kind"], s["value"])))).alias("entity")) \
+        .groupBy("text_key", "entity").agg(F.count("*").alias("copies"))
+    entities = holds.groupBy("entity").agg(
+        F.count("*").alias("texts"), F.sum("copies").alias("n_e"), *_class("e")) \
+        .filter((F.col("texts") >= support) & (F.col("n_e") < total))
+    holds = checkpointed(holds.join(entities, "entity")
+                         .select("text_key", "copies", "n_e", "e1", "e2", most.alias("most")).distinct())
+    texts = holds.groupBy("text_key").agg(F.max("most").alias("bound"))
+
+    postings = checkpointed(_keyed(docs, texts.select("text_key"))
+                            .select("text_key", F.explode(_terms(F.col("__text"))).alias("term")).distinct())
+    wanted = postings.groupBy("term").agg(F.count("*").alias("texts")).filter(F.col("texts") >= support)
+    every = docs.select(F.explode(_terms(text_or_empty())).alias("term"))
+    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        every = every.join(F.broadcast(wanted.select("term")), "term", "left_semi")
+    counts = every.groupBy("term").agg(F.count("*").alias("n_t")).join(wanted.select("term"), "term", "left_semi")
+    postings = postings.join(counts, "term").join(texts, "text_key") \
+        .filter(F.col("n_t") <= F.col("bound")).select("text_key", "term", "n_t")
+    classes = postings.groupBy("term").agg(*_class("t"))
+    postings = checkpointed(postings.join(classes, "term"))
+    terms = postings.select("text_key", "n_t", "t1", "t2").distinct()
+
+    pair = ["e1", "e2", "t1", "t2"]
+    known = F.log2(F.lit(total) / F.col("n_e"))
+    pmi = F.log2(F.col("n_te") * F.lit(total) / (F.col("n_t") * F.col("n_e")))
+    telling = checkpointed(
+        holds.join(terms, "text_key").filter(F.col("n_t") <= F.col("most"))
+        .groupBy(*pair, "n_e", "n_t").agg(F.count("*").alias("texts"), F.sum("copies").alias("n_te"))
+        .filter(F.col("texts") >= support).withColumn("disclosure", pmi / known)
+        .filter(F.col("disclosure") >= share).select(*pair, "disclosure"))
+    marked = terms.join(telling, ["t1", "t2"]).join(holds, ["text_key", "e1", "e2"]) \
+        .groupBy("text_key", "t1", "t2").agg(F.max("disclosure").alias("disclosure"))
+    return postings.join(marked, ["text_key", "t1", "t2"]).select("text_key", "term", "disclosure")
+
+
+def personal_spans(docs: DataFrame, *keep: Column, support: int = SUPPORT) -> DataFrame:
     """``doc_id, *keep, text_key, spans``, spans by start, then kind as listed.
 
     ``spans`` is ``array<struct<kind, start, end, action>>``; the action is
     ``mask`` for base spans, ``generalise`` or ``remove`` for terms.
     """
     found = checkpointed(_base(docs, F.col("doc_id"), *keep))
-    near = checkpointed(_near_terms(found))
-    marks = near.join(disclosing_terms(docs, found, near), ["term", "entity"]) \
+    telling = checkpointed(disclosing_terms(docs, found, support=support))
+    # the places of every term of the texts that hold a telling one
+    places = _keyed(docs, telling.select("text_key").distinct()) \
+        .select("text_key", F.explode(located(F.col("__text"), TERM)).alias("t")) \
+        .select("text_key", F.xxhash64(F.lower("t.value")).alias("term"),
+                F.col("t.start").alias("start"), F.col("t.end").alias("end"))
+    marks = places.join(telling, ["text_key", "term"]) \
         .groupBy("text_key", "start", "end").agg(F.max("disclosure").alias("disclosure")) \
         .groupBy("text_key").agg(F.collect_list(F.struct("start", "end", "disclosure")).alias("terms"))
     rows = found.join(marks, "text_key", "left")

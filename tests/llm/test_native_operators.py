@@ -206,6 +206,58 @@ def test_disclosing_terms_against_brute_force(spark):
     assert clean[5] == rows[5][1]
 
 
+def plain_terms(rows, support):
+    """Term spans by the definition: every entity against every term, in whole documents."""
+    word = r"[^\W\d_]\w{2,}"
+    entities = {d: {(k, t[s:e].lower()) for k, s, e in plain_spans(t)} for d, t in rows}
+    terms = {d: set(re.findall(word, t.lower())) for d, t in rows}
+    out = {}
+    for d, t in rows:
+        base = plain_spans(t)
+        out[d] = [(k, s, e, "mask") for k, s, e in base]
+        best = {}
+        for entity in entities[d]:
+            with_e = [x for x, _ in rows if entity in entities[x]]
+            for term in terms[d]:
+                with_t = [x for x, _ in rows if term in terms[x]]
+                both = set(with_e) & set(with_t)
+                if len({dict(rows)[x] for x in both}) < support or len(with_e) == len(rows):
+                    continue
+                share = math.log2(len(both) * len(rows) / (len(with_t) * len(with_e))) \
+                    / math.log2(len(rows) / len(with_e))
+                best[term] = max(best.get(term, 0), share)
+        for m in re.finditer(word, t):
+            share = best.get(m[0].lower(), 0)
+            if share >= privacy.GENERALISE and not any(s < m.end() and m.start() < e for _, s, e in base):
+                out[d].append(("term", m.start(), m.end(),
+                               "remove" if share >= privacy.REMOVE else "generalise"))
+        out[d].sort(key=lambda x: x[1])
+    return out
+
+
+@pytest.mark.parametrize("support", [1, 2])
+def test_terms_of_whole_documents_against_brute_force(spark, support):
+    rng = random.Random(5)
+    words = [f"word{i}" for i in range(60)] + ["the", "and", "von", "Élan"]
+    people = [("Vixxen", "10.1.2.3"), ("Zorblatt", "zed@mail.example.com"), ("Quopp", "+1 (456) 555-2186")]
+    texts = []
+    for i in range(60):
+        text = [rng.choice(words) for _ in range(rng.randint(20, 60))]
+        if i % 4 == 0:    # name and entity far apart, the name again at the end
+            name, entity = people[i // 4 % 3]
+            text = [name, *text, "filler " * 30, entity, *rng.choices(words, k=30), name]
+        texts.append(" ".join(text))
+    texts += [texts[0], texts[0], "Vixxen alone", "Solo wrote from solo@x.yz", "10.1.2.3 zed@mail.example.com"]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: [(s.kind, s.start, s.end, s.action) for s in r.spans] for r in privacy.personal_spans(
+        spark.createDataFrame(rows, "doc_id long, text string"), support=support).collect()}
+    assert got == plain_terms(rows, support)
+    marked = [texts[0][s:e] for k, s, e, _ in got[0] if k == "term"]
+    assert marked.count("Vixxen") == 2
+    solo = [texts[63][s:e] for k, s, e, _ in got[63] if k == "term"]
+    assert ("Solo" in solo) == (support == 1)
+
+
 def test_privacy_edges(edge, empty):
     got = privacy.personal_spans(edge).collect()
     assert len(got) == len(edge_rows())
