@@ -24,6 +24,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ from demandcast.llm.common import text_or_empty, with_fields
 UNKNOWN = "und"
 #: Hash buckets of n-grams, their lengths, and labelled rows a fit may use.
 BUCKETS, GRAMS, ROWS = 1 << 16, (1, 2, 3), 8_000
+#: Sums of log probabilities are kept as whole numbers of this part.
+UNITS = 1 << 20
 #: Cost of changing language between two words, and the least score of a word.
 SWITCH, FLOOR = 12.0, -6.0
 #: Share of a language's training letters from which a script is one of its own.
@@ -289,33 +292,36 @@ def with_least_fit(model: LanguageModel, labelled: DataFrame, rows: int = ROWS,
 
     Half-way between the mean log probability of an n-gram of the language's
     training words and that of words of the same lengths whose letters are drawn
-    evenly from the letters of those words.
+    evenly from the letters of those words. The draw follows the text and the sums are
+    whole numbers, so the limits do not depend on how the rows are dealt.
     """
     known = _fit_sample(labelled, rows, text, lang, sample_by)
     place = {name: i for i, name in enumerate(model.languages)}
     shared = labelled.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted, rng = shared.value, np.random.default_rng(0)
-        sums = np.zeros((len(place), 4))
+        fitted = shared.value
+        sums = np.zeros((len(place), 4), dtype=np.int64)
         for batch in batches:
             for body, language in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
                 words = WORD.findall(body)
                 if not words:
                     continue
+                rng = np.random.default_rng(crc32(body.encode("utf-8", "replace")))
                 letters = sorted(set("".join(words).lower()))
                 drawn = ["".join(rng.choice(letters, len(w))) for w in words]
                 for i, some in enumerate((words, drawn)):
                     total, grams, _ = fitted.fits(some)
-                    sums[place[language], 2 * i:2 * i + 2] += total[:, place[language]].sum(), grams.sum()
+                    own = float(total[:, place[language]].sum(dtype=np.float64))
+                    sums[place[language], 2 * i:2 * i + 2] += round(own * UNITS), int(grams.sum())
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(place), pa.string()), *(pa.array(c) for c in sums.T)],
             names=["lang", "own", "n_own", "drawn", "n_drawn"])
 
     sums = {r["lang"]: r for r in known.mapInArrow(
-        run, "lang string, own double, n_own double, drawn double, n_drawn double")
+        run, "lang string, own long, n_own long, drawn long, n_drawn long")
         .groupBy("lang").agg(*[F.sum(c).alias(c) for c in ("own", "n_own", "drawn", "n_drawn")]).collect()}
-    model.least = np.array([(r["own"] / r["n_own"] + r["drawn"] / r["n_drawn"]) / 2
+    model.least = np.array([(r["own"] / r["n_own"] + r["drawn"] / r["n_drawn"]) / 2 / UNITS
                             for r in map(sums.__getitem__, model.languages)])
     return model
 
