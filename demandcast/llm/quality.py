@@ -10,7 +10,8 @@ bounds the prior from above and is tight where high scores are pure.
 Features are shares of character-class bigrams and a few text statistics, all
 computed on whole texts on the executors. The fit uses a bounded sample (``rows``
 positives and as many unlabelled rows, drawn by hash); only their feature vectors
-reach the driver.
+reach the driver. Ids may repeat: what is drawn are rows, and at most ``2 * rows`` of
+each sample are taken.
 
 Defined cases: a null or empty text scores 0; without any positive every score
 is 0; whole texts of any length count; repeated rows each give a row; an empty
@@ -150,16 +151,18 @@ def with_features(docs: DataFrame, *keep: Column) -> DataFrame:
 
 
 def _sampled(rows: DataFrame, most: int, salt: str) -> DataFrame:
-    """About ``most`` rows at most, drawn by hash of doc_id."""
+    """About ``most`` rows at most, drawn by hash of all columns."""
     total = rows.count()
     if total <= most:
         return rows
-    share = F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1_000_000))
+    share = F.pmod(F.xxhash64(*rows.columns, F.lit(salt)), F.lit(1_000_000))
     return rows.filter(share < int(1_000_000 * most / total))
 
 
-def _matrix(docs: DataFrame) -> np.ndarray:
-    found = with_features(docs, F.col("doc_id")).select("features").toPandas()
+def _matrix(docs: DataFrame, most: int) -> np.ndarray:
+    """Feature vectors of the rows, ``most`` of them at the utmost: rows that agree in
+    all columns are drawn together, so many equal ones could pass the draw."""
+    found = with_features(docs, F.col("doc_id")).select("features").limit(most).toPandas()
     return np.array(found["features"].tolist(), dtype=np.float64).reshape(-1, N_FEATURES)
 
 
@@ -172,10 +175,11 @@ def fit_quality(docs: DataFrame, positives: DataFrame, rows: int = ROWS) -> Qual
     """
     texts = docs.select("doc_id", "text")
     ids = _sampled(positives.select("doc_id").distinct(), rows, "positive")
-    xp = _matrix(texts.join(bounded_broadcast(ids, 2 * rows), "doc_id", "left_semi"))
+    known = texts.join(bounded_broadcast(ids, 2 * rows), "doc_id", "left_semi")
+    xp = _matrix(_sampled(known, rows, "row"), 2 * rows)
     if not len(xp):
         return None
-    return fit_pu(xp, _matrix(_sampled(texts, rows, "unlabelled")))
+    return fit_pu(xp, _matrix(_sampled(texts, rows, "unlabelled"), 2 * rows))
 
 
 def score_quality(docs: DataFrame, model: QualityModel | None, *keep: Column) -> DataFrame:
