@@ -1,13 +1,20 @@
 """Secret scan: base patterns plus dictionary-primed zstandard novelty.
 
 Base spans come from three patterns (``assign``, ``access``, ``hex``). The
-method adds ``novel`` spans: a candidate is a run of token characters with
-letters and digits that stands in the block of a sensitive word, before or after
-it, and lies outside the base spans. A block is what blank lines enclose, and the
-whole of a ``-----BEGIN ...`` to its ``-----END`` marker (or to the blank line
-after it, if there is none). Its novelty is its marginal compressed size: the bytes
-that zstandard needs for it when primed with a raw dictionary of identifiers and
-of the text around it, less those of an empty frame, per byte of the candidate.
+method adds ``novel`` spans: a candidate is a run of token characters that stands in
+the block of a sensitive word, before or after it, and lies outside the base spans. A
+block is what blank lines enclose (with the next block, if it ends in ``:`` or ``=``),
+and the whole of a ``-----BEGIN ...`` to its ``-----END`` marker (or to the blank line
+after it, if there is none). Its novelty is its marginal compressed size per byte:
+
+- a run of 16 or more with letters and digits (dotted runs of such length are one, as in
+  web tokens) is compressed alone, primed with a raw dictionary of identifiers and of
+  the text around it; the bytes of an empty frame are taken off;
+- any other plain run of letters and digits, from ``SHORT`` on, is compressed at the end of the text around it, less that text alone,
+  primed with the identifiers. There the letters' own frequencies count, so natural words stay
+  far below random ones. Shorter runs need more (``WITHIN``). Digits alone are left out: from
+  16 on they are base spans (``hex``), below that numbers of every sort.
+
 Natural identifiers and strings that the surrounding text repeats compress away;
 random keys do not and are reported.
 
@@ -49,7 +56,10 @@ ASSIGN_LEAST = 12
 SENSITIVE = ("password", "passwd", "passphrase", "secret", "token", "api_?key", "apikey",
              "auth", "bearer", "credential", "private", "access", "signature")
 _SENSITIVE = re.compile("|".join(map(_either_case, SENSITIVE)))
-_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Least lengths of a run, and of one that is compressed alone.
+SHORT, LONG = 12, 16
+_TOKEN = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORT},}}(?:\.[A-Za-z0-9+/_=-]{{{LONG},}})*")
+_PLAIN = re.compile(r"[A-Za-z0-9]+")
 _LETTER_AND_DIGIT = re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])")
 _BLANK = re.compile(r"\n[^\S\n]*(?=\n)|\r[^\S\r\n]*(?=\r)")
 _BEGIN, _END = "-----BEGIN ", "-----END"
@@ -57,6 +67,8 @@ _BEGIN, _END = "-----BEGIN ", "-----END"
 AROUND = 512
 #: Marginal compressed bytes per byte from which a candidate is reported.
 NOVELTY = 0.8
+#: The same for plain runs measured within the text: below ``LONG``, and from there on.
+WITHIN = (1.0, 0.75)
 #: Names common in configuration and program text, priming the compressor.
 IDENTIFIERS = """
 access_key access_token account admin api_key application authorization bearer
@@ -98,6 +110,26 @@ def novelty(candidate: str, around: str, identifiers: tuple[str, ...] = tuple(ID
     return (len(compress(raw)) - len(compress(b""))) / len(raw)
 
 
+def novelty_within(candidate: str, around: str,
+                   identifiers: tuple[str, ...] = tuple(IDENTIFIERS)) -> float:
+    """Marginal compressed bytes per byte of a candidate at the end of its surroundings."""
+    import zstandard as zstd
+
+    primed = zstd.ZstdCompressionDict(_identifiers(identifiers), dict_type=zstd.DICT_TYPE_RAWCONTENT)
+    compress = zstd.ZstdCompressor(level=19, dict_data=primed, write_content_size=False,
+                                   write_dict_id=False).compress
+    context = around.encode("utf-8", "replace") + b" "
+    return (len(compress(context + candidate.encode())) - len(compress(context))) / len(candidate)
+
+
+def _is_novel(candidate: str, around: str, least: float) -> bool:
+    if len(candidate) >= LONG and _LETTER_AND_DIGIT.match(candidate):
+        return novelty(candidate, around) >= least
+    if candidate.isdigit() or not _PLAIN.fullmatch(candidate):
+        return False
+    return novelty_within(candidate, around) >= WITHIN[len(candidate) >= LONG]
+
+
 def sensitive_blocks(text: str) -> list[tuple[int, int]]:
     """(start, end) of the blocks with a sensitive word, in order and apart.
 
@@ -109,11 +141,15 @@ def sensitive_blocks(text: str) -> list[tuple[int, int]]:
         return []
     starts = [s for s, _ in words]
     edges = sorted({0, len(text), *(m.start() for m in _BLANK.finditer(text))})
-    found = []
+    found, announced = [], False
     for start, end in zip(edges, edges[1:]):
         word = bisect_left(starts, start)
-        if word < len(starts) and starts[word] < end:
+        body = text[start:end].strip()
+        if announced or (word < len(starts) and starts[word] < end):
             found.append((start, end))
+            # a heading or a key whose value stands below the blank line
+            own = word < len(starts) and starts[word] < end
+            announced = body.endswith((":", "=")) if own else announced and not body
     # a marker's block may hold blank lines; markers inside a block found are part of it
     ends, lines = ([m.start() for m in re.finditer(p, text)] for p in (_END, "\n"))
     done = 0
@@ -149,13 +185,11 @@ def novel_spans(text: str, base: list[tuple[int, int, int]],
             start, end = m.span()
             if start >= last:
                 break
-            if not _LETTER_AND_DIGIT.match(m[0]):
-                continue
             before = bisect_left(cuts, (end,))   # base spans that begin before its end
             if before and ends[before - 1] > start:
                 continue
             around = text[max(0, start - AROUND):start] + text[end:end + AROUND]
-            if novelty(m[0], around) >= least:
+            if _is_novel(m[0], around, least):
                 found.append((start, 3, end))
     return found
 

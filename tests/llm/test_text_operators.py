@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -135,6 +136,57 @@ def test_novelty_measures_the_whole_block():
     assert scan("word " * 20_000 + "\n" * 50_000) == []
 
 
+SECRET_ALPHABETS = {"lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digits": "0123456789",
+                    "letters": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ",
+                    "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+                    "base62": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
+                    "base64": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"}
+
+
+def sensitive_texts():
+    found = []
+    for r in pq.read_table(f"{CHECK}/documents.parquet", columns=["text"]).column("text").to_pylist():
+        if r and 400 < len(r) < 4000:
+            found.append(r.replace("\n", " "))
+    return found
+
+
+def test_planted_secrets_are_found():
+    """0.9 or more of random keys of each alphabet, 32 long, inside the given texts."""
+    rng, texts = random.Random(7), sensitive_texts()
+    for name, alphabet in SECRET_ALPHABETS.items():
+        hits = 0
+        for i in range(150):
+            key, text = "".join(rng.choices(alphabet, k=32)), texts[i % len(texts)]
+            at = text.find(" ", len(text) // 2)
+            text = f"{text[:at]} the credential is {key} for now {text[at:]}"
+            base = secret_scan.base_spans(text)      # digits alone are a base span
+            hits += key in {text[s:e] for s, _, e in base + secret_scan.novel_spans(text, base)}
+        print(name, hits / 150)
+        assert hits >= 135, (name, hits)
+
+
+def test_natural_words_are_no_secrets():
+    """Of the long plain words of the given texts, none above one in a hundred is reported."""
+    total = reported = 0
+    for text in sensitive_texts()[:400]:
+        text += " the credential"
+        words = {m.span() for m in re.finditer(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z]{12,}(?![A-Za-z0-9+/_=.-])", text)}
+        total += len(words)
+        reported += sum((s, e) in words for s, _, e in secret_scan.novel_spans(text, secret_scan.base_spans(text)))
+    assert total > 100 and reported <= total / 100, (reported, total)
+
+
+def test_short_dotted_and_announced_secrets():
+    scan = lambda t: [t[s:e] for s, _, e in secret_scan.novel_spans(t, secret_scan.base_spans(t))]
+    key = "Zx9Qw3Lk8Vb2Nm5"
+    assert scan(f"the credential of the service is {key} from now on") == [key]
+    web = "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+    assert scan(f"the credential is {web}. It ends") == [web]
+    assert scan(f"credential file:\n\n \n{key}Ty7\n\nhT6rW0qZ4mK8vB1xC5nJ\n") == [key + "Ty7"]
+    assert scan("credentials at mail2.example.com on 2024-01-15T10 or src/main/java/org/project/sources") == []
+
+
 def test_secret_query_and_edges(spark, edge, empty):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{CHECK}/documents.parquet").collect()}
     for r in queries.op1_secret_scans(spark, CHECK).collect():
@@ -365,3 +417,21 @@ def test_many_markers_take_linear_time():
         start = time.process_time()
         secret_scan.novel_spans(text, [])
         assert time.process_time() - start < 20
+
+
+def test_quality_sample_is_bounded_by_rows(spark):
+    """All rows under one id, and all rows equal."""
+    same_id = spark.range(900).select(F.lit(1).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    equal = spark.range(900).select(F.lit(1).alias("doc_id"), F.lit("same").alias("text"))
+    for docs in (same_id, equal):
+        assert len(quality._matrix(quality._sampled(docs, 50, "row"), 100)) <= 100
+        assert quality.fit_quality(docs, docs.select("doc_id"), rows=50) is None or \
+            quality.score_quality(docs, quality.fit_quality(docs, docs.select("doc_id"), rows=50),
+                                  F.col("doc_id")).count() == 900
+
+
+def test_least_fit_does_not_depend_on_the_layout(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = language.fit_languages(docs)
+    one, many = (language.with_least_fit(language.fit_languages(docs), docs.repartition(n)).least for n in (1, 7))
+    assert (one == many).all() and len(one) == len(model.languages)
