@@ -435,3 +435,31 @@ def test_least_fit_does_not_depend_on_the_layout(spark):
     model = language.fit_languages(docs)
     one, many = (language.with_least_fit(language.fit_languages(docs), docs.repartition(n)).least for n in (1, 7))
     assert (one == many).all() and len(one) == len(model.languages)
+
+
+def test_redaction_against_plain_replacement(spark):
+    """Overlapping, nested and touching spans, texts over many blocks, many spans."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        text = "".join(rng.choices("ab é😀\n中", k=rng.choice([0, 1, 7, 50])))
+        cuts = sorted((rng.randint(0, len(text)), rng.randint(0, 9)) for _ in range(rng.choice([0, 1, 5, 30])))
+        rows.append((i, text, [(rng.choice("xy"), s, min(s + n, len(text))) for s, n in cuts]))
+
+    def plain(text, spans):
+        out, at = "", 0
+        for kind, start, end in spans:
+            if start >= at:
+                out += text[at:start] + f"[{kind}]"
+            at = max(at, end)
+        return out + text[at:]
+
+    df = spark.createDataFrame(rows, "i int, text string, spans array<struct<kind: string, start: long, end: long>>")
+    for chunk, block in ((256, 4096), (2, 3), (1, 1)):
+        got = {r.i: r.t for r in df.select("i", redacted(F.col("text"), F.col("spans"), chunk, block).alias("t")).collect()}
+        assert got == {i: plain(t, s) for i, t, s in rows}
+    many = spark.range(1).select(F.expr("repeat('é@b.c ', 200000)").alias("text"), F.expr(
+        "transform(sequence(0, 199999), i -> struct('email' AS kind, 6L * i AS start, 6L * i + 5 AS end))").alias("spans"))
+    out = many.select(redacted(F.col("text"), F.col("spans")).alias("t")).select(
+        F.length("t").alias("n"), F.substring("t", 1, 16).alias("head")).first()
+    assert (out.n, out.head) == (200_000 * 8, "[email] [email] ")
