@@ -7,9 +7,9 @@ its n-grams' log probabilities, relative to the best and cut off below. Viterbi
 with a switching penalty labels the words, so a text of several languages is
 cut into spans; the prediction is the language with most letters.
 
-The model is fitted on a bounded sample (``rows`` labelled documents, drawn by
-hash); counting runs on the executors, the ``languages x buckets`` table that
-comes back doesn't grow with the input.
+The model is fitted on every labelled document: tasks count n-grams into arrays of
+``languages x buckets``, and the table of that size that comes back doesn't grow
+with the input.
 
 Defined cases: a null text, and one without a letter, is ``und`` with score 0; a
 word in a script that no language was learned in is neutral; without any labelled
@@ -24,6 +24,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from decimal import Decimal
 from zlib import crc32
 
 import numpy as np
@@ -34,16 +35,19 @@ from pyspark.sql import functions as F
 from demandcast.llm.common import text_or_empty, with_fields
 
 UNKNOWN = "und"
-#: Hash buckets of n-grams, their lengths, and labelled rows a fit may use.
-BUCKETS, GRAMS, ROWS = 1 << 16, (1, 2, 3), 8_000
+#: Hash buckets of n-grams and their lengths.
+BUCKETS, GRAMS = 1 << 16, (1, 2, 3)
 #: Sums of log probabilities are kept as whole numbers of this part.
 UNITS = 1 << 20
 #: Cost of changing language between two words, and the least score of a word.
 SWITCH, FLOOR = 12.0, -6.0
 #: Share of a language's training letters from which a script is one of its own.
 SCRIPT_SHARE = 0.02
-#: Words whose scores are remembered per Python worker.
-CACHE_WORDS = 400_000
+#: Words whose scores are remembered per Python worker, and scores (words x languages).
+CACHE_WORDS, CACHE_SCORES = 400_000, 1 << 21
+#: Distinct words that a task holds per language before their n-grams are counted, and
+#: texts of an Arrow batch that are Python strings at once.
+HELD_WORDS, HELD_TEXTS = 50_000, 256
 
 #: First code points of the ranges, and the script that starts there.
 SCRIPT_STARTS = (
@@ -68,8 +72,9 @@ _SCRIPT_AT = np.array([SCRIPTS.index(name) for _, name in SCRIPT_STARTS])
 _MIX = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
 
-def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash buckets of all words' n-grams, where each word's begin, and its script.
+def grams_by_length(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash buckets of all words' n-grams, the number of each one's word, and the words'
+    scripts.
 
     Words are lower-cased and their ends marked; the script is that of the first
     letter. At least one word is expected.
@@ -90,11 +95,16 @@ def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             mixed ^= mixed >> np.uint64(29)
         found.append((mixed >> np.uint64(24)) % np.uint64(BUCKETS))
         owner.append(word[here])
-    owner = np.concatenate(owner)
-    order = np.argsort(owner, kind="stable")
-    begins = np.searchsorted(owner[order], np.arange(len(words)))
     script = _SCRIPT_AT[np.searchsorted(_STARTS, codes[starts + 1], side="right") - 1]
-    return np.concatenate(found)[order].astype(np.int64), begins, script
+    return np.concatenate(found).astype(np.int64), np.concatenate(owner), script
+
+
+def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-grams of :func:`grams_by_length` word by word, where each word's begin, and its
+    script."""
+    buckets, owner, script = grams_by_length(words)
+    order = np.argsort(owner, kind="stable")
+    return buckets[order], np.searchsorted(owner[order], np.arange(len(words))), script
 
 
 @dataclass
@@ -108,44 +118,47 @@ class LanguageModel:
     #: better than random letters (set by :func:`with_least_fit`).
     least: np.ndarray | None = None
     index: dict = field(default_factory=dict, repr=False, compare=False)
-    matrix: np.ndarray | None = field(default=None, repr=False, compare=False)
+    held: tuple | None = field(default=None, repr=False, compare=False)
 
-    def word_scores(self, words: list[str]) -> np.ndarray:
-        """Scores per word and language: 0 for the best, :data:`FLOOR` at least.
+    def measure(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Scores and log probabilities per word and language, n-grams per word, and
+        whether its script is a learned one.
 
-        Only the languages of the word's script compete; the others get the
-        floor. A word in a script without languages is 0 for all.
+        Scores are 0 for the best and :data:`FLOOR` at least. Only the languages of
+        the word's script compete; the others get the floor. A word in a script
+        without languages is 0 for all.
         """
         buckets, begins, script = grams_of(words)
         total = np.add.reduceat(self.logp[:, buckets], begins, axis=1).T
         competes = np.zeros((len(SCRIPTS), len(self.languages)), dtype=bool)
         for name, own in self.scripts.items():
             competes[SCRIPTS.index(name), own] = True
-        own = competes[script]
-        total = np.where(own, total, -np.inf)
-        best = total.max(axis=1, keepdims=True)
+        own = np.where(competes[script], total, -np.inf)
+        best = own.max(axis=1, keepdims=True)
         known = np.isfinite(best)
-        return np.where(known, np.maximum(total - np.where(known, best, 0), FLOOR), 0)
-
-    def fits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Log probability of each word per language, its n-grams, and whether its
-        script is a learned one."""
-        buckets, begins, script = grams_of(words)
-        total = np.add.reduceat(self.logp[:, buckets], begins, axis=1).T
-        known = np.isin(script, [SCRIPTS.index(s) for s in self.scripts])
-        return total, np.diff(np.append(begins, len(buckets))), known
-
-    def scores(self, words: list[str]) -> np.ndarray:
-        """Scores of many words (words x languages), remembered per process."""
-        if self.matrix is None or len(self.index) + len(words) > len(self.matrix):
+        scores = np.where(known, np.maximum(own - np.where(known, best, 0), FLOOR), 0)
+        return scores, total, np.diff(np.append(begins, len(buckets))), \
+            np.isin(script, [SCRIPTS.index(s) for s in self.scripts])
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """Where many words' measures are held, remembered per process."""
+        k = len(self.languages)
+        if self.held is None or len(self.index) + len(words) > len(self.held[0]):
+            n = max(min(CACHE_WORDS, CACHE_SCORES // k), len(words))
             self.index = {}
-            self.matrix = np.zeros((max(CACHE_WORDS, len(words)), len(self.languages)), np.float32)
+            self.held = (np.zeros((n, k), np.float32), np.zeros((n, k), np.float32),
+                         np.zeros(n, np.int64), np.zeros(n, bool))
         index, at = self.index, len(self.index)
         if new := list(set(words).difference(index)):
-            self.matrix[at:at + len(new)] = self.word_scores(new)
+            for held, found in zip(self.held, self.measure(new)):
+                held[at:at + len(new)] = found
             index.update(zip(new, range(at, at + len(new))))
-        return self.matrix[np.fromiter(map(index.__getitem__, words), dtype=np.int64,
-                                       count=len(words))]
+        return np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words))
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Scores of many words (words x languages)."""
+        places = self.places(words)
+        return self.held[0][places]
 
 
 def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -207,38 +220,47 @@ def label(text: str, model: LanguageModel) -> tuple[str, float, list[dict]]:
     return model.languages[pick], float(share[pick] * sure), spans
 
 
-def _fit_sample(labelled: DataFrame, rows: int, text: str, lang: str, sample_by: str) -> DataFrame:
-    """``text, lang`` of at most about ``rows`` labelled documents."""
-    known = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    total = known.count()
-    if total > rows:
-        share = F.pmod(F.xxhash64(sample_by, F.lit("language")), F.lit(1_000_000))
-        known = known.filter(share < int(1_000_000 * rows / total))
-    return known.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
+def _labelled(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    """``text, lang`` of the documents that have both."""
+    return docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()) \
+        .select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, ...]]:
+    """The columns of small parts of the batches as lists."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, HELD_TEXTS):
+            yield tuple(c.to_pylist() for c in batch.slice(at, HELD_TEXTS).columns)
 
 
-def fit_languages(labelled: DataFrame, rows: int = ROWS, text: str = "text",
-                  lang: str = "lang", sample_by: str = "doc_id") -> LanguageModel:
-    """Fit on at most about ``rows`` labelled documents (a hash sample of them)."""
-    known = _fit_sample(labelled, rows, text, lang, sample_by)
+def fit_languages(labelled: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
+    """Fit on all labelled documents."""
+    known = _labelled(labelled, text, lang)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary: dict[str, Counter] = {}
-        for batch in batches:
-            for body, language in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
-                vocabulary.setdefault(language, Counter()).update(WORD.findall(body))
         seen: dict[str, np.ndarray] = {}
         letters: Counter = Counter()
-        for language, own in vocabulary.items():
+
+        def add(language: str) -> None:
+            own = vocabulary.pop(language)
             if not own:
-                continue
+                return
             words, counts = list(own), np.fromiter(own.values(), dtype=np.int64, count=len(own))
-            buckets, begins, script = grams_of(words)
-            repeats = np.diff(np.append(begins, len(buckets)))
-            seen[language] = np.bincount(buckets, weights=np.repeat(counts, repeats),
-                                         minlength=BUCKETS).astype(np.int64)
+            buckets, owner, script = grams_by_length(words)
+            seen.setdefault(language, np.zeros(BUCKETS, np.int64))[:] += np.bincount(
+                buckets, weights=counts[owner], minlength=BUCKETS).astype(np.int64)
             for place, word, n in zip(script.tolist(), words, counts.tolist()):
                 letters[language, SCRIPTS[place]] += n * len(word)
+
+        for bodies, languages in _parts(batches):
+            for body, language in zip(bodies, languages):
+                own = vocabulary.setdefault(language, Counter())
+                own.update(WORD.findall(body))
+                if len(own) > HELD_WORDS:
+                    add(language)
+        for language in list(vocabulary):
+            add(language)
         out = [(language, "", int(b), int(counts[b]))
                for language, counts in seen.items() for b in np.flatnonzero(counts)]
         out += [(language, script, -1, n) for (language, script), n in letters.items()]
@@ -273,10 +295,9 @@ def fit_of(text: str, model: LanguageModel) -> tuple[float, float]:
     words = WORD.findall(text)
     if not words or not model.languages:
         return 0.0, 0.0
-    path = viterbi(model.scores(words))
-    unique = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    at = np.fromiter(map(unique.__getitem__, words), dtype=np.int64, count=len(words))
-    total, grams, known = model.fits(list(unique))
+    at = model.places(words)
+    scores, total, grams, known = model.held
+    path = viterbi(scores[at])
     letters = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     learned = known[at]
     if not learned.any():
@@ -286,8 +307,17 @@ def fit_of(text: str, model: LanguageModel) -> tuple[float, float]:
         float(over[learned].sum() / grams[at][learned].sum())
 
 
-def with_least_fit(model: LanguageModel, labelled: DataFrame, rows: int = ROWS, text: str = "text",
-                   lang: str = "lang", sample_by: str = "doc_id") -> LanguageModel:
+def _drawn(words: list[str], seed: int) -> list[str]:
+    """Words of the same lengths, their letters drawn evenly from the letters of ``words``."""
+    letters = sorted(set("".join(words).lower()))
+    ends = np.cumsum(list(map(len, words))).tolist()
+    # most letters are one code point each, a few are two in lower case
+    line = np.random.default_rng(seed).choice(letters, ends[-1]).tolist()
+    return ["".join(line[a:b]) for a, b in zip([0, *ends], ends)]
+
+
+def with_least_fit(model: LanguageModel, labelled: DataFrame, text: str = "text",
+                   lang: str = "lang") -> LanguageModel:
     """The model with its least fit per language, from the texts that it was fitted on.
 
     Half-way between the mean log probability of an n-gram of the language's
@@ -295,53 +325,69 @@ def with_least_fit(model: LanguageModel, labelled: DataFrame, rows: int = ROWS,
     evenly from the letters of those words. The draw follows the text and the sums are
     whole numbers, so the limits do not depend on how the rows are dealt.
     """
-    known = _fit_sample(labelled, rows, text, lang, sample_by)
+    known = _labelled(labelled, text, lang)
     place = {name: i for i, name in enumerate(model.languages)}
     shared = labelled.sparkSession.sparkContext.broadcast(model)
+    kinds = ("own", "drawn")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = shared.value
-        sums = np.zeros((len(place), 4), dtype=np.int64)
-        for batch in batches:
-            for body, language in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
-                words = WORD.findall(body)
-                if not words:
+        whole = np.rint(shared.value.logp.astype(np.float64) * UNITS).astype(np.int64)
+        sums = {(language, kind): [0, 0] for language in place for kind in kinds}
+        held: dict[tuple[str, str], Counter] = {}
+
+        def add(language: str, kind: str) -> None:
+            words = held.pop((language, kind))
+            if not words:
+                return
+            counts = np.fromiter(words.values(), dtype=np.int64, count=len(words))
+            buckets, owner, _ = grams_by_length(list(words))
+            total = sums[language, kind]
+            total[0] += int((whole[place[language], buckets] * counts[owner]).sum())
+            total[1] += int(counts[owner].sum())
+
+        for bodies, languages in _parts(batches):
+            for body, language in zip(bodies, languages):
+                if not (words := WORD.findall(body)):
                     continue
-                rng = np.random.default_rng(crc32(body.encode("utf-8", "replace")))
-                letters = sorted(set("".join(words).lower()))
-                drawn = ["".join(rng.choice(letters, len(w))) for w in words]
-                for i, some in enumerate((words, drawn)):
-                    total, grams, _ = fitted.fits(some)
-                    own = float(total[:, place[language]].sum(dtype=np.float64))
-                    sums[place[language], 2 * i:2 * i + 2] += round(own * UNITS), int(grams.sum())
+                for kind in kinds:
+                    own = held.setdefault((language, kind), Counter())
+                    own.update(words if kind == "own" else _drawn(words, crc32(body.encode("utf-8", "replace"))))
+                    if len(own) > HELD_WORDS:
+                        add(language, kind)
+        for key in list(held):
+            add(*key)
+        out = [(language, *map(Decimal, (*sums[language, "own"], *sums[language, "drawn"])))
+               for language in place]
+        whole_number = pa.decimal128(38, 0)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(place), pa.string()), *(pa.array(c) for c in sums.T)],
+            [pa.array([r[i] for r in out], whole_number if i else pa.string()) for i in range(5)],
             names=["lang", "own", "n_own", "drawn", "n_drawn"])
 
-    sums = {r["lang"]: r for r in known.mapInArrow(
-        run, "lang string, own long, n_own long, drawn long, n_drawn long")
-        .groupBy("lang").agg(*[F.sum(c).alias(c) for c in ("own", "n_own", "drawn", "n_drawn")]).collect()}
+    names = ("own", "n_own", "drawn", "n_drawn")
+    sums = {r["lang"]: {c: int(r[c]) for c in names} for r in known.mapInArrow(
+        run, "lang string, " + ", ".join(f"{c} decimal(38,0)" for c in names))
+        .groupBy("lang").agg(*[F.sum(c).alias(c) for c in names]).collect()}
     model.least = np.array([(r["own"] / r["n_own"] + r["drawn"] / r["n_drawn"]) / 2 / UNITS
                             for r in map(sums.__getitem__, model.languages)])
     return model
 
 
 def fitting_languages(docs: DataFrame, model: LanguageModel, *keep: Column) -> DataFrame:
-    """``*keep, known, fit`` of every whole text, as :func:`fit_of` gives them."""
-    rows = docs.select(*keep, text_or_empty().alias("__text"))
-    names = rows.columns[:-1]
+    """``*keep, known, fit`` of every whole text, as :func:`fit_of` gives them.
+
+    Only the text goes to Python; what is kept waits in the JVM.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = shared.value
-        for batch in batches:
-            out = [fit_of(t, fitted) for t in batch.column("__text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in names), *(pa.array([o[i] for o in out], pa.float64())
-                                                      for i in (0, 1))],
-                names=[*names, "known", "fit"])
+    @F.arrow_udf("struct<known: double, fit: double>")
+    def fits(texts: pa.Array) -> pa.Array:
+        found = [fit_of(t, shared.value) for at in range(0, len(texts), HELD_TEXTS)
+                 for t in texts.slice(at, HELD_TEXTS).to_pylist()]
+        return pa.StructArray.from_arrays(
+            [pa.array([f[i] for f in found], pa.float64()) for i in (0, 1)], names=["known", "fit"])
 
-    return rows.mapInArrow(run, with_fields(rows.schema.fields[:-1], "known double, fit double"))
+    rows = docs.select(*keep, fits(text_or_empty()).alias("__fits"))
+    return rows.select(*rows.columns[:-1], "__fits.known", "__fits.fit")
 
 
 def label_languages(docs: DataFrame, model: LanguageModel, *keep: Column) -> DataFrame:

@@ -463,3 +463,71 @@ def test_redaction_against_plain_replacement(spark):
     out = many.select(redacted(F.col("text"), F.col("spans")).alias("t")).select(
         F.length("t").alias("n"), F.substring("t", 1, 16).alias("head")).first()
     assert (out.n, out.head) == (200_000 * 8, "[email] [email] ")
+
+
+def test_language_fit_uses_every_labelled_document(spark):
+    """Counts and least fits equal brute force over more rows than the fit once sampled."""
+    from collections import Counter
+    from zlib import crc32
+
+    import numpy as np
+    rng = random.Random(8)
+    rows = [(i, " ".join("".join(rng.choices("abcdeé", k=rng.randint(1, 5))) for _ in range(3)), "ab"[i % 7 == 0])
+            for i in range(9_000)]
+    docs = spark.createDataFrame([*rows, (-1, None, "a"), (-2, "none", None)], "doc_id long, text string, lang string")
+    model = language.with_least_fit(language.fit_languages(docs), docs)
+    assert model.languages == ["a", "b"]
+    for i, lang in enumerate(model.languages):
+        sums = {}
+        counts = np.full(language.BUCKETS, 0.5)
+        for _, text, own in rows:
+            if own == lang:
+                words = text.split()
+                draw = np.random.default_rng(crc32(text.encode()))
+                letters = sorted(set("".join(words)))
+                drawn = ["".join(draw.choice(letters, len(w))) for w in words]
+                for kind, some in (("own", words), ("drawn", drawn)):
+                    sums.setdefault(kind, Counter()).update(language.grams_of(some)[0].tolist())
+        for bucket, n in sums["own"].items():
+            counts[bucket] += n
+        assert model.logp[i] == pytest.approx(np.log(counts / counts.sum()), abs=1e-5)
+        mean = [sum(float(model.logp[i, b]) * n for b, n in c.items()) / sum(c.values()) for c in sums.values()]
+        assert model.least[i] == pytest.approx(sum(mean) / 2, abs=1e-5)
+
+
+def test_language_fit_holds_few_words_at_once(spark, monkeypatch):
+    """The held words are counted in parts and the fit stays the same."""
+    docs = spark.read.parquet(f"{CHECK}/documents.parquet").limit(300)
+    batch = docs.select("text", "lang").toArrow().combine_chunks().to_batches()
+
+    def counted():
+        found = {}
+
+        class Rows:
+            sparkSession = spark
+
+            def mapInArrow(self, run, schema):
+                found["out"] = sorted(tuple(r.values()) for b in run(iter(batch)) for r in b.to_pylist())
+                raise StopIteration
+
+        monkeypatch.setattr(language, "_labelled", lambda *_: Rows())
+        with pytest.raises(StopIteration):
+            language.fit_languages(docs)
+        return found["out"]
+
+    whole = counted()
+    monkeypatch.setattr(language, "HELD_WORDS", 100)
+    monkeypatch.setattr(language, "HELD_TEXTS", 7)
+    assert counted() == whole
+
+
+def test_language_stage_sends_only_the_text_to_python(spark):
+    """The rows that are kept wait in the JVM: no second copy of the text in a batch."""
+    docs = spark.createDataFrame([(1, "the words of a text", "en", "s")], "doc_id long, text string, lang string, source string")
+    model = language.with_least_fit(language.fit_languages(docs), docs)
+    marked = language.fitting_languages(docs, model, F.struct("*").alias("__row"))
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "ArrowEvalPython" in plan
+    row = marked.first()
+    assert tuple(row["__row"]) == (1, "the words of a text", "en", "s")
+    assert (row.known, row.fit) == pytest.approx(language.fit_of("the words of a text", model))
