@@ -188,7 +188,7 @@ def _window_hash(template: Column) -> Column:
 
 
 def _valued_windows(rows: DataFrame, lengths: list[int] | None, *keys: str,
-                    only: DataFrame | None = None) -> DataFrame:
+                    only: DataFrame | None = None, forms: tuple[int, ...] = FORMS) -> DataFrame:
     """``*keys, form, at, length, window, slots, fixed, literals`` of every window of column ``text``.
 
     ``slots`` holds the placeholder values with their place in the text, ``fixed``
@@ -203,7 +203,7 @@ def _valued_windows(rows: DataFrame, lengths: list[int] | None, *keys: str,
         return F.instr(F.lit(kinds), F.substring(t, 1, 1)) > 0
 
     out = None
-    for form in FORMS:
+    for form in forms:
         tokens = rows.select(*keys, template_tokens(F.col("text"), True, form).alias("tokens"),
                              F.transform(F.regexp_extract_all(
                                  F.regexp_replace("text", r"\s+", " "), F.lit(_NAMES), F.lit(0)),
@@ -256,8 +256,10 @@ def _last_words(name: Column, n: Column) -> Column:
 
 
 def _verified(texts: DataFrame, items: DataFrame, lengths: list[int], candidates: DataFrame,
-              share: float) -> DataFrame:
-    """``text_key, item, coverage`` of the candidates whose slots are consistent."""
+              share: float, forms: tuple[int, ...] = FORMS) -> DataFrame:
+    """``text_key, item, coverage`` of the candidates whose slots are consistent in a form."""
+    candidates = candidates.filter(F.col("form").isin(*forms))
+    items = items.filter(F.col("form").isin(*forms))
     keys = bounded_broadcast(candidates.select("text_key").distinct(), BROADCAST_ROWS)
     # one row per distinct text: copies are the same text. The texts are few bytes but
     # much work, so they keep this number of tasks, which a merge by size would reduce
@@ -265,7 +267,7 @@ def _verified(texts: DataFrame, items: DataFrame, lengths: list[int], candidates
         .repartition(partitions(texts.sparkSession), "text_key").groupBy("text_key") \
         .agg(F.min("text").alias("text"))
     held = bounded_broadcast(items.select("form", "window").distinct(), BROADCAST_ROWS)
-    inside = _valued_windows(chosen, lengths, "text_key", only=held).drop("length", "fixed") \
+    inside = _valued_windows(chosen, lengths, "text_key", only=held, forms=forms).drop("length", "fixed") \
         .join(candidates, ["text_key", "form"])
     index = items.select("item", "form", "window", F.col("at").alias("item_at"),
                          F.col("slots").alias("item_slots"), "fixed", "literals")
@@ -313,7 +315,12 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, share: float = SHA
     lengths = sorted(r[0] for r in indexed.filter(F.col("form") != STATED)
                      .select("length").distinct().collect())
     candidates = checkpointed(_candidates(texts, indexed, lengths, share))
-    return checkpointed(_verified(texts, indexed, lengths, candidates, share))
+    # the first form that holds an item states the coverage, so what the stated form
+    # holds is not looked at in the others
+    stated = checkpointed(_verified(texts, indexed, lengths, candidates, share, (STATED,)))
+    others = candidates.join(stated, ["text_key", "item"], "left_anti")
+    return checkpointed(stated.unionByName(
+        _verified(texts, indexed, lengths, others, share, (PLAIN, NAMED))))
 
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:

@@ -527,6 +527,28 @@ def test_pipeline(spark, docs, rows):
     assert {r.doc_id for r in got} <= set(ids["decontaminate"])
 
 
+def test_verification_looks_at_an_item_in_one_form(spark, monkeypatch):
+    """What the stated form holds isn't verified again in the other two."""
+    stated = "the train leaves the station at nine and comes back to the city before the night"
+    plain = "then Anna Smith asked the Tom Brown group for seven more apples from the old garden"
+    items = spark.createDataFrame([(1, stated), (2, plain)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"see: {stated}"), (2, f"well, {plain.lower()}"), (3, "nothing of them at all")],
+                                 "doc_id long, text string")
+    asked, verified = [], decontaminate._verified
+
+    def spy(texts, indexed, lengths, candidates, share, forms=decontaminate.FORMS):
+        asked.append((forms, candidates.filter(F.col("form").isin(*forms)).select("text_key").distinct().collect()))
+        return verified(texts, indexed, lengths, candidates, share, forms)
+
+    monkeypatch.setattr(decontaminate, "_verified", spy)
+    got = {(r.doc_id, r.item_id): r.coverage for r in decontaminate.find_contaminated(docs, items).collect()}
+    assert set(got) == {(1, 1), (2, 2)}
+    key = {r.doc_id: r.k for r in docs.select("doc_id", F.xxhash64("text").alias("k")).collect()}
+    forms = {f: {r.text_key for r in rows} for f, rows in asked}
+    assert key[1] in forms[(decontaminate.STATED,)]
+    assert forms[(decontaminate.PLAIN, decontaminate.NAMED)] == {key[2]}
+
+
 def test_shared_windows_equal_those_of_every_form(spark):
     """The windows that are made once are all windows that the three forms have."""
     from demandcast.llm import decontaminate as D
