@@ -137,6 +137,12 @@ def curriculum_mix(docs: DataFrame, **options) -> DataFrame:
         F.col("__positions").alias("positions"))
 
 
+def by_first_copy(mixed: DataFrame) -> DataFrame:
+    """The rows of :func:`curriculum_mix` in training order: each document where its first
+    copy stands, those that the mix leaves out at the end."""
+    return mixed.orderBy(F.array_min("positions").asc_nulls_last(), "doc_id", "size")
+
+
 def training_order(docs: DataFrame, **options) -> DataFrame:
     """The mix as rows of ``docs``, a row per copy, sorted by training position."""
     mixed = _mixed(docs, F.struct("*").alias("__row"), **options)

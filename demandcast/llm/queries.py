@@ -15,7 +15,7 @@ from demandcast.llm.decontaminate import find_contaminated
 from demandcast.llm.filter_audit import audit_filters
 from demandcast.llm.fingerprint import fingerprints, hex_text
 from demandcast.llm.language import fit_languages, held_out, label_languages, learnable
-from demandcast.llm.mixing import curriculum_mix
+from demandcast.llm.mixing import by_first_copy, curriculum_mix
 from demandcast.llm.quality import fit_quality, score_quality
 from demandcast.llm.oracles import ORACLE_SQL  # noqa: F401
 from demandcast.llm.privacy import BASE as PERSONAL
@@ -69,7 +69,7 @@ def op6_sharding(spark, sf_dir):
 
 
 def op7_mixing(spark, sf_dir):
-    mixed = curriculum_mix(table(spark, sf_dir, "documents"))
+    mixed = by_first_copy(curriculum_mix(table(spark, sf_dir, "documents")))
     return mixed.select(
         "doc_id", "size", "source_size", F.round("target", 6).alias("target"),
         (F.size("positions") * F.col("size")).cast("long").alias("taken"),

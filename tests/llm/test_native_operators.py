@@ -444,6 +444,22 @@ def test_mixing_query(spark, rows):
     assert sorted(map(tuple, got)) == sorted(map(tuple, queries.op7_mixing(spark, CHECK).collect()))
 
 
+def test_mixing_query_is_in_training_order(spark, tmp_path):
+    """The last step of the curriculum: documents come where their first copy stands."""
+    rows = [(i, "word " * (1 + i % 9), "abc"[i % 3]) for i in range(300)] + [(300, None, "a"), (None, "x", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5) \
+        .write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op7_mixing(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "size", "source_size", "target", "taken", "first_position"]
+    at = [(2.0 if r.first_position is None else r.first_position, r.doc_id or -1) for r in got.collect()]
+    assert len(at) == len(rows) and at[-1][0] == 2.0
+    assert [p for p, _ in at] == sorted(p for p, _ in at)
+    # as in the order of the copies: a document's first copy
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    first = list(dict.fromkeys(r.doc_id for r in mixing.training_order(docs).collect()))
+    assert [r.doc_id for r in got.collect() if r.first_position is not None] == first
+
+
 def test_positions_invert_the_demand(spark):
     df = spark.range(101).select((F.col("id") / 100 * 70.0).alias("o"))
     for slope in (-0.9, -0.5, 0.0, 0.5, 0.9):
