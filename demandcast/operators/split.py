@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandcast.operators.lookups import MAX_BROADCAST_ROWS
+from demandcast.session import checkpointed, tasks_for
 
 TRAIN, TEST, VALIDATION = "Train", "Test", "Validation"
 
@@ -57,15 +58,18 @@ def split_by_time(df: DataFrame, keys=("store", "item"), ratio: float = 0.8,
 
 
 def series_cutoffs(df: DataFrame, keys=("store", "item"), ratio: float = 0.8,
-                   date: str = "date") -> DataFrame:
+                   date: str = "date", rows: int | None = None) -> DataFrame:
     """Keys and ``cutoff`` of every series: its date at 0-based position floor(n * ratio).
 
     From a histogram: rows are counted per series and date within each task first, the
     running sum over a series' dates passes the position once. What is sorted is a row
-    per date, however many rows a date or a series holds.
+    per date, however many rows a date or a series holds. With ``rows``, at most so many
+    rows of ``df``, the dates are dealt to so many tasks that each sorts few.
     """
     ratio, keys = _check_ratio(ratio), list(keys)
     days = df.groupBy(*keys, F.col(date).alias("__date")).agg(F.count("*").alias("__rows"))
+    if rows is not None:
+        days = days.repartition(tasks_for(df.sparkSession, rows), *keys)
     line = Window.partitionBy(*keys).orderBy(F.col("__date").asc_nulls_last())
     upto = F.sum("__rows").over(line)
     place = F.floor(F.sum("__rows").over(Window.partitionBy(*keys)).cast("double") * F.lit(ratio))
@@ -77,18 +81,20 @@ def series_cutoffs(df: DataFrame, keys=("store", "item"), ratio: float = 0.8,
 
 def split_by_histogram(df: DataFrame, keys=("store", "item"), ratio: float = 0.8,
                        date: str = "date", tag: str = "Dataset", names=(TRAIN, TEST),
-                       broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+                       broadcast_rows: int = MAX_BROADCAST_ROWS, rows: int | None = None) -> DataFrame:
     """T1 without a window over rows: the rows meet their series' cutoff (same result as
     :func:`split_by_time`).
 
     The rows are not shuffled by series: up to ``broadcast_rows`` series the cutoffs are
     broadcast, beyond that they are joined, where AQE splits a series that holds many
-    rows. One more scan of the keys and dates is the price.
+    rows. One more scan of the keys and dates is the price. ``rows``, a bound of the rows
+    if one is known, is that of :func:`series_cutoffs`.
     """
     keys = list(keys)
-    cutoffs = series_cutoffs(df, keys, ratio, date).select(
-        *[F.col(k).alias(f"__{k}") for k in keys], F.col("cutoff").alias("__cutoff"))
-    if cutoffs.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    # a row per series, found once: the count and the join read the checkpoint
+    cutoffs = checkpointed(series_cutoffs(df, keys, ratio, date, rows).select(
+        *[F.col(k).alias(f"__{k}") for k in keys], F.col("cutoff").alias("__cutoff")))
+    if cutoffs.count() <= broadcast_rows:
         cutoffs = F.broadcast(cutoffs)
     match = F.lit(True)
     for k in keys:

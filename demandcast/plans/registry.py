@@ -30,7 +30,7 @@ from demandcast.plans.model import feature_importances, fit_forecaster, predict
 from demandcast.plans.search import random_search, retrain_best
 from demandcast.session import checkpointed, shared_path
 from demandcast.sources.fixtures import (N_ITEMS_CHECK, N_STORES, derived_weather,
-                                         lineitem_panel, unfolded_panel)
+                                         lineitem_panel, read_table, unfolded_panel)
 from demandcast.sources.panel import (SOURCE_DATE_FORMAT, read_sales, typed_panel,
                                       unparsable_dates)
 from demandcast.sources.snapshots import ModelVersions, SnapshotTable
@@ -89,7 +89,8 @@ def q_split_nested(spark, sf_dir):
 
 def q_split_histogram(spark, sf_dir):
     """T1 by date histograms over one series per supplier and part, whose number grows."""
-    return split_by_histogram(unfolded_panel(spark, sf_dir), KEYS, RATIO)
+    rows = read_table(spark, sf_dir, "lineitem").count()
+    return split_by_histogram(unfolded_panel(spark, sf_dir), KEYS, RATIO, rows=rows)
 
 
 def q_split_tag_histogram(spark, sf_dir):

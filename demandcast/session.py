@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 
 from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
+# Rows that a task of an aggregate over rows of a few numbers may hold.
+TASK_ROWS = 500_000
+
 # Settings every session created here gets. On a cluster, pass a configured
 # builder or an existing session instead; nothing below is machine-specific.
 DEFAULT_CONF = {
@@ -97,6 +101,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Tasks for so many rows: the session's number, or more so that each holds few.
+
+    For ``repartition``, whose number AQE keeps: partitions of small rows that it merges
+    by their compressed size make hash tables that grow with the input.
+    """
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / TASK_ROWS))
+
+
 def checkpointed(df):
     """``df.checkpoint()`` (reliable, eager) into the shared checkpoint folder.
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from demandcast.session import tasks_for
+
 # Fixed values of the derived panel (FIXTURES.md section 2).
 N_STORES = 10
 N_ITEMS_CHECK = 5
@@ -40,11 +42,16 @@ def lineitem_panel(spark: SparkSession, sf_dir: str,
 
 
 def unfolded_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily sales per supplier and part: the number of series grows with the data."""
+    """Daily sales per supplier and part: the number of series grows with the data.
+
+    So does the number of tasks (by the rows that the file footers count): next to no
+    two rows share a key, and a task's hash table holds its rows.
+    """
     li = read_table(spark, sf_dir, "lineitem")
     return (li.select(F.to_date("l_shipdate").alias("date"),
                       F.col("l_suppkey").cast("int").alias("store"),
                       F.col("l_partkey").cast("int").alias("item"), "l_quantity")
+              .repartition(tasks_for(spark, li.count()), "date", "store", "item")
               .groupBy("date", "store", "item")
               .agg(F.sum("l_quantity").cast("int").alias("sales")))
 

@@ -129,3 +129,23 @@ def test_histogram_split_leaves_the_rows_where_they_are(spark):
     assert len(hot) == 8
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan
+
+
+def test_histogram_split_deals_more_tasks_for_more_rows(spark, tmp_path, monkeypatch):
+    """A task's share of the unfolded panel and of its dates has a bound, which AQE keeps."""
+    from demandcast import session
+    from demandcast.operators.split import series_cutoffs
+    from demandcast.sources.fixtures import unfolded_panel
+    spark.range(0, 6_000, 1, 3).select(
+        F.expr("timestamp'1995-01-01 00:00:00' + make_interval(0, 0, 0, cast(id % 40 as int))").alias("l_shipdate"),
+        (F.col("id") % 7).alias("l_suppkey"), (F.col("id") % 150).alias("l_partkey"),
+        F.lit(2.0).alias("l_quantity")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(session, "TASK_ROWS", 500)
+    panel = unfolded_panel(spark, str(tmp_path))
+    cutoffs = series_cutoffs(panel, rows=6_000)
+    for df in (panel, cutoffs):
+        shares = df.groupBy(F.spark_partition_id()).count().collect()
+        assert len(shares) == 12
+    assert session.tasks_for(spark, 1) == 4
+    plain = series_cutoffs(panel)
+    assert sorted(cutoffs.collect()) == sorted(plain.collect())
