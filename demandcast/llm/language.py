@@ -22,9 +22,10 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from decimal import Decimal
+from itertools import chain, islice
 from zlib import crc32
 
 import numpy as np
@@ -44,10 +45,13 @@ SWITCH, FLOOR = 12.0, -6.0
 #: Share of a language's training letters from which a script is one of its own.
 SCRIPT_SHARE = 0.02
 #: Words whose scores are remembered per Python worker, and scores (words x languages).
-CACHE_WORDS, CACHE_SCORES = 400_000, 1 << 21
-#: Distinct words that a task holds per language before their n-grams are counted, and
-#: texts of an Arrow batch that are Python strings at once.
-HELD_WORDS, HELD_TEXTS = 50_000, 256
+CACHE_WORDS, CACHE_SCORES = 300_000, 1 << 21
+#: Words of several texts from which on they are scored together.
+TOGETHER = 1 << 15
+#: Distinct words that a task holds, of all languages, before the n-grams of the most are
+#: counted; words whose n-grams are made at once; and texts of an Arrow batch that are
+#: made Python strings at once.
+HELD_WORDS, GRAM_WORDS, HELD_TEXTS = 100_000, 8192, 256
 
 #: First code points of the ranges, and the script that starts there.
 SCRIPT_STARTS = (
@@ -107,6 +111,14 @@ def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return buckets[order], np.searchsorted(owner[order], np.arange(len(words))), script
 
 
+class _Places(dict):
+    """Words by place: a word that is asked for the first time gets the next one."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = place = len(self)
+        return place
+
+
 @dataclass
 class LanguageModel:
     """Log probabilities (languages x buckets) and the languages of each script."""
@@ -117,7 +129,7 @@ class LanguageModel:
     #: Per language, mean log probability of an n-gram below which words fit it no
     #: better than random letters (set by :func:`with_least_fit`).
     least: np.ndarray | None = None
-    index: dict = field(default_factory=dict, repr=False, compare=False)
+    index: _Places = field(default_factory=_Places, repr=False, compare=False)
     held: tuple | None = field(default=None, repr=False, compare=False)
 
     def measure(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -138,22 +150,27 @@ class LanguageModel:
         known = np.isfinite(best)
         scores = np.where(known, np.maximum(own - np.where(known, best, 0), FLOOR), 0)
         return scores, total, np.diff(np.append(begins, len(buckets))), \
-            np.isin(script, [SCRIPTS.index(s) for s in self.scripts])
+            competes.any(axis=1)[script]
 
     def places(self, words: list[str]) -> np.ndarray:
         """Where many words' measures are held, remembered per process."""
         k = len(self.languages)
         if self.held is None or len(self.index) + len(words) > len(self.held[0]):
             n = max(min(CACHE_WORDS, CACHE_SCORES // k), len(words))
-            self.index = {}
+            self.index = _Places()
             self.held = (np.zeros((n, k), np.float32), np.zeros((n, k), np.float32),
-                         np.zeros(n, np.int64), np.zeros(n, bool))
+                         np.zeros(n, np.int32), np.zeros(n, bool), np.zeros(n, np.int32))
         index, at = self.index, len(self.index)
-        if new := list(set(words).difference(index)):
-            for held, found in zip(self.held, self.measure(new)):
-                held[at:at + len(new)] = found
-            index.update(zip(new, range(at, at + len(new))))
-        return np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words))
+        places = np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words))
+        if len(index) > at:
+            new = list(islice(reversed(index), len(index) - at))[::-1]
+            letters = np.fromiter(map(len, new), dtype=np.int32, count=len(new))
+            self.held[4][at:at + len(new)] = letters
+            for a in range(0, len(new), GRAM_WORDS):
+                part = new[a:a + GRAM_WORDS]
+                for held, found in zip(self.held, self.measure(part)):
+                    held[at + a:at + a + len(part)] = found
+        return places
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Scores of many words (words x languages)."""
@@ -192,32 +209,64 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     return np.array(path[::-1])
 
 
+def _together(texts: Iterable[str], model: LanguageModel) \
+        -> Iterator[tuple[str, list[str], np.ndarray, tuple[np.ndarray, ...]]]:
+    """Every text with its words, their places in what the model holds, and that.
+
+    Texts are looked up together until they hold :data:`TOGETHER` words, so short ones
+    share the work on words that are new; a longer text is taken alone or with the
+    short ones before it.
+    """
+    def placed(group: list[tuple[str, list[str]]]):
+        at = model.places(list(chain.from_iterable(words for _, words in group)))
+        first = 0
+        for text, words in group:
+            yield text, words, at[first:first + len(words)], model.held
+            first += len(words)
+
+    group, n = [], 0
+    for text in texts:
+        words = WORD.findall(text) if model.languages else []
+        group.append((text, words))
+        n += len(words)
+        if n >= TOGETHER:
+            yield from placed(group)
+            group, n = [], 0
+    if group:
+        yield from placed(group) if n else ((text, words, np.zeros(0, np.int64), ()) for text, words in group)
+
+
 def label(text: str, model: LanguageModel) -> tuple[str, float, list[dict]]:
     """The language of a text, its score, and the spans (code points) by language.
 
     The score is the language's share of the letters times its probability
     against the runner-up on the words that are labelled with it.
     """
-    words = WORD.findall(text)
-    if not words or not model.languages:
-        return UNKNOWN, 0.0, []
-    scores = model.scores(words)
-    path = viterbi(scores)
-    letters = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    share = np.bincount(path, weights=letters, minlength=len(model.languages)) / letters.sum()
-    pick = int(share.argmax())
-    total = scores[path == pick].sum(axis=0, dtype=np.float64)
-    margin = total[pick] - np.delete(total, pick).max() if len(total) > 1 else np.inf
-    sure = 1.0 / (1.0 + np.exp(-np.clip(margin, -30, 30)))
-    cuts = np.flatnonzero(np.diff(path)) + 1
-    if len(cuts):
-        at = [m.span() for m in WORD.finditer(text)]
-        spans = [{"lang": model.languages[path[a]], "start": at[a][0], "end": at[b - 1][1]}
-                 for a, b in zip([0, *cuts], [*cuts, len(path)])]
-    else:
-        spans = [{"lang": model.languages[pick], "start": WORD.search(text).start(),
-                  "end": text.rindex(words[-1]) + len(words[-1])}]
-    return model.languages[pick], float(share[pick] * sure), spans
+    return next(label_all([text], model))
+
+
+def label_all(texts: Iterable[str], model: LanguageModel) -> Iterator[tuple[str, float, list[dict]]]:
+    """:func:`label` of many texts."""
+    for text, words, places, held in _together(texts, model):
+        if not words:
+            yield UNKNOWN, 0.0, []
+            continue
+        scores, letters = held[0][places], held[4][places]
+        path = viterbi(scores)
+        share = np.bincount(path, weights=letters, minlength=len(model.languages)) / letters.sum()
+        pick = int(share.argmax())
+        total = scores[path == pick].sum(axis=0, dtype=np.float64)
+        margin = total[pick] - np.delete(total, pick).max() if len(total) > 1 else np.inf
+        sure = 1.0 / (1.0 + np.exp(-np.clip(margin, -30, 30)))
+        cuts = np.flatnonzero(np.diff(path)) + 1
+        if len(cuts):
+            at = [m.span() for m in WORD.finditer(text)]
+            spans = [{"lang": model.languages[path[a]], "start": at[a][0], "end": at[b - 1][1]}
+                     for a, b in zip([0, *cuts], [*cuts, len(path)])]
+        else:
+            spans = [{"lang": model.languages[pick], "start": WORD.search(text).start(),
+                      "end": text.rindex(words[-1]) + len(words[-1])}]
+        yield model.languages[pick], float(share[pick] * sure), spans
 
 
 def _labelled(docs: DataFrame, text: str, lang: str) -> DataFrame:
@@ -233,6 +282,26 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, ...]]:
             yield tuple(c.to_pylist() for c in batch.slice(at, HELD_TEXTS).columns)
 
 
+def _strings(texts: pa.Array) -> Iterator[str]:
+    """The texts, few of them Python strings at once."""
+    for at in range(0, len(texts), HELD_TEXTS):
+        yield from texts.slice(at, HELD_TEXTS).to_pylist()
+
+
+def _fullest(held: dict) -> object:
+    """The key with most words once all hold more than :data:`HELD_WORDS`, else None."""
+    if sum(map(len, held.values())) <= HELD_WORDS:
+        return None
+    return max(held, key=lambda key: len(held[key]))
+
+
+def _word_parts(words: Counter) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Counted words and their counts, :data:`GRAM_WORDS` at a time."""
+    left = iter(words.items())
+    while part := list(islice(left, GRAM_WORDS)):
+        yield [word for word, _ in part], np.fromiter((n for _, n in part), dtype=np.int64, count=len(part))
+
+
 def fit_languages(labelled: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
     """Fit on all labelled documents."""
     known = _labelled(labelled, text, lang)
@@ -243,30 +312,31 @@ def fit_languages(labelled: DataFrame, text: str = "text", lang: str = "lang") -
         letters: Counter = Counter()
 
         def add(language: str) -> None:
-            own = vocabulary.pop(language)
-            if not own:
-                return
-            words, counts = list(own), np.fromiter(own.values(), dtype=np.int64, count=len(own))
-            buckets, owner, script = grams_by_length(words)
-            seen.setdefault(language, np.zeros(BUCKETS, np.int64))[:] += np.bincount(
-                buckets, weights=counts[owner], minlength=BUCKETS).astype(np.int64)
-            for place, word, n in zip(script.tolist(), words, counts.tolist()):
-                letters[language, SCRIPTS[place]] += n * len(word)
+            for words, counts in _word_parts(vocabulary.pop(language)):
+                buckets, owner, script = grams_by_length(words)
+                seen.setdefault(language, np.zeros(BUCKETS, np.int64))[:] += np.bincount(
+                    buckets, weights=counts[owner], minlength=BUCKETS).astype(np.int64)
+                for place, word, n in zip(script.tolist(), words, counts.tolist()):
+                    letters[language, SCRIPTS[place]] += n * len(word)
 
         for bodies, languages in _parts(batches):
             for body, language in zip(bodies, languages):
-                own = vocabulary.setdefault(language, Counter())
-                own.update(WORD.findall(body))
-                if len(own) > HELD_WORDS:
-                    add(language)
+                vocabulary.setdefault(language, Counter()).update(WORD.findall(body))
+                while (full := _fullest(vocabulary)) is not None:
+                    add(full)
         for language in list(vocabulary):
             add(language)
-        out = [(language, "", int(b), int(counts[b]))
-               for language, counts in seen.items() for b in np.flatnonzero(counts)]
-        out += [(language, script, -1, n) for (language, script), n in letters.items()]
-        if out:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c) for c in zip(*out)], names=["lang", "script", "bucket", "n"])
+
+        def rows(language: str, script: list[str], bucket: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([language] * len(n), pa.string()), pa.array(script, pa.string()),
+                 pa.array(bucket, pa.int64()), pa.array(n, pa.int64())], names=["lang", "script", "bucket", "n"])
+
+        for language, counts in seen.items():
+            found = np.flatnonzero(counts)
+            yield rows(language, [""] * len(found), found, counts[found])
+        for (language, script), n in letters.items():
+            yield rows(language, [script], np.array([-1]), np.array([n]))
 
     table = known.mapInArrow(count, "lang string, script string, bucket long, n long") \
         .groupBy("lang", "script", "bucket").agg(F.sum("n").alias("n")).toPandas()
@@ -292,19 +362,21 @@ def fit_of(text: str, model: LanguageModel) -> tuple[float, float]:
     mean log probability per n-gram under the language they are labelled with,
     less the least of that language. A text without letters is (0, 0).
     """
-    words = WORD.findall(text)
-    if not words or not model.languages:
-        return 0.0, 0.0
-    at = model.places(words)
-    scores, total, grams, known = model.held
-    path = viterbi(scores[at])
-    letters = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    learned = known[at]
-    if not learned.any():
-        return 0.0, 0.0
-    over = total[at, path] - grams[at] * (0 if model.least is None else model.least[path])
-    return float(letters[learned].sum() / letters.sum()), \
-        float(over[learned].sum() / grams[at][learned].sum())
+    return next(fit_all([text], model))
+
+
+def fit_all(texts: Iterable[str], model: LanguageModel) -> Iterator[tuple[float, float]]:
+    """:func:`fit_of` of many texts."""
+    for _, words, at, held in _together(texts, model):
+        if not words or not (learned := held[3][at]).any():
+            yield 0.0, 0.0
+            continue
+        scores, total, grams, _, letters = held
+        path = viterbi(scores[at])
+        letters, grams = letters[at], grams[at]
+        over = total[at, path] - grams * (0 if model.least is None else model.least[path])
+        yield float(letters[learned].sum() / letters.sum()), \
+            float(over[learned].sum() / grams[learned].sum())
 
 
 def _drawn(words: list[str], seed: int) -> list[str]:
@@ -336,24 +408,21 @@ def with_least_fit(model: LanguageModel, labelled: DataFrame, text: str = "text"
         held: dict[tuple[str, str], Counter] = {}
 
         def add(language: str, kind: str) -> None:
-            words = held.pop((language, kind))
-            if not words:
-                return
-            counts = np.fromiter(words.values(), dtype=np.int64, count=len(words))
-            buckets, owner, _ = grams_by_length(list(words))
             total = sums[language, kind]
-            total[0] += int((whole[place[language], buckets] * counts[owner]).sum())
-            total[1] += int(counts[owner].sum())
+            for words, counts in _word_parts(held.pop((language, kind))):
+                buckets, owner, _ = grams_by_length(words)
+                total[0] += int((whole[place[language], buckets] * counts[owner]).sum())
+                total[1] += int(counts[owner].sum())
 
         for bodies, languages in _parts(batches):
             for body, language in zip(bodies, languages):
                 if not (words := WORD.findall(body)):
                     continue
                 for kind in kinds:
-                    own = held.setdefault((language, kind), Counter())
-                    own.update(words if kind == "own" else _drawn(words, crc32(body.encode("utf-8", "replace"))))
-                    if len(own) > HELD_WORDS:
-                        add(language, kind)
+                    held.setdefault((language, kind), Counter()).update(
+                        words if kind == "own" else _drawn(words, crc32(body.encode("utf-8", "replace"))))
+                while (full := _fullest(held)) is not None:
+                    add(*full)
         for key in list(held):
             add(*key)
         out = [(language, *map(Decimal, (*sums[language, "own"], *sums[language, "drawn"])))
@@ -381,8 +450,7 @@ def fitting_languages(docs: DataFrame, model: LanguageModel, *keep: Column) -> D
 
     @F.arrow_udf("struct<known: double, fit: double>")
     def fits(texts: pa.Array) -> pa.Array:
-        found = [fit_of(t, shared.value) for at in range(0, len(texts), HELD_TEXTS)
-                 for t in texts.slice(at, HELD_TEXTS).to_pylist()]
+        found = list(fit_all(_strings(texts), shared.value))
         return pa.StructArray.from_arrays(
             [pa.array([f[i] for f in found], pa.float64()) for i in (0, 1)], names=["known", "fit"])
 
@@ -400,7 +468,7 @@ def label_languages(docs: DataFrame, model: LanguageModel, *keep: Column) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
         for batch in batches:
-            out = [label(t, fitted) for t in batch.column("__text").to_pylist()]
+            out = list(label_all(_strings(batch.column("__text")), fitted))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(n) for n in names), pa.array([o[0] for o in out], pa.string()),
                  pa.array([o[1] for o in out], pa.float64()),

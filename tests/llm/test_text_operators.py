@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
@@ -340,6 +342,58 @@ def test_language_spans_scripts_and_edges(spark, edge, empty):
     assert language.label("some words", nothing) == ("und", 0.0, [])
 
 
+def test_short_texts_share_the_measuring_of_new_words(monkeypatch):
+    model = language.LanguageModel(["de", "en"], np.random.default_rng(3).normal(
+        -9, 1, (2, language.BUCKETS)).astype(np.float32), {"latin": [0, 1]})
+    texts = [f"word{chr(97 + i % 26)} other{chr(97 + i // 26)} {i}" for i in range(300)] + ["", "12", "это дом"]
+    single = [(language.label(t, model), language.fit_of(t, model)) for t in texts]
+    asked, measure = [], language.LanguageModel.measure
+    monkeypatch.setattr(language.LanguageModel, "measure",
+                        lambda self, words: (asked.append(len(words)), measure(self, words))[1])
+    for together in (1 << 15, 7):
+        monkeypatch.setattr(language, "TOGETHER", together)
+        model.index, model.held = language._Places(), None
+        asked.clear()
+        assert list(language.label_all(texts, model)) == [a for a, _ in single]
+        assert list(language.fit_all(texts, model)) == [b for _, b in single]
+        assert len(asked) == 1 or together == 7
+
+
+def test_words_held_and_grams_made_at_once_are_bounded_over_all_languages(spark, monkeypatch):
+    rows = [(f"wort{chr(97 + i // 26)}{chr(97 + i % 26)} haus{chr(97 + i % 7)} ende", f"l{i % 9}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "text string, lang string").coalesce(1)
+    model = language.with_least_fit(language.fit_languages(docs), docs)
+
+    class Found(Exception):
+        pass
+
+    def task(fit):
+        """The function that the fit's tasks run."""
+        def found(self, f, schema):
+            raise Found(f)
+
+        with monkeypatch.context() as m, pytest.raises(Found) as got:
+            m.setattr(type(docs), "mapInArrow", found)
+            fit()
+        return got.value.args[0]
+
+    tasks = [task(lambda: language.fit_languages(docs)), task(lambda: language.with_least_fit(model, docs))]
+    grams = language.grams_by_length
+
+    def run(held, at_once):
+        made = []
+        with monkeypatch.context() as m:
+            m.setattr(language, "HELD_WORDS", held)
+            m.setattr(language, "GRAM_WORDS", at_once, raising=False)
+            m.setattr(language, "grams_by_length", lambda words: (made.append(len(words)), grams(words))[1])
+            batch = pa.RecordBatch.from_pydict({"text": [t for t, _ in rows], "lang": [lang for _, lang in rows]})
+            return [sorted(tuple(r.values()) for b in f(iter([batch])) for r in b.to_pylist()) for f in tasks], made
+
+    whole, _ = run(10_000, 10_000)
+    cut, made = run(20, 8)
+    assert cut == whole and max(made) <= 8
+
+
 # ------------------------------------------------------------------ quality --
 
 def test_quality_held_out(spark):
