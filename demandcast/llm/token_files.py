@@ -51,9 +51,11 @@ from demandcast.llm.common import partitions, text_or_empty
 LENGTH, BATCH = 1024, 64
 #: Id after every document (the query's contract), and the id of padding.
 END_ID, PAD_ID = 2, 0
-#: Pieces kept per Python worker (twice as many at most, beside those of one batch), the
-#: longest one kept, and how many are encoded at once.
-CACHE_ENTRIES, CACHE_CHARS, AT_ONCE = 600_000, 48, 4096
+#: Pieces kept per Python worker (twice as many at most, beside those of one part of a
+#: batch), the longest one kept, and how many are encoded at once.
+CACHE_ENTRIES, CACHE_CHARS, AT_ONCE = 250_000, 48, 4096
+#: Documents of an Arrow batch that are encoded together.
+HELD_TEXTS = 4096
 #: Stands between pieces that are encoded at once: one id, and no part of another token.
 BETWEEN = "\x01"
 _MANIFEST = "part int, sequences string, documents string, n_docs long, n_ids long"
@@ -201,9 +203,8 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
         store, base = pafs.FileSystem.from_uri(folder)
         names = [f"{kind}-{part:06d}-{task.taskAttemptId()}.arrow" for kind in ("sequences", "documents")]
         n_docs, sinks = 0, []
-        for got in batches:
-            if got.num_rows == 0:
-                continue
+        # what is held beside a batch grows with the distinct pieces of the part encoded
+        for got in (b.slice(at, HELD_TEXTS) for b in batches for at in range(0, b.num_rows, HELD_TEXTS)):
             if not sinks:
                 sinks = [store.open_output_stream(f"{base}/{name}") for name in names]
                 sequences = _SequenceFile(sinks[0], dtype, length, batch)

@@ -76,6 +76,20 @@ def test_pieces_are_forgotten_by_generations(library, monkeypatch):
         assert encoded(texts) == [library(x) for x in texts]
 
 
+def test_a_batch_is_encoded_in_parts(spark, library):
+    docs = spark.createDataFrame([(i, f"piece{i} of {i % 7}", 9, 9, 9, "x") for i in range(token_files.HELD_TEXTS + 50)],
+                                 SCHEMA).coalesce(1)
+    folder, manifest, read = written(spark, docs, parts=1)
+    table = token_files.open_arrow(folder, manifest.first().documents)
+    sizes = [table.get_batch(i).num_rows for i in range(table.num_record_batches)]
+    assert sizes == [token_files.HELD_TEXTS, 50]
+    got = sorted((r.doc_id, r.start, r.n_tokens) for r in read.collect())
+    place = 0
+    for (doc_id, start, n), i in zip(got, range(len(got))):
+        assert (doc_id, start, n) == (i, place, len(library(f"piece{i} of {i % 7}")) + 1)
+        place += n
+
+
 def test_edges(spark, library):
     long = "many words here " * 20_000
     rows = [(5, "five"), (None, "no id"), (1, None), (2, ""), (3, long), (3, long), (4, "four"), (4, "other four"),
