@@ -279,7 +279,8 @@ def _verified(texts: DataFrame, items: DataFrame, lengths: list[int], candidates
     kept = F.forall("fixed", lambda i: F.exists("slots", lambda d: (
         d["place"] == i["place"] + F.col("shift")) & ((d["value"] == i["value"]) | d["value"].endswith(
             F.concat(F.lit(" "), F.substring(i["value"], 2, 2**31 - 1))))))
-    pairs = pairs.filter(F.coalesce(kept, F.lit(True)))
+    # read twice below: the templates of the candidates are much work for few rows
+    pairs = checkpointed(pairs.filter(F.coalesce(kept, F.lit(True))))
     by = ["text_key", "item", "form"]
     slots = pairs.select(*by, "shift", F.explode(
         F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))).alias("z")) \

@@ -565,6 +565,24 @@ def test_verification_looks_at_an_item_in_one_form(spark, monkeypatch):
     assert forms[(decontaminate.PLAIN, decontaminate.NAMED)] == {key[2]}
 
 
+def test_verification_makes_its_pairs_once(spark, monkeypatch):
+    """What the clashes and the rows that stay are both made from is written and read, not made twice."""
+    items = spark.createDataFrame([(1, "Anna had 12 apples and gave 5 to the tall man at the gate")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "see: Anna had 13 apples and gave 4 to the tall man at the gate"),
+                                  (2, "see: Anna had 7 apples and gave 7 to the tall man at the gate")],
+                                 "doc_id long, text string")
+    plans, verified = [], decontaminate._verified
+
+    def spy(*args):
+        found = verified(*args)
+        plans.append(found._jdf.queryExecution().optimizedPlan().toString())
+        return found
+
+    monkeypatch.setattr(decontaminate, "_verified", spy)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_contaminated(docs, items).collect()} == {(1, 1)}
+    assert plans and not any("regexp_extract_all" in p for p in plans)
+
+
 def test_shared_windows_equal_those_of_every_form(spark):
     """The windows that are made once are all windows that the three forms have."""
     from demandcast.llm import decontaminate as D
